@@ -20,6 +20,13 @@ def query(sql: str | None = None):
     return keep
 
 
+@query()
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import cube_mix
+
+    return cube_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0)
+
+
 @query()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
