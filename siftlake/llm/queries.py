@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import doc_crc, scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0)
 
 
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict, train
+
+    docs, fold = table(spark, sf_dir, "documents"), F.coalesce(doc_crc() % 3 == 1, F.lit(False))
+    return predict(docs, train(docs.filter(~fold)), ["doc_id", fold.alias("held_out")])
+
+
+@query()
+def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lattice_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), doc_crc() % 10 == 0, public_tokenizers.path("piece_bpe_32k.model"), label="lang")
+
+
 @query()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
