@@ -36,7 +36,7 @@ from . import common
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Two white-space characters in a row that end in a space: splitting at spaces isn't safe there.
 _UNSAFE = re.compile(f" (?=[{SPACE}])| $")
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 600_000
 
 
 class Encoder:
@@ -73,6 +73,14 @@ class Encoder:
         return (self._whole(first) if first else b"") + b"".join([known[p] for p in rest]) + self.end
 
 
+def _encoder(tokenizer_path: str, end_id: int) -> Encoder:
+    """The worker's encoder: worker processes are reused, and with them the loaded vocabulary and its cache."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_encoders_of_this_worker", {})
+    return held.get((tokenizer_path, end_id)) or held.setdefault((tokenizer_path, end_id), Encoder(tokenizer_path, end_id))
+
+
 def _open(folder: str, name: str, mode: str):
     """A file of the shared folder; other schemes than file go through Arrow's file systems."""
     url = urlparse(folder)
@@ -108,7 +116,7 @@ def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
 
 def _writer(tokenizer_path: str, end_id: int, folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = Encoder(tokenizer_path, end_id), TaskContext.get()
+        encoder, context = _encoder(tokenizer_path, end_id), TaskContext.get()
         part, at, row, offsets = context.partitionId(), 0, 0, [0]
         own = f"part-{part:06d}-{context.taskAttemptId()}"
         width = encoder.dtype.itemsize
