@@ -28,6 +28,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0)
 
 
+@query(
+    """
+    WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+               FROM embeddings
+               WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.id AS query_id, c.id AS vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.id % 100 = 0 AND c.id <> q.id)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+    """
+)
+def op5_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, scale=1024, k=10)
+
+
 @query()
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import predict, train
@@ -60,3 +79,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
+
+
+@query()
+def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hamming_search import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
