@@ -21,6 +21,13 @@ def query(sql: str | None = None):
     return keep
 
 
+@query()
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
+
+
 @query()
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import cube_mix
