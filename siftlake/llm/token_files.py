@@ -36,7 +36,9 @@ from . import common
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Two white-space characters in a row that end in a space: splitting at spaces isn't safe there.
 _UNSAFE = re.compile(f" (?=[{SPACE}])| $")
-_CACHE_ENTRIES = 600_000
+#: Marks that never join a word before them.
+MARKS = ".,;:!?#$%&*|"
+_CACHE_ENTRIES = 400_000
 
 
 class Encoder:
@@ -51,10 +53,44 @@ class Encoder:
         self.end = np.array([end_id], self.dtype).tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.atoms: dict[str, bytes] = {}
+        #: The generation before: what is asked for again moves on, the rest is dropped with it.
+        self.old: tuple[dict, dict] = {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _atoms(self, piece: str) -> list[str]:
+        """A piece with its space, cut where the pattern always cuts: around single line ends and between a word and the marks after it."""
+        lines = piece.split("\n")
+        if "" in lines:
+            return [" " + piece]
+        out = []
+        for k, line in enumerate(lines):
+            word = line.rstrip(MARKS)
+            lead = "\n" if k else " "
+            if word != line and word and word[-1].isalpha():
+                out += [lead, word, line[len(word) :]] if k else [lead + word, line[len(word) :]]
+            else:
+                out += [lead, line] if k else [lead + line]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces into the cache, or fetch them from its last generation."""
+        known, atoms = self.pieces, self.atoms
+        old_known, old_atoms = self.old
+        cut = {p: self._atoms(p) for p in pieces if p not in old_known}
+        new = []
+        for a in dict.fromkeys(a for c in cut.values() for a in c):
+            if a in old_atoms:
+                atoms[a] = old_atoms[a]
+            elif a not in atoms:
+                new.append(a)
+        for atom, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            atoms[atom] = np.array(got.ids, self.dtype).tobytes()
+        for piece in pieces:
+            known[piece] = b"".join([atoms[a] for a in cut[piece]]) if piece in cut else old_known[piece]
+
     def encode(self, text: str | None) -> bytes:
         """The ids of the text and the end id."""
         if not text:
@@ -62,14 +98,12 @@ class Encoder:
         if _UNSAFE.search(text) or any(s in text for s in self.special):
             return self._whole(text) + self.end
         first, *rest = text.split(" ")
+        if len(self.pieces) + len(self.atoms) > _CACHE_ENTRIES:
+            self.old, self.pieces, self.atoms = (self.pieces, self.atoms), {}, {}
         known = self.pieces
         missing = [p for p in dict.fromkeys(rest) if p not in known]
         if missing:
-            if len(known) > _CACHE_ENTRIES:
-                known.clear()
-                missing = list(dict.fromkeys(rest))
-            for piece, got in zip(missing, self.tokenizer.encode_batch_fast([" " + p for p in missing], add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, self.dtype).tobytes()
+            self._learn(missing)
         return (self._whole(first) if first else b"") + b"".join([known[p] for p in rest]) + self.end
 
 
