@@ -28,6 +28,17 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
 
 
+#: A production key comes from a secret store; this one keeps reruns alike.
+SURROGATE_KEY = "siftlake-surrogates"
+
+
+@query()
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replace_personal_data
+
+    return replace_personal_data(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 @query()
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import cube_mix
@@ -35,6 +46,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0)
 
 
+@query()
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(
     """
     WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
