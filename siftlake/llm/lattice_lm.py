@@ -272,7 +272,15 @@ def score_documents(docs: DataFrame, held_out, vocabulary: str, label: str | Non
         return with_pieces.select("word", (F.col("n") > 0).cast("double").alias("known"), base.alias("base"), *[F.coalesce(tiny(k), x).alias(f"lm{k}") for k, x in zip(prior, lms, strict=True)])
 
     columns = ["known", "base", *[f"lm{k}" for k in prior]]
-    frequent = trained.filter(~is_end).orderBy(F.desc("n"), "word").limit(hot)
+    # frequent words: the highest classes of counts (64 to an octave) that hold `hot` words at most
+    octave = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    room, floor = hot, None
+    for r in trained.filter(~is_end).groupBy(octave.alias("o")).count().orderBy(F.desc("o")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        floor = r["o"]
+    frequent = trained.filter(~is_end & (octave >= floor)) if floor is not None else trained.limit(0)
     found = scored(frequent).collect()
     numbers = np.array([[r[c] for c in columns] for r in found], float).reshape(-1, len(columns))
     first = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "held_out", "row", "text").mapInArrow(_first_pass(context.broadcast(({bytes(r["word"]): i for i, r in enumerate(found)}, numbers))), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, row long, n_tokens long, sums array<double>, rare array<binary>, counts array<long>")

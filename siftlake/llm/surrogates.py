@@ -39,7 +39,7 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-ж
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
-    "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?i:(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"'])[A-Za-z0-9_+/=.-]{8,256}(?=[\"'])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "card": r"(?<!\d)(?<!\d[ -])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?!\d|[ -]\d)",
@@ -48,14 +48,19 @@ PATTERNS = {
 }
 #: Any entity, in order of precedence. Only the card's pattern has groups, so its references hold here too.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity holds; cheap to rule out most texts.
-HINT = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE)})|(?i:token|secret|password|passwd|key)"
-LETTER = r"[A-Za-z]"
 # Syllables of names by script.
 LATIN = ["ba", "ben", "cor", "da", "del", "el", "far", "gan", "hal", "is", "jo", "ka", "lan", "mar", "ne", "or", "per", "ros", "sel", "ta", "ul", "ver", "wen", "ya", "zor"]
 CYRILLIC = ["ба", "вен", "гор", "да", "дел", "ел", "жар", "зан", "кал", "ил", "йо", "ка", "лан", "мар", "не", "ор", "пет", "рос", "сел", "та", "ул", "фер", "хен", "ша", "яр"]
 
 
+def _hint(text: Column) -> Column:
+    """Whether a text holds what every entity needs; plain searches that rule most texts out before the patterns run."""
+    found = text.contains("@") | text.rlike("[0-9]") | text.rlike("[\"'][A-Za-z0-9_+/=.-]{8}")
+    for title in MALE + FEMALE:
+        found = found | text.contains(title + " ") | text.contains(title + ".")
+    return found
+
+
 def _kind(entity: Column) -> Column:
     """Type of a match, by the first pattern that it fits."""
     out = F.lit(None).cast("string")
@@ -76,26 +81,27 @@ def _canonical(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card"), F.regexp_replace(value, r"[^0-9+]", "")).otherwise(value)
 
 
-def _byte(hexes: Column, i: Column) -> Column:
-    """Byte i (cyclic) of hexadecimal digits, as int."""
-    return F.conv(F.substr(hexes, (i % 96) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def _byte(draws: Column, i: Column) -> Column:
+    """Number i (cyclic) of the drawn ones."""
+    return F.element_at(draws, i % 96 + 1)
 
 
 def _draws(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """192 hexadecimal digits from the key, the entity and the attempt."""
+    """96 numbers from 0 to 255 from the key, the entity and the attempt."""
     seed = lambda n: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), F.lit(str(n))), 256)
-    return F.concat(seed(0), seed(1), seed(2))
+    pairs = F.regexp_extract_all(F.concat(seed(0), seed(1), seed(2)), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def _characters(value: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substr(value, i, F.lit(1)))
 
 
-def _same_shape(value: Column, hexes: Column, keep: Column, hexadecimal: Column) -> Column:
+def _same_shape(value: Column, draws: Column, keep: Column, hexadecimal: Column) -> Column:
     """Letters to letters of the same case, digits to digits; the first ``keep`` characters stay."""
 
     def swap(c, i):
-        b = _byte(hexes, i)
+        b = _byte(draws, i)
         small = F.when(hexadecimal, F.char(97 + b % 6)).otherwise(F.char(97 + b % 26))
         return F.when(i < keep, c).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), F.upper(small)).otherwise(c)
 
@@ -122,59 +128,58 @@ def _laid_out(value: Column, digits: Column) -> Column:
     return F.array_join(F.transform(_characters(value), put), "")
 
 
-def _card(value: Column, hexes: Column) -> Column:
-    """A card of the same grouping whose check digit is right exactly if the original's is."""
-    own = _digits(value)
-    drawn = _same_shape(own, hexes, F.lit(1), F.lit(False))
-    off = (_luhn(own) - _luhn(drawn) + 20) % 10  # add this much to the last digit, so that the sums agree
-    last = (F.substr(drawn, F.length(drawn), F.lit(1)).cast("int") + off) % 10
-    return _laid_out(value, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), last.cast("string")))
-
-
-def _phone(value: Column, hexes: Column) -> Column:
-    """A phone number of the same layout; the country code stays."""
-    country = F.length(F.regexp_extract(value, r"^\+(\d{1,3})[ .-]", 1))
-    return _laid_out(value, _same_shape(_digits(value), hexes, country, F.lit(False)))
-
-
-def _ip(value: Column, hexes: Column) -> Column:
+def _ip(value: Column, draws: Column) -> Column:
     """Octets with as many digits as before."""
 
     def octet(c, i):
-        b = _byte(hexes, i)
+        b = _byte(draws, i)
         return F.when(F.length(c) == 1, b % 10).when(F.length(c) == 2, 10 + b % 90).otherwise(100 + b % 156).cast("string")
 
     return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
 
-def _name(value: Column, hexes: Column, female: Column) -> Column:
+def _name(value: Column, draws: Column, female: Column) -> Column:
     """Syllables of the script for every word, closed by the ending of the gender; hyphens stay."""
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     pick = lambda table, b: F.element_at(F.array(*[F.lit(x) for x in table]), b % len(table) + 1)
 
     def word(w, i):
-        syllables = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(cyrillic, pick(CYRILLIC, _byte(hexes, i * 5 + k))).otherwise(pick(LATIN, _byte(hexes, i * 5 + k))))
+        syllables = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(cyrillic, pick(CYRILLIC, _byte(draws, i * 5 + k))).otherwise(pick(LATIN, _byte(draws, i * 5 + k))))
         end = F.when(cyrillic, F.when(female, F.when(i == 0, "ина").otherwise("ова")).otherwise(F.when(i == 0, "ин").otherwise("ов"))).otherwise(F.when(female, F.when(i == 0, "a").otherwise("ine")).otherwise(F.when(i == 0, "o").otherwise("en")))
         return F.initcap(F.concat(F.array_join(syllables, ""), end))
 
     return F.array_join(F.transform(F.split(value, " "), lambda w, i: F.array_join(F.transform(F.split(w, "-"), lambda part, j: word(part, i * 2 + j)), "-")), " ")
 
 
-def draw(key: str, kind: Column, value: Column, female: Column, attempt: Column) -> Column:
-    """The surrogate of an entity at an attempt."""
-    hexes = _draws(key, kind, _canonical(kind, value), attempt)
+def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
+    """entities(kind, value, canon, female) with their surrogate at an attempt.
+
+    Columns that later ones use many times are steps of their own, so that each is computed
+    once a row.
+    """
+    kind, value, draws = F.col("kind"), F.col("value"), F.col("draws")
+    rows = entities.withColumn("draws", _draws(key, kind, F.col("canon"), F.lit(attempt)))
+    rows = rows.withColumn("digits", F.when(kind.isin("card", "phone"), _digits(value)))
+    # a card's first digit and a phone's country code stay
+    stay = F.when(kind == "card", F.lit(1)).otherwise(F.length(F.regexp_extract(value, r"^\+(\d{1,3})[ .-]", 1)))
+    rows = rows.withColumn("drawn", F.when(F.col("digits").isNotNull(), _same_shape(F.col("digits"), draws, stay, F.lit(False))))
+    # a card's last digit makes its check sum what the original's is
+    n = F.length("drawn")
+    off = F.when(kind == "card", (_luhn(F.col("digits")) - _luhn(F.col("drawn")) + 20) % 10)
+    rows = rows.withColumn("off", off)
+    last = (F.substr("drawn", n, F.lit(1)).cast("int") + F.col("off")) % 10
+    rows = rows.withColumn("drawn", F.when(F.col("off").isNotNull(), F.concat(F.substr("drawn", F.lit(1), n - 1), last.cast("string"))).otherwise(F.col("drawn")))
     hexadecimal = (kind == "secret") & value.rlike("^[0-9a-fA-F]+$")
-    at = F.regexp_extract(value, r"^([^@]*@(?:.*\.)?)[^.@]+\.[^.@]+$", 1)
-    domain = F.substr(value, F.length(at) + 1, F.length(value))
-    email = F.concat(_same_shape(at, hexes, F.lit(0), F.lit(False)), domain)
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", _ip(value, hexes))
-        .when(kind == "card", _card(value, hexes))
-        .when(kind == "name", _name(value, hexes, female))
-        .when(kind == "phone", _phone(value, hexes))
-        .otherwise(_same_shape(value, hexes, F.lit(0), hexadecimal))
+    rows = rows.withColumn("hexadecimal", hexadecimal).withColumn("local", F.regexp_extract(value, r"^([^@]*@(?:.*\.)?)[^.@]+\.[^.@]+$", 1))
+    local = F.col("local")
+    surrogate = (
+        F.when(kind == "email", F.concat(_same_shape(local, draws, F.lit(0), F.lit(False)), F.substr(value, F.length(local) + 1, F.length(value))))
+        .when(kind == "ip", _ip(value, draws))
+        .when(F.col("digits").isNotNull(), _laid_out(value, F.col("drawn")))
+        .when(kind == "name", _name(value, draws, F.col("female")))
+        .otherwise(_same_shape(value, draws, F.lit(0), F.col("hexadecimal")))
     )
+    return rows.select(*entities.columns, surrogate.alias("surrogate"))
 
 
 def surrogate_map(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
@@ -191,8 +196,7 @@ def surrogate_map(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     taken = ids.select("kind", F.col("canon").alias("drawn")).distinct()
     pending, done = ids, None
     for attempt in range(rounds):
-        drawn = pending.withColumn("surrogate", draw(key, F.col("kind"), F.col("value"), F.col("female"), F.lit(attempt)))
-        drawn = drawn.withColumn("drawn", canon("surrogate"))
+        drawn = common.cut(with_surrogate(pending, key, attempt).withColumn("drawn", canon("surrogate")), "pii-drawn")
         owner = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("owner"))
         fits = owner.join(taken, ["kind", "drawn"], "left_anti")
         settled = drawn.join(fits, ["kind", "drawn"]).filter(F.col("owner") == F.col("canon"))
@@ -204,7 +208,7 @@ def surrogate_map(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
         if pending.isEmpty():
             return done.select("kind", "value", "surrogate")
         taken = taken.union(settled.select("kind", "drawn").distinct())
-    rest = pending.withColumn("surrogate", draw(key, F.col("kind"), F.col("value"), F.col("female"), F.lit(rounds)))
+    rest = with_surrogate(pending, key, rounds)
     return done.select("kind", "value", "surrogate").unionByName(rest.select("kind", "value", "surrogate"))
 
 
@@ -214,7 +218,7 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     if clash:
         raise ValueError(f"columns {clash} are taken")
     pattern = ANY
-    with_node = docs.withColumn("_node", F.when(text.rlike(HINT) & text.rlike(pattern), common.text_key()))
+    with_node = docs.withColumn("_node", F.when(_hint(text) & text.rlike(pattern), common.text_key()))
     held = with_node.filter(F.col("_node").isNotNull())
     texts = held.groupBy("_node").agg(F.first("text").alias("text"))
     found = texts.select("_node", "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"))
