@@ -18,3 +18,11 @@ def query(sql: str | None = None):
         return f
 
     return keep
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import near  # noqa: F401
+
+
+load()
