@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import filters, groups, near, scalars, verdicts  # noqa: F401
+    from . import filters, groups, jobs, near, scalars, verdicts  # noqa: F401
 
 
 load()

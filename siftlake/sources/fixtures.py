@@ -91,6 +91,13 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+def _bits(hashes: str) -> str:
+    """SQL of a similarity hash: a bit for every column of word hashes that more than half of the words have set."""
+    return " + ".join(f"(CASE WHEN sum(({hashes} >> {i}) & 1) * 2 > any_value(n) THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(64))
+
+
 #: The same views for DuckDB.
 BASE = r"""
 WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
@@ -114,10 +121,7 @@ wh AS (
   SELECT doc_id, ('0x' || substr(md5(x), 1, 16))::UBIGINT AS p, ('0x' || substr(md5('d|' || x), 1, 16))::UBIGINT AS d, n
   FROM (SELECT doc_id, unnest(list_distinct(w)) AS x, len(list_distinct(w)) AS n FROM tok)),
 sim AS MATERIALIZED (
-  SELECT doc_id, CAST(sum(CASE WHEN pc * 2 > n THEN (1::UBIGINT << i) ELSE 0 END) AS UBIGINT) AS p,
-         CAST(sum(CASE WHEN dc * 2 > n THEN (1::UBIGINT << i) ELSE 0 END) AS UBIGINT) AS d
-  FROM (SELECT doc_id, i, any_value(n) AS n, sum((p >> i) & 1) AS pc, sum((d >> i) & 1) AS dc
-        FROM wh, (SELECT CAST(range AS UBIGINT) AS i FROM range(64)) GROUP BY doc_id, i) GROUP BY doc_id),
+  SELECT doc_id, CAST(""" + _bits("p") + """ AS UBIGINT) AS p, CAST(""" + _bits("d") + """ AS UBIGINT) AS d FROM wh GROUP BY doc_id),
 acc AS (SELECT c.*, s.p, s.d FROM cat c LEFT JOIN sim s USING (doc_id) WHERE state >= 200),
 incs AS (SELECT n.*, s.p, s.d FROM inc n LEFT JOIN sim s USING (doc_id)),
 near AS MATERIALIZED (
