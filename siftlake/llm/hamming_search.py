@@ -80,11 +80,11 @@ class SubstringIndex:
 
     def probe(self, j: int, value: int, radius: int) -> np.ndarray:
         """Rows whose substring j is within radius of value."""
-        if (j, value) not in self.lists:
+        if (j, value, radius) not in self.lists:
             s, o = self.starts[j], self.order[j]
             near = np.flatnonzero(_WEIGHT[value] <= radius)
-            self.lists[j, value] = np.concatenate([o[s[v] : s[v + 1]] for v in near])
-        return self.lists[j, value]
+            self.lists[j, value, radius] = np.concatenate([o[s[v] : s[v + 1]] for v in near])
+        return self.lists[j, value, radius]
 
     def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Every row within the radius, and its distance."""

@@ -101,7 +101,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, range_bytes: int = 64 << 2
     rows = rows.join(F.broadcast(known), "g", "left").withColumn("big", F.col("big").isNotNull())
 
     ranges = max(64, -(-total // range_bytes))
-    splitters, target = _quantiles(_sample(rows, sample_per_range * ranges / max(1, total), 0), ranges), total / ranges
+    splitters, target = _quantiles(_sample(rows, sample_per_range * ranges / max(1, total), 0), ranges), max(1.0, total / ranges)
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", range long"
     for salt in range(1, 4):
         dealt = rows.mapInArrow(_range_ids(splitters), schema)
