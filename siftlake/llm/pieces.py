@@ -31,6 +31,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MARK = "▁"
 _CACHE_ENTRIES = 400_000
+#: Rows of a batch that goes back: ids take more room than their texts.
+_ROWS = 256
 
 class PieceModel:
     """Pieces and scores of a vocabulary file, and the automaton over them."""
@@ -157,7 +159,7 @@ def _model(path: str) -> PieceModel:
 def _coder(path: str, decode: bool):
     def run(batches):
         model = _model(path)
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             ids, back = [], []
             for text in batch.column("text"):
                 text = text.as_py()
