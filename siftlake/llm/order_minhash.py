@@ -11,11 +11,12 @@ those of up to 12 words of single words, as few edits there touch every longer k
 
 Candidates: equal texts are one node. Nodes that share a key meet in a bucket. Each node is
 first aligned with the bucket leader it shares most keys with, then with other leaders of
-its buckets where those are in another component. What is still apart in a bucket of up to
-``bucket`` nodes is compared pair by pair across components; a larger bucket is split by further
-sketches of its nodes as well, several ways at each level, so that no large set of nodes is
-paired as a whole; what is still large after four sketches is compared along the order of lengths, each
-text with the next ``bucket``. Pairs whose lengths or bags of words rule 0.8 out are not aligned.
+its buckets where those are in another component. What is still apart in a bucket is compared
+pair by pair across components. Buckets of over ``bucket`` nodes do so in blocks of about
+``block`` nodes by class of lengths; each pair of blocks is a group of its own, a block of a
+single component never meets another of that component, and a pair is aligned in the first
+bucket it shares only. Pairs whose lengths or bags of words rule 0.8 out are not aligned, nor
+are those that earlier links of their group already hold together.
 
 The candidate search is probabilistic: a pair is lost if no sketch agrees. With k-mer
 Jaccard J a sketch agrees with about J^2: 40 sketches miss 1 in 10^5 pairs at J = 0.5 (about
@@ -33,15 +34,14 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 K = 5
-#: How many sketches on the keys of large buckets go at each level; sums of one of each level never repeat a sketch among 40.
-STEPS = ((1, 2, 3, 4, 5, 6), (7, 14), (17,))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -171,6 +171,66 @@ def _aligner(least: float):
     return run
 
 
+def _crosser(least: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links across components between two blocks of a bucket, or within one."""
+        pdf = pdf.sort_values("n", kind="stable").reset_index(drop=True)
+        words = [np.frombuffer(w, np.uint32) for w in pdf["words"]]
+        n, node = pdf["n"].to_numpy(), pdf["node"].tolist()
+        key, keys = pdf["key"].iloc[0], np.zeros((len(pdf), max(map(len, pdf["keys"]))), np.int64)
+        for at, own in zip(keys, pdf["keys"]):
+            at[: len(own)] = own
+        bags = np.stack([np.bincount(w & 255, minlength=256) for w in words]).astype(np.int32)
+        comp, root = pd.factorize(pdf["comp"])[0], {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        first, second = np.flatnonzero(~pdf["other"]), np.flatnonzero(pdf["other"])
+        links = []
+        for i in first:
+            with_ = second if len(second) else first[first > i]
+            with_ = with_[(comp[with_] != comp[i]) & (np.minimum(n[with_], n[i]) >= np.maximum(n[with_], n[i]) * least - 1e-9)]
+            longer = np.maximum(n[with_], n[i])
+            # words that share a bin are at most as many as the bins hold on both sides
+            with_ = with_[longer - np.minimum(bags[with_], bags[i]).sum(1) <= np.floor((1 - least) * longer + 1e-9)]
+            if not len(with_):
+                continue
+            equal = keys[with_] == keys[i]
+            for j in with_[keys[i][equal.argmax(1)] == key]:
+                a, b = top(comp[i]), top(comp[j])
+                if a != b and similar(words[i], words[j], least):
+                    root[a] = b
+                    links.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=object)
+
+    return run
+
+
+def crossed_in_blocks(large: DataFrame, nodes: DataFrame, least: float, block: int) -> DataFrame:
+    """Links a, b across components within the buckets of large(key, node, n, length, comp), each bucket compared in full."""
+    cells = large.groupBy("key", "length", "comp").agg(F.count("*").alias("of"))
+    # components of a block's size have blocks of their own, the others share some; no component has an empty name
+    cells = cells.withColumn("lone", F.when(F.col("of") >= block, F.col("comp")).otherwise(F.lit(b"")))
+    pools = cells.groupBy("key", "length", "lone").agg(F.ceil(F.sum("of") / F.lit(block)).alias("pieces"))
+    cells = cells.join(pools, ["key", "length", "lone"]).drop("of")
+    placed = large.join(cells, ["key", "length", "comp"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    placed = common.cut(placed.withColumn("part", F.xxhash64("key", "length", "lone", "piece")).select("key", "length", "part", "lone", "node", "n", "comp"), "blocks")
+    parts = placed.select("key", "length", "part", "lone").distinct()
+    # similar texts are of the same class of lengths or the next
+    left = parts.withColumn("near", F.explode(F.array("length", F.col("length") + 1)))
+    right = parts.select("key", F.col("length").alias("near"), F.col("part").alias("part_b"), F.col("lone").alias("lone_b"))
+    pairs = left.join(right, ["key", "near"]).filter(((F.col("near") > F.col("length")) | (F.col("part") <= F.col("part_b"))) & ((F.col("lone") != F.col("lone_b")) | (F.length("lone") == 0)))
+    pairs = common.cut(pairs.select("part", "part_b"), "block-pairs")
+    # a side of a pair each; a block against itself comes once
+    sides = pairs.select("part", "part_b", F.col("part").alias("at"), F.lit(False).alias("other")).union(pairs.filter("part <> part_b").select("part", "part_b", F.col("part_b").alias("at"), F.lit(True).alias("other")))
+    rows = placed.select("key", "node", "n", "comp", F.col("part").alias("at")).join(sides, "at").drop("at")
+    held = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "words", "keys")
+    return rows.join(common.cut(held, "block-nodes"), "node").groupBy("part", "part_b").applyInPandas(_crosser(least), "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) for the nodes of edges(a, b): least labels spread, with pointer jumping."""
     both = common.cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -186,14 +246,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, bucket: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, bucket: int = 32, block: int = 256) -> DataFrame:
     """doc_id, class_id, class_size of docs(doc_id, text)."""
     rows = docs.select("doc_id", "text", common.text_key().alias("node"))
     # one text a node; the longest tables from here on hold one row a key
     texts = rows.filter(F.col("text").isNotNull()).groupBy("node").agg(F.first("text").alias("text"))
     nodes = common.cut(texts.select("node", "text").mapInArrow(_sketcher(sketches), "node binary, n int, words binary, keys array<long>"), "sketches")
     length = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(least))).cast("int")
-    members = nodes.select("node", "n", length.alias("length"), F.posexplode("keys").alias("j", "key")).select("node", "n", "length", "j", F.xxhash64("j", "key").alias("key"))
+    # a key is of one hash function only, as its seed is part of it
+    members = nodes.select("node", "n", length.alias("length"), F.explode("keys").alias("key"))
     shared_keys = members.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
     shared = common.cut(members.join(shared_keys, "key"), "shared-keys")
     words = nodes.select("node", "words")
@@ -221,40 +282,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, buc
     tried = common.cut(tried.union(apart), "tried")
     comp = components(edges)
 
-    # nodes still apart within a bucket: small buckets pair by pair, larger ones split by their nodes' further sketches
-    level = with_comp(shared, comp).select("key", "node", "n", "j", "comp")
-    keys, depth = None, 0
-    pairs: list[DataFrame] = []
-    while True:
-        mixed = level.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") != F.col("high")).select("key", "size")
-        level = common.cut(level.join(mixed, "key"), "buckets")
-        small = level.filter(F.col("size") <= bucket)
-        other = small.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        crossed = small.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= F.greatest("n", "nb") * least - 1e-9))
-        pairs.append(crossed.select("a", "b"))
-        large = level.filter(F.col("size") > bucket)
-        if large.isEmpty():
-            break
-        if depth == len(STEPS):
-            # texts that agree in this many sketches and still fit no leader: each meets the next ones by length
-            order = Window.partitionBy("key").orderBy("n", "node")
-            following = large.select("key", F.col("node").alias("a"), "n", "comp", F.collect_list(F.struct("node", "n", "comp")).over(order.rowsBetween(1, bucket)).alias("next"))
-            following = following.select("a", "n", "comp", F.explode("next").alias("o")).filter((F.col("comp") != F.col("o.comp")) & (F.col("n") >= F.col("o.n") * least - 1e-9))
-            pairs.append(following.select(F.least("a", "o.node").alias("a"), F.greatest("a", "o.node").alias("b")))
-            break
-        # a pair that agrees in sketch j meets again where it also agrees in one some steps on (cyclic among the k-mers' own
-        # sketches); only sketches whose own buckets are large and mixed count, as the pairs of the others are made already
-        if keys is None:
-            keys = common.cut(large.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("j", "key"))).alias("own")), "large-keys")
-        group = F.floor(F.col("j") / sketches) * sketches
-        steps = [(group + (F.col("j") - group + x) % sketches).cast("int") for x in STEPS[depth]]
-        deeper = large.join(keys, "node").select("node", "n", "comp", "key", "own", F.explode(F.filter(F.array(*steps), lambda at: F.map_contains_key("own", at))).alias("j"))
-        level = deeper.select("node", "n", "j", "comp", F.xxhash64("key", "j", F.try_element_at("own", F.col("j"))).alias("key"))
-        depth += 1
-    crossed = pairs[0]
-    for p in pairs[1:]:
-        crossed = crossed.union(p)
-    more = linked(crossed.distinct().join(tried, ["a", "b"], "left_anti"))
+    # nodes still apart within a bucket: small buckets pair by pair, larger ones in blocks
+    level = with_comp(shared, comp).select("key", "node", "n", "length", "comp")
+    mixed = level.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") != F.col("high")).select("key", "size")
+    level = common.cut(level.join(mixed, "key"), "buckets")
+    small = level.filter(F.col("size") <= bucket)
+    other = small.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    crossed = small.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= F.greatest("n", "nb") * least - 1e-9))
+    more = linked(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    large = level.filter(F.col("size") > bucket)
+    if not large.isEmpty():
+        more = common.cut(more.union(crossed_in_blocks(large, nodes, least, block)), "links")
     if not more.isEmpty():
         comp = components(edges.union(more))
 

@@ -209,3 +209,16 @@ def test_sharding(spark, odd):
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
     assert (got.groupby("text_crc32")["shard"].nunique() == 1).all()
     assert sharding.shard_by_bytes(odd).count() == odd.count() and sharding.shard_by_bytes(odd.limit(0)).count() == 0
+
+
+def test_large_buckets_are_compared_in_full(spark):
+    """200 pairs share a passage: pairs meet in large mixed buckets only, and the changed words are in every own k-mer of five."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    shared, rows = [word() for _ in range(100)], []
+    for g in range(200):
+        own = [word() for _ in range(60)]
+        near = [word() if i % 5 == 0 else w for i, w in enumerate(own)]
+        rows += [(2 * g, " ".join(shared + own)), (2 * g + 1, " ".join(shared + near))]
+    of = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=64).collect()}
+    assert all(of[2 * g] == of[2 * g + 1] for g in range(200)) and len(set(of.values())) == 200
