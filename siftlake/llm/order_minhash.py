@@ -6,8 +6,9 @@ longer length, is 0.8 or more; classes are the connected components of the links
 Sketch: a document's k-mers are its runs of five words, each labelled with its occurrence
 number. Every one of ``sketches`` hash functions picks the two labelled k-mers of least hash
 and keeps them in the order of the text; the ordered pair is the sketch's key, so that
-reordered texts don't meet. Documents of up to 48 words add sketches of two-word k-mers and
-those of up to 12 words of single words, as few edits there touch every longer k-mer.
+reordered texts don't meet. Texts of any length add ``triples`` sketches of three two-word
+k-mers, as changes spread over a text may leave no run of five words whole. Documents of up to
+48 words add sketches of pairs of two-word k-mers and those of up to 12 words of single words.
 
 Candidates: equal texts are one node. Nodes that share a key meet in a bucket. Each node is
 first aligned with the bucket leader it shares most keys with, then with other leaders of
@@ -19,9 +20,10 @@ bucket it shares only. Pairs whose lengths or bags of words rule 0.8 out are not
 are those that earlier links of their group already hold together.
 
 The candidate search is probabilistic: a pair is lost if no sketch agrees. With k-mer
-Jaccard J a sketch agrees with about J^2: 40 sketches miss 1 in 10^5 pairs at J = 0.5 (about
-one word in 14 changed) and a fifth of pairs at J = 0.2, the border case of one changed word
-in five; classes of several members have other links to hold them.
+Jaccard J a sketch of m k-mers agrees with about J^m. Where every fifth word differs
+(similarity 0.8) no k-mer of five is shared and J is 3/7 for those of two: 64 triples miss 1
+pair in 200. Every sixth word: J = 1/2, 1 in 5,000; a fifth of the words at random: J = 0.47,
+1 in 1,000. Classes of several members have other links to hold them.
 
 Defined results: a null text is in a class of its own; texts without words are one class;
 equal rows share a class; class_id is the least doc_id of the class (null only if all are
@@ -66,18 +68,23 @@ def labelled_kmers(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, mix(h + occurrence * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(words: np.ndarray, sketches: int, k: int) -> np.ndarray:
-    """A key for each hash function: the two least labelled k-mers in text order."""
+def sketch(words: np.ndarray, sketches: int, k: int, picks: int = 2) -> np.ndarray:
+    """A key for each hash function: the ``picks`` (two or three) least labelled k-mers in text order."""
     h, labelled = labelled_kmers(words, k)
-    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
+    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 16 * (picks - 2)))
     v = (labelled[None] ^ seeds[:, None]) * _M1
     v ^= v >> np.uint64(32)
     at = np.arange(sketches)
     one = v.argmin(1)
     v[at, one] = np.uint64(0xFFFFFFFFFFFFFFFF)
     two = v.argmin(1) if len(h) > 1 else one
-    first, second = labelled[np.minimum(one, two)], labelled[np.maximum(one, two)]
-    return mix(mix(first * np.uint64(3) + seeds) + second).astype(np.int64)
+    if picks == 2:
+        first, second = labelled[np.minimum(one, two)], labelled[np.maximum(one, two)]
+        return mix(mix(first * np.uint64(3) + seeds) + second).astype(np.int64)
+    v[at, two] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    three = v.argmin(1) if len(h) > 2 else two
+    first, second, third = labelled[np.sort(np.stack([one, two, three]), 0)]
+    return mix(mix(mix(first * np.uint64(3) + seeds) + second) + third).astype(np.int64)
 
 
 def aligned_distance(a: list[int], b: list[int], most: int) -> int:
@@ -145,7 +152,7 @@ def _word_hashes():
     return lambda text: np.array([known[w] for w in text.encode("utf-8", "replace").lower().split()], np.uint64)
 
 
-def _sketcher(sketches: int):
+def _sketcher(sketches: int, triples: int):
     def run(batches):
         hashes = _word_hashes()
         for batch in batches:
@@ -154,7 +161,7 @@ def _sketcher(sketches: int):
                 w = hashes(text.as_py())
                 n.append(len(w))
                 words.append(w.astype(np.uint32).tobytes())
-                own = [np.zeros(1, np.int64)] if not len(w) else [sketch(w, sketches, K)]
+                own = [np.zeros(1, np.int64)] if not len(w) else [sketch(w, sketches, K), sketch(w, triples, 2, 3)]
                 own += [sketch(w, sketches, k) for k, longest in ((2, 48), (1, 12)) if 0 < len(w) <= longest]
                 keys.append(np.concatenate(own))
             yield pa.record_batch({"node": batch.column("node"), "n": pa.array(n, pa.int32()), "words": pa.array(words, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
@@ -246,17 +253,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, bucket: int = 32, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, triples: int = 64, bucket: int = 32, block: int = 256) -> DataFrame:
     """doc_id, class_id, class_size of docs(doc_id, text)."""
     rows = docs.select("doc_id", "text", common.text_key().alias("node"))
     # one text a node; the longest tables from here on hold one row a key
     texts = rows.filter(F.col("text").isNotNull()).groupBy("node").agg(F.first("text").alias("text"))
-    nodes = common.cut(texts.select("node", "text").mapInArrow(_sketcher(sketches), "node binary, n int, words binary, keys array<long>"), "sketches")
+    nodes = common.cut(texts.select("node", "text").mapInArrow(_sketcher(sketches, triples), "node binary, n int, words binary, keys array<long>"), "sketches")
     length = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(least))).cast("int")
     # a key is of one hash function only, as its seed is part of it
-    members = nodes.select("node", "n", length.alias("length"), F.explode("keys").alias("key"))
-    shared_keys = members.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    shared = common.cut(members.join(shared_keys, "key"), "shared-keys")
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    shared_keys = members.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1).select("key")
+    shared = common.cut(members.join(shared_keys, "key").join(nodes.select("node", "n", length.alias("length")), "node"), "shared-keys")
     words = nodes.select("node", "words")
 
     def linked(pairs: DataFrame) -> DataFrame:

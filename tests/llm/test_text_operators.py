@@ -222,3 +222,20 @@ def test_large_buckets_are_compared_in_full(spark):
         rows += [(2 * g, " ".join(shared + own)), (2 * g + 1, " ".join(shared + near))]
     of = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=64).collect()}
     assert all(of[2 * g] == of[2 * g + 1] for g in range(200)) and len(set(of.values())) == 200
+
+
+def test_near_duplicates_at_the_border(spark):
+    """Pairs of similarity 0.80 to 0.87 that share no or few k-mers of five, short and long."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, number = [], 0
+    for n, pairs in ((50, 30), (120, 30), (1000, 10)):
+        for step in (5, 6, 7, 0):
+            for _ in range(pairs):
+                own = [word() for _ in range(n)]
+                changed = set(rng.sample(range(n), n // 5)) if not step else set(range(step - 1, n, step))
+                rows += [(number, " ".join(own)), (number + 1, " ".join(word() if i in changed else w for i, w in enumerate(own)))]
+                number += 2
+    of = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = sum(of[a] != of[a + 1] for a in range(0, number, 2))
+    assert lost <= 0.02 * number / 2 and len(set(of.values())) == number // 2 + lost
