@@ -1,7 +1,7 @@
 """The corpus pipeline: documents go through five stages, each over all that the one before kept.
 
-1. language ID: documents without a language (null text, no letters) or whose language is
-   ambiguous are rejected;
+1. language ID: documents without a language (null text, no letters), whose language is
+   ambiguous, or whose n-grams fit no language better than chance are rejected;
 2. near-dedup: of each class of near duplicates the document with the least doc_id stays;
 3. personal data: entities become keyed surrogates;
 4. mixing: sources are brought to their target weights; a document comes as often as it is
@@ -26,8 +26,8 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(F.coalesce(common.doc_crc() % 3 != 1, F.lit(True))))
     columns = [F.col(c) for c in COLUMNS if c != "text"]
-    kept = langid.predict(docs, model, [*columns, F.col("text").alias("kept_text")])
-    kept = kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    kept = langid.predict(docs, model, [*columns, F.col("text").alias("kept_text")], fit=True)
+    kept = kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & ~F.col("ambiguous") & (F.col("fit") > 0))
     return kept.withColumnRenamed("kept_text", "text").select(*COLUMNS)
 
 

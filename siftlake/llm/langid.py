@@ -7,7 +7,8 @@ a text's margin is the mean log-odds of its n-grams. Decoding is loss-weighted:
 codeword is charged the logistic loss of every margin against its bit, weighted by how well
 that bit separates the languages it was trained on, and the cheapest codeword wins. The
 score is the softmax of the two cheapest losses, and a text whose score is under
-``AMBIGUOUS`` is flagged.
+``AMBIGUOUS`` is flagged. On demand the fit comes along: the mean log-probability of the
+n-grams in the language where it is largest, less that of n-grams by chance.
 
 Training reads a sample of labelled documents drawn by a hash of the id, ``per_language``
 expected for each language (all, if fewer). Languages are values of a label column; the
@@ -100,7 +101,7 @@ def train(labelled: DataFrame, per_language: int = 20_000) -> dict:
     low = np.where(zeros, margins, -np.inf).max(0)
     gap = np.where(np.isfinite(high - low), np.maximum(high - low, 1e-3), 1e-3)
     middle = np.where(np.isfinite(high + low), (high + low) / 2, 0)
-    return {"langs": langs, "w": w, "code": code, "middle": middle, "half": gap / 2, "weight": gap / gap.sum()}
+    return {"langs": langs, "w": w, "code": code, "middle": middle, "fit": (np.log(p).T + BITS * np.log(2)).astype(np.float32), "half": gap / 2, "weight": gap / gap.sum()}
 
 
 def decode(model: dict, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +116,11 @@ def decode(model: dict, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return best, 1 / (1 + np.exp(two[:, 0] - two[:, 1]))
 
 
-def _predictor(shared):
+def _predictor(shared, fit: bool):
     def run(batches):
         model = shared.value
         for pdf in batches:
-            margins, n, lettered = [], [], []
+            margins, n, lettered, fits = [], [], [], []
             for text in pdf["text"]:
                 letters = bool(model["langs"]) and isinstance(text, str) and any(map(str.isalpha, text))
                 got = _grams(text) if letters else np.empty(0, np.int64)
@@ -127,6 +128,8 @@ def _predictor(shared):
                 n.append(len(got))
                 if letters:
                     margins.append(model["w"][got].mean(0) if len(got) else np.zeros(model["code"].shape[1]))
+                if fit:
+                    fits.append(float(model["fit"][got].mean(0).max()) if len(got) else None)
             out = pdf.drop(columns="text")
             out["lang_pred"], out["score"] = "und", 0.0
             at = np.flatnonzero(lettered)
@@ -135,14 +138,16 @@ def _predictor(shared):
                 out.loc[out.index[at], "lang_pred"] = [model["langs"][k] for k in best]
                 out.loc[out.index[at], "score"] = score
             out["ambiguous"] = (out["lang_pred"] != "und") & (out["score"] < AMBIGUOUS)
+            if fit:
+                out["fit"] = pd.Series(fits, out.index, dtype=float)
             yield out
 
     return run
 
 
-def predict(docs: DataFrame, model: dict, keep: list[Column]) -> DataFrame:
-    """The kept columns of docs(text) with lang_pred, score and ambiguous."""
+def predict(docs: DataFrame, model: dict, keep: list[Column], fit: bool = False) -> DataFrame:
+    """The kept columns of docs(text) with lang_pred, score and ambiguous, and fit (null without n-grams) where asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, "text")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInPandas(_predictor(shared), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInPandas(_predictor(shared, fit), f"{schema}, lang_pred string, score double, ambiguous boolean" + ", fit double" * fit)

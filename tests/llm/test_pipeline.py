@@ -19,3 +19,17 @@ def test_stages(spark):
     assert classes.filter("class_id <> doc_id").count() == 0 and counts[2] == counts[1]
     assert kept[2][1].filter("text like '%@mail%.example.com%'").count() == 0
     assert kept[4][1].filter("piece_ids is null").count() == 0
+
+
+def test_language_id_rejects_gibberish(spark):
+    import random
+
+    sf = "/root/testdata/sf0.01"
+    docs, rng = spark.read.parquet(f"{sf}/documents.parquet"), random.Random(1)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (3, 12, 40, 200)]
+    mixed = " ".join(r.text[:150] for r in docs.filter("n_chars > 300").orderBy("lang", "doc_id").dropDuplicates(["lang"]).collect())
+    clean = ["Von.", "That it.", "Des enberge die enver.", "Pachque çaneux et."]
+    rows = [(9_000_001 + i, t, "en", "s", len(t)) for i, t in enumerate([*junk, "xqzvw kjhgt zzxqj wvxkq", mixed, *clean])]
+    kept = C.language_id(spark, docs.union(spark.createDataFrame(rows, docs.schema)), sf)
+    assert sorted(r.doc_id for r in kept.filter("doc_id > 9000000").collect()) == [9_000_007 + i for i in range(4)]
+    assert kept.filter("doc_id < 9000000").count() >= 0.999 * docs.filter("text rlike '[a-zA-Z]'").count()
