@@ -5,10 +5,10 @@ times, and once more with inclusion probability r - floor(r). The flight phase m
 probabilities along the null space of two balance constraints, the words and the number of
 documents of the source: with three documents still open there is one free direction, and a
 step along it settles at least one of them while both sums stay as they are. Blocks of
-bounded size fly in parallel; what a block leaves open (two documents at most) meets in the
-next level's blocks, until one block a source is left. There a dozen documents of geometrically
-spaced size ranks sit the flight out; with the two it leaves open they are the landing
-problem: of all outcomes the one closest to both totals is taken. (With only two documents
+bounded size fly in parallel, and in each a dozen documents of geometrically spaced size ranks
+sit the flight out. They and what it leaves open (two documents at most) meet in the next
+level's blocks, until the source has one block left, whatever the sizes of the others. There
+they are the landing problem: of all outcomes the one closest to both totals is taken. (With only two documents
 to land, one very long document would decide the error.)
 
 Random choices come from hashes of the rows, so reruns agree.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 EPS = 1e-9
-#: Documents kept for the landing.
+#: Documents of a block kept out of its flight for the landing.
 LANDING = 12
 
 
@@ -103,17 +103,20 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block(final: bool, seed: int):
+def _block(block: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "size"], kind="stable").reset_index(drop=True)
         pi, size = pdf["pi"].to_numpy().copy(), pdf["size"].to_numpy().astype(float)
         fliers = np.ones(len(pi), bool)
-        if final:
-            ranks = (1 << np.arange(LANDING)) - 1
-            fliers[np.argsort(-size, kind="stable")[ranks[ranks < len(pi)]]] = False
+        ranks = (1 << np.arange(LANDING)) - 1
+        # small blocks have fewer such ranks: others spread over the rest fill up
+        ranks = ranks[ranks < len(pi)]
+        rest = np.setdiff1d(np.arange(len(pi)), ranks)
+        ranks = np.concatenate([ranks, rest[np.linspace(0, len(rest) - 1, min(len(rest), LANDING - len(ranks))).astype(int)]])
+        fliers[np.argsort(-size, kind="stable")[ranks]] = False
         mixed = [seed, len(pdf), int(pdf["h"].iloc[0]) & 0xFFFFFFFF]
         pi[fliers] = fly(pi[fliers], size[fliers], np.random.default_rng(mixed))
-        pdf["pi"] = land(pi, size) if final else pi
+        pdf["pi"] = land(pi, size) if pdf["n"].iloc[0] <= block else pi
         return pdf
 
     return run
@@ -121,7 +124,7 @@ def _block(final: bool, seed: int):
 
 def cube_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 20_000, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken, source and copies (times taken) for docs(doc_id, source, text)."""
-    spark = docs.sparkSession
+    spark, block = docs.sparkSession, max(block, 4 * (LANDING + 2))
     units = docs.select("doc_id", "source", words().alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))).alias("h"))
     units = common.cut(units, "mix-units")
     sources = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -142,16 +145,16 @@ def cube_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     while True:
         final = most_blocks <= 1
         blocks = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.lit(1))
-        flown = open_.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), blocks)).groupBy("sk", "block").applyInPandas(_block(final, seed + level), open_.withColumn("block", F.lit(0).cast("long")).schema).drop("block")
+        flown = open_.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), blocks)).groupBy("sk", "block").applyInPandas(_block(block, seed + level), open_.withColumn("block", F.lit(0).cast("long")).schema).drop("block")
         if final:
             done.append(flown)
             break
         flown = common.cut(flown, "mix-flown")
         still = (F.col("pi") > EPS) & (F.col("pi") < 1 - EPS)
         done.append(flown.filter(~still))
-        # a block left two at most
-        open_ = flown.filter(still).withColumn("n", F.ceil(F.col("n") / F.lit(block)) * 2)
-        most_blocks, level = -(-2 * most_blocks // block), level + 1
+        # a block left its landing documents and two at most; sources of one block have landed
+        open_ = flown.filter(still).withColumn("n", F.ceil(F.col("n") / F.lit(block)) * (LANDING + 2))
+        most_blocks, level = -(-(LANDING + 2) * most_blocks // block), level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

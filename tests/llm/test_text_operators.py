@@ -239,3 +239,15 @@ def test_near_duplicates_at_the_border(spark):
     of = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     lost = sum(of[a] != of[a + 1] for a in range(0, number, 2))
     assert lost <= 0.02 * number / 2 and len(set(of.values())) == number // 2 + lost
+
+
+def test_mixing_lands_small_sources_beside_a_large_one(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randrange(50, 150)), "hot") for i in range(500)]
+    rows += [(1000 + i, " ".join(["w"] * (1000 if i == 0 else rng.randrange(50, 150))), f"small{s}") for s in range(6) for i in range(150)]
+    df = spark.createDataFrame([(i if s == "hot" else i + 1000 * int(s[5:]), t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    sums = {}
+    for r in mixing.cube_mix(df, block=200).collect():
+        t = sums.setdefault(r.source, [r.target, 0])
+        t[1] += r.taken
+    assert all(abs(taken - target) <= 2 for target, taken in sums.values()), sums
