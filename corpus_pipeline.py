@@ -6,7 +6,7 @@
 3. personal data: entities become keyed surrogates;
 4. mixing: sources are brought to their target weights; a document comes as often as it is
    taken;
-5. pieces: texts are encoded to piece ids and decoded again.
+5. pieces: texts are encoded to piece ids; the text that goes out is decoded from them.
 """
 
 from __future__ import annotations
@@ -50,7 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
+    coded = pieces.encode(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    return coded.withColumnRenamed("decoded", "text").select(*COLUMNS, "piece_ids")
 
 
 STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("personal data", personal_data), ("mixing", mix_sources), ("pieces", piece_ids)]

@@ -27,7 +27,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MARK = "▁"
 _CACHE_ENTRIES = 400_000
@@ -175,12 +175,12 @@ def _coder(path: str, decode: bool):
     return run
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs(text, ...) with piece_ids (array of int)."""
-    if "piece_ids" in docs.columns:
-        docs = docs.drop("piece_ids")
-    schema = StructType([*docs.schema.fields, StructField("piece_ids", ArrayType(IntegerType()))])
-    return docs.mapInArrow(_coder(model_path, False), schema)
+def encode(docs: DataFrame, model_path: str, decode: bool = False) -> DataFrame:
+    """docs(text, ...) with piece_ids (array of int); with ``decode`` what the ids give back, decoded, comes in the place of text."""
+    docs = docs.drop("piece_ids", *(["decoded"] if decode else []))
+    fields = [f for f in docs.schema.fields if f.name != "text" or not decode]
+    extra = [StructField("piece_ids", ArrayType(IntegerType())), *([StructField("decoded", StringType())] if decode else [])]
+    return docs.mapInArrow(_coder(model_path, decode), StructType([*fields, *extra]))
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:

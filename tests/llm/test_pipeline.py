@@ -33,3 +33,16 @@ def test_language_id_rejects_gibberish(spark):
     kept = C.language_id(spark, docs.union(spark.createDataFrame(rows, docs.schema)), sf)
     assert sorted(r.doc_id for r in kept.filter("doc_id > 9000000").collect()) == [9_000_007 + i for i in range(4)]
     assert kept.filter("doc_id < 9000000").count() >= 0.999 * docs.filter("text rlike '[a-zA-Z]'").count()
+
+
+def test_piece_ids_are_decoded(spark, monkeypatch):
+    from siftlake.llm import pieces
+
+    docs = spark.createDataFrame([(1, "a  b 日本 ☃ \t x", "en", "s", 13), (2, None, "en", "s", 0), (3, "The other.", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in C.piece_ids(spark, docs, SF).collect()}
+    model = pieces.PieceModel(C.public_tokenizers.path("piece_bpe_32k.model"))
+    assert all(got[r.doc_id].text == r.text for r in docs.collect()) and got[3].piece_ids == model.encode("The other.")
+    seen, coder = [], pieces._coder
+    monkeypatch.setattr(pieces, "_coder", lambda path, decode: seen.append(decode) or coder(path, decode))
+    C.piece_ids(spark, docs, SF)
+    assert seen == [True]
