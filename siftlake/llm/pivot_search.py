@@ -10,7 +10,9 @@ annulus [lo, hi] around p is nearer to q than max(0, d(q,p) - hi, lo - d(q,p)).
 first searches the annulus of least bound, which gives it a k-th distance; it then visits
 every annulus whose bound does not exceed that distance, and there only the slice of
 distances within it, nearest first, stopping as the k-th distance shrinks. Scores are exact
-integers; the bounds get a small slack for rounding.
+integers; the bounds get a small slack for rounding. The visits of an annulus are split by a
+hash of the query into sheets of ``sheet`` expected queries, each with a copy of the annulus, so
+that a group is bounded on both sides.
 
 Pivots are a sample drawn by a hash of the id (``pivots`` expected). The table of annuli
 (three numbers each) goes to every task; with ``annulus`` rows each it has rows / annulus
@@ -96,7 +98,7 @@ def _visit(m2: float, k: int):
     return run
 
 
-def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, k: int = 10, pivots: int = 48, annulus: int = 8192) -> DataFrame:
+def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, k: int = 10, pivots: int = 48, annulus: int = 8192, sheet: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest whole-number inner products for each row where is_query holds (a condition on ``id``)."""
     spark = table.sparkSession
     whole = F.transform("vec", lambda x: F.floor(F.lit(float(scale)) * x))
@@ -140,7 +142,11 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
     found = "query_id long, vec_id long, score long"
 
     def visited(plan: DataFrame) -> DataFrame:
-        return placed.groupBy("annulus").cogroup(plan.groupBy("annulus")).applyInPandas(_visit(m2, k), found)
+        plan = common.cut(plan, "pivot-visits")
+        sheets = plan.groupBy("annulus").agg(F.ceil(F.count("*") / F.lit(sheet)).alias("sheets"))
+        asked = plan.join(sheets, "annulus").withColumn("sheet", F.pmod(F.xxhash64("query_id", F.lit("sheet")), F.col("sheets"))).drop("sheets")
+        copies = placed.join(sheets, "annulus").withColumn("sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sheets") - 1))).drop("sheets")
+        return copies.groupBy("annulus", "sheet").cogroup(asked.groupBy("annulus", "sheet")).applyInPandas(_visit(m2, k), found)
 
     start = common.cut(visited(queries.mapInPandas(_query_bounds(centre, known, m2, True), visits)), "pivot-first")
     kth = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("low"))

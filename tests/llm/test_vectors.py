@@ -49,3 +49,21 @@ def test_hamming_search_recall(spark):
     assert hit / n >= 0.85  # ties may swap equal vectors
     assert 1004 not in set(got.vec_id)
     assert hamming_search.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_pivot_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    df, _ = table(spark)
+    whole = sorted(pivot_search.top_k(df, F.col("id") % 4 == 0, k=5, pivots=8, annulus=40).collect())
+    visit = pivot_search._visit
+
+    def watched(m2, k):
+        run = visit(m2, k)
+
+        def held(key, rows, queries):
+            assert len(queries) <= 40, len(queries)
+            return run(key, rows, queries)
+
+        return held
+
+    monkeypatch.setattr(pivot_search, "_visit", watched)
+    assert sorted(pivot_search.top_k(df, F.col("id") % 4 == 0, k=5, pivots=8, annulus=40, sheet=20).collect()) == whole
