@@ -15,7 +15,10 @@ secrets in an assignment (token = "..."), and names after a title (Mr, Frau, Se
 The same entity (names: without regard to the title; e-mail: to letter case) gets the same
 surrogate in all documents. Distinct entities get distinct ones: of several entities of a
 type that draw the same surrogate one keeps it and the others draw again, as do those whose
-draw is itself an entity of the documents; the rounds end when none is left.
+draw is itself an entity of the documents; the rounds end when none is left. So
+that forms never run out, they grow with every ``GROW`` rounds: names get a syllable more a
+word, e-mails a letter before and secrets one after; IPv4 octets get any length. Phones and
+cards have at least some 10^9 forms a shape and stay as they are.
 
 Texts without an entity are not touched. Only entities, and texts that hold them, are
 shuffled; equal texts are worked on once.
@@ -27,11 +30,15 @@ table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+#: Rounds after which what still collides draws from more forms.
+GROW = 4
 # Titles that a name follows, by gender.
 MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н", "г-н", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-жа", "г-жа", "госпожа"]
@@ -128,23 +135,31 @@ def _laid_out(value: Column, digits: Column) -> Column:
     return F.array_join(F.transform(_characters(value), put), "")
 
 
-def _ip(value: Column, draws: Column) -> Column:
-    """Octets with as many digits as before."""
+def _ip(value: Column, draws: Column, grown: int) -> Column:
+    """Octets with as many digits as before; grown ones of any."""
 
     def octet(c, i):
         b = _byte(draws, i)
+        if grown:
+            return b.cast("string")
         return F.when(F.length(c) == 1, b % 10).when(F.length(c) == 2, 10 + b % 90).otherwise(100 + b % 156).cast("string")
 
     return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
 
-def _name(value: Column, draws: Column, female: Column) -> Column:
+def _extra(draws: Column, grown: int, hexadecimal: Column) -> Column:
+    """A letter for each growth."""
+    letters = [F.char(97 + F.when(hexadecimal, _byte(draws, F.lit(95 - n)) % 6).otherwise(_byte(draws, F.lit(95 - n)) % 26)) for n in range(grown)]
+    return F.concat(F.lit(""), *letters)
+
+
+def _name(value: Column, draws: Column, female: Column, grown: int) -> Column:
     """Syllables of the script for every word, closed by the ending of the gender; hyphens stay."""
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     pick = lambda table, b: F.element_at(F.array(*[F.lit(x) for x in table]), b % len(table) + 1)
 
     def word(w, i):
-        syllables = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(cyrillic, pick(CYRILLIC, _byte(draws, i * 5 + k))).otherwise(pick(LATIN, _byte(draws, i * 5 + k))))
+        syllables = F.transform(F.sequence(F.lit(0), F.lit(2 + grown)), lambda k: F.when(cyrillic, pick(CYRILLIC, _byte(draws, i * 5 + k))).otherwise(pick(LATIN, _byte(draws, i * 5 + k))))
         end = F.when(cyrillic, F.when(female, F.when(i == 0, "ина").otherwise("ова")).otherwise(F.when(i == 0, "ин").otherwise("ов"))).otherwise(F.when(female, F.when(i == 0, "a").otherwise("ine")).otherwise(F.when(i == 0, "o").otherwise("en")))
         return F.initcap(F.concat(F.array_join(syllables, ""), end))
 
@@ -157,7 +172,7 @@ def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     Columns that later ones use many times are steps of their own, so that each is computed
     once a row.
     """
-    kind, value, draws = F.col("kind"), F.col("value"), F.col("draws")
+    kind, value, draws, grown = F.col("kind"), F.col("value"), F.col("draws"), attempt // GROW
     rows = entities.withColumn("draws", _draws(key, kind, F.col("canon"), F.lit(attempt)))
     rows = rows.withColumn("digits", F.when(kind.isin("card", "phone"), _digits(value)))
     # a card's first digit and a phone's country code stay
@@ -173,29 +188,27 @@ def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     rows = rows.withColumn("hexadecimal", hexadecimal).withColumn("local", F.regexp_extract(value, r"^([^@]*@(?:.*\.)?)[^.@]+\.[^.@]+$", 1))
     local = F.col("local")
     surrogate = (
-        F.when(kind == "email", F.concat(_same_shape(local, draws, F.lit(0), F.lit(False)), F.substr(value, F.length(local) + 1, F.length(value))))
-        .when(kind == "ip", _ip(value, draws))
+        F.when(kind == "email", F.concat(_extra(draws, grown, F.lit(False)), _same_shape(local, draws, F.lit(0), F.lit(False)), F.substr(value, F.length(local) + 1, F.length(value))))
+        .when(kind == "ip", _ip(value, draws, grown))
         .when(F.col("digits").isNotNull(), _laid_out(value, F.col("drawn")))
-        .when(kind == "name", _name(value, draws, F.col("female")))
-        .otherwise(_same_shape(value, draws, F.lit(0), F.col("hexadecimal")))
+        .when(kind == "name", _name(value, draws, F.col("female"), grown))
+        .otherwise(F.concat(_same_shape(value, draws, F.lit(0), F.col("hexadecimal")), _extra(draws, grown, F.col("hexadecimal"))))
     )
     return rows.select(*entities.columns, surrogate.alias("surrogate"))
 
 
-def surrogate_map(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
+def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
     """kind, value, surrogate for entities(kind, value, female): distinct, and none an entity itself.
 
     Mentions of an entity that differ in spelling (letter case, grouping) draw from the same
-    hash, so each keeps its own format; they count as one for distinctness. Where a type has
-    fewer forms than entities (single-digit octets, say), what still collides after
-    ``rounds`` keeps its last draw.
+    hash, so each keeps its own format; they count as one for distinctness. Rounds go on
+    until nothing collides.
     """
-    spark = entities.sparkSession
     canon = lambda c: _canonical(F.col("kind"), F.col(c))
     ids = common.cut(entities.groupBy("kind", "value").agg(F.max("female").alias("female")).withColumn("canon", canon("value")), "pii-entities")
     taken = ids.select("kind", F.col("canon").alias("drawn")).distinct()
     pending, done = ids, None
-    for attempt in range(rounds):
+    for attempt in itertools.count():
         drawn = common.cut(with_surrogate(pending, key, attempt).withColumn("drawn", canon("surrogate")), "pii-drawn")
         owner = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("owner"))
         fits = owner.join(taken, ["kind", "drawn"], "left_anti")
@@ -208,8 +221,6 @@ def surrogate_map(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
         if pending.isEmpty():
             return done.select("kind", "value", "surrogate")
         taken = taken.union(settled.select("kind", "drawn").distinct())
-    rest = with_surrogate(pending, key, rounds)
-    return done.select("kind", "value", "surrogate").unionByName(rest.select("kind", "value", "surrogate"))
 
 
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:

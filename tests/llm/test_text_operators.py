@@ -251,3 +251,13 @@ def test_mixing_lands_small_sources_beside_a_large_one(spark):
         t = sums.setdefault(r.source, [r.target, 0])
         t[1] += r.taken
     assert all(abs(taken - target) <= 2 for target, taken in sums.values()), sums
+
+
+def test_surrogates_stay_distinct_when_forms_run_out(spark):
+    import itertools
+
+    names = ["".join(x).capitalize() for x in itertools.islice(itertools.product("abcdefghijkl", repeat=4), 20_500)]
+    mails = ["".join(x) + "@mail.example.com" for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2)]
+    rows = [("name", x, False) for x in names] + [("email", x, False) for x in mails] + [("secret", "________", False)]
+    m = surrogates.surrogate_map(spark.createDataFrame(rows, "kind string, value string, female boolean"), "k").collect()
+    assert len(m) == len(rows) == len({(r.kind, r.surrogate) for r in m}) and not {r.surrogate for r in m} & {x for _, x, _ in rows}
