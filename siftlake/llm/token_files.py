@@ -6,10 +6,13 @@ and ``part-N.off`` (signed 64-bit little-endian, one offset per document and one
 last, counted from the part's own start). A part's base is the prefix sum of the ids in the
 parts before it, so no task needs another's data. Readers memory-map both files.
 
-A text is cut at single spaces into pieces before encoding and pieces are encoded once per
-task: the byte-level pattern never merges across a space that precedes a visible character,
-so the concatenated pieces equal the ids of the whole text. Texts with other spacing are
-encoded whole.
+Texts are cut where the tokenizer's own pattern always cuts, whatever comes before or after:
+before white space, and after it too except that a last space stays with the word it leads;
+and between an ASCII letter and a mark other than the apostrophe.
+Distinct segments are encoded once per task, many at a time, joined by line ends, which are
+tokens of their own there; so the ids of the segments, one after another, are the ids of the
+whole text. Texts with other white space than spaces and line ends, or with the string of a
+special token, are encoded whole.
 
 Defined results: null text is an empty text (only the end id); null doc_id sorts first;
 equal doc_ids are ordered by the text's hash; an empty table gives no rows; other columns
@@ -26,23 +29,27 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, segments
 
-#: What the tokenizer's own pattern takes as white space.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Two white-space characters in a row that end in a space: splitting at spaces isn't safe there.
-_UNSAFE = re.compile(f" (?=[{SPACE}])| $")
-#: Marks that never join a word before them.
-MARKS = ".,;:!?#$%&*|"
-_CACHE_ENTRIES = 400_000
+#: What the tokenizer's own pattern takes as white space, besides space and line end.
+OTHER_SPACE = r"\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A segment that may stand between line ends: visible characters, led by a space at most.
+PLAIN = f"^ ?[^ \\n{OTHER_SPACE}]+$"
+#: Letters, and marks that the pattern never takes with a letter before them: all ASCII ones but the apostrophe.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+#: Segments joined for one call.
+_JOINED = 2000
 
 
 class Encoder:
-    """Encodes texts to bytes of little-endian ids, with a bounded cache of pieces."""
+    """Encodes columns of texts to little-endian ids."""
 
     def __init__(self, tokenizer_path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,69 +57,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
-        #: The generation before: what is asked for again moves on, the rest is dropped with it.
-        self.old: tuple[dict, dict] = {}, {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _atoms(self, piece: str) -> list[str]:
-        """A piece with its space, cut where the pattern always cuts: around single line ends and between a word and the marks after it."""
-        lines = piece.split("\n")
-        if "" in lines:
-            return [" " + piece]
-        out = []
-        for k, line in enumerate(lines):
-            word = line.rstrip(MARKS)
-            lead = "\n" if k else " "
-            if word != line and word and word[-1].isalpha():
-                out += [lead, word, line[len(word) :]] if k else [lead + word, line[len(word) :]]
+        self.end = end_id
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = special
+        self.whole = f"[{OTHER_SPACE}]" + f"|{special}" * bool(special)
+        lines = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: The id that a line end alone becomes; without one there is nothing to join by.
+        self.line = lines[0] if len(lines) == 1 else None
+        self.memo = segments.Memo(self._code)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _code(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct segments."""
+        found = found.cast(pa.string())
+        plain = pc.match_substring_regex(found, PLAIN)
+        if self.special:
+            plain = pc.and_not(plain, pc.match_substring_regex(found, self.special))
+        plain = plain.to_numpy(zero_copy_only=False)
+        if self.line is None:
+            plain[:] = False
+        rows, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        words, values, lengths = found.take(pa.array(rows)).to_pylist(), [], []
+        for at in range(0, len(rows), _JOINED):
+            some = words[at : at + _JOINED]
+            (ids,) = self._ids(["\n".join(some)])
+            inner = np.flatnonzero(ids == self.line)
+            if len(inner) == len(some) - 1:
+                values.append(ids[ids != self.line])
+                lengths.append(np.diff(np.concatenate([[-1], inner, [len(ids)]])) - 1)
             else:
-                out += [lead, line] if k else [lead + line]
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces into the cache, or fetch them from its last generation."""
-        known, atoms = self.pieces, self.atoms
-        old_known, old_atoms = self.old
-        cut = {p: self._atoms(p) for p in pieces if p not in old_known}
-        new = []
-        for a in dict.fromkeys(a for c in cut.values() for a in c):
-            if a in old_atoms:
-                atoms[a] = old_atoms[a]
-            elif a not in atoms:
-                new.append(a)
-        for atom, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            atoms[atom] = np.array(got.ids, self.dtype).tobytes()
-        for piece in pieces:
-            known[piece] = b"".join([atoms[a] for a in cut[piece]]) if piece in cut else old_known[piece]
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of the text and the end id."""
-        if not text:
-            return self.end
-        if _UNSAFE.search(text) or any(s in text for s in self.special):
-            return self._whole(text) + self.end
-        first, *rest = text.split(" ")
-        if len(self.pieces) + len(self.atoms) > _CACHE_ENTRIES:
-            self.old, self.pieces, self.atoms = (self.pieces, self.atoms), {}, {}
-        known = self.pieces
-        missing = [p for p in dict.fromkeys(rest) if p not in known]
-        if missing:
-            self._learn(missing)
-        return (self._whole(first) if first else b"") + b"".join([known[p] for p in rest]) + self.end
-
-
-def _encoder(tokenizer_path: str, end_id: int) -> Encoder:
-    """The worker's encoder: worker processes are reused, and with them the loaded vocabulary and its cache."""
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("_encoders_of_this_worker", {})
-    return held.get((tokenizer_path, end_id)) or held.setdefault((tokenizer_path, end_id), Encoder(tokenizer_path, end_id))
+                parts = self._ids(some)
+                values += parts
+                lengths.append([len(x) for x in parts])
+        parts = self._ids(found.take(pa.array(odd)).to_pylist())
+        lengths = np.concatenate([*lengths, [len(x) for x in parts]]).astype(np.int64)
+        offsets, back = np.concatenate([[0], np.cumsum(lengths)]), np.empty(len(found), np.int64)
+        back[np.concatenate([rows, odd])] = np.arange(len(found))
+        values, lengths = segments.gather(back, offsets, np.concatenate([*values, *parts, np.empty(0, self.dtype)]))
+        return np.concatenate([[0], np.cumsum(lengths)]), values
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, each with the end id, one after another, and how many each has."""
+        run, at = segments.flat(texts)
+        space = (run == 32) | (run == 10)
+        # the last white space of a run, where a visible character follows in the same text
+        last = np.zeros(len(run), bool)
+        last[:-1] = space[:-1] & ~space[1:]
+        inner = at[1:-1]
+        last[inner[(inner > 0) & (inner < len(run))] - 1] = False
+        cuts = last.copy()
+        cuts[1:] |= last[:-1] & (run[:-1] == 10)
+        cuts[1:] |= (space[1:] & ~space[:-1]) | (_MARK[run[1:]] & _LETTER[run[:-1]])
+        whole = pc.match_substring_regex(texts, self.whole).fill_null(False).to_numpy(zero_copy_only=False)
+        for row in np.flatnonzero(whole):
+            cuts[at[row] : at[row + 1]] = False
+        sizes = np.diff(at)
+        cuts[at[:-1][sizes > 0]] = True
+        starts = np.flatnonzero(cuts)
+        index, offsets, values = self.memo.of(segments.segments(run, starts))
+        ids, lengths = segments.gather(index, offsets, values)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, at)]
+        n = np.diff(ends)
+        out = np.full(len(ids) + len(n), self.end, self.dtype)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+        return out, n + 1
 
 
 def _open(folder: str, name: str, mode: str):
@@ -139,28 +149,31 @@ def _rename(folder: str, old: str, new: str) -> None:
     system.move(f"{path}/{old}", f"{path}/{new}")
 
 
-def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
+def _mapped(folder: str, name: str, dtype: str, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Entries first to last of a file: memory-mapped where it is local, else only that range is fetched."""
     url = urlparse(folder)
     if url.scheme in ("", "file"):
         path = f"{url.path}/{name}"
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        return np.memmap(path, dtype, "r")[first:last] if os.path.getsize(path) else np.empty(0, dtype)
+    width = np.dtype(dtype).itemsize
     with _open(folder, name, "rb") as f:
-        return np.frombuffer(f.read(), dtype)
+        last = f.size() // width if last is None else last
+        f.seek(first * width)
+        return np.frombuffer(f.read((last - first) * width), dtype)
 
 
 def _writer(tokenizer_path: str, end_id: int, folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = _encoder(tokenizer_path, end_id), TaskContext.get()
+        encoder, context = Encoder(tokenizer_path, end_id), TaskContext.get()
         part, at, row, offsets = context.partitionId(), 0, 0, [0]
         own = f"part-{part:06d}-{context.taskAttemptId()}"
-        width = encoder.dtype.itemsize
         with _open(folder, f"{own}.tmp", "wb") as f:
             for batch in batches:
-                lengths = []
-                for text in batch.column("text"):
-                    ids = encoder.encode(text.as_py())
-                    f.write(ids)
-                    lengths.append(len(ids) // width)
+                texts, lengths = batch.column("text"), []
+                for first, last in segments.slices(texts):
+                    ids, n = encoder.encode(texts.slice(first, last - first))
+                    f.write(ids.tobytes())
+                    lengths += n.tolist()
                 offsets += (at + np.cumsum(lengths)).tolist()
                 at = offsets[-1]
                 n = len(lengths)
@@ -195,10 +208,12 @@ def _reader(folder: str, width: int):
         for pdf in frames:
             out = []
             for (file, base), rows in pdf.groupby(["file", "base"], sort=False):
-                ids, offsets = _mapped(folder, f"{file}.ids", kind), _mapped(folder, f"{file}.off", "<i8")
-                rows = rows.assign(start=int(base) + offsets[rows["row"].to_numpy()], n_tokens=offsets[rows["row"].to_numpy() + 1] - offsets[rows["row"].to_numpy()])
-                rows["ids_crc32"] = [zlib.crc32(ids[offsets[r] : offsets[r + 1]].astype("<u4").tobytes()) for r in rows["row"]]
-                out.append(rows[["doc_id", "start", "n_tokens", "ids_crc32"]])
+                row, low = rows["row"].to_numpy(), int(rows["row"].min())
+                offsets = _mapped(folder, f"{file}.off", "<i8", low, int(row.max()) + 2)
+                start, end = offsets[row - low], offsets[row - low + 1]
+                ids = _mapped(folder, f"{file}.ids", kind, int(offsets[0]), int(offsets[-1]))
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((start - offsets[0]).tolist(), (end - offsets[0]).tolist(), strict=True)]
+                out.append(rows[["doc_id"]].assign(start=int(base) + start, n_tokens=end - start, ids_crc32=crc))
             yield from out
 
     return read
