@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from siftlake.llm import langid, lattice_lm, mixing, order_minhash, pieces, sharding, surrogates, token_files
+from siftlake.llm import langid, mixing, order_minhash, pieces, sharding, surrogates, token_files
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -151,39 +151,6 @@ def test_language_id(spark, odd):
     assert langid.predict(odd, langid.train(odd.limit(0)), ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_lattice_is_the_sum_of_all_segmentations():
-    import math
-
-    weights = {p: math.log(w) for p, w in {"a": 0.1, "b": 0.1, "ab": 0.2, "ba": 0.05, "aba": 0.1}.items()}
-    lattice = lattice_lm.Lattice(weights, math.log(0.2), math.log(0.001))
-
-    def total(word):
-        return 1.0 if not word else sum(math.exp(weights[word[:k]]) * total(word[k:]) for k in range(1, len(word) + 1) if word[:k] in weights)
-
-    for word in ["a", "abab", "abaab", "bbabaab"]:
-        assert lattice.score(word) == pytest.approx(math.log(total(word) * 0.2))
-    into: dict = {}
-    lattice.expect("abab", 1.0, into)
-    assert sum(n * len(k[1]) for k, n in into.items()) == pytest.approx(4)
-
-
-def test_document_scores(spark, odd):
-    import math
-
-    from siftlake.llm.common import doc_crc
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r.doc_id: r for r in lattice_lm.score_documents(docs, doc_crc() % 10 == 0, MODEL, label="lang", hot=500).collect()}
-    texts = {r.doc_id: r.text.encode().lower().split() + [b""] for r in docs.collect()}
-    c = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in t)
-    n, v = sum(c.values()), len(c)
-    for i, t in texts.items():
-        assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert -1e7 < got[i].score < 0
-    assert lattice_lm.score_documents(odd, doc_crc() % 10 == 0, MODEL).count() == odd.count()
-
-
 def test_token_files(spark, odd):
     import tempfile
 
