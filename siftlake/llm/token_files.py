@@ -10,8 +10,8 @@ Texts are cut where the tokenizer's own pattern always cuts, whatever comes befo
 before white space, and after it too except that a last space stays with the word it leads;
 and between an ASCII letter and a mark other than the apostrophe.
 Distinct segments are encoded once per task, many at a time, joined by line ends, which are
-tokens of their own there; so the ids of the segments, one after another, are the ids of the
-whole text. Texts with other white space than spaces and line ends, or with the string of a
+tokens of their own there, or, where the pattern takes them whole, by the model alone; so the
+ids of the segments, one after another, are the ids of the whole text. Texts with other white space than spaces and line ends, or with the string of a
 special token, are encoded whole.
 
 Defined results: null text is an empty text (only the end id); null doc_id sorts first;
@@ -21,6 +21,8 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 import zlib
@@ -44,10 +46,19 @@ PLAIN = f"^ ?[^ \\n{OTHER_SPACE}]+$"
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
-#: Segments joined for one call.
+#: A segment that the pattern takes whole: letters of the Latin and Cyrillic blocks, or digits.
+ONE_CLASS = r"^ ?(?:[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}]+|[0-9]+)$"
+#: Segments of one call.
 _JOINED = 2000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable ones as they are, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = itertools.count(256)
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
 class Encoder:
     """Encodes columns of texts to little-endian ids."""
 
@@ -58,44 +69,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = end_id
-        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.special = special
-        self.whole = f"[{OTHER_SPACE}]" + f"|{special}" * bool(special)
-        lines = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        #: The id that a line end alone becomes; without one there is nothing to join by.
-        self.line = lines[0] if len(lines) == 1 else None
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = f"[{OTHER_SPACE}]" + f"|{self.special}" * bool(self.special)
+        state = json.loads(self.tokenizer.to_str())
+        split, line = state["pre_tokenizer"] or {}, self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: Whether texts may be cut: tokenizers with another pattern encode every text whole.
+        self.cuts = state["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and len(line) == 1
+        self.line = line[0] if line else None
+        self.words, self.letters = Tokenizer(self.tokenizer.model), str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.memo = segments.Memo(self._code)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments that the pattern takes whole, and how many each has: the model alone splits them."""
+        letters = "\n".join(words).encode("utf-8").decode("latin-1").translate(self.letters).split(self.letters[10])
+        got = self.words.encode(letters, is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, self.dtype), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
+
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments that may stand between line ends."""
+        (ids,) = self._ids(["\n".join(words)])
+        inner = np.flatnonzero(ids == self.line)
+        if len(inner) == len(words) - 1:
+            return ids[ids != self.line], np.diff(np.concatenate([[-1], inner, [len(ids)]])) - 1
+        return self._whole(words)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = self._ids(texts)
+        return np.concatenate([*parts, np.empty(0, self.dtype)]), np.array([len(x) for x in parts], np.int64)
+
     def _code(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct segments."""
         found = found.cast(pa.string())
-        plain = pc.match_substring_regex(found, PLAIN)
+        single, plain = (pc.match_substring_regex(found, p).to_numpy(zero_copy_only=False) & self.cuts for p in (ONE_CLASS, PLAIN))
         if self.special:
-            plain = pc.and_not(plain, pc.match_substring_regex(found, self.special))
-        plain = plain.to_numpy(zero_copy_only=False)
-        if self.line is None:
-            plain[:] = False
-        rows, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
-        words, values, lengths = found.take(pa.array(rows)).to_pylist(), [], []
-        for at in range(0, len(rows), _JOINED):
-            some = words[at : at + _JOINED]
-            (ids,) = self._ids(["\n".join(some)])
-            inner = np.flatnonzero(ids == self.line)
-            if len(inner) == len(some) - 1:
-                values.append(ids[ids != self.line])
-                lengths.append(np.diff(np.concatenate([[-1], inner, [len(ids)]])) - 1)
-            else:
-                parts = self._ids(some)
-                values += parts
-                lengths.append([len(x) for x in parts])
-        parts = self._ids(found.take(pa.array(odd)).to_pylist())
-        lengths = np.concatenate([*lengths, [len(x) for x in parts]]).astype(np.int64)
-        offsets, back = np.concatenate([[0], np.cumsum(lengths)]), np.empty(len(found), np.int64)
-        back[np.concatenate([rows, odd])] = np.arange(len(found))
-        values, lengths = segments.gather(back, offsets, np.concatenate([*values, *parts, np.empty(0, self.dtype)]))
+            plain &= ~pc.match_substring_regex(found, self.special).to_numpy(zero_copy_only=False)
+        values, lengths, order = [np.empty(0, self.dtype)], [np.empty(0, np.int64)], []
+        for rows, code in ((np.flatnonzero(single), self._single), (np.flatnonzero(plain & ~single), self._lines), (np.flatnonzero(~plain & ~single), self._whole)):
+            words = found.take(pa.array(rows)).to_pylist()
+            for at in range(0, len(rows), _JOINED):
+                ids, n = code(words[at : at + _JOINED])
+                values.append(ids)
+                lengths.append(n)
+            order.append(rows)
+        offsets, back = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.empty(len(found), np.int64)
+        back[np.concatenate(order)] = np.arange(len(found))
+        values, lengths = segments.gather(back, offsets, np.concatenate(values))
         return np.concatenate([[0], np.cumsum(lengths)]), values
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +131,7 @@ class Encoder:
         cuts = last.copy()
         cuts[1:] |= last[:-1] & (run[:-1] == 10)
         cuts[1:] |= (space[1:] & ~space[:-1]) | (_MARK[run[1:]] & _LETTER[run[:-1]])
-        whole = pc.match_substring_regex(texts, self.whole).fill_null(False).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.whole).fill_null(False).to_numpy(zero_copy_only=False) | (not self.cuts)
         for row in np.flatnonzero(whole):
             cuts[at[row] : at[row + 1]] = False
         sizes = np.diff(at)

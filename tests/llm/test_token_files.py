@@ -9,7 +9,7 @@ from siftlake.llm import segments, token_files
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SPACES = [chr(c) for c in [9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
-ATOMS = ["a", "Ze", "é", "'s", "'ll", "’", "1", "23", ".", ",", "!!", "|", "_", "日", "<|endoftext|>", "xxxxx", "\U0001f600", "İ"]
+ATOMS = ["a", "Ze", "é", "'s", "'ll", "’", "1", "23", "Ж", "я", "ø", ".", ",", "!!", "|", "_", "日", "<|endoftext|>", "xxxxx", "\U0001f600", "İ"]
 
 
 def test_ids_are_the_librarys_on_random_texts():
