@@ -18,9 +18,11 @@ Blocks: rows are dealt by a hash of the id into blocks of about ``block``; queri
 into blocks likewise and every query block meets every data block.
 
 Defined results: null ids and vectors that are null, empty, zero or hold null or non-finite
-components take no part; a row with the query's own id is never its candidate; repeated rows
-of other ids are candidates each; ties go to the smaller id; vectors of another length than
-the most common one take no part.
+components take no part; a row with the query's own id is never its candidate; rows are
+numbered, and repeated rows of other ids are candidates each; equal query rows are one query,
+and of several vectors of a query id the best score of a candidate counts; ties go to the
+smaller id; vectors of another length than the most common one take no part; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def _search(mean, projection, m2: float, radius: int, k: int):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            x, ids = vectors.matrix(rows["vec"]), rows["id"].to_numpy()
+            x, ids, numbers = vectors.matrix(rows["vec"]), rows["id"].to_numpy(), rows["row"].to_numpy()
             q, qids = vectors.matrix(queries["vec"]), queries["id"].to_numpy()
             index = SubstringIndex(encode(raise_to(x, m2), mean, projection))
             codes = encode(np.hstack([q, np.zeros((len(q), 1))]), mean, projection)
@@ -117,10 +119,10 @@ def _search(mean, projection, m2: float, radius: int, k: int):
                     near = others[np.argsort(distances(index.codes[others], codes[i]), kind="stable")[: 4 * k]]
                 scores = x[near] @ q[i]
                 at = vectors.best(ids[near], scores, k)
-                out.append((np.full(len(at), qids[i]), ids[near][at], scores[at]))
+                out.append((np.full(len(at), qids[i]), ids[near][at], numbers[near][at], scores[at]))
         if not out:
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        return pd.DataFrame({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("query_id", "vec_id", "score"))})
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "row": np.empty(0, np.int64), "score": np.empty(0)})
+        return pd.DataFrame({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("query_id", "vec_id", "row", "score"))})
 
     return run
 
@@ -149,7 +151,8 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = common.cut(rows.filter(F.size("vec") == lengths["n"]), "ann-rows")
+    # written, the numbers stay as they are
+    rows = common.cut(rows.filter(F.size("vec") == lengths["n"]).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
     norm2 = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     stats = rows.agg(F.count("*").alias("n"), F.max(norm2).alias("m2"), F.count_if(is_query).alias("q")).first()
     n, m2 = stats["n"], float(stats["m2"])
@@ -166,9 +169,11 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     blocks, sheets = max(1, -(-n // block)), max(1, -(-stats["q"] // block))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)))
     data = dealt.withColumn("sheet", F.explode(F.sequence(F.lit(0), F.lit(sheets - 1))))
-    asked = rows.filter(is_query).withColumn("sheet", F.pmod(F.xxhash64("id", F.lit("sheet")), F.lit(sheets)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = data.groupBy("block", "sheet").cogroup(asked.groupBy("block", "sheet")).applyInPandas(_search(mean, projection, m2, radius, k), "query_id long, vec_id long, score double")
-    return vectors.merge(found.distinct(), k, "double")
+    asked = rows.filter(is_query).select("id", "vec").distinct().withColumn("sheet", F.pmod(F.xxhash64("id", F.lit("sheet")), F.lit(sheets)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found = data.groupBy("block", "sheet").cogroup(asked.groupBy("block", "sheet")).applyInPandas(_search(mean, projection, m2, radius, k), "query_id long, vec_id long, row long, score double")
+    # a candidate is found once for each vector of the query
+    best = found.groupBy("query_id", "row").agg(F.first("vec_id").alias("vec_id"), F.max("score").alias("score"))
+    return vectors.merge(best, k, "double")
 
 
 def _by_score():
