@@ -14,13 +14,14 @@ integers; the bounds get a small slack for rounding. The visits of an annulus ar
 hash of the query into sheets of ``sheet`` expected queries, each with a copy of the annulus, so
 that a group is bounded on both sides.
 
-Pivots are a sample drawn by a hash of the id (``pivots`` expected). The table of annuli
-(three numbers each) goes to every task; with ``annulus`` rows each it has rows / annulus
-entries.
+Pivots are a sample drawn by a hash of the id (``pivots`` expected), and a pivot has 64 annuli
+at most, so the table of annuli (four numbers each) that goes to every task is bounded. An
+annulus of more than ``annulus`` rows is split by a hash of the id into pieces that its queries
+all visit.
 
 Defined results: null ids, null or empty vectors and vectors with null or non-finite
-components take no part, nor do vectors whose whole numbers don't keep inner products within
-63 bits; a row with the query's own id is never its candidate; repeated rows of other ids
+components take no part; a finite vector whose whole numbers could leave 63 bits in an inner
+product is an error; a row with the query's own id is never its candidate; repeated rows of other ids
 are candidates each; fewer than k candidates are all returned; vectors of another length
 than the most common one take no part.
 """
@@ -104,7 +105,8 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
     whole = F.transform("vec", lambda x: F.floor(F.lit(float(scale)) * x))
     rows = vectors.usable(table, id_col, vec_col)
     size = F.aggregate("vec", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    rows = rows.filter(size * scale < F.sqrt(F.lit(2.0**62) / F.size("vec")) - 1).select("id", whole.alias("v"))
+    fits = size * scale < F.sqrt(F.lit(2.0**62) / F.size("vec")) - 1
+    rows = rows.withColumn("vec", F.when(fits, F.col("vec")).otherwise(F.raise_error(F.lit("inner products of a vector don't fit 63 bits; take a smaller scale")))).select("id", whole.alias("v"))
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.filter(F.size("v") == (lengths["n"] if lengths else 0))
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -128,14 +130,13 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
     slots = spark.createDataFrame(edges or [(0, 0, -1.0, float("inf"))], "pivot int, ring int, lo double, hi double")
     ring = keyed.join(F.broadcast(slots), "pivot").filter((F.col("dist") > F.col("lo")) & (F.col("dist") <= F.col("hi"))).drop("lo", "hi")
     sizes = ring.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-    pieces = sizes.withColumn("pieces", F.ceil(F.col("n") / F.lit(2 * annulus)).cast("int"))
-    spread = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    annuli = [(i, r["pivot"], r["ring"], r["piece"], r["pieces"], r["lo"], r["hi"]) for i, r in enumerate(spread.orderBy("pivot", "ring", "piece").collect())]
+    # at most 64 rings a pivot
+    annuli = [(i, r["pivot"], r["ring"], -(-r["n"] // (2 * annulus)), r["lo"], r["hi"]) for i, r in enumerate(sizes.orderBy("pivot", "ring").collect())]
     if not annuli:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    names = spark.createDataFrame([a[:5] for a in annuli], "annulus int, pivot int, ring int, piece int, pieces int")
-    placed = ring.join(F.broadcast(names), ["pivot", "ring"]).filter(F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces")) == F.col("piece")).select("annulus", "id", "v", "dist")
-    known = np.array([(a[0], a[1], a[5], a[6]) for a in annuli])
+    names = spark.createDataFrame([a[:4] for a in annuli], "annulus int, pivot int, ring int, pieces long")
+    placed = ring.join(F.broadcast(names), ["pivot", "ring"]).withColumn("piece", F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces"))).select("annulus", "piece", "id", "v", "dist")
+    known = np.array([(a[0], a[1], a[4], a[5]) for a in annuli])
 
     queries = keyed.filter(is_query).select(F.col("id").alias("query_id"), "v").distinct()
     visits = "query_id long, q array<long>, kth double, to_pivot double, annulus int"
@@ -143,10 +144,11 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
 
     def visited(plan: DataFrame) -> DataFrame:
         plan = common.cut(plan, "pivot-visits")
-        sheets = plan.groupBy("annulus").agg(F.ceil(F.count("*") / F.lit(sheet)).alias("sheets"))
-        asked = plan.join(sheets, "annulus").withColumn("sheet", F.pmod(F.xxhash64("query_id", F.lit("sheet")), F.col("sheets"))).drop("sheets")
-        copies = placed.join(sheets, "annulus").withColumn("sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sheets") - 1))).drop("sheets")
-        return copies.groupBy("annulus", "sheet").cogroup(asked.groupBy("annulus", "sheet")).applyInPandas(_visit(m2, k), found)
+        sheets = plan.groupBy("annulus").agg(F.ceil(F.count("*") / F.lit(sheet)).alias("sheets")).join(F.broadcast(names.select("annulus", "pieces")), "annulus")
+        asked = plan.join(sheets, "annulus").withColumn("sheet", F.pmod(F.xxhash64("query_id", F.lit("sheet")), F.col("sheets")))
+        asked = asked.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("sheets", "pieces")
+        copies = placed.join(sheets, "annulus").withColumn("sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sheets") - 1))).drop("sheets", "pieces")
+        return copies.groupBy("annulus", "piece", "sheet").cogroup(asked.groupBy("annulus", "piece", "sheet")).applyInPandas(_visit(m2, k), found)
 
     start = common.cut(visited(queries.mapInPandas(_query_bounds(centre, known, m2, True), visits)), "pivot-first")
     kth = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("low"))

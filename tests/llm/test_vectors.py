@@ -45,8 +45,9 @@ def test_hamming_search_recall(spark):
         s[q] = -np.inf
         own = got[got.query_id == q].sort_values("rank")
         assert len(own) == 10 and np.allclose(own.score, s[own.vec_id])
-        hit, n = hit + len(set(np.argsort(-s)[:10]) & set(own.vec_id)), n + 10
-    assert hit / n >= 0.85  # ties may swap equal vectors
+        # of equal scores at the edge any will do
+        hit, n = hit + (own.score >= np.sort(s)[-10] - 1e-9).sum(), n + 10
+    assert hit / n >= 0.9
     assert 1004 not in set(got.vec_id)
     assert hamming_search.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
@@ -67,3 +68,32 @@ def test_pivot_groups_are_bounded_on_both_sides(spark, monkeypatch):
 
     monkeypatch.setattr(pivot_search, "_visit", watched)
     assert sorted(pivot_search.top_k(df, F.col("id") % 4 == 0, k=5, pivots=8, annulus=40, sheet=20).collect()) == whole
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    df, _ = table(spark, 120)
+    again = df.filter("vec_id in (33, 40)")
+    docs = df.union(again).union(again).union(again).withColumn("row", F.lit("x")).withColumn("score", F.lit(1)).withColumn("pivot", F.lit(2))
+    for got, k in ((hamming_search.search(docs, F.col("id") % 20 == 0, k=200, bits=32), 200), (pivot_search.top_k(docs, F.col("id") % 20 == 0, k=200, pivots=4, annulus=30), 200)):
+        own = got.filter("query_id = 60").toPandas()
+        assert sorted(own["rank"]) == list(range(1, len(own) + 1))
+        assert (own.vec_id == 33).sum() == (own.vec_id == 40).sum() == 4 and (own.vec_id == 41).sum() == 1
+        assert (own.vec_id == 60).sum() == 0
+        # the query that comes four times is one query, and none of its rows is its own candidate
+        mine = got.filter("query_id = 40").toPandas()
+        assert len(mine) == len(own) - 3 and (mine.vec_id == 40).sum() == 0 and (mine.vec_id == 33).sum() == 4
+
+
+def test_large_components_are_an_error(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="63 bits"):
+        pivot_search.top_k(docs, F.col("id") % 100 == 0).collect()
+
+
+def test_annuli_split_into_pieces(spark):
+    df, _ = table(spark)
+    docs = df.filter("vec_id between 10 and 39 or vec_id = 100")  # 30 equal vectors, one pivot, one distance
+    got = pivot_search.top_k(docs, F.col("id") % 100 == 0, k=30, pivots=1, annulus=4).toPandas()
+    assert sorted(got.vec_id) == list(range(10, 40)) and got.score.nunique() == 1
