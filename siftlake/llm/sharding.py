@@ -5,11 +5,15 @@ text's, so equal texts lie together. A size-weighted sample of keys gives quanti
 splitters; records are range-partitioned by them, ranges that turn out overfull are
 sampled and split again, and prefix sums over the range totals place each record.
 
-A group of equal texts keeps to one shard. Groups of over 1/64 of a shard are placed whole,
+A group of equal texts keeps to one shard. Groups of over 1/64 of a shard, by bytes or records, are placed whole,
 largest first, in the emptiest shard; the ranges of the other groups fill what room is left
 and are cut at group edges. Only a group that no shard has room for is cut inside, by its
 members' keys, over as many shards as it needs.
 
+A range bounds what one task sorts, records without their texts. Its load is the mean of its
+share of all bytes and its share of all records, so that neither long nor very many short
+records gather in one; large groups, placed or cut, are split into ranges by their members' keys.
+
 Defined results: null text has size 1, crc 0 and forms one group; null and repeated doc_ids
 are records like others; equal records are interchangeable; an empty table gives no rows;
 other columns are ignored.
@@ -50,10 +54,10 @@ def _range_ids(splitters: np.ndarray):
     return assign
 
 
-def _sample(rows: DataFrame, rate: float, salt: int) -> np.ndarray:
-    """Keys drawn with a chance of size * rate, decided by a hash of the record, so runs agree."""
+def _sample(rows: DataFrame, wanted: float, salt: int) -> np.ndarray:
+    """Keys drawn with a chance of load * wanted, decided by a hash of the record, so runs agree."""
     draw = (F.xxhash64("g", "m", F.lit(salt)).bitwiseAND((1 << 53) - 1)) / float(1 << 53)
-    got = rows.filter(draw < F.col("size") * rate).select("g", F.when(F.col("big"), F.col("m")).otherwise(F.lit(LOW)).alias("m")).distinct()
+    got = rows.filter(draw < F.col("load") * wanted).select("g", F.when(F.col("big"), F.col("m")).otherwise(F.lit(LOW)).alias("m")).distinct()
     return np.array([tuple(r) for r in got.toLocalIterator()], np.int64).reshape(-1, 2)
 
 
@@ -76,12 +80,13 @@ def _place(heavy: list[tuple[int, int]], shards: int, total: int) -> tuple[dict[
     return placed, [share - load for load, _ in sorted(loads, key=lambda x: x[1])], cut
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, range_bytes: int = 64 << 20, sample_per_range: int = 16) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, range_rows: int = 250_000, most_ranges: int = 16_384, sample_per_range: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of docs(doc_id, text).
 
-    Goes to the driver: the splitter sample (about sample_per_range keys for each
-    range_bytes of text, 64 ranges at least) and groups of over 1/64 of a shard (64 * shards
-    at most).
+    There are as many ranges as hold ``range_rows`` records each, 64 at least and
+    ``most_ranges`` at most. Goes to the driver: the splitter sample (about sample_per_range
+    keys a range, and as many for overfull ones) and groups of over 1/64 of a shard by bytes or records
+    (128 * shards at most).
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -92,21 +97,22 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, range_bytes: int = 64 << 2
         F.xxhash64("doc_id", F.col("text").isNull()).alias("m"),
     )
     rows = common.cut(rows, "shard-keys")
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    heavy = [tuple(r) for r in groups.filter(F.col("bytes") > total / shards / 64).collect()]
+    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    whole = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    total, n = whole["bytes"] or 0, whole["n"]
+    heavy = [(r["g"], r["bytes"]) for r in groups.filter((F.col("bytes") > total / shards / 64) | (F.col("n") > n / shards / 64)).collect()]
     placed, room, cut = _place(heavy, shards, total)
     known = spark.createDataFrame([(g, s, False) for g, s in placed.items()] + [(g, None, True) for g in cut], "g long, fixed int, big boolean")
-    # placed groups may still be cut into ranges, as ranges only bound what one task sorts
-    rows = rows.join(F.broadcast(known), "g", "left").withColumn("big", F.col("big").isNotNull())
+    rows = rows.join(F.broadcast(known), "g", "left").withColumn("cut", F.coalesce("big", F.lit(False))).withColumn("big", F.col("big").isNotNull())
+    rows = rows.withColumn("load", F.col("size") / F.lit(2.0 * max(1, total)) + F.lit(0.5 / max(1, n)))
 
-    ranges = max(64, -(-total // range_bytes))
-    splitters, target = _quantiles(_sample(rows, sample_per_range * ranges / max(1, total), 0), ranges), max(1.0, total / ranges)
+    ranges = min(most_ranges, max(64, -(-n // range_rows)))
+    splitters, target = _quantiles(_sample(rows, float(sample_per_range * ranges), 0), ranges), 1.0 / ranges
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", range long"
     for salt in range(1, 4):
         dealt = rows.mapInArrow(_range_ids(splitters), schema)
-        full = dealt.groupBy("range").agg(F.sum("size").alias("bytes"), F.max("size").alias("most"))
-        over = full.filter((F.col("bytes") > 2 * target) & (F.col("most") < F.col("bytes") / 2)).select("range")
+        full = dealt.groupBy("range").agg(F.sum("load").alias("loads"), F.max("load").alias("most"))
+        over = full.filter((F.col("loads") > 2 * target) & (F.col("most") < F.col("loads") / 2)).select("range")
         more = _sample(dealt.join(over, "range", "left_semi"), sample_per_range / target / 4, salt)
         if not len(more):
             break
@@ -119,7 +125,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, range_bytes: int = 64 << 2
     order = Window.partitionBy("range").orderBy("g", "m", "doc_id", "size", "text_crc32")
     at = F.col("base") + F.sum(free).over(order.rowsBetween(Window.unboundedPreceding, 0)) - free
     placed_at = dealt.join(before, "range").withColumn("at", at)
-    placed_at = placed_at.withColumn("at", F.when(F.col("big"), F.col("at")).otherwise(F.min("at").over(Window.partitionBy("range", "g"))))
+    placed_at = placed_at.withColumn("at", F.when(F.col("cut"), F.col("at")).otherwise(F.min("at").over(Window.partitionBy("range", "g"))))
     edges = np.cumsum(room)[:-1].tolist()
     shard = F.coalesce("fixed", sum((F.when(F.col("at") >= e, 1).otherwise(0) for e in edges), F.lit(0)))
     placed_at = common.cut(placed_at.select("doc_id", "size", "text_crc32", "g", "m", "range", shard.cast("int").alias("shard")), "shard-places")
