@@ -44,7 +44,7 @@ LN10 = math.log(10)
 END = b""  # no word is empty
 END_MASS, BYTE_MASS, ELSEWHERE = 0.2, 0.02, 0.05
 #: Rows of partial counts that a task gathers before it sends them on.
-_FLUSH = 1_000_000
+_FLUSH = 300_000
 _SPACE, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER[65:91] += 32
@@ -129,7 +129,7 @@ class Lattice:
             ahead[:, j] = top + np.log(np.exp(arcs - top[:, None]).sum(1))
         return ahead[np.arange(n), lengths] + self.end
 
-    def scores(self, words: pa.Array, area: int = 1 << 19) -> np.ndarray:
+    def scores(self, words: pa.Array, area: int = 1 << 17) -> np.ndarray:
         """Log of the marginal probability of each word."""
         n = len(words)
         text = b"\n".join(words.to_pylist()).decode("utf-8", "replace") + "\n" if n else ""

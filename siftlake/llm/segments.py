@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
