@@ -1,31 +1,38 @@
 """Replacing personal data by keyed surrogates, in DataFrame functions only.
 
 Entities are found by patterns: e-mail and IPv4 addresses, phone numbers, payment cards,
-secrets in an assignment (token = "..."), and names after a title (Mr, Frau, Señora, г-н,
-...). Every entity becomes a surrogate of its own type, drawn from a keyed hash:
+secrets (assigned to a name such as token or password, in quotes or, where they hold a digit,
+without; and keys of well-known prefixes), and names after a title (Mr, Frau, Señora, Dr, г-н,
+...), with initials, particles and any number of words. In a text where a name was found, all
+other mentions of its words are replaced too, with or without a title. Every entity becomes a
+surrogate of its own type, drawn from a keyed hash:
 
 * letters stay letters of their case, digits digits, all other characters stay as they are,
   so the format is the entity's own; a hexadecimal secret stays hexadecimal;
 * a card keeps its first digit and whether its check digit is right; an IPv4 address keeps
   four octets of up to three digits, each at most 255; a phone number keeps its country
-  code; an e-mail address keeps the last two labels of its domain;
-* a name gets syllables of its script (Latin or Cyrillic) and the endings of the title's
-  gender, word for word.
-
-The same entity (names: without regard to the title; e-mail: to letter case) gets the same
-surrogate in all documents. Distinct entities get distinct ones: of several entities of a
-type that draw the same surrogate one keeps it and the others draw again, as do those whose
-draw is itself an entity of the documents; the rounds end when none is left. So
+  code; an e-mail address keeps the last two labels of its domain; initials and particles of
+  names stay;
+* a name is replaced word for word, by syllables of its script (Latin or Cyrillic) and an
+  ending of the title's gender, in its letter case.
+
+The same entity (e-mail: without regard to letter case) gets the same surrogate in all
+documents; of names each word is an entity, together with the gender, so that "Mr John Smith"
+and a later "Mr Smith" or "Smith" stay one person and "Mrs Smith" another. A word without a title
+follows the first titled mention in its text. Distinct entities get distinct surrogates: of several
+entities of a type that draw the same surrogate one keeps it and the others draw again, as do
+those whose draw is itself an entity of the documents; the rounds end when none is left. So
 that forms never run out, they grow with every ``GROW`` rounds: names get a syllable more a
 word, e-mails a letter before and secrets one after; IPv4 octets get any length. Phones and
 cards have at least some 10^9 forms a shape and stay as they are.
 
-Texts without an entity are not touched. Only entities, and texts that hold them, are
-shuffled; equal texts are worked on once.
+The documents are written once with the key of those that hold an entity; only entities, and
+texts that hold them, are shuffled, and equal texts are worked on once.
 
 Defined results: a null text stays null, an empty one empty; entities are found in the whole
-text; repeated rows change alike; columns other than text pass through unchanged; an empty
-table gives no rows.
+text; repeated rows change alike; columns other than text pass through unchanged, but for one
+named n_replaced, which is replaced by the number of entities found; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -39,19 +46,26 @@ from . import common
 
 #: Rounds after which what still collides draws from more forms.
 GROW = 4
-# Titles that a name follows, by gender.
-MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н", "г-н", "господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-жа", "г-жа", "госпожа"]
+# Titles that a name follows, by gender, and particles of names.
+MALE = ["Mr", "Herr", "Señor", "Sr", "Don", "Monsieur", "Г-н", "г-н", "господин"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Doña", "Madame", "Mme", "Г-жа", "г-жа", "госпожа"]
+EITHER = ["Dr", "Prof", "Professor", "Doctor", "доктор", "профессор"]
+PARTICLES = ["von", "van", "der", "den", "de", "del", "della", "la", "le", "du", "di", "da", "zu", "zum"]
+#: Names that a secret is assigned to, and prefixes of well-known keys.
+ASSIGNED = r"(?i:(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,9}[=:]\s{0,9})"
+PREFIXED = r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|eyJ)"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+#: A word of a name: two letters at least, or one before an apostrophe; a possessive s isn't part of it.
+WORD = r"\p{Lu}(?:[\p{L}\p{M}]+|(?=['’]\p{L}))(?:['’](?!s(?!\p{L}))\p{L}[\p{L}\p{M}]*)*"
+NAME = rf"(?:(?:{'|'.join(PARTICLES)})\x20)*+(?:\p{{Lu}}\.\x20?)*+{WORD}(?:-{WORD})*"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"'])[A-Za-z0-9_+/=.-]{8,256}(?=[\"'])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "secret": rf"(?:{ASSIGNED}(?:[\"'][^\"'\s]{{6,}}(?=[\"'])|(?=[^\s\"']*\d)[A-Za-z0-9_+/=.~-]{{7,}}[A-Za-z0-9_+/=~-])|(?<![A-Za-z0-9]){PREFIXED}[A-Za-z0-9_.-]{{15,}}[A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "card": r"(?<!\d)(?<!\d[ -])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?!\d|[ -]\d)",
     "phone": r"(?<![\p{L}\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|(?<=[+\d][ .-])\d{2,4}[ .-]|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d|[.-]\d)",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.?)\x20{NAME}(?:\x20{NAME}){{0,2}}",
+    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(sorted(MALE + FEMALE + EITHER, key=len, reverse=True))})\.?)\x20{NAME}(?:\x20{NAME})*+",
 }
 #: Any entity, in order of precedence. Only the card's pattern has groups, so its references hold here too.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -62,8 +76,8 @@ CYRILLIC = ["ба", "вен", "гор", "да", "дел", "ел", "жар", "з
 
 def _hint(text: Column) -> Column:
     """Whether a text holds what every entity needs; plain searches that rule most texts out before the patterns run."""
-    found = text.contains("@") | text.rlike("[0-9]") | text.rlike("[\"'][A-Za-z0-9_+/=.-]{8}")
-    for title in MALE + FEMALE:
+    found = text.contains("@") | text.rlike("[0-9]") | text.rlike(rf"{ASSIGNED}|{PREFIXED}")
+    for title in MALE + FEMALE + EITHER:
         found = found | text.contains(title + " ") | text.contains(title + ".")
     return found
 
@@ -79,12 +93,17 @@ def _kind(entity: Column) -> Column:
 
 
 def _prefix(kind: Column, entity: Column) -> Column:
-    """The part of a match that stays: the assignment of a secret, the title of a name."""
-    return F.when(kind == "secret", F.regexp_extract(entity, r"^(.*?[\"'])", 1)).when(kind == "name", F.regexp_extract(entity, r"^(\S+ )", 1)).otherwise(F.lit(""))
+    """The part of a match that stays: the assignment of a secret or its known prefix, the title of a name."""
+    return F.when(kind == "secret", F.regexp_extract(entity, rf"^({ASSIGNED}[\"']?|{PREFIXED})", 1)).when(kind == "name", F.regexp_extract(entity, r"^(\S+ )", 1)).otherwise(F.lit(""))
+
+
+def _gender(kind: Column, prefix: Column) -> Column:
+    title = F.regexp_replace(prefix, r"[. ]+$", "")
+    return F.when((kind == "name") & title.isin(MALE), "m").when((kind == "name") & title.isin(FEMALE), "f").otherwise("n")
 
 
 def _canonical(kind: Column, value: Column) -> Column:
-    """What makes two mentions the same entity."""
+    """What spellings of an entity have in common."""
     return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card"), F.regexp_replace(value, r"[^0-9+]", "")).otherwise(value)
 
 
@@ -153,21 +172,19 @@ def _extra(draws: Column, grown: int, hexadecimal: Column) -> Column:
     return F.concat(F.lit(""), *letters)
 
 
-def _name(value: Column, draws: Column, female: Column, grown: int) -> Column:
-    """Syllables of the script for every word, closed by the ending of the gender; hyphens stay."""
+def _name(value: Column, draws: Column, gender: Column, grown: int) -> Column:
+    """Syllables of the script, closed by an ending of the gender, in the word's letter case."""
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     pick = lambda table, b: F.element_at(F.array(*[F.lit(x) for x in table]), b % len(table) + 1)
-
-    def word(w, i):
-        syllables = F.transform(F.sequence(F.lit(0), F.lit(2 + grown)), lambda k: F.when(cyrillic, pick(CYRILLIC, _byte(draws, i * 5 + k))).otherwise(pick(LATIN, _byte(draws, i * 5 + k))))
-        end = F.when(cyrillic, F.when(female, F.when(i == 0, "ина").otherwise("ова")).otherwise(F.when(i == 0, "ин").otherwise("ов"))).otherwise(F.when(female, F.when(i == 0, "a").otherwise("ine")).otherwise(F.when(i == 0, "o").otherwise("en")))
-        return F.initcap(F.concat(F.array_join(syllables, ""), end))
-
-    return F.array_join(F.transform(F.split(value, " "), lambda w, i: F.array_join(F.transform(F.split(w, "-"), lambda part, j: word(part, i * 2 + j)), "-")), " ")
+    syllables = F.transform(F.sequence(F.lit(0), F.lit(2 + grown)), lambda k: F.when(cyrillic, pick(CYRILLIC, _byte(draws, k))).otherwise(pick(LATIN, _byte(draws, k))))
+    latin_end = F.when(gender == "f", "ine").when(gender == "m", "en").otherwise("i")
+    end = F.when(~cyrillic, latin_end).when(gender == "f", "ова").when(gender == "m", "ов").otherwise("ко")
+    word = F.initcap(F.concat(F.array_join(syllables, ""), end))
+    return F.when((F.length(value) > 2) & (value == F.upper(value)), F.upper(word)).otherwise(word)
 
 
 def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
-    """entities(kind, value, canon, female) with their surrogate at an attempt.
+    """entities(kind, value, canon, gender) with their surrogate at an attempt.
 
     Columns that later ones use many times are steps of their own, so that each is computed
     once a row.
@@ -191,62 +208,91 @@ def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
         F.when(kind == "email", F.concat(_extra(draws, grown, F.lit(False)), _same_shape(local, draws, F.lit(0), F.lit(False)), F.substr(value, F.length(local) + 1, F.length(value))))
         .when(kind == "ip", _ip(value, draws, grown))
         .when(F.col("digits").isNotNull(), _laid_out(value, F.col("drawn")))
-        .when(kind == "name", _name(value, draws, F.col("female"), grown))
+        .when(kind == "name", _name(value, draws, F.col("gender"), grown))
         .otherwise(F.concat(_same_shape(value, draws, F.lit(0), F.col("hexadecimal")), _extra(draws, grown, F.col("hexadecimal"))))
     )
     return rows.select(*entities.columns, surrogate.alias("surrogate"))
 
 
 def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
-    """kind, value, surrogate for entities(kind, value, female): distinct, and none an entity itself.
+    """kind, value, gender, surrogate for entities(kind, value, gender): distinct, and none an entity itself.
 
     Mentions of an entity that differ in spelling (letter case, grouping) draw from the same
     hash, so each keeps its own format; they count as one for distinctness. Rounds go on
     until nothing collides.
     """
-    canon = lambda c: _canonical(F.col("kind"), F.col(c))
-    ids = common.cut(entities.groupBy("kind", "value").agg(F.max("female").alias("female")).withColumn("canon", canon("value")), "pii-entities")
-    taken = ids.select("kind", F.col("canon").alias("drawn")).distinct()
-    pending, done = ids, None
+    kind = F.col("kind")
+    ids = entities.distinct().withColumn("plain", _canonical(kind, F.col("value")))
+    ids = common.cut(ids.withColumn("canon", F.concat_ws(":", "gender", "plain")), "pii-entities")
+    taken = ids.select("kind", F.col("plain").alias("drawn")).distinct()
+    pending, done = ids.drop("plain"), None
     for attempt in itertools.count():
-        drawn = common.cut(with_surrogate(pending, key, attempt).withColumn("drawn", canon("surrogate")), "pii-drawn")
+        drawn = common.cut(with_surrogate(pending, key, attempt).withColumn("drawn", _canonical(kind, F.col("surrogate"))), "pii-drawn")
         owner = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("owner"))
         fits = owner.join(taken, ["kind", "drawn"], "left_anti")
         settled = drawn.join(fits, ["kind", "drawn"]).filter(F.col("owner") == F.col("canon"))
-        settled = common.cut(settled.select("kind", "value", "canon", "surrogate", "drawn"), "pii-settled")
-        done = settled.drop("drawn") if done is None else done.unionByName(settled.drop("drawn"))
+        settled = common.cut(settled.select("kind", "value", "gender", "canon", "surrogate", "drawn"), "pii-settled")
+        own = settled.select("kind", "value", "gender", "surrogate")
+        done = own if done is None else done.unionByName(own)
         last = pending
         pending = pending.join(settled.select("kind", "canon").distinct(), ["kind", "canon"], "left_anti")
         pending = common.cut(pending.select(*last.columns), "pii-pending")
         if pending.isEmpty():
-            return done.select("kind", "value", "surrogate")
+            return done
         taken = taken.union(settled.select("kind", "drawn").distinct())
 
 
+def _woven(text: Column, pattern: str, new: Column) -> Column:
+    """The text with its matches of a pattern replaced by the strings of an array in turn."""
+    return F.array_join(F.transform(F.split(text, pattern, -1), lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.lit("")))), "")
+
+
+def _bare_names(text: Column, names: Column) -> Column:
+    """A stretch of text with the words that ``names`` holds replaced."""
+    alone = rf"(?<!\p{{L}}){WORD}(?!\p{{L}})"
+    words = F.transform(F.regexp_extract_all(text, F.lit(alone), F.lit(0)), lambda w: F.coalesce(F.try_element_at(names, w), w))
+    return F.when(text.rlike(alone), _woven(text, alone, words)).otherwise(text)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """docs(text, ...) with surrogates in the texts, and n_replaced."""
-    text, clash = F.col("text"), [c for c in ("_node", "_new", "_n") if c in docs.columns]
-    if clash:
-        raise ValueError(f"columns {clash} are taken")
-    pattern = ANY
-    with_node = docs.withColumn("_node", F.when(_hint(text) & text.rlike(pattern), common.text_key()))
-    held = with_node.filter(F.col("_node").isNotNull())
-    texts = held.groupBy("_node").agg(F.first("text").alias("text"))
-    found = texts.select("_node", "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"))
-    found = common.cut(found, "pii-texts")
-    mention = found.select("_node", F.posexplode("match").alias("at", "match"))
-    kind = _kind(F.col("match"))
-    mention = mention.withColumn("kind", kind).withColumn("prefix", _prefix(F.col("kind"), F.col("match")))
-    mention = mention.withColumn("value", F.substr("match", F.length("prefix") + 1, F.length("match")))
-    female = F.regexp_replace("prefix", r"[. ]+$", "").isin(FEMALE)
-    mention = common.cut(mention.withColumn("female", female), "pii-mentions")
-    mapped = surrogate_map(mention.select("kind", "value", "female"), key)
-    replaced = mention.join(mapped, ["kind", "value"]).groupBy("_node").agg(F.array_sort(F.collect_list(F.struct("at", F.concat("prefix", "surrogate").alias("new")))).alias("news"))
-    parts = F.split("text", pattern, -1)
-    woven = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("news", i)["new"], F.lit("")))), "")
-    new = found.join(replaced, "_node").select("_node", woven.alias("_new"), F.size("news").alias("_n"))
-    columns = [F.when(F.col("_new").isNotNull(), F.col("_new")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    changed = held.join(new, "_node").select(*columns, F.col("_n").alias("n_replaced"))
-    clean = with_node.filter(F.col("_node").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias("n_replaced"))
+    text, kept = F.col("text"), [c for c in docs.columns if c != "n_replaced"]
+    node_, new_, n_ = (_free(c, kept) for c in ("node", "new", "n"))
+    with_node = common.cut(docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(node_, F.when(_hint(text) & text.rlike(ANY), common.text_key())), "pii-docs")
+    held = with_node.filter(F.col(f"`{node_}`").isNotNull())
+    texts = held.select(F.col(f"`{node_}`").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    found = common.cut(texts.select("node", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("match")), "pii-texts")
+    mention = found.select("node", F.posexplode("match").alias("at", "match"))
+    mention = mention.withColumn("kind", _kind(F.col("match")))
+    mention = mention.withColumn("prefix", _prefix(F.col("kind"), F.col("match")))
+    mention = mention.withColumn("value", F.substr("match", F.length("prefix") + 1, F.length("match"))).withColumn("gender", _gender(F.col("kind"), F.col("prefix")))
+    # a name is taken word by word, with what stands before each word and after the last
+    name = F.col("kind") == "name"
+    mention = mention.withColumn("between", F.when(name, F.split("value", WORD, -1)).otherwise(F.array(F.lit(""), F.lit(""))))
+    mention = mention.withColumn("words", F.when(name, F.regexp_extract_all("value", F.lit(WORD), F.lit(0))).otherwise(F.array("value")))
+    words = mention.select("node", "at", "kind", "gender", "prefix", "between", F.posexplode("words").alias("k", "value"))
+    before = F.concat(F.when(F.col("k") == 0, F.col("prefix")).otherwise(F.lit("")), F.get("between", F.col("k")))
+    after = F.when(F.col("k") == F.size("between") - 2, F.get("between", F.col("k") + 1)).otherwise(F.lit(""))
+    words = common.cut(words.select("node", "at", "k", "kind", "gender", "value", before.alias("before"), after.alias("after")), "pii-mentions")
+    mapped = words.join(surrogate_map(words.select("kind", "value", "gender"), key), ["kind", "value", "gender"])
+    mapped = common.cut(mapped.select("node", "at", "k", "kind", "value", "surrogate", F.concat("before", "surrogate", "after").alias("new")), "pii-mapped")
+    each = mapped.groupBy("node", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "new"))), lambda x: x["new"]), "").alias("new"))
+    news = each.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("news"))
+    named = mapped.filter(F.col("kind") == "name").groupBy("node", "value").agg(F.min_by("surrogate", F.struct("at", "k")).alias("surrogate"))
+    named = named.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("names"))
+    rows = found.join(news, "node").join(named, "node", "left")
+    parts = F.split("text", ANY, -1)
+    parts = F.when(F.col("names").isNull(), parts).otherwise(F.transform(parts, lambda p: _bare_names(p, F.col("names"))))
+    woven = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("news", i), F.lit("")))), "")
+    new = rows.select(F.col("node").alias(node_), woven.alias(new_), F.size("news").alias(n_))
+    quoted = lambda c: F.col(f"`{c}`")
+    columns = [F.coalesce(quoted(new_), text).alias("text") if c == "text" else quoted(c) for c in kept]
+    changed = held.join(new, node_).select(*columns, quoted(n_).alias("n_replaced"))
+    clean = with_node.filter(quoted(node_).isNull()).select(*[quoted(c) for c in kept], F.lit(0).alias("n_replaced"))
     return clean.unionByName(changed)
-
