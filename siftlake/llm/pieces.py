@@ -8,31 +8,33 @@ score less ten, as the library has it, and becomes byte pieces where the vocabul
 
 Texts are normalized as the model file says: a space becomes the piece space mark, and, where
 the model asks for it, one is put in front. The vocabulary file is a parameter; its scores
-are used as they are. Segmentation runs word by word where no piece crosses a space mark
-except at its start (runs of marks stay whole), and recurring words are encoded once per
-worker; this gives the ids of the whole text.
+are used as they are. A text is cut wherever two of its bytes stand together in no piece, as
+no piece can lie across; each distinct segment runs through the automaton once per task, and
+the ids of the segments, one after another, are the ids of the whole text.
 
 Decoding joins the pieces, turns runs of byte pieces back into text (malformed ones into the
 replacement character) and takes off the front mark; decode(encode(x)) is x for any text
 that doesn't hold the space mark itself, which decodes to a space as in the library.
 
 Defined results: null text gives null ids and null text; an empty one no ids; very long
-texts are encoded whole; repeated rows alike; other columns pass through.
+texts are encoded whole; repeated rows alike; an empty table gives no rows; other columns
+pass through, but those named like a new one (piece_ids, decoded) are replaced.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from . import segments
+
 MARK = "▁"
-_CACHE_ENTRIES = 400_000
-#: Rows of a batch that goes back: ids take more room than their texts.
-_ROWS = 256
+
 
 class PieceModel:
     """Pieces and scores of a vocabulary file, and the automaton over them."""
@@ -58,11 +60,16 @@ class PieceModel:
             self.automaton.add_word(self.pieces[i], (i, len(self.pieces[i]), scores[i]))
         self.automaton.make_automaton()
         self.missing = min((scores[i] for i in text), default=0.0) - 10.0
-        #: Pieces that hold a mark after a letter would join words.
-        self.by_word = not any(MARK in self.pieces[i].lstrip(MARK) for i in text)
         self.prefix = bool(model.encode("a")) and model.decode(model.encode("a")) == "a" and model.id_to_piece(model.encode("a")[0]).startswith(MARK)
-        self.words: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        #: Pairs of bytes that some piece holds side by side; runs of unknown characters are one piece, so that without byte pieces nothing is cut.
+        self.inside = np.full((256, 256), not self.fallback)
+        for i in text:
+            b = np.frombuffer(self.pieces[i].replace(MARK, " ").encode(), np.uint8)
+            self.inside[b[:-1], b[1:]] = True
+        self.inside[:, 0x80:0xC0] = True  # within a character
+        back = [bytes([int(self.pieces[i][3:5], 16)]) if k == "byte" else "⁇".encode() if k == "unknown" else b"" if k == "control" else self.pieces[i].replace(MARK, " ").encode() for i, k in enumerate(self.kind)]
+        self.back = np.concatenate([[0], np.cumsum([len(x) for x in back])]), np.frombuffer(b"".join(back), np.uint8)
+        self.memo = segments.Memo(self._code)
 
     def segment(self, text: str) -> list[int]:
         """Ids of the best segmentation of a normalized text; of equal ones the one whose last piece is longest."""
@@ -100,77 +107,57 @@ class PieceModel:
             gap = i < 0
         return ids
 
-    def normalize(self, text: str) -> str:
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
-
-    def encode(self, text: str) -> list[int]:
-        text = self.normalize(text)
-        if not self.by_word:
-            return self.segment(text)
-        if len(self.words) > _CACHE_ENTRIES:  # what is asked for again moves on from the old generation
-            self.words, self.old = {}, self.words
-        ids: list[int] = []
-        known, old = self.words, self.old
-        for chunk in _chunks(text):
-            got = known.get(chunk)
-            if got is None:
-                known[chunk] = got = old.get(chunk) or self.segment(chunk)
-            ids += got
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
-        out, run = [], bytearray()
-        for i in ids:
-            if self.kind[i] == "byte":
-                run.append(int(self.pieces[i][3:5], 16))
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append("⁇" if self.kind[i] == "unknown" else "" if self.kind[i] == "control" else self.pieces[i].replace(MARK, " "))
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
-
-def _chunks(text: str) -> list[str]:
-    """Words with their marks. Where marks run together the words around them stay one chunk, as pieces of several marks may share them."""
-    if MARK * 2 not in text:
-        first, *rest = text.split(MARK)
-        return ([first] if first else []) + [MARK + w for w in rest]
-    out: list[str] = []
-    for part in re.split(f"((?:{MARK}?[^{MARK}]*)?{MARK}{{2,}}[^{MARK}]*)", text):
-        if MARK * 2 in part:
-            out.append(part)
-        elif part:
-            out += re.findall(f"{MARK}?[^{MARK}]+|{MARK}", part)
-    return out
-
-
-def _model(path: str) -> PieceModel:
-    """The worker's model: worker processes are reused, and with them the automaton and the cache."""
-    import sentencepiece
-
-    held = sentencepiece.__dict__.setdefault("_models_of_this_worker", {})
-    return held.get(path) or held.setdefault(path, PieceModel(path))
+    def _code(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return segments.joined([self.segment(w.decode("utf-8", "replace").replace(" ", MARK)) for w in found.to_pylist()], np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after another, and how many each has."""
+        texts = pc.replace_substring(texts.fill_null(""), MARK, " ")
+        if self.prefix:
+            texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise("", texts, " "))
+        run, at = segments.flat(texts)
+        cuts = np.zeros(len(run), bool)
+        cuts[1:] = ~self.inside[run[:-1], run[1:]]
+        cuts[at[:-1][np.diff(at) > 0]] = True
+        starts = np.flatnonzero(cuts)
+        index, offsets, values = self.memo.of(segments.segments(run, starts))
+        ids, lengths = segments.gather(index, offsets, values)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, at)]
+        return ids, np.diff(ends)
+
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        """The texts that ids give back, n ids each."""
+        run, lengths = segments.gather(ids, *self.back)
+        at = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n)])]
+        if self.prefix:
+            # the space in front goes
+            firsts = at[:-1][np.diff(at) > 0]
+            gone = firsts[run[firsts] == 32]
+            keep = np.ones(len(run), bool)
+            keep[gone] = False
+            run, at = run[keep], at - np.searchsorted(gone, at)
+        found = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(run))])
+        try:
+            return found.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # malformed runs of byte pieces
+            return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
 
 
 def _coder(path: str, decode: bool):
     def run(batches):
-        model = _model(path)
-        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
-            ids, back = [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                got = None if text is None else model.encode(text)
-                ids.append(None if got is None else np.array(got, np.int32))
+        model = PieceModel(path)
+        for batch in batches:
+            for first, last in segments.slices(batch.column("text")):
+                part = batch.slice(first, last - first)
+                texts = part.column("text")
+                ids, n = model.encode(texts)
+                null = texts.is_null()
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                extra = {"piece_ids": pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)), mask=null)}
                 if decode:
-                    back.append(None if got is None else model.decode(got))
-            columns = [batch.column(c) for c in batch.schema.names if c != "text" or not decode]
-            names = [c for c in batch.schema.names if c != "text" or not decode]
-            extra = {"piece_ids": pa.array(ids, pa.list_(pa.int32()))} | ({"decoded": pa.array(back, pa.string())} if decode else {})
-            yield pa.RecordBatch.from_arrays([*columns, *extra.values()], [*names, *extra])
+                    extra["decoded"] = pc.if_else(null, pa.scalar(None, pa.string()), model.decode(ids, n))
+                names = [c for c in part.schema.names if c != "text" or not decode]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra.values()], [*names, *extra])
 
     return run
 
@@ -190,20 +177,18 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def _digest(path: str):
-    import zlib
-
     def run(batches):
-        model = _model(path)
+        model = PieceModel(path)
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                text = text.as_py()
-                if text is None:
-                    out.append((None, None, None))
-                    continue
-                ids = model.encode(text)
-                out.append((len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()), model.decode(ids) == text))
-            n, crc, exact = zip(*out) if out else ((), (), ())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_pieces": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "exact": pa.array(exact, pa.bool_())})
+            for first, last in segments.slices(batch.column("text")):
+                part = batch.slice(first, last - first)
+                texts, null = part.column("text"), part.column("text").is_null()
+                ids, n = model.encode(texts)
+                ends = np.cumsum(n).tolist()
+                crc = [zlib.crc32(ids[e - k : e].astype("<i4").tobytes()) for e, k in zip(ends, n.tolist(), strict=True)]
+                known = pc.invert(null)
+                exact = pc.equal(model.decode(ids, n), texts)
+                columns = [pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), exact]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pc.if_else(known, c, pa.scalar(None, c.type)) for c in columns)], ["doc_id", "n_pieces", "ids_crc32", "exact"])
 
     return run

@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline as C
 from siftlake.llm import common, order_minhash
 
@@ -41,7 +43,7 @@ def test_piece_ids_are_decoded(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a  b 日本 ☃ \t x", "en", "s", 13), (2, None, "en", "s", 0), (3, "The other.", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in C.piece_ids(spark, docs, SF).collect()}
     model = pieces.PieceModel(C.public_tokenizers.path("piece_bpe_32k.model"))
-    assert all(got[r.doc_id].text == r.text for r in docs.collect()) and got[3].piece_ids == model.encode("The other.")
+    assert all(got[r.doc_id].text == r.text for r in docs.collect()) and got[3].piece_ids == model.encode(pa.array(["The other."]))[0].tolist()
     seen, coder = [], pieces._coder
     monkeypatch.setattr(pieces, "_coder", lambda path, decode: seen.append(decode) or coder(path, decode))
     C.piece_ids(spark, docs, SF)
