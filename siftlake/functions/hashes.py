@@ -22,25 +22,19 @@ def word_hash(word: Column, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), word)), 1, 16), 16, -10).cast("long")
 
 
-def simhash(words: Column, salt: str = "") -> Column:
-    """Bit i is set where more than half of the distinct words have it; null without words.
-
-    Hashing is a step of its own and each bit is a count over the hash array, so the row
-    stays in the JVM and no words are exploded.
-    """
-    distinct = F.array_distinct(words)
-    hashes = F.transform(distinct, lambda w: word_hash(w, salt))
-
-    def bit(h: Column, i: Column) -> Column:
-        return F.expr("0").cast("int") + F.getbit(h, i).cast("int")
-
-    def fold(hs: Column) -> Column:
-        half = F.size(hs)
-        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.aggregate(hs, F.lit(0), lambda s, h: s + bit(h, i)) * 2 > half, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
-
-    # a one-element array binds the hashes once for all 64 bits
-    return F.when(F.size(distinct) > 0, F.element_at(F.transform(F.array(hashes), fold), 1))
+def bit_counts(h: Column) -> list[Column]:
+    """Sums over rows that count every bit of a hash: two bits a number, 32 places apart."""
+    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(0x100000001))) for j in range(32)]
+
+
+def majority(counts: list[Column], n: Column) -> Column:
+    """The hash whose bits are set where more than half of the n rows have them."""
+    low, high = (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
+    bit = lambda count, k: F.when(count * 2 > n, F.lit(-(1 << 63) if k == 63 else 1 << k)).otherwise(F.lit(0))
+    out = F.lit(0).cast("long")
+    for j, c in enumerate(counts):
+        out = out.bitwiseOR(bit(low(c), j).cast("long")).bitwiseOR(bit(high(c), j + 32).cast("long"))
+    return out
 
 
 def hamming64(a: Column, b: Column) -> Column:

@@ -37,14 +37,20 @@ def extension(path: Column) -> Column:
 def marks(path: Column) -> Column:
     """Marks of a path, distinct: those of mark directories if there are any, else the letters after ``.!`` in the inner extension."""
     in_dirs = F.filter(F.transform(F.split(directory(path), "/"), lambda d: lookup(MARK_DIRS, d)), lambda m: m.isNotNull())
-    letters = F.regexp_extract(path, r"\.!([a-z]+)\.[^./]*$", 1)
+    letters = F.regexp_extract(path, r"\.!([a-z]+)[0-9]*\.[^./]*$", 1)
     in_name = F.filter(F.transform(F.split(F.when(letters == "ut", "").otherwise(letters), ""), lambda c: lookup(MARKS, c)), lambda m: m.isNotNull())
     return F.array_distinct(F.when(F.size(in_dirs) > 0, in_dirs).otherwise(in_name))
 
 
+def mark_number(path: Column) -> Column:
+    """The number in the inner extension; null without one."""
+    digits = F.regexp_extract(path, r"\.[^./]*?([0-9]+)[^./]*\.[^./]*$", 1)
+    return F.when(digits != "", F.expr("1") * F.try_to_number(F.substr(digits, F.lit(1), F.lit(9)), F.lit("999999999"))).cast("int")
+
+
 def without_marks(path: Column) -> Column:
     """The path without its inner mark extension, sort marks and mark directories (the first of each)."""
-    out = F.regexp_replace(path, r"^([^\n]*?)\.![a-z]+(\.[^./]*)$", "$1$2")
+    out = F.regexp_replace(path, r"^([^\n]*?)\.![a-z]+[0-9]*(\.[^./]*)$", "$1$2")
     out = F.regexp_replace(out, r"^(.*?)\[!_[^\]]*\]", "$1")
     return reduce(lambda p, d: F.regexp_replace(p, f"^(.*?/){d}/", "$1"), MARK_DIRS, out)
 

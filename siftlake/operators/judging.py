@@ -5,167 +5,273 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.functions.paths import directory, mark_number, marks
+from siftlake.functions.reasons import remembered_state
+from siftlake.sources.shared import cut
+
 from . import matching as M
 
+# How much smaller, and how far apart in the mean, a copy may be.
 SMALL_PIXEL, SMALL_SIZE, MEAN_GAP = 0.95, 0.66, 20.0
+KEEPING = 300
 
 
 def verdict(action: str, reason: str) -> Column:
     return F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
 
 
-def candidates(incoming: DataFrame, stored: DataFrame, listing: DataFrame, statistics: DataFrame) -> DataFrame:
-    """Near-duplicate pairs with the factors that verdicts look at."""
+def held_if(unsure: Column, action: str, reason: str) -> Column:
+    """The verdict, but a hold where it isn't sure."""
+    return F.struct(F.when(unsure, "hold").otherwise(action).alias("action"), F.lit(reason).alias("reason"))
+
+
+def candidates(pairs: DataFrame, incoming: DataFrame, stored: DataFrame, listing: DataFrame, statistics: DataFrame) -> DataFrame:
+    """Near-duplicate pairs(in_id, cat_id, p_distance, d_distance) with the factors that verdicts look at."""
     fields = ("size", "width", "height", "timestamp", "state", "from_path")
-    pairs = M.near_dup_banded(incoming, stored.withColumn("to_path_", F.col("to_path")), (*fields,))
-    paths = M.exists(stored.select(F.col("doc_id").alias("cat_id"), "to_path"), listing).select("cat_id", F.col("present").alias("accessible"))
-    pairs = pairs.join(paths, "cat_id")
-    for side in ("in", "cat"):
-        pairs = pairs.join(statistics.select(F.col("doc_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("mean", "entropy", "quality")]), f"{side}_id", "left")
+    side = lambda rows, key, prefix: rows.select(F.col("doc_id").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in fields])
+    places = M.exists(stored.select(F.col("doc_id").alias("cat_id"), "to_path"), listing).select("cat_id", F.col("present").alias("accessible"))
+    pairs = pairs.join(side(incoming, "in_id", "i"), "in_id").join(side(stored, "cat_id", "c"), "cat_id").join(places, "cat_id")
+    for key in ("in", "cat"):
+        pairs = pairs.join(statistics.select(F.col("doc_id").alias(f"{key}_id"), *[F.col(c).alias(f"{key}_{c}") for c in ("mean", "entropy", "quality")]), f"{key}_id", "left")
     pixels, stored_pixels = F.col("i_width") * F.col("i_height"), F.col("c_width") * F.col("c_height")
+    sure = F.coalesce((F.col("p_distance") < M.P_EXACT) & (F.col("d_distance") < M.D_EXACT), F.lit(False))
     return pairs.withColumns({
+        "same_dir": directory(F.col("i_from_path")) == directory(F.col("c_from_path")),
         "small_pixel": pixels < stored_pixels * SMALL_PIXEL,
         "same_pixel": pixels == stored_pixels,
         "small_size": F.col("c_size") * SMALL_SIZE > F.col("i_size"),
         "newer": F.col("i_timestamp") > F.col("c_timestamp"),
         "valid": F.col("d_distance").isNotNull(),
-        "sure": (F.col("p_distance") < M.P_EXACT) & (F.col("d_distance") < M.D_EXACT),
-        "keep": F.col("c_state") == 300,
+        "may_be": ~sure,
+        "will_keep": F.col("i_state") == KEEPING,
+        "keeping": F.col("c_state") == KEEPING,
     })
 
 
 def rejection() -> Column:
     """Why the incoming row is the worse copy; null if it isn't."""
+    unsure = F.col("may_be")
     return (
-        F.when(F.col("small_pixel"), verdict("delete", "P_HASH_REJECT_LOW_RESOLUTION"))
-        .when(F.col("small_size"), verdict("delete", "P_HASH_REJECT_LOW_FILE_SIZE"))
-        .when(F.col("newer") & F.col("same_pixel"), verdict("delete", "P_HASH_REJECT_NEWER"))
+        F.when(F.col("small_pixel"), held_if(unsure, "delete", "TYPE_P_HASH_REJECT_LOW_RESOLUTION"))
+        .when(F.col("small_size"), held_if(unsure, "delete", "TYPE_P_HASH_REJECT_LOW_FILE_SIZE"))
+        .when(F.col("newer") & F.col("same_pixel"), held_if(unsure, "delete", "TYPE_P_HASH_REJECT_NEWER"))
     )
 
 
 def by_statistics() -> Column:
-    """What the content's statistics say; a different mean always ends in a hold. Null without statistics."""
-    known = F.col("in_mean").isNotNull() & F.col("cat_mean").isNotNull()
+    """What the content's statistics say: another mean is another image if the hashes aren't sure. Null without statistics. Entropies compare to nine places, as sums differ beyond."""
+    unsure, known = F.col("may_be"), F.col("in_mean").isNotNull() & F.col("cat_mean").isNotNull()
     return (
-        F.when(known & (F.abs(F.col("in_mean") - F.col("cat_mean")) > MEAN_GAP), verdict("hold", "P_HASH_MATCH_DIFFERENT_MEAN"))
-        .when(known & (F.col("in_entropy") < F.col("cat_entropy") * 0.9), verdict("delete", "P_HASH_REJECT_LOW_ENTROPY"))
-        .when(known & (F.col("cat_quality") * SMALL_SIZE > F.col("in_quality")), verdict("delete", "P_HASH_REJECT_LOW_QUALITY"))
+        F.when(known & (F.abs(F.col("in_mean") - F.col("cat_mean")) > MEAN_GAP), held_if(~unsure, "save", "TYPE_P_HASH_REJECT_DIFFERENT_MEAN"))
+        .when(known & (F.round("cat_entropy", 9) > F.round("in_entropy", 9)), held_if(unsure, "delete", "TYPE_P_HASH_REJECT_LOW_ENTROPY"))
+        .when(known & (F.col("cat_quality") * SMALL_SIZE > F.col("in_quality")), held_if(unsure, "delete", "TYPE_P_HASH_REJECT_LOW_QUALITY"))
     )
 
 
 def judged(pairs: DataFrame) -> DataFrame:
-    """Each candidate's action and reason before stored keep states count."""
+    """Each candidate's action and reason before keep states count."""
     v = F.coalesce(
-        F.when(~F.col("valid"), verdict("hold", "P_HASH_INVALID")),
+        F.when(~F.col("valid"), verdict("hold", "TYPE_PROCESS_ERROR")),
         rejection(),
-        F.when(~F.col("accessible"), verdict("hold", "P_HASH_MATCH_LOST")),
+        F.when(~F.col("accessible"), verdict("hold", "TYPE_P_HASH_MATCH_LOST_FILE")),
         by_statistics(),
-        verdict("replace", "P_HASH_MATCH"),
+        verdict("replace", "TYPE_P_HASH_MATCH"),
     )
     return pairs.withColumn("v", v).withColumn("action", F.col("v.action")).withColumn("reason", F.col("v.reason")).drop("v")
 
 
 def remapped(pairs: DataFrame) -> DataFrame:
-    """Candidates against kept rows: a row that must stay is transferred to, not replaced; what isn't sure is held."""
-    action = F.when((F.col("action") == "replace") & F.col("keep"), "transfer").otherwise(F.col("action"))
-    action = F.when(~F.coalesce(F.col("sure"), F.lit(False)), "hold").otherwise(action)
-    reason = F.when((F.col("reason") == "P_HASH_MATCH") & F.col("keep"), "P_HASH_MATCH_KEEPING").otherwise(F.col("reason"))
-    return pairs.withColumn("action", action).withColumn("reason", reason)
+    """Keep states: no kept row is replaced, and no row that will be kept is deleted; what isn't sure is held."""
+    action, will, keeping = F.col("action"), F.col("will_keep"), F.col("keeping")
+    v = (
+        F.when((action == "replace") & keeping, verdict("save", "TYPE_P_HASH_MATCH_KEEPING"))
+        .when(will & (action == "delete") & ~keeping, verdict("save", "TYPE_P_HASH_MATCH_WILL_KEEP"))
+        .when(will & (action == "replace"), verdict("transfer", "TYPE_P_HASH_MATCH_TRANSFER"))
+        .otherwise(F.struct("action", "reason"))
+    )
+    rows = pairs.withColumn("v", v)
+    return rows.withColumn("action", F.when(F.col("may_be"), "hold").otherwise(F.col("v.action"))).withColumn("reason", F.col("v.reason")).drop("v")
 
 
 def near_verdicts(pairs: DataFrame) -> DataFrame:
-    """One verdict an incoming row with candidates: first delete, else first replacement or transfer, else a hold that names their number."""
+    """One verdict an incoming row with candidates: first delete, else first replacement or transfer, else a hold with their number; a save is never chosen."""
     pick = lambda *actions: F.min_by(F.struct("action", "cat_id", "reason"), F.when(F.col("action").isin(*actions), F.struct("p_distance", "cat_id")))
-    out = pairs.groupBy("in_id").agg(pick("delete").alias("d"), pick("replace", "transfer").alias("r"), F.min_by("reason", F.struct("p_distance", "cat_id")).alias("first"), F.count("*").alias("n"))
+    out = pairs.groupBy("in_id").agg(pick("delete").alias("d"), pick("replace", "transfer").alias("r"), F.count("*").alias("n"))
+    chosen = F.coalesce("d", "r")
     return out.select(
         "in_id",
-        F.coalesce("d.action", "r.action", F.lit("hold")).alias("action"),
-        F.coalesce("d.cat_id", "r.cat_id").alias("hit_id"),
-        F.coalesce("d.reason", "r.reason", "first").alias("reason"),
-        F.when(F.coalesce("d.action", "r.action").isNull(), F.col("n")).otherwise(0).cast("int").alias("n_candidates"),
+        F.coalesce(chosen["action"], F.lit("hold")).alias("action"),
+        chosen["cat_id"].alias("hit_id"),
+        F.coalesce(chosen["reason"], F.lit("TYPE_P_HASH_MAY_BE")).alias("reason"),
+        F.when(chosen.isNull(), F.col("n")).otherwise(0).cast("int").alias("n_candidates"),
     )
 
 
-def exact_verdict(state: Column, stored_state: Column, present: Column, needless: Column, recovery: bool = True) -> Column:
-    """A row whose hash is stored: kept rows transfer to accepted ones, lost files are recovered, all else is deleted."""
-    ok = stored_state >= M.ACCEPTED
-    recover = ok & F.lit(recovery) & ~present & ~needless
-    return F.when((state == 300) & ok, verdict("transfer", "HASH_MATCH_KEEPING")).when(recover, verdict("save", "HASH_MATCH_RECOVERY")).otherwise(verdict("delete", "HASH_MATCH"))
+def hit(action: str, reason: str, id_: Column | None = None, n: Column | None = None) -> Column:
+    """A whole verdict: action, hit_id, reason, n_candidates."""
+    id_ = F.lit(None) if id_ is None else id_
+    n = F.lit(0) if n is None else n
+    return F.struct(F.lit(action).alias("action"), id_.cast("long").alias("hit_id"), F.lit(reason).alias("reason"), n.cast("int").alias("n_candidates"))
+
+
+def exact_verdict(state: Column, stored_id: Column, stored_state: Column, present: Column, needless: Column, recovery: bool = True, no_transfer: bool = False) -> Column:
+    """A row whose hash is stored: a row to be kept takes the place of an accepted one, lost files are recovered, all else is deleted."""
+    transfer = F.lit(not no_transfer) & (state == KEEPING) & (stored_state == M.ACCEPTED)
+    recover = F.lit(recovery) & (stored_state >= M.ACCEPTED) & ~present & ~needless
+    return F.when(transfer, hit("transfer", "TYPE_HASH_MATCH_TRANSFER", stored_id)).when(recover, hit("save", "TYPE_HASH_MATCH_RECOVERY", stored_id)).otherwise(hit("delete", "TYPE_HASH_MATCH"))
+
 
+def relocation(stored_id: Column) -> Column:
+    return F.when(stored_id.isNotNull(), hit("relocate", "TYPE_HASH_MATCH_RELOCATE", stored_id)).otherwise(hit("hold", "TYPE_HASH_MISMATCH_RELOCATE"))
 
-def cascade(rows: DataFrame, stored: DataFrame, listing: DataFrame, near: DataFrame, needless: DataFrame, quality: Column, ng: Column) -> DataFrame:
-    """in_id, action, hit_id, reason, n_candidates for all incoming rows: bad path, quality, exact hash, near duplicate, name, save.
 
-    Each step is a nullable verdict and the first that isn't null holds; the joins before it
-    carry one row an incoming row at most.
+def kind_verdict(kind: Column, source_there: Column) -> Column:
+    """Rows that are no content: unknown ones are held, scrap and locks deleted, a cache is held while its source exists. Null for content."""
+    return (
+        F.when(kind == "UNKNOWN", hit("hold", "TYPE_UNKNOWN_FILE_TYPE"))
+        .when(kind == "SCRAP", hit("delete", "TYPE_SCRAP_FILE_TYPE"))
+        .when((kind == "CACHE") & source_there, hit("hold", "TYPE_KEEP_DEDUPPER_FILE"))
+        .when(kind.isin("CACHE", "LOCK"), hit("delete", "TYPE_SWEEP_DEDUPPER_FILE"))
+    )
+
+
+def mark_verdict(path: Column, stored_state: Column, numbered: Column, first: Column, named: Column, library: str = "/lib/") -> Column:
+    """What a row's marks say, in order of priority; null without marks.
+
+    A block of an accepted row is held unless the row lies in the library. Replacements and
+    transfers go to the candidate of the mark's number, else the first one; a replacement without
+    candidates to the first row of the same name; else the row is saved.
     """
+    given, target = marks(path), F.coalesce(numbered, first)
+    has = lambda m: F.array_contains(given, m)
+    held = has("block") & F.coalesce(stored_state >= M.ACCEPTED, F.lit(False)) & ~path.startswith(library)
+    saved = hit("save", "TYPE_FILE_MARK_SAVE")
+    replaced = F.when(target.isNotNull(), hit("replace", "TYPE_FILE_MARK_REPLACE", target)).when(named.isNotNull(), hit("replace", "TYPE_FILE_MARK_REPLACE", named)).otherwise(saved)
+    return (
+        F.when(has("hold") | held, hit("hold", "TYPE_FILE_MARK_HOLD"))
+        .when(has("block"), hit("delete", "TYPE_FILE_MARK_BLOCK"))
+        .when(has("dedupe"), hit("delete", "TYPE_FILE_MARK_DEDUPE"))
+        .when(has("erase"), hit("delete", "TYPE_FILE_MARK_ERASE"))
+        .when(has("replace"), replaced)
+        .when(has("transfer"), F.when(target.isNotNull(), hit("transfer", "TYPE_FILE_MARK_TRANSFER", target)).otherwise(saved))
+        .when(has("save"), saved)
+    )
+
+
+def evidence(rows: DataFrame, stored: DataFrame, listing: DataFrame, near: DataFrame, pairs: DataFrame, needless: DataFrame) -> DataFrame:
+    """Incoming rows with what every step of the cascade looks at; each join brings one row an incoming row at most."""
     exact = M.exists(M.exact_lookup(rows, stored).join(stored.select(F.col("doc_id").alias("cat_id"), "to_path"), "cat_id"), listing)
     exact = exact.join(needless.select(F.col("doc_id").alias("cat_id"), F.lit(True).alias("needless")), "cat_id", "left")
     exact = exact.select("in_id", F.col("cat_id").alias("exact_id"), F.col("state").alias("exact_state"), "present", F.coalesce("needless", F.lit(False)).alias("needless"))
-    names = M.name_lookup(rows, stored)
-    joined = rows.withColumn("in_id", F.col("doc_id")).join(exact, "in_id", "left").join(near.withColumnsRenamed({"action": "na", "reason": "nr", "hit_id": "nh", "n_candidates": "nn"}), "in_id", "left").join(names, "in_id", "left")
+    rows = rows.withColumn("in_id", F.col("doc_id")).withColumn("asked", mark_number(F.col("from_path")))
+    order = M.ranked(pairs).join(rows.select("in_id", "asked"), "in_id")
+    order = order.groupBy("in_id").agg(F.min_by("cat_id", "rank").alias("first_id"), F.max(F.when(F.col("rank") == F.col("asked"), F.col("cat_id"))).alias("numbered_id"))
+    near = near.withColumnsRenamed({"action": "na", "reason": "nr", "hit_id": "nh", "n_candidates": "nn"})
+    out = rows.join(exact, "in_id", "left").join(near, "in_id", "left").join(order, "in_id", "left")
+    return out.join(M.name_counts(rows.drop("in_id"), stored), "in_id", "left")
 
-    def full(v: Column, hit: Column, n: Column) -> Column:
-        return F.when(v.isNotNull(), F.struct(v["action"].alias("action"), hit.cast("long").alias("hit_id"), v["reason"].alias("reason"), n.cast("int").alias("n_candidates")))
 
-    none, zero = F.lit(None), F.lit(0)
-    v = F.coalesce(
-        full(F.when(ng, verdict("delete", "NG_FILE_NAME")), none, zero),
-        full(F.when(quality.isNotNull(), F.struct(F.lit("hold").alias("action"), quality.alias("reason"))), none, zero),
-        full(F.when(F.col("exact_id").isNotNull(), exact_verdict(F.col("state"), F.col("exact_state"), F.col("present"), F.col("needless"))), F.col("exact_id"), zero),
-        full(F.when(F.col("na").isNotNull(), F.struct(F.col("na").alias("action"), F.col("nr").alias("reason"))), F.col("nh"), F.coalesce("nn", zero)),
-        full(F.when(F.size("hits") > 0, verdict("hold", "NAME_MATCH")), none, F.size("hits")),
-        full(verdict("save", "NO_PROBLEM"), none, zero),
+def steps(ng: Column, quality: Column, source_there: Column, rejected: Column, failed: Column, instant_delete: bool = False, gate_deletes: bool = False, recovery: bool = True, no_transfer: bool = False) -> Column:
+    """The cascade over rows of ``evidence``: path, kind, marks, quality, exact hash, classifier, near duplicate, name, save.
+
+    Each step is a nullable verdict, and the first that isn't null holds. quality: the reason
+    of a failed gate; rejected, failed: what the classifier said, or that it failed.
+    """
+    near = F.struct(F.col("na").alias("action"), F.col("nh").cast("long").alias("hit_id"), F.col("nr").alias("reason"), F.coalesce("nn", F.lit(0)).cast("int").alias("n_candidates"))
+    poor = F.struct(F.lit("delete" if instant_delete else "hold").alias("action"), F.lit(None).cast("long").alias("hit_id"), quality.alias("reason"), F.lit(0).alias("n_candidates"))
+    return F.coalesce(
+        F.when(ng, hit("delete", "TYPE_NG_FILE_NAME")),
+        kind_verdict(F.col("kind"), source_there),
+        mark_verdict(F.col("from_path"), F.col("exact_state"), F.col("numbered_id"), F.col("first_id"), F.col("named")),
+        F.when(quality.isNotNull(), poor),
+        F.when(F.col("exact_id").isNotNull(), exact_verdict(F.col("state"), F.col("exact_id"), F.col("exact_state"), F.col("present"), F.col("needless"), recovery, no_transfer)),
+        F.when(failed, hit("hold", "TYPE_DEEP_LEARNING")).when(rejected, hit("delete" if gate_deletes else "hold", "TYPE_DEEP_LEARNING")),
+        F.when(F.col("na").isNotNull(), near),
+        F.when(F.col("n_named") > 0, hit("hold", "TYPE_FILE_NAME_MATCH", n=F.col("n_named"))),
+        hit("save", "TYPE_NO_PROBLEM"),
     )
-    return joined.select("in_id", v.alias("v")).select("in_id", "v.action", "v.hit_id", "v.reason", "v.n_candidates")
 
 
-def delete_state(reason: Column) -> Column:
-    """State that a deleted row is remembered with; null if it isn't remembered."""
-    return F.when(reason.isin("HASH_MATCH", "P_HASH_REJECT_NEWER", "P_HASH_REJECT_LOW_RESOLUTION", "P_HASH_REJECT_LOW_FILE_SIZE"), 100).when(reason.isin("NG_FILE_NAME", "P_HASH_REJECT_LOW_ENTROPY"), 0).when(reason.isin("LOW_RESOLUTION", "P_HASH_REJECT_LOW_QUALITY"), -1)
+def cascade(rows: DataFrame, verdict_of_row: Column, relocate: bool = False) -> DataFrame:
+    """in_id, action, hit_id, reason, n_candidates of rows of ``evidence``.
+
+    Rows of one hash come one after another, by time and path. The first one that the catalogue
+    remembers is what those after it find stored: they are deleted as copies, or take its place
+    if they are to be kept and it is only accepted. Rows before it, and those that an
+    earlier step has decided, are judged on their own.
+    """
+    if relocate:
+        return rows.select("in_id", relocation(F.col("exact_id")).alias("v")).select("in_id", "v.*")
+    v = cut(rows.select("in_id", "hash", "state", "exact_id", F.struct("timestamp", "from_path", "in_id").alias("place"), verdict_of_row.alias("v")), "verdicts")
+    stored = F.when(F.col("v.action").isin("save", "replace", "transfer"), F.col("state")).when(F.col("v.action") == "delete", remembered_state(F.col("v.reason")))
+    # rows whose hash is in the catalogue have met their copy there
+    fresh = v.filter(F.col("exact_id").isNull()).withColumn("stored", stored).filter(F.col("stored").isNotNull())
+    first = fresh.groupBy("hash").agg(F.min(F.struct("place", "stored")).alias("first"))
+    later = (F.col("place") > F.col("first.place")) & F.col("exact_id").isNull() & F.col("v.reason").isin(AFTER_EXACT)
+    again = exact_verdict(F.col("state"), F.col("first.place.in_id"), F.col("first.stored"), F.lit(True), F.lit(False))
+    return v.join(first, "hash", "left").select("in_id", F.when(F.coalesce(later, F.lit(False)), again).otherwise(F.col("v")).alias("v")).select("in_id", "v.*")
+
+
+#: Reasons of the steps after the exact hash.
+AFTER_EXACT = [
+    "TYPE_DEEP_LEARNING", "TYPE_P_HASH_MAY_BE", "TYPE_P_HASH_MATCH", "TYPE_P_HASH_MATCH_TRANSFER", "TYPE_FILE_NAME_MATCH", "TYPE_NO_PROBLEM",
+    "TYPE_P_HASH_REJECT_LOW_RESOLUTION", "TYPE_P_HASH_REJECT_LOW_FILE_SIZE", "TYPE_P_HASH_REJECT_NEWER", "TYPE_P_HASH_REJECT_LOW_ENTROPY", "TYPE_P_HASH_REJECT_LOW_QUALITY",
+]
 
 
 def mutations(verdicts: DataFrame, rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """hash, op, state, to_path: what verdicts change in the catalogue. Holds change nothing."""
-    own = rows.select(F.col("doc_id").alias("in_id"), "hash", F.col("state").alias("in_state"), F.concat(F.lit("/lib/"), "type", F.lit("/"), "name", F.lit(".txt")).alias("own_path"))
-    hit = stored.select(F.col("doc_id").alias("hit_id"), F.col("hash").alias("hit_hash"), F.col("to_path").alias("hit_path"))
-    joined = verdicts.join(own, "in_id").join(hit, "hit_id", "left")
-    row = lambda h, op, state, path: F.struct(h.alias("hash"), F.lit(op).alias("op"), state.cast("long").alias("state"), path.alias("to_path"))
-    nothing = F.array().cast("array<struct<hash:string,op:string,state:bigint,to_path:string>>")
-    no_path = F.lit(None).cast("string")
-    a, remembered = F.col("action"), delete_state(F.col("reason"))
+    """hash, op, state, from_path, to_path: what verdicts change in the catalogue. Holds change nothing.
+
+    Hits may be stored rows or earlier rows of the batch. A relocated row keeps the stored
+    one's origin.
+    """
+    own_path = F.concat(F.lit("/lib/"), "type", F.lit("/"), "name", F.lit(".txt"))
+    own = rows.select(F.col("doc_id").alias("in_id"), "hash", F.col("state").alias("in_state"), F.col("from_path").alias("own_from"), own_path.alias("own_path"))
+    hits = stored.select(F.col("doc_id").alias("hit_id"), F.col("hash").alias("hit_hash"), F.col("from_path").alias("hit_from"), F.col("to_path").alias("hit_path"))
+    hits = hits.unionByName(rows.select(F.col("doc_id").alias("hit_id"), F.col("hash").alias("hit_hash"), F.col("from_path").alias("hit_from"), own_path.alias("hit_path")))
+    joined = verdicts.join(own, "in_id").join(hits, "hit_id", "left")
+    row = lambda h, op, state, origin, path: F.struct(F.col(h).alias("hash"), F.lit(op).alias("op"), state.cast("long").alias("state"), F.col(origin).alias("from_path"), (F.col(path) if path else F.lit(None).cast("string")).alias("to_path"))
+    a, reason, state = F.col("action"), F.col("reason"), F.col("in_state")
+    gone = row("hit_hash", "update", F.lit(100), "hit_from", "hit_path")
+    nothing = F.array().cast("array<struct<hash:string,op:string,state:bigint,from_path:string,to_path:string>>")
+    remembered = remembered_state(reason)
     plan = (
-        F.when((a == "delete") & remembered.isNotNull(), F.array(row(F.col("hash"), "insert", remembered, no_path)))
-        .when(a == "replace", F.array(row(F.col("hit_hash"), "update", F.lit(100), no_path), row(F.col("hash"), "insert", F.col("in_state"), F.col("hit_path"))))
-        .when(a == "transfer", F.array(row(F.col("hit_hash"), "update", F.lit(100), no_path), row(F.col("hash"), "insert", F.col("in_state"), F.col("own_path"))))
-        .when((a == "save") & F.col("reason").endswith("RECOVERY"), F.array(row(F.col("hash"), "state", F.col("in_state"), F.col("hit_path"))))
-        .when(a == "save", F.array(row(F.col("hash"), "insert", F.col("in_state"), F.col("own_path"))))
+        F.when((a == "delete") & remembered.isNotNull(), F.array(row("hash", "insert", remembered, "own_from", None)))
+        .when(a == "replace", F.array(gone, row("hash", "insert", state, "own_from", "hit_path")))
+        .when(a == "transfer", F.array(gone, row("hash", "insert", state, "own_from", "own_path")))
+        .when((a == "save") & (reason == "TYPE_HASH_MATCH_RECOVERY"), F.array(row("hash", "state", state, "own_from", "hit_path")))
+        .when(a == "save", F.array(row("hash", "insert", state, "own_from", "own_path")))
+        .when(a == "relocate", F.array(row("hash", "insert", state, "hit_from", "own_path")))
         .otherwise(nothing)
     )
-    return joined.select(F.explode(plan).alias("m")).select("m.*")
+    return joined.select("in_id", F.explode(plan).alias("m")).select("in_id", "m.*")
 
 
 def within_batch(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, first_id: each row of a batch with the earlier one that it repeats, as if rows came one after another.
 
-    Rows are ranked by time; the first row of a hash stands for its copies. Among near
-    pairs a row follows the nearest earlier row that is itself kept; rounds settle rows whose
-    earlier partners are settled, until none is open.
+    Rows are ranked by time and path; the first row of a hash stands for its copies. Among near
+    pairs(a, b, distance) a row follows the nearest earlier row that is itself kept; rounds settle
+    rows whose earlier partners are settled, until none is open.
     """
-    order = Window.partitionBy("hash").orderBy("timestamp", "from_path")
-    first = rows.select("doc_id", "hash", "timestamp", F.first("doc_id").over(order).alias("first_id"))
-    lead = first.filter(F.col("doc_id") == F.col("first_id")).select("doc_id", "timestamp")
-    links = pairs.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).distinct()
-    links = links.join(lead.select(F.col("doc_id").alias("late")), "late").join(lead.select(F.col("doc_id").alias("early")), "early")
+    order = Window.partitionBy("hash").orderBy("timestamp", "from_path", "doc_id")
+    place = F.struct("timestamp", "from_path", "doc_id")
+    first = rows.select("doc_id", "hash", place.alias("place"), F.first("doc_id").over(order).alias("first_id"))
+    lead = first.filter(F.col("doc_id") == F.col("first_id")).select("doc_id", "place")
+    side = lambda k: lead.select(F.col("doc_id").alias(k), F.col("place").alias(f"{k}_place"))
+    links = pairs.select("a", "b", "distance").join(side("a"), "a").join(side("b"), "b")
+    forth = F.col("a_place") < F.col("b_place")
+    links = links.select(F.when(forth, F.col("b")).otherwise(F.col("a")).alias("late"), F.when(forth, F.col("a")).otherwise(F.col("b")).alias("early"), F.struct("distance", F.least("a_place", "b_place").alias("place")).alias("near")).distinct()
     kept = lead.join(links.select(F.col("late").alias("doc_id")), "doc_id", "left_anti").select("doc_id").checkpoint()
     dropped = links.limit(0).select(F.col("late").alias("doc_id"), F.col("early").alias("by"))
     open_ = links.checkpoint()
     while not open_.isEmpty():
-        hit = open_.join(kept.select(F.col("doc_id").alias("early")), "early").groupBy(F.col("late").alias("doc_id")).agg(F.min("early").alias("by"))
-        dropped = dropped.union(hit).checkpoint()
         gone = dropped.select("doc_id")
-        rest = open_.join(gone.select(F.col("doc_id").alias("late")), "late", "left_anti").join(gone.select(F.col("doc_id").alias("early")), "early", "left_anti")
-        free = open_.select(F.col("late").alias("doc_id")).distinct().join(gone, "doc_id", "left_anti").join(rest.select(F.col("late").alias("doc_id")), "doc_id", "left_anti")
-        kept = kept.union(free).distinct().checkpoint()
-        open_ = rest.join(kept.select(F.col("doc_id").alias("late")), "late", "left_anti").checkpoint()
+        # a row is settled once all its earlier partners are: it follows the nearest kept one, else stays
+        known = kept.select("doc_id", F.lit(True).alias("stays")).union(gone.select("doc_id", F.lit(False).alias("stays")))
+        state = open_.join(known.select(F.col("doc_id").alias("early"), "stays"), "early", "left")
+        settled = state.groupBy("late").agg(F.bool_and(F.col("stays").isNotNull()).alias("known"), F.min_by("early", F.when(F.col("stays"), F.col("near"))).alias("by")).filter("known").checkpoint()
+        dropped = dropped.union(settled.filter(F.col("by").isNotNull()).select(F.col("late").alias("doc_id"), "by")).checkpoint()
+        kept = kept.union(settled.filter(F.col("by").isNull()).select(F.col("late").alias("doc_id"))).checkpoint()
+        open_ = open_.join(settled.select("late"), "late", "left_anti").checkpoint()
     return first.join(dropped.withColumnRenamed("doc_id", "first_id"), "first_id", "left").select("doc_id", F.coalesce("by", "first_id").alias("first_id"))

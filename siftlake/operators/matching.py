@@ -1,4 +1,4 @@
-"""Finding stored rows for incoming ones: exact, near (banded Hamming), multi-index, by name and path."""
+"""Finding stored rows for incoming ones: exact, near (Hamming distance within a ratio band), by name and path."""
 
 from __future__ import annotations
 
@@ -11,35 +11,32 @@ BAND = 0.2
 SEARCH = 11
 ACCEPTED = 200
 P_EXACT, D_EXACT = 3, 8
+#: Wider than the band, so that rounding never puts two rows within it more than one slot apart.
+SLOT = 0.25
 
 
 def accepted(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("state") >= ACCEPTED)
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select("in_id", "cat_id", "p_distance", "d_distance")
-
-
-def _sides(incoming: DataFrame, stored: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    a = incoming.select(F.col("doc_id").alias("in_id"), F.col("p_hash").alias("ip"), F.col("d_hash").alias("id"), F.col("ratio").alias("ir"), *[F.col(c).alias(f"i_{c}") for c in extra])
-    b = accepted(stored).select(F.col("doc_id").alias("cat_id"), F.col("p_hash").alias("cp"), F.col("d_hash").alias("cd"), F.col("ratio").alias("cr"), *[F.col(c).alias(f"c_{c}") for c in extra])
+def _sides(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hash and ratio of rows that can match, and nothing else: the joins fan out on these."""
+    a = incoming.select(F.col("doc_id").alias("in_id"), F.col("p_hash").alias("ip"), F.col("ratio").alias("ir"))
+    b = accepted(stored).select(F.col("doc_id").alias("cat_id"), F.col("p_hash").alias("cp"), F.col("ratio").alias("cr"))
     return a.filter(F.col("ip").isNotNull() & ~F.isnan("ir")), b.filter(F.col("cp").isNotNull())
 
 
 def _verified(joined: DataFrame, below: int = SEARCH) -> DataFrame:
-    """Pairs within the ratio band and the distance, with both distances."""
-    joined = joined.filter(F.col("cr").between(F.col("ir") - BAND, F.col("ir") + BAND))
-    joined = joined.withColumn("p_distance", hamming64(F.col("ip"), F.col("cp"))).withColumn("d_distance", hamming64(F.col("id"), F.col("cd")))
-    return joined.filter(F.col("p_distance") < below)
+    """in_id, cat_id, p_distance of pairs within the ratio band and the distance."""
+    joined = joined.filter(F.col("cr").between(F.col("ir") - BAND, F.col("ir") + BAND)).withColumn("p_distance", hamming64(F.col("ip"), F.col("cp")))
+    return joined.filter(F.col("p_distance") < below).select("in_id", "cat_id", "p_distance")
 
 
-def near_dup_banded(incoming: DataFrame, stored: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Candidates by a ratio-bucket equi-join: buckets of the band's width, each incoming row probing its own and both neighbours."""
-    a, b = _sides(incoming, stored, extra)
-    a = a.withColumn("slot", F.floor(F.col("ir") / BAND)).withColumn("slot", F.explode(F.array(F.col("slot") - 1, "slot", F.col("slot") + 1)))
-    b = b.withColumn("slot", F.floor(F.col("cr") / BAND))
-    return _verified(a.join(b, "slot"))
+def near_dup_banded(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Candidates by a ratio-bucket equi-join alone; where ratios cluster it compares most pairs."""
+    a, b = _sides(incoming, stored)
+    b = b.withColumn("slot", F.floor(F.col("cr") / SLOT)).withColumn("slot", F.explode(F.array(F.col("slot") - 1, "slot", F.col("slot") + 1)))
+    return _verified(a.withColumn("slot", F.floor(F.col("ir") / SLOT)).join(b, "slot"))
 
 
 def blocks(h: Column, widths: list[int]) -> list[Column]:
@@ -51,27 +48,52 @@ def blocks(h: Column, widths: list[int]) -> list[Column]:
     return out
 
 
-def near_dup_multi_index(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """The same candidates by multi-index hashing: of six blocks of two hashes at distance 10 or less, one differs in one bit at most.
+def _first_block(widths: list[int], differ: int) -> Column:
+    """Number of the first block in which a joined pair differs in ``differ`` bits at most: the one where it counts."""
+    apart = blocks(F.col("ip").bitwiseXOR(F.col("cp")), widths)
+    return F.coalesce(*[F.when(F.bit_count(x) <= differ, i) for i, x in enumerate(apart)])
+
 
-    Stored rows are listed once a block; incoming rows probe each block's value and its
-    one-bit neighbours. The work doesn't depend on how ratios cluster.
+def _listed(value: Column, block: int, slot: Column | None) -> Column:
+    """One number for a block, its value and the ratio's slot."""
+    key = F.lit(block << 32).cast("long").bitwiseOR(value)
+    return key if slot is None else F.shiftleft(slot, 36).bitwiseXOR(key)
+
+
+def near_dup_multi_index(incoming: DataFrame, stored: DataFrame, widths: tuple[int, ...] = (11, 11, 11, 11, 10, 10), slots: bool = True) -> DataFrame:
+    """in_id, cat_id, p_distance by multi-index hashing: of six blocks of two hashes at distance 10 or less, one differs in one bit at most.
+
+    Stored rows are listed once a block, with ``slots`` under their ratio's slot and both neighbours
+    too; incoming rows probe each block's value and its one-bit neighbours. A pair that meets in
+    several blocks counts in the first, so nothing has to be made distinct.
     """
-    widths = [11, 11, 11, 11, 10, 10]
     a, b = _sides(incoming, stored)
-    b = b.withColumn("x", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), v.alias("value")) for i, v in enumerate(blocks(F.col("cp"), widths))])))
-    probes = F.array(*[F.struct(F.lit(i).alias("block"), v.bitwiseXOR(m).alias("value")) for i, (v, w) in enumerate(zip(blocks(F.col("ip"), widths), widths)) for m in [0] + [1 << k for k in range(w)]])
-    a = a.withColumn("x", F.explode(probes))
-    # a pair that meets in several blocks is kept once
-    return _pairs(_verified(a.join(b, "x"))).distinct()
+    slot = lambda c: F.floor(F.col(c) / SLOT) if slots else None
+    near = lambda c: [F.floor(F.col(c) / SLOT) + d for d in (-1, 0, 1)] if slots else [None]
+    listed = F.array(*[F.struct(F.lit(i).alias("block"), _listed(v, i, s).alias("x")) for i, v in enumerate(blocks(F.col("cp"), widths)) for s in near("cr")])
+    probes = F.array(*[F.struct(F.lit(i).alias("block"), _listed(v.bitwiseXOR(m), i, slot("ir")).alias("x")) for i, (v, w) in enumerate(zip(blocks(F.col("ip"), widths), widths)) for m in [0] + [1 << k for k in range(w)]])
+    b = b.select("cat_id", "cp", "cr", F.inline(listed)).drop("block")
+    joined = a.select("in_id", "ip", "ir", F.inline(probes)).join(b, "x")
+    return _verified(joined.filter(F.col("block") == _first_block(widths, 1)))
 
 
-def near_dup_exact_tier(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pairs surely alike: of three blocks of hashes at distance 2 or less, one is equal."""
+def near_dup_sure(incoming: DataFrame, stored: DataFrame, widths: tuple[int, ...] = (22, 21, 21)) -> DataFrame:
+    """Pairs at distance 2 or less: of three blocks one is equal."""
     a, b = _sides(incoming, stored)
-    cut = lambda h: F.array(*[F.struct(F.lit(i).alias("block"), v.alias("value")) for i, v in enumerate(blocks(F.col(h), [22, 21, 21]))])
-    joined = a.withColumn("x", F.explode(cut("ip"))).join(b.withColumn("x", F.explode(cut("cp"))), "x")
-    return _pairs(_verified(joined, P_EXACT)).filter(F.col("d_distance") < D_EXACT).distinct()
+    cut = lambda h: F.inline(F.array(*[F.struct(F.lit(i).alias("block"), v.alias("x")) for i, v in enumerate(blocks(F.col(h), widths))]))
+    joined = a.select("*", cut("ip")).join(b.select("*", cut("cp")), ["block", "x"])
+    return _verified(joined.filter(F.col("block") == _first_block(widths, 0)), P_EXACT)
+
+
+def second_distance(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """pairs(in_id, cat_id, ...) with d_distance from hashes(doc_id, d_hash); null where either side has none."""
+    side = lambda k: hashes.select(F.col("doc_id").alias(f"{k}_id"), F.col("d_hash").alias(f"{k}_d"))
+    both = pairs.join(side("in"), "in_id", "left").join(side("cat"), "cat_id", "left")
+    return both.withColumn("d_distance", hamming64(F.col("in_d"), F.col("cat_d"))).drop("in_d", "cat_d")
+
+
+def sure(pairs: DataFrame) -> DataFrame:
+    return pairs.filter((F.col("p_distance") < P_EXACT) & (F.col("d_distance") < D_EXACT))
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
@@ -87,12 +109,21 @@ def exact_lookup(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def name_lookup(incoming: DataFrame, stored: DataFrame, white: Column | None = None) -> DataFrame:
-    """Stored rows of the same name, in order, for names off the white list."""
+    """in_id, hits: the stored rows of the same name, in order, for names off the white list. Hits are gathered once a name, not once a row."""
+    asked = incoming if white is None else incoming.filter(~white)
+    names = stored.groupBy("name").agg(F.array_sort(F.collect_list("doc_id")).alias("hits"))
+    return asked.select(F.col("doc_id").alias("in_id"), "name").join(names, "name").select("in_id", "hits")
+
+
+def name_counts(incoming: DataFrame, stored: DataFrame, white: Column | None = None) -> DataFrame:
+    """in_id, named (the first stored row of the same name), n_named (how many there are)."""
     asked = incoming if white is None else incoming.filter(~white)
-    joined = asked.select(F.col("doc_id").alias("in_id"), "name").join(stored.select("name", F.col("doc_id").alias("cat_id")), "name")
-    return joined.groupBy("in_id").agg(F.array_sort(F.collect_list("cat_id")).alias("hits"))
+    names = stored.groupBy("name").agg(F.min("doc_id").alias("named"), F.count("*").alias("n_named"))
+    return asked.select(F.col("doc_id").alias("in_id"), "name").join(names, "name").select("in_id", "named", "n_named")
 
 
 def exists(rows: DataFrame, listing: DataFrame, path: str = "to_path") -> DataFrame:
     """rows with ``present``: whether the path is in the listing."""
     return rows.join(listing.select(F.col("to_path").alias(path), F.lit(True).alias("present")), path, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+

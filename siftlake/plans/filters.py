@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import numbers as N
 from siftlake.functions.paths import lookup
+from siftlake.operators import judging as J
 from siftlake.operators import matching as M
 from siftlake.sources import fixtures as X
 
@@ -18,15 +19,15 @@ from .registry import query
 FX = X.BASE
 
 # Extensions of each kind of file, and the engine's own two.
-KINDS = {"jpg": "IMAGE", "png": "IMAGE", "mkv": "VIDEO", "mp3": "AUDIO", "txt": "TEXT", "zip": "ARCHIVE"}
+KINDS = {"jpg": "IMAGE", "png": "IMAGE", "mkv": "VIDEO", "mp3": "AUDIO", "txt": "TEXT", "zip": "ARCHIVE", "db": "SCRAP"}
 OWN = {"hcache": "CACHE", "lck": "LOCK"}
 STATES = {-1: "erased", 0: "blocked", 100: "deduped", 200: "accepted", 300: "keeping"}
 
-EXT = "CASE p_partkey % 8 WHEN 0 THEN 'jpg' WHEN 1 THEN 'JPG' WHEN 2 THEN 'mkv' WHEN 3 THEN 'mp3' WHEN 4 THEN 'hcache' WHEN 5 THEN 'HCACHE' WHEN 6 THEN 'lck' ELSE 'bin' END"
+EXT = "CASE p_partkey % 9 WHEN 0 THEN 'jpg' WHEN 1 THEN 'JPG' WHEN 2 THEN 'mkv' WHEN 3 THEN 'mp3' WHEN 4 THEN 'hcache' WHEN 5 THEN 'HCACHE' WHEN 6 THEN 'lck' WHEN 7 THEN 'Db' ELSE 'bin' END"
 
 
 def _ext() -> Column:
-    return F.element_at(F.array(*[F.lit(e) for e in ("jpg", "JPG", "mkv", "mp3", "hcache", "HCACHE", "lck", "bin")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(e) for e in ("jpg", "JPG", "mkv", "mp3", "hcache", "HCACHE", "lck", "Db", "bin")]), (F.col("p_partkey") % 9 + 1).cast("int"))
 
 
 def kind_of(ext: Column) -> Column:
@@ -40,7 +41,7 @@ def matches(text: Column, rules: list[tuple[str, bool]], whole: bool) -> Column:
     return reduce(or_, (hit(*r) for r in rules), F.lit(False))
 
 
-KIND_SQL = f"CASE WHEN e = 'hcache' THEN 'CACHE' WHEN e = 'lck' THEN 'LOCK' WHEN lower(e) = 'jpg' THEN 'IMAGE' WHEN lower(e) = 'mkv' THEN 'VIDEO' WHEN lower(e) = 'mp3' THEN 'AUDIO' ELSE 'UNKNOWN' END"
+KIND_SQL = f"CASE WHEN e = 'hcache' THEN 'CACHE' WHEN e = 'lck' THEN 'LOCK' WHEN lower(e) = 'jpg' THEN 'IMAGE' WHEN lower(e) = 'mkv' THEN 'VIDEO' WHEN lower(e) = 'mp3' THEN 'AUDIO' WHEN lower(e) = 'db' THEN 'SCRAP' ELSE 'UNKNOWN' END"
 
 
 @query(f"SELECT p_partkey, e AS ext, {KIND_SQL} AS kind FROM (SELECT p_partkey, {EXT} AS e FROM part)")
@@ -77,16 +78,16 @@ LOW = {
     "pixels": "coalesce(width * height < CASE type WHEN 'en' THEN 2000 WHEN 'es' THEN 500 END, false)",
     "side": "coalesce(greatest(width, height) < CASE type WHEN 'en' THEN 100 WHEN 'de' THEN 150 END, false)",
 }
-GATE = f"CASE WHEN damaged THEN 'DAMAGED' WHEN {LOW['size']} THEN 'LOW_FILE_SIZE' WHEN {LOW['pixels']} THEN 'LOW_RESOLUTION' WHEN {LOW['side']} THEN 'LOW_LONG_SIDE' END"
+GATE = f"CASE WHEN damaged THEN 'TYPE_DAMAGED' WHEN {LOW['size']} THEN 'TYPE_LOW_FILE_SIZE' WHEN {LOW['pixels']} THEN 'TYPE_LOW_RESOLUTION' WHEN {LOW['side']} THEN 'TYPE_LOW_LONG_SIDE' END"
 
 
 def quality_reason() -> Column:
     """The first quality test a row fails; null if it fails none."""
     return (
-        F.when(F.col("damaged"), "DAMAGED")
-        .when(below(F.col("size"), "size"), "LOW_FILE_SIZE")
-        .when(below(F.col("width") * F.col("height"), "pixels"), "LOW_RESOLUTION")
-        .when(below(F.greatest("width", "height"), "side"), "LOW_LONG_SIDE")
+        F.when(F.col("damaged"), "TYPE_DAMAGED")
+        .when(below(F.col("size"), "size"), "TYPE_LOW_FILE_SIZE")
+        .when(below(F.col("width") * F.col("height"), "pixels"), "TYPE_LOW_RESOLUTION")
+        .when(below(F.greatest("width", "height"), "side"), "TYPE_LOW_LONG_SIDE")
     )
 
 
@@ -115,21 +116,21 @@ def filter_accepted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.accepted(X.catalog(spark, sf_dir)).select("doc_id", "state")
 
 
-@query(f"SELECT p_partkey, {KIND_SQL} AS kind FROM (SELECT p_partkey, {EXT} AS e FROM part) WHERE {KIND_SQL} IN ('UNKNOWN', 'CACHE', 'LOCK')")
+@query(f"SELECT p_partkey, {KIND_SQL} AS kind FROM (SELECT p_partkey, {EXT} AS e FROM part) WHERE {KIND_SQL} IN ('UNKNOWN', 'CACHE', 'LOCK', 'SCRAP')")
 def filter_forget_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that no lookup is made for."""
-    return classify_by_extension(spark, sf_dir).filter(F.col("kind").isin("UNKNOWN", "CACHE", "LOCK")).select("p_partkey", "kind")
+    return classify_by_extension(spark, sf_dir).filter(F.col("kind").isin("UNKNOWN", "CACHE", "LOCK", "SCRAP")).select("p_partkey", "kind")
 
 
-@query(f"""SELECT p_partkey, CASE kind WHEN 'UNKNOWN' THEN 'hold' WHEN 'CACHE' THEN CASE WHEN p_partkey % 3 = 0 THEN 'hold' ELSE 'delete' END WHEN 'LOCK' THEN 'delete' ELSE 'none' END AS action
+@query(f"""SELECT p_partkey, CASE kind WHEN 'UNKNOWN' THEN 'hold' WHEN 'CACHE' THEN CASE WHEN p_partkey % 3 = 0 THEN 'hold' ELSE 'delete' END WHEN 'LOCK' THEN 'delete' WHEN 'SCRAP' THEN 'delete' ELSE 'none' END AS action,
+           CASE kind WHEN 'UNKNOWN' THEN 'TYPE_UNKNOWN_FILE_TYPE' WHEN 'CACHE' THEN CASE WHEN p_partkey % 3 = 0 THEN 'TYPE_KEEP_DEDUPPER_FILE' ELSE 'TYPE_SWEEP_DEDUPPER_FILE' END WHEN 'LOCK' THEN 'TYPE_SWEEP_DEDUPPER_FILE' WHEN 'SCRAP' THEN 'TYPE_SCRAP_FILE_TYPE' END AS reason
            FROM (SELECT p_partkey, {KIND_SQL} AS kind FROM (SELECT p_partkey, {EXT} AS e FROM part))""")
 def file_type_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unknown files are held, locks deleted, caches held while their source (here every third) exists."""
+    """Unknown files are held, scrap and locks deleted, caches held while their source (here every third) exists."""
     rows = classify_by_extension(spark, sf_dir)
     sources = rows.filter("p_partkey % 3 = 0").select("p_partkey", F.lit(True).alias("present"))
-    k = F.col("kind")
-    action = F.when(k == "UNKNOWN", "hold").when((k == "CACHE") & F.col("present"), "hold").when(k.isin("CACHE", "LOCK"), "delete").otherwise("none")
-    return rows.join(sources, "p_partkey", "left").select("p_partkey", action.alias("action"))
+    v = J.kind_verdict(F.col("kind"), F.coalesce("present", F.lit(False)))
+    return rows.join(sources, "p_partkey", "left").select("p_partkey", F.coalesce(v["action"], F.lit("none")).alias("action"), v["reason"].alias("reason"))
 
 
 @query("SELECT event_id, regexp_matches(t, '[0-9]+') AS valid FROM (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN event_type ELSE event_type || CAST(user_id AS VARCHAR) END AS t FROM events)")

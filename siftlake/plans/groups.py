@@ -10,6 +10,7 @@ from siftlake.functions.paths import lookup
 from siftlake.operators import matching as M
 from siftlake.sources import fixtures as X
 
+from .near import near_pairs
 from .registry import query
 
 FX, SC, PT = X.BASE, "WITH " + X.SCORES, "WITH " + X.PATCHES
@@ -107,11 +108,12 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "documents").groupBy(F.sha1("text").alias("hash")).agg(F.count("*").alias("copies"), F.max("doc_id").alias("survivor"))
 
 
-@query(FX + "SELECT in_id, cat_id, CAST(row_number() OVER (PARTITION BY in_id ORDER BY p_distance, cat_id) AS INTEGER) AS number FROM near WHERE cat_id % 2 = 0")
+@query(FX + """SELECT in_id, cat_id, CAST(row_number() OVER (PARTITION BY in_id ORDER BY p_distance, cat_id) AS INTEGER) AS number
+               FROM near JOIN cat ON cat.doc_id = cat_id WHERE to_path IN (SELECT to_path FROM listing)""")
 def number_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers from 1 of the candidates that have a row to show (here the even ones)."""
-    pairs = M._pairs(M.near_dup_banded(X.incoming(spark, sf_dir, True), X.catalog(spark, sf_dir, True)))
-    return M.ranked(pairs.filter(F.col("cat_id") % 2 == 0)).select("in_id", "cat_id", F.col("rank").alias("number"))
+    """Numbers from 1 of the candidates that have a file to show."""
+    there = M.exists(X.catalog(spark, sf_dir), X.listing(spark, sf_dir)).filter("present").select(F.col("doc_id").alias("cat_id"))
+    return M.ranked(near_pairs(spark, sf_dir).join(there, "cat_id", "left_semi")).select("in_id", "cat_id", F.col("rank").alias("number"))
 
 
 def first_of(rows: DataFrame, key: str, rank: str) -> DataFrame:
@@ -121,12 +123,12 @@ def first_of(rows: DataFrame, key: str, rank: str) -> DataFrame:
     return chosen.select(key, F.coalesce("d.action", "r.action", F.lit("hold")).alias("action"), F.coalesce("d.cat_id", "r.cat_id").alias("cat_id"))
 
 
-@query("""WITH v AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'replace' WHEN 'signup' THEN 'transfer' WHEN 'view' THEN 'save' ELSE 'hold' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rank FROM events WHERE event_id % 20 = 0),
+@query("""WITH v AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'replace' WHEN 'signup' THEN 'transfer' WHEN 'view' THEN 'save' ELSE 'hold' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rank FROM events),
           p AS (SELECT user_id, min(CASE WHEN action = 'delete' THEN rank END) AS d, min(CASE WHEN action IN ('replace', 'transfer') THEN rank END) AS r FROM v GROUP BY user_id)
           SELECT p.user_id, coalesce(v.action, 'hold') AS action, v.event_id AS cat_id FROM p LEFT JOIN v ON v.user_id = p.user_id AND v.rank = coalesce(p.d, p.r)""")
 def first_delete_else_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions = {"error": "delete", "purchase": "replace", "signup": "transfer", "view": "save", "click": "hold"}
-    rows = X.table(spark, sf_dir, "events").filter("event_id % 20 = 0").select("user_id", F.col("event_id").alias("cat_id"), lookup(actions, F.col("event_type")).alias("action"), F.struct("value", "event_id").alias("rank"))
+    rows = X.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("cat_id"), lookup(actions, F.col("event_type")).alias("action"), F.struct("value", "event_id").alias("rank"))
     return first_of(rows, "user_id", "rank")
 
 
@@ -157,12 +159,11 @@ def resolve_path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKS = ["purchase", "view", "click", "error"]
 
 
-@query("SELECT event_id, event_type AS reason, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 ELSE -1 END, user_id, event_id) AS BIGINT) AS line FROM events QUALIFY line <= 500")
+@query("SELECT event_id, event_type AS reason, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 ELSE -1 END AS rank, user_id FROM events ORDER BY rank, user_id, event_id")
 def report_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report's first 500 lines: by the reason's rank (unlisted ones first), then path."""
+    """A report's lines: by the reason's rank (unlisted ones first), then path."""
     rank = F.coalesce(lookup({r: i for i, r in enumerate(RANKS)}, F.col("event_type")), F.lit(-1))
-    top = X.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("reason"), "user_id", rank.alias("rank")).orderBy("rank", "user_id", "event_id").limit(500)
-    return top.select("event_id", "reason", F.row_number().over(Window.orderBy("rank", "user_id", "event_id")).cast("long").alias("line"))
+    return X.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("reason"), rank.alias("rank"), "user_id").orderBy("rank", "user_id", "event_id")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 250")

@@ -5,41 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.functions.paths import directory
 from siftlake.operators import matching as M
 from siftlake.sources import fixtures as X
+from siftlake.sources.shared import cut
 
 from .registry import query
 
 FX = X.BASE
 
 
+def near_pairs(spark: SparkSession, sf_dir: str, find=M.near_dup_multi_index, rows: DataFrame | None = None) -> DataFrame:
+    """in_id, cat_id and both distances of the incoming rows (or of ``rows``) and the catalogue.
+
+    The first hashes find pairs; the second ones are computed for the documents of pairs only.
+    """
+    rows = X.with_hashes(rows, spark, sf_dir, ("p_hash",)) if rows is not None else X.incoming(spark, sf_dir, ("p_hash",))
+    pairs = cut(find(rows, X.catalog(spark, sf_dir, ("p_hash",))), "near-pairs")
+    ids = pairs.select(F.col("in_id").alias("doc_id")).union(pairs.select("cat_id")).distinct()
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return M.second_distance(pairs, X.similarity_hashes(docs, ("d_hash",))).select("in_id", "cat_id", "p_distance", "d_distance")
+
+
 @query(FX + "SELECT in_id, cat_id, p_distance, d_distance FROM near")
 def near_dup_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M._pairs(M.near_dup_banded(X.incoming(spark, sf_dir, True), X.catalog(spark, sf_dir, True)))
+    return near_pairs(spark, sf_dir)
 
 
 @query(FX + "SELECT in_id, cat_id, p_distance, d_distance FROM near")
 def near_dup_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.near_dup_multi_index(X.incoming(spark, sf_dir, True), X.catalog(spark, sf_dir, True))
+    """The same by blocks and one-bit neighbours alone, whatever the ratios."""
+    return near_pairs(spark, sf_dir, lambda a, b: M.near_dup_multi_index(a, b, slots=False))
 
 
 @query(FX + "SELECT in_id, cat_id, p_distance, d_distance FROM near WHERE p_distance < 3 AND d_distance < 8")
 def near_dup_exact_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.near_dup_exact_tier(X.incoming(spark, sf_dir, True), X.catalog(spark, sf_dir, True))
+    return M.sure(near_pairs(spark, sf_dir, M.near_dup_sure))
 
 
 @query(FX + "SELECT *, CAST(row_number() OVER (PARTITION BY in_id ORDER BY p_distance, cat_id) AS INTEGER) AS rank FROM near")
 def nearest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.ranked(near_dup_search(spark, sf_dir))
+    return M.ranked(near_pairs(spark, sf_dir))
 
 
 @query(FX + """SELECT in_id, cat_id, p_distance FROM near JOIN inc n ON n.doc_id = in_id JOIN cat c ON c.doc_id = cat_id
-               WHERE regexp_extract(n.from_path, '^/in(/.*)/[^/]*$', 1) <> regexp_extract(c.from_path, '^/in(/.*)/[^/]*$', 1)""")
+               WHERE regexp_extract(n.from_path, '^(.*)/[^/]*$', 1) <> regexp_extract(c.from_path, '^(.*)/[^/]*$', 1)""")
 def exclude_same_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates stored from another directory than the incoming row's."""
-    pairs = M.near_dup_banded(X.incoming(spark, sf_dir, True), X.catalog(spark, sf_dir, True), ("from_path",))
-    parent = lambda c: F.regexp_extract(c, "^/in(/.*)/[^/]*$", 1)
-    return pairs.filter(parent("i_from_path") != parent("c_from_path")).select("in_id", "cat_id", "p_distance")
+    rows = X.incoming(spark, sf_dir).select(F.col("doc_id").alias("in_id"), directory(F.col("from_path")).alias("in_dir"))
+    stored = X.catalog(spark, sf_dir).select(F.col("doc_id").alias("cat_id"), directory(F.col("from_path")).alias("cat_dir"))
+    pairs = near_pairs(spark, sf_dir).join(rows, "in_id").join(stored, "cat_id")
+    return pairs.filter("in_dir <> cat_dir").select("in_id", "cat_id", "p_distance")
 
 
 @query(FX + "SELECT n.doc_id AS in_id, c.doc_id AS cat_id, c.state FROM inc n JOIN cat c USING (hash)")
@@ -123,12 +139,10 @@ def category_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM inc n LEFT JOIN nr k ON k.in_id = n.doc_id AND k.rank = n.doc_id % 3 LEFT JOIN nr f ON f.in_id = n.doc_id AND f.rank = 1 LEFT JOIN nm ON nm.in_id = n.doc_id""")
 def pick_replace_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate of the mark's number (here doc_id mod 3), else the first one, else the first of the same name, else none."""
-    rows = X.incoming(spark, sf_dir, True).select("doc_id", "name", "ratio", "p_hash", "d_hash", "hash", "state")
-    stored = X.catalog(spark, sf_dir, True)
-    near = M.ranked(M._pairs(M.near_dup_banded(rows, stored)))
+    rows, stored = X.incoming(spark, sf_dir).select("doc_id", "name"), X.catalog(spark, sf_dir)
+    near = M.ranked(near_pairs(spark, sf_dir))
     pick = near.groupBy("in_id").agg(F.min_by("cat_id", "rank").alias("first"), F.max(F.when(F.col("rank") == F.col("in_id") % 3, F.col("cat_id"))).alias("numbered"))
-    names = rows.select(F.col("doc_id").alias("in_id"), "name").join(stored.select("name", F.col("doc_id").alias("c")), "name").groupBy("in_id").agg(F.min("c").alias("named"))
-    out = rows.select(F.col("doc_id").alias("in_id")).join(pick, "in_id", "left").join(names, "in_id", "left")
+    out = rows.select(F.col("doc_id").alias("in_id")).join(pick, "in_id", "left").join(M.name_counts(rows, stored), "in_id", "left")
     chosen = F.when(F.col("numbered").isNotNull(), "numbered").when(F.col("first").isNotNull(), "first").when(F.col("named").isNotNull(), "name").otherwise("save")
     return out.select("in_id", F.coalesce("numbered", "first", "named").alias("target"), chosen.alias("chosen"))
 

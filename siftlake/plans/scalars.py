@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import hashes as H
 from siftlake.functions import numbers as N
 from siftlake.functions import paths as P
+from siftlake.functions import reasons as R
 from siftlake.sources import fixtures as X
 
 from .registry import query
@@ -28,7 +29,7 @@ def hamming64(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(FX + "SELECT doc_id, CAST(p AS VARCHAR) AS p_hash FROM sim")
 def phash64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity hash of the words of each document, as unsigned text."""
-    return X.features(spark, sf_dir, True).filter(F.col("p_hash").isNotNull()).select("doc_id", F.conv(F.col("p_hash").cast("string"), 10, 16).alias("h")).select("doc_id", F.conv("h", 16, 10).alias("p_hash"))
+    return X.features(spark, sf_dir, ("p_hash",)).filter(F.col("p_hash").isNotNull()).select("doc_id", F.conv(F.col("p_hash").cast("string"), 10, 16).alias("h")).select("doc_id", F.conv("h", 16, 10).alias("p_hash"))
 
 
 @query("""SELECT vec_id, CAST(sum(CASE WHEN embedding[i + 1] < embedding[CASE WHEN i % 8 = 7 THEN i - 7 ELSE i + 1 END + 1] THEN (1::UBIGINT << CAST(i AS UBIGINT)) ELSE 0 END) AS VARCHAR) AS d_hash
@@ -89,23 +90,24 @@ def add_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "part").select("p_partkey", P.with_marks(path, letters, F.when(k == 1, F.col("p_size").cast("string")).otherwise("")).alias("path"))
 
 
-REASONS = {"view": "P_HASH_MATCH_LESS_PIXEL", "click": "P_HASH_MATCH", "error": "NG_FILE_NAME", "signup": "HASH_MATCH", "purchase": "LOW_RESOLUTION"}
+#: Every reason, dealt over the events.
+REASON_LIST = R.every_reason()
+REASON_SQL = f"list_extract([{', '.join(f"'{r}'" for r in REASON_LIST)}], CAST(event_id % {len(REASON_LIST)} + 1 AS INTEGER))"
 
 
-@query(f"""SELECT event_id, CASE WHEN t = '' THEN 'REPLACE' ELSE t END AS token FROM (SELECT event_id, regexp_replace(regexp_replace(CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in REASONS.items())} END, '^P_HASH_MATCH_?', ''), '_FILE', '') AS t FROM events)""")
-def reason_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short token of a reason; nothing left means a plain replacement."""
-    t = F.regexp_replace(F.regexp_replace(P.lookup(REASONS, F.col("event_type")), "^P_HASH_MATCH_?", ""), "_FILE", "")
-    return X.table(spark, sf_dir, "events").select("event_id", t.alias("t")).select("event_id", F.when(F.col("t") == "", "REPLACE").otherwise(F.col("t")).alias("token"))
+def _reason():
+    return F.element_at(F.array(*[F.lit(r) for r in REASON_LIST]), (F.col("event_id") % len(REASON_LIST) + 1).cast("int"))
 
 
-#: Which marks an examined row gets for its reason.
-REASON_MARKS = {"NG_FILE_NAME": "block", "LOW_RESOLUTION": "erase", "HASH_MATCH": "dedupe", "P_HASH_MATCH": "replace", "P_HASH_MATCH_LESS_PIXEL": "dedupe,save"}
+@query(f"""SELECT event_id, CASE WHEN t = '' THEN 'REPLACE' ELSE t END AS token FROM (SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({REASON_SQL}, 'TYPE_', ''), 'P_HASH_', ''), 'MATCH($|_)', ''), 'REJECT_', '') AS t FROM events)""")
+def reason_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short token of a reason; nothing left means a plain replacement."""
+    return X.table(spark, sf_dir, "events").select("event_id", R.token(_reason()).alias("token"))
 
 
-@query(f"""SELECT event_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{REASON_MARKS[v]}'" for k, v in REASONS.items())} END AS marks FROM events""")
+@query(f"""SELECT event_id, CASE {REASON_SQL} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in R.MARK_OF.items())} ELSE '' END AS marks FROM events""")
 def reason_to_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "events").select("event_id", P.lookup(REASON_MARKS, P.lookup(REASONS, F.col("event_type"))).alias("marks"))
+    return X.table(spark, sf_dir, "events").select("event_id", F.coalesce(P.lookup(R.MARK_OF, _reason()), F.lit("")).alias("marks"))
 
 
 @query(r"SELECT page_id, lower(replace(regexp_replace(regexp_replace(url, '[0-9]+', 'N'), 'e', 'E', 'g'), 'http://', '')) AS path FROM pages")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.functions.paths import lookup
+from siftlake.functions.paths import marks
+from siftlake.functions.reasons import BLOCKED, DEDUPED, ERASED, SWEPT, erased_state, remembered_state
 from siftlake.operators import judging as J
 from siftlake.operators import matching as M
+from siftlake.operators import merging as G
 from siftlake.sources import fixtures as X
+from siftlake.sources.shared import cut
 
 from .filters import GATE, quality_reason
-from .near import REMOTE, backup_decisions
+from .near import REMOTE, backup_decisions, near_pairs
 from .registry import query
 
 FX = X.BASE
@@ -21,53 +24,105 @@ FACTORS = FX + r""", stt AS (
     (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0) WHERE c <> '' GROUP BY doc_id, c) GROUP BY doc_id) JOIN tok USING (doc_id)),
 fac AS (
   SELECT in_id, cat_id, p_distance, d_distance, c.to_path IN (SELECT to_path FROM listing) AS accessible,
+         regexp_extract(i.from_path, '^(.*)/[^/]*$', 1) = regexp_extract(c.from_path, '^(.*)/[^/]*$', 1) AS same_dir,
          i.width * i.height < c.width * c.height * 0.95 AS small_pixel, i.width * i.height = c.width * c.height AS same_pixel,
-         c.size * 0.66 > i.size AS small_size, i."timestamp" > c."timestamp" AS newer, p_distance < 3 AND d_distance < 8 AS sure, c.state = 300 AS keep,
+         c.size * 0.66 > i.size AS small_size, i."timestamp" > c."timestamp" AS newer, NOT (p_distance < 3 AND d_distance < 8) AS may_be,
+         i.state = 300 AS will_keep, c.state = 300 AS keeping,
          a.mean AS im, b.mean AS cm, a.entropy AS ie, b.entropy AS ce, a.quality AS iq, b.quality AS cq
   FROM near JOIN inc i ON i.doc_id = in_id JOIN cat c ON c.doc_id = cat_id LEFT JOIN stt a ON a.doc_id = in_id LEFT JOIN stt b ON b.doc_id = cat_id),
 ver AS (
-  SELECT *, CASE WHEN small_pixel OR small_size OR (newer AND same_pixel) THEN 'delete' WHEN NOT accessible THEN 'hold' WHEN abs(im - cm) > 20 THEN 'hold'
-                 WHEN ie < ce * 0.9 OR cq * 0.66 > iq THEN 'delete' ELSE 'replace' END AS action,
-         CASE WHEN small_pixel THEN 'P_HASH_REJECT_LOW_RESOLUTION' WHEN small_size THEN 'P_HASH_REJECT_LOW_FILE_SIZE' WHEN newer AND same_pixel THEN 'P_HASH_REJECT_NEWER'
-              WHEN NOT accessible THEN 'P_HASH_MATCH_LOST' WHEN abs(im - cm) > 20 THEN 'P_HASH_MATCH_DIFFERENT_MEAN' WHEN ie < ce * 0.9 THEN 'P_HASH_REJECT_LOW_ENTROPY'
-              WHEN cq * 0.66 > iq THEN 'P_HASH_REJECT_LOW_QUALITY' ELSE 'P_HASH_MATCH' END AS reason FROM fac),
+  SELECT *, CASE WHEN small_pixel OR small_size OR (newer AND same_pixel) THEN CASE WHEN may_be THEN 'hold' ELSE 'delete' END WHEN NOT accessible THEN 'hold'
+                 WHEN abs(im - cm) > 20 THEN CASE WHEN may_be THEN 'save' ELSE 'hold' END
+                 WHEN round(ce, 9) > round(ie, 9) OR cq * 0.66 > iq THEN CASE WHEN may_be THEN 'hold' ELSE 'delete' END ELSE 'replace' END AS action,
+         CASE WHEN small_pixel THEN 'TYPE_P_HASH_REJECT_LOW_RESOLUTION' WHEN small_size THEN 'TYPE_P_HASH_REJECT_LOW_FILE_SIZE' WHEN newer AND same_pixel THEN 'TYPE_P_HASH_REJECT_NEWER'
+              WHEN NOT accessible THEN 'TYPE_P_HASH_MATCH_LOST_FILE' WHEN abs(im - cm) > 20 THEN 'TYPE_P_HASH_REJECT_DIFFERENT_MEAN' WHEN round(ce, 9) > round(ie, 9) THEN 'TYPE_P_HASH_REJECT_LOW_ENTROPY'
+              WHEN cq * 0.66 > iq THEN 'TYPE_P_HASH_REJECT_LOW_QUALITY' ELSE 'TYPE_P_HASH_MATCH' END AS reason FROM fac),
 rem2 AS (
-  SELECT in_id, cat_id, p_distance, CASE WHEN NOT sure THEN 'hold' WHEN action = 'replace' AND keep THEN 'transfer' ELSE action END AS action,
-         CASE WHEN reason = 'P_HASH_MATCH' AND keep THEN 'P_HASH_MATCH_KEEPING' ELSE reason END AS reason FROM ver),
+  SELECT in_id, cat_id, p_distance,
+         CASE WHEN may_be THEN 'hold' WHEN action = 'replace' AND keeping THEN 'save' WHEN will_keep AND action = 'delete' AND NOT keeping THEN 'save' WHEN will_keep AND action = 'replace' THEN 'transfer' ELSE action END AS action,
+         CASE WHEN action = 'replace' AND keeping THEN 'TYPE_P_HASH_MATCH_KEEPING' WHEN will_keep AND action = 'delete' AND NOT keeping THEN 'TYPE_P_HASH_MATCH_WILL_KEEP'
+              WHEN will_keep AND action = 'replace' THEN 'TYPE_P_HASH_MATCH_TRANSFER' ELSE reason END AS reason FROM ver),
 rk AS (SELECT *, row_number() OVER (PARTITION BY in_id ORDER BY p_distance, cat_id) AS r FROM rem2),
 nv AS (
   SELECT in_id, coalesce(any_value(action) FILTER (WHERE r = pick), 'hold') AS action, any_value(cat_id) FILTER (WHERE r = pick) AS hit_id,
-         any_value(reason) FILTER (WHERE r = coalesce(pick, 1)) AS reason, CAST(CASE WHEN any_value(pick) IS NULL THEN count(*) ELSE 0 END AS INTEGER) AS n_candidates
+         coalesce(any_value(reason) FILTER (WHERE r = pick), 'TYPE_P_HASH_MAY_BE') AS reason, CAST(CASE WHEN any_value(pick) IS NULL THEN count(*) ELSE 0 END AS INTEGER) AS n_candidates
   FROM rk JOIN (SELECT in_id, coalesce(min(r) FILTER (WHERE action = 'delete'), min(r) FILTER (WHERE action IN ('replace', 'transfer'))) AS pick FROM rk GROUP BY in_id) USING (in_id) GROUP BY in_id)
 """
-EXACT = """
-ex AS (SELECT n.doc_id AS in_id, c.doc_id AS exact_id, CASE WHEN n.state = 300 AND c.state >= 200 THEN 'transfer'
-         WHEN c.state >= 200 AND c.to_path NOT IN (SELECT to_path FROM listing) AND c.doc_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN 'save' ELSE 'delete' END AS action,
-         CASE WHEN n.state = 300 AND c.state >= 200 THEN 'HASH_MATCH_KEEPING'
-         WHEN c.state >= 200 AND c.to_path NOT IN (SELECT to_path FROM listing) AND c.doc_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN 'HASH_MATCH_RECOVERY' ELSE 'HASH_MATCH' END AS reason
+
+
+def _v(action: str, reason: str, hit: str = "NULL::BIGINT", n: str = "0") -> str:
+    """SQL of a whole verdict."""
+    return f"struct_pack(action := '{action}', hit_id := {hit}, reason := '{reason}', n_candidates := CAST({n} AS INTEGER))"
+
+
+LOST = "c.state >= 200 AND c.to_path NOT IN (SELECT to_path FROM listing) AND c.doc_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)"
+EXACT = f"""
+ex AS (SELECT n.doc_id AS in_id, c.doc_id AS exact_id, c.state AS exact_state, CASE WHEN n.state = 300 AND c.state = 200 THEN {_v('transfer', 'TYPE_HASH_MATCH_TRANSFER', 'c.doc_id')}
+         WHEN {LOST} THEN {_v('save', 'TYPE_HASH_MATCH_RECOVERY', 'c.doc_id')} ELSE {_v('delete', 'TYPE_HASH_MATCH')} END AS v
        FROM inc n JOIN cat c USING (hash))"""
-JUDGED = FACTORS + f""", {EXACT},
-nm AS (SELECT n.doc_id AS in_id, count(*) AS k FROM inc n JOIN cat c USING (name) GROUP BY n.doc_id),
-jd AS (
-  SELECT n.doc_id AS in_id, CASE WHEN n.ng THEN 'delete' WHEN n.gate IS NOT NULL THEN 'hold' ELSE coalesce(ex.action, nv.action, CASE WHEN nm.k > 0 THEN 'hold' ELSE 'save' END) END AS action,
-         CASE WHEN n.ng OR n.gate IS NOT NULL THEN NULL WHEN ex.action IS NOT NULL THEN exact_id ELSE hit_id END AS hit_id,
-         CASE WHEN n.ng THEN 'NG_FILE_NAME' WHEN n.gate IS NOT NULL THEN n.gate ELSE coalesce(ex.reason, nv.reason, CASE WHEN nm.k > 0 THEN 'NAME_MATCH' ELSE 'NO_PROBLEM' END) END AS reason,
-         CAST(CASE WHEN n.ng OR n.gate IS NOT NULL OR ex.action IS NOT NULL THEN 0 WHEN nv.action IS NOT NULL THEN n_candidates ELSE coalesce(nm.k, 0) END AS INTEGER) AS n_candidates
-  FROM (SELECT *, name LIKE 'and %' AS ng, {GATE} AS gate FROM inc) n LEFT JOIN ex ON ex.in_id = n.doc_id LEFT JOIN nv ON nv.in_id = n.doc_id LEFT JOIN nm ON nm.in_id = n.doc_id)
+MARKED = f""", {EXACT},
+nm AS (SELECT n.doc_id AS in_id, min(c.doc_id) AS named, count(*) AS k FROM inc n JOIN cat c USING (name) GROUP BY n.doc_id),
+od AS (SELECT in_id, cat_id, row_number() OVER (PARTITION BY in_id ORDER BY p_distance, cat_id) AS rank FROM near),
+mk AS (SELECT doc_id AS in_id, regexp_extract(from_path, '\\.!([a-z]+)[0-9]*\\.[^./]*$', 1) AS m, TRY_CAST(regexp_extract(from_path, '\\.![a-z]+([0-9]+)\\.[^./]*$', 1) AS INTEGER) AS number FROM inc),
+tg AS (SELECT mk.in_id, m, coalesce(a.cat_id, b.cat_id) AS target, named FROM mk LEFT JOIN od a ON a.in_id = mk.in_id AND a.rank = number LEFT JOIN od b ON b.in_id = mk.in_id AND b.rank = 1 LEFT JOIN nm ON nm.in_id = mk.in_id),
+mv AS (SELECT tg.in_id, CASE WHEN m = '' THEN NULL WHEN contains(m, 'h') OR (contains(m, 'b') AND exact_state >= 200 AND n.from_path NOT LIKE '/lib/%') THEN {_v('hold', 'TYPE_FILE_MARK_HOLD')}
+         WHEN contains(m, 'b') THEN {_v('delete', 'TYPE_FILE_MARK_BLOCK')} WHEN contains(m, 'd') THEN {_v('delete', 'TYPE_FILE_MARK_DEDUPE')} WHEN contains(m, 'e') THEN {_v('delete', 'TYPE_FILE_MARK_ERASE')}
+         WHEN contains(m, 'r') AND coalesce(target, named) IS NOT NULL THEN {_v('replace', 'TYPE_FILE_MARK_REPLACE', 'coalesce(target, named)')}
+         WHEN contains(m, 't') AND target IS NOT NULL THEN {_v('transfer', 'TYPE_FILE_MARK_TRANSFER', 'target')} ELSE {_v('save', 'TYPE_FILE_MARK_SAVE')} END AS v
+       FROM tg JOIN inc n ON n.doc_id = tg.in_id LEFT JOIN ex ON ex.in_id = tg.in_id)"""
+AFTER = ", ".join(f"'{r}'" for r in J.AFTER_EXACT)
+REMEMBERED = f"CASE WHEN reason IN ({', '.join(f"'{r}'" for r in DEDUPED)}) THEN 100 WHEN reason IN ({', '.join(f"'{r}'" for r in BLOCKED)}) THEN 0 END"
+JUDGED = FACTORS + MARKED + f""",
+j0 AS (
+  SELECT n.doc_id AS in_id, n.hash, n.state, n."timestamp" AS t, n.from_path AS f, ex.exact_id, CASE
+    WHEN n.name LIKE 'and %' THEN {_v('delete', 'TYPE_NG_FILE_NAME')}
+    WHEN n.kind = 'UNKNOWN' THEN {_v('hold', 'TYPE_UNKNOWN_FILE_TYPE')} WHEN n.kind = 'SCRAP' THEN {_v('delete', 'TYPE_SCRAP_FILE_TYPE')}
+    WHEN n.kind = 'CACHE' AND n.doc_id % 4 = 0 THEN {_v('hold', 'TYPE_KEEP_DEDUPPER_FILE')} WHEN n.kind IN ('CACHE', 'LOCK') THEN {_v('delete', 'TYPE_SWEEP_DEDUPPER_FILE')}
+    WHEN mv.v IS NOT NULL THEN mv.v
+    WHEN n.gate IS NOT NULL THEN struct_pack(action := 'hold', hit_id := NULL::BIGINT, reason := n.gate, n_candidates := CAST(0 AS INTEGER))
+    WHEN ex.v IS NOT NULL THEN ex.v
+    WHEN n.doc_id % 97 = 0 THEN {_v('hold', 'TYPE_DEEP_LEARNING')} WHEN n.doc_id % 17 = 0 THEN {_v('delete', 'TYPE_DEEP_LEARNING')}
+    WHEN nv.action IS NOT NULL THEN struct_pack(action := nv.action, hit_id := nv.hit_id, reason := nv.reason, n_candidates := nv.n_candidates)
+    WHEN nm.k > 0 THEN {_v('hold', 'TYPE_FILE_NAME_MATCH', n='nm.k')} ELSE {_v('save', 'TYPE_NO_PROBLEM')} END AS v
+  FROM (SELECT *, {GATE} AS gate FROM inc) n LEFT JOIN ex ON ex.in_id = n.doc_id LEFT JOIN mv ON mv.in_id = n.doc_id LEFT JOIN nv ON nv.in_id = n.doc_id LEFT JOIN nm ON nm.in_id = n.doc_id),
+j1 AS (SELECT *, v.action AS action, v.reason AS reason FROM j0),
+fr AS (SELECT hash, in_id AS first_id, t, f, stored FROM (
+         SELECT *, row_number() OVER (PARTITION BY hash ORDER BY t, f, in_id) AS i FROM (
+           SELECT *, CASE WHEN action IN ('save', 'replace', 'transfer') THEN state WHEN action = 'delete' THEN {REMEMBERED} END AS stored FROM j1 WHERE exact_id IS NULL) WHERE stored IS NOT NULL) WHERE i = 1),
+j2 AS (SELECT j1.in_id, CASE WHEN fr.hash IS NOT NULL AND exact_id IS NULL AND (j1.t, j1.f, j1.in_id) > (fr.t, fr.f, fr.first_id) AND reason IN ({AFTER})
+         THEN CASE WHEN state = 300 AND stored = 200 THEN {_v('transfer', 'TYPE_HASH_MATCH_TRANSFER', 'first_id')} ELSE {_v('delete', 'TYPE_HASH_MATCH')} END ELSE v END AS v
+       FROM j1 LEFT JOIN fr USING (hash)),
+jd AS (SELECT in_id, v.action AS action, v.hit_id AS hit_id, v.reason AS reason, v.n_candidates AS n_candidates FROM j2)
 """
 
 
+def factors(spark: SparkSession, sf_dir: str, pairs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The factors of pairs; statistics are computed for the documents of pairs only."""
+    ids = pairs.select(F.col("in_id").alias("doc_id")).union(pairs.select("cat_id")).distinct()
+    rows = X.incoming(spark, sf_dir) if rows is None else rows
+    return J.candidates(pairs, rows, X.catalog(spark, sf_dir), X.listing(spark, sf_dir), X.statistics(spark, sf_dir, ids))
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.candidates(X.incoming(spark, sf_dir, True), X.catalog(spark, sf_dir, True), X.listing(spark, sf_dir), X.statistics(spark, sf_dir))
+    return factors(spark, sf_dir, cut(near_pairs(spark, sf_dir), "pairs"))
 
 
 def _needless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("doc_id"))
 
 
+def judge(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Verdicts of incoming rows against the catalogue; only these rows are looked up."""
+    stored = X.catalog(spark, sf_dir)
+    pairs = cut(near_pairs(spark, sf_dir, rows=rows), "pairs")
+    near = J.near_verdicts(J.remapped(J.judged(factors(spark, sf_dir, pairs, rows))))
+    found = J.evidence(rows, stored, X.listing(spark, sf_dir), near, pairs, _needless(spark, sf_dir))
+    k = F.col("doc_id")
+    return J.cascade(found, J.steps(F.col("name").like("and %"), quality_reason(), k % 4 == 0, rejected=k % 17 == 0, failed=k % 97 == 0, gate_deletes=True))
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, stored = X.incoming(spark, sf_dir), X.catalog(spark, sf_dir)
-    return J.cascade(rows, stored, X.listing(spark, sf_dir), near_dup_verdict(spark, sf_dir), _needless(spark, sf_dir), quality_reason(), F.col("name").like("and %"))
+    return judge(spark, sf_dir, cut(X.incoming(spark, sf_dir), "incoming"))
 
 
 @query(JUDGED + "SELECT * FROM jd")
@@ -75,19 +130,26 @@ def judge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir)
 
 
-@query(FACTORS + "SELECT in_id, cat_id, accessible, small_pixel, same_pixel, small_size, newer, sure, keep FROM fac")
+FACTOR_NAMES = ["accessible", "same_dir", "small_pixel", "same_pixel", "small_size", "newer", "may_be", "will_keep", "keeping"]
+
+
+@query(FACTORS + f"SELECT in_id, cat_id, {', '.join(FACTOR_NAMES)} FROM fac")
 def candidate_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("in_id", "cat_id", "accessible", "small_pixel", "same_pixel", "small_size", "newer", "sure", "keep")
+    return _candidates(spark, sf_dir).select("in_id", "cat_id", *FACTOR_NAMES)
 
 
-@query(FACTORS + "SELECT in_id, cat_id, CASE WHEN small_pixel THEN 'P_HASH_REJECT_LOW_RESOLUTION' WHEN small_size THEN 'P_HASH_REJECT_LOW_FILE_SIZE' WHEN newer AND same_pixel THEN 'P_HASH_REJECT_NEWER' END AS reason FROM fac")
+@query(FACTORS + """SELECT in_id, cat_id, CASE WHEN small_pixel THEN 'TYPE_P_HASH_REJECT_LOW_RESOLUTION' WHEN small_size THEN 'TYPE_P_HASH_REJECT_LOW_FILE_SIZE' WHEN newer AND same_pixel THEN 'TYPE_P_HASH_REJECT_NEWER' END AS reason,
+                    CASE WHEN small_pixel OR small_size OR (newer AND same_pixel) THEN CASE WHEN may_be THEN 'hold' ELSE 'delete' END END AS action FROM fac""")
 def candidate_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("in_id", "cat_id", J.rejection()["reason"].alias("reason"))
+    v = J.rejection()
+    return _candidates(spark, sf_dir).select("in_id", "cat_id", v["reason"].alias("reason"), v["action"].alias("action"))
 
 
-@query(FACTORS + "SELECT in_id, cat_id, CASE WHEN abs(im - cm) > 20 THEN 'P_HASH_MATCH_DIFFERENT_MEAN' WHEN ie < ce * 0.9 THEN 'P_HASH_REJECT_LOW_ENTROPY' WHEN cq * 0.66 > iq THEN 'P_HASH_REJECT_LOW_QUALITY' END AS reason FROM fac")
+@query(FACTORS + """SELECT in_id, cat_id, CASE WHEN abs(im - cm) > 20 THEN 'TYPE_P_HASH_REJECT_DIFFERENT_MEAN' WHEN round(ce, 9) > round(ie, 9) THEN 'TYPE_P_HASH_REJECT_LOW_ENTROPY' WHEN cq * 0.66 > iq THEN 'TYPE_P_HASH_REJECT_LOW_QUALITY' END AS reason,
+                    CASE WHEN abs(im - cm) > 20 THEN CASE WHEN may_be THEN 'save' ELSE 'hold' END WHEN round(ce, 9) > round(ie, 9) OR cq * 0.66 > iq THEN CASE WHEN may_be THEN 'hold' ELSE 'delete' END END AS action FROM fac""")
 def candidate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("in_id", "cat_id", J.by_statistics()["reason"].alias("reason"))
+    v = J.by_statistics()
+    return _candidates(spark, sf_dir).select("in_id", "cat_id", v["reason"].alias("reason"), v["action"].alias("action"))
 
 
 @query(FACTORS + "SELECT in_id, cat_id, action, reason FROM ver")
@@ -105,57 +167,58 @@ def near_dup_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.near_verdicts(J.remapped(J.judged(_candidates(spark, sf_dir))))
 
 
-@query(FX + f", {EXACT} SELECT in_id, exact_id, action, reason FROM ex")
-def exact_hash_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, stored = X.incoming(spark, sf_dir), X.catalog(spark, sf_dir)
     hits = M.exact_lookup(rows, stored).withColumnRenamed("state", "stored_state").join(rows.select(F.col("doc_id").alias("in_id"), "state"), "in_id")
     hits = M.exists(hits.join(stored.select(F.col("doc_id").alias("cat_id"), "to_path"), "cat_id"), X.listing(spark, sf_dir))
-    hits = hits.join(_needless(spark, sf_dir).select(F.col("doc_id").alias("cat_id"), F.lit(True).alias("needless")), "cat_id", "left")
-    v = J.exact_verdict(F.col("state"), F.col("stored_state"), F.col("present"), F.coalesce("needless", F.lit(False)))
-    return hits.select("in_id", F.col("cat_id").alias("exact_id"), v["action"].alias("action"), v["reason"].alias("reason"))
+    return hits.join(_needless(spark, sf_dir).select(F.col("doc_id").alias("cat_id"), F.lit(True).alias("needless")), "cat_id", "left").withColumn("needless", F.coalesce("needless", F.lit(False)))
 
 
-@query(FX + "SELECT n.doc_id AS in_id, CASE WHEN c.hash IS NULL THEN 'hold' ELSE 'relocate' END AS action FROM inc n LEFT JOIN cat c USING (hash)")
-def relocate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = M.exact_lookup(X.incoming(spark, sf_dir), X.catalog(spark, sf_dir)).select("in_id", "cat_id")
-    return X.incoming(spark, sf_dir).select(F.col("doc_id").alias("in_id")).join(hits, "in_id", "left").select("in_id", F.when(F.col("cat_id").isNull(), "hold").otherwise("relocate").alias("action"))
+@query(FX + f""", {EXACT}, nt AS (SELECT n.doc_id AS in_id, CASE WHEN {LOST} THEN 'save' ELSE 'delete' END AS action FROM inc n JOIN cat c USING (hash))
+       SELECT in_id, v.action AS action, v.hit_id AS hit_id, v.reason AS reason, nt.action AS without_transfer FROM ex JOIN nt USING (in_id)""")
+def exact_hash_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts with and without transfers to rows that are to be kept."""
+    with_, without = (J.exact_verdict(F.col("state"), F.col("cat_id"), F.col("stored_state"), F.col("present"), F.col("needless"), no_transfer=x) for x in (False, True))
+    return _exact_hits(spark, sf_dir).select("in_id", with_["action"].alias("action"), with_["hit_id"].alias("hit_id"), with_["reason"].alias("reason"), without["action"].alias("without_transfer"))
 
 
-MARK = "CASE doc_id % 8 WHEN 0 THEN ['hold', 'save'] WHEN 1 THEN ['block'] WHEN 2 THEN ['dedupe'] WHEN 3 THEN ['erase'] WHEN 4 THEN ['replace'] WHEN 5 THEN ['transfer', 'save'] WHEN 6 THEN ['save'] ELSE [] END"
+@query(FX + """SELECT n.doc_id AS in_id, CASE WHEN c.hash IS NULL THEN 'hold' ELSE 'relocate' END AS action, c.doc_id AS hit_id,
+               CASE WHEN c.hash IS NULL THEN 'TYPE_HASH_MISMATCH_RELOCATE' ELSE 'TYPE_HASH_MATCH_RELOCATE' END AS reason, CAST(0 AS INTEGER) AS n_candidates FROM inc n LEFT JOIN cat c USING (hash)""")
+def relocate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade in relocate mode: a row whose hash is stored goes to its new place, others are held."""
+    rows = X.incoming(spark, sf_dir).withColumn("in_id", F.col("doc_id"))
+    hits = M.exact_lookup(rows.drop("in_id"), X.catalog(spark, sf_dir)).select("in_id", F.col("cat_id").alias("exact_id"))
+    return J.cascade(rows.join(hits, "in_id", "left"), F.lit(None), relocate=True)
 
 
-@query(FX + """SELECT n.doc_id AS in_id, CASE n.doc_id % 8 WHEN 0 THEN 'hold' WHEN 1 THEN CASE WHEN c.state >= 200 THEN 'hold' ELSE 'delete' END WHEN 2 THEN 'delete' WHEN 3 THEN 'delete'
-               WHEN 4 THEN 'replace' WHEN 5 THEN 'transfer' WHEN 6 THEN 'save' ELSE 'none' END AS action FROM inc n LEFT JOIN cat c USING (hash)""")
+@query(FX + MARKED + " SELECT in_id, v.action AS action, v.hit_id AS hit_id, v.reason AS reason FROM mv WHERE v IS NOT NULL")
 def mark_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of a row's marks in order of priority; a block of an accepted row is held."""
-    table = {0: ["hold", "save"], 1: ["block"], 2: ["dedupe"], 3: ["erase"], 4: ["replace"], 5: ["save", "transfer"], 6: ["save"]}
-    given = F.lit(None).cast("array<string>")
-    for k, v in table.items():
-        given = F.when(F.col("doc_id") % 8 == k, F.array(*[F.lit(x) for x in v])).otherwise(given)
-    rows = X.incoming(spark, sf_dir).withColumn("marks", F.coalesce(given, F.array().cast("array<string>")))
-    hits = X.catalog(spark, sf_dir).select("hash", F.col("state").alias("stored"))
-    has = lambda m: F.array_contains("marks", m)
-    action = F.when(has("hold"), "hold").when(has("block") & (F.col("stored") >= 200), "hold").when(has("block") | has("dedupe") | has("erase"), "delete").when(has("replace"), "replace").when(has("transfer"), "transfer").when(has("save"), "save").otherwise("none")
-    return rows.join(hits, "hash", "left").select(F.col("doc_id").alias("in_id"), action.alias("action"))
+    """Verdict of the marks in a row's path, in order of priority, with the target of replacements."""
+    rows, stored = X.incoming(spark, sf_dir), X.catalog(spark, sf_dir)
+    rows = rows.filter(F.size(marks(F.col("from_path"))) > 0)
+    pairs = cut(near_pairs(spark, sf_dir, rows=rows), "pairs")
+    none = pairs.select("in_id", F.lit(None).cast("string").alias("action"), F.lit(None).cast("long").alias("hit_id"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("n_candidates")).limit(0)
+    found = J.evidence(rows, stored, X.listing(spark, sf_dir), none, pairs, _needless(spark, sf_dir))
+    v = J.mark_verdict(F.col("from_path"), F.col("exact_state"), F.col("numbered_id"), F.col("first_id"), F.col("named"))
+    return found.select("in_id", v.alias("v")).select("in_id", "v.action", "v.hit_id", "v.reason")
 
 
 @query(FX + "SELECT n.doc_id AS in_id, 'hold' AS action, count(*) AS n_candidates FROM inc n JOIN cat c USING (name) GROUP BY n.doc_id")
 def name_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = M.name_lookup(X.incoming(spark, sf_dir), X.catalog(spark, sf_dir))
-    return hits.select("in_id", F.lit("hold").alias("action"), F.size("hits").cast("long").alias("n_candidates"))
+    hits = M.name_counts(X.incoming(spark, sf_dir), X.catalog(spark, sf_dir))
+    return hits.select("in_id", F.lit("hold").alias("action"), F.col("n_named").alias("n_candidates"))
 
 
-STATE_OF = "CASE WHEN reason IN ('HASH_MATCH', 'P_HASH_REJECT_NEWER', 'P_HASH_REJECT_LOW_RESOLUTION', 'P_HASH_REJECT_LOW_FILE_SIZE') THEN 100 WHEN reason IN ('NG_FILE_NAME', 'P_HASH_REJECT_LOW_ENTROPY') THEN 0 WHEN reason IN ('LOW_RESOLUTION', 'P_HASH_REJECT_LOW_QUALITY') THEN -1 END"
-
-
-@query(JUDGED + f"SELECT in_id, reason, CAST({STATE_OF} AS BIGINT) AS state FROM jd WHERE action = 'delete'")
+@query(JUDGED + f"SELECT in_id, reason, CAST({REMEMBERED} AS BIGINT) AS state, CAST(CASE WHEN reason IN ({', '.join(f"'{r}'" for r in ERASED)}) THEN -1 END AS BIGINT) AS erased FROM jd WHERE action = 'delete'")
 def delete_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).filter("action = 'delete'").select("in_id", "reason", J.delete_state(F.col("reason")).cast("long").alias("state"))
+    """State that deleted rows are remembered with, and the erased state that some reasons stand for."""
+    reason = F.col("reason")
+    return _judged(spark, sf_dir).filter("action = 'delete'").select("in_id", "reason", remembered_state(reason).cast("long").alias("state"), erased_state(reason).cast("long").alias("erased"))
 
 
-@query(JUDGED + "SELECT in_id, reason FROM jd WHERE reason IN ('HASH_MATCH', 'NG_FILE_NAME')")
+@query(JUDGED + f"SELECT in_id, reason FROM jd WHERE reason IN ({', '.join(f"'{r}'" for r in SWEPT)})")
 def sweep_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).filter(F.col("reason").isin("HASH_MATCH", "NG_FILE_NAME")).select("in_id", "reason")
+    return _judged(spark, sf_dir).filter(F.col("reason").isin(SWEPT)).select("in_id", "reason")
 
 
 @query(JUDGED + "SELECT in_id, CASE WHEN action = 'replace' THEN 'transfer' ELSE action END AS action FROM jd")
@@ -163,18 +226,34 @@ def force_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("in_id", F.when(F.col("action") == "replace", "transfer").otherwise(F.col("action")).alias("action"))
 
 
-PLAN = JUDGED + f""", pl AS (SELECT jd.*, n.hash, n.state AS ins, '/lib/' || n.type || '/' || n.name || '.txt' AS own, c.hash AS hh, c.to_path AS hp, {STATE_OF} AS ds
-       FROM jd JOIN inc n ON n.doc_id = in_id LEFT JOIN cat c ON c.doc_id = hit_id),
-mp AS (SELECT hash, 'insert' AS op, CAST(ds AS BIGINT) AS state, NULL::VARCHAR AS to_path FROM pl WHERE action = 'delete' AND ds IS NOT NULL
-  UNION ALL SELECT hh, 'update', 100, NULL FROM pl WHERE action IN ('replace', 'transfer')
-  UNION ALL SELECT hash, 'insert', ins, CASE WHEN action = 'replace' THEN hp ELSE own END FROM pl WHERE action IN ('replace', 'transfer')
-  UNION ALL SELECT hash, CASE WHEN reason LIKE '%RECOVERY' THEN 'state' ELSE 'insert' END, ins, CASE WHEN reason LIKE '%RECOVERY' THEN hp ELSE own END FROM pl WHERE action = 'save')
+OWN = "'/lib/' || type || '/' || name || '.txt'"
+PLAN = JUDGED + f""", hh AS (SELECT doc_id, hash AS h, from_path AS hf, to_path AS hp FROM cat UNION ALL SELECT doc_id, hash, from_path, {OWN} FROM inc),
+pl AS (SELECT jd.*, n.hash, n.state AS ins, n.from_path AS fp, {OWN} AS own, h, hf, hp, {REMEMBERED} AS ds FROM jd JOIN inc n ON n.doc_id = in_id LEFT JOIN hh ON hh.doc_id = hit_id),
+mp AS (SELECT in_id, hash, 'insert' AS op, CAST(ds AS BIGINT) AS state, fp AS from_path, NULL::VARCHAR AS to_path FROM pl WHERE action = 'delete' AND ds IS NOT NULL
+  UNION ALL SELECT in_id, h, 'update', 100, hf, hp FROM pl WHERE action IN ('replace', 'transfer')
+  UNION ALL SELECT in_id, hash, 'insert', ins, fp, CASE WHEN action = 'replace' THEN hp ELSE own END FROM pl WHERE action IN ('replace', 'transfer')
+  UNION ALL SELECT in_id, hash, CASE WHEN reason = 'TYPE_HASH_MATCH_RECOVERY' THEN 'state' ELSE 'insert' END, ins, fp, CASE WHEN reason = 'TYPE_HASH_MATCH_RECOVERY' THEN hp ELSE own END FROM pl WHERE action = 'save')
 """
 
 
 @query(PLAN + "SELECT * FROM mp")
 def mutation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.mutations(_judged(spark, sf_dir), X.incoming(spark, sf_dir), X.catalog(spark, sf_dir))
+    return J.mutations(cut(_judged(spark, sf_dir), "judged"), X.incoming(spark, sf_dir), X.catalog(spark, sf_dir))
+
+
+@query(FX + f"SELECT n.doc_id AS in_id, hash, 'insert' AS op, n.state, c.from_path, '/lib/' || n.type || '/' || n.name || '.txt' AS to_path FROM inc n JOIN cat c USING (hash)")
+def relocation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run in relocate mode changes: each found row gets its new place and keeps the stored origin."""
+    return J.mutations(relocate_verdict(spark, sf_dir), X.incoming(spark, sf_dir), X.catalog(spark, sf_dir))
+
+
+@query(PLAN + """, al AS (SELECT hash, state, to_path, -1 AS i, 0 AS k FROM cat UNION ALL SELECT hash, state, to_path, in_id, CASE WHEN op = 'update' THEN 1 ELSE 0 END FROM mp WHERE op <> 'state')
+       SELECT hash, state, to_path FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY i DESC, k DESC, state DESC) AS r FROM al) WHERE r = 1""")
+def apply_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next snapshot: of several mutations of a hash the last row's holds, and of one row's own the one of the row that it replaced."""
+    new = mutation_plan(spark, sf_dir).filter("op <> 'state'").select("hash", "state", "to_path", F.struct("in_id", (F.col("op") == "update").cast("int").alias("k"), "state").alias("seq"))
+    stored = X.catalog(spark, sf_dir).select("hash", "state", "to_path").withColumn("seq", F.lit(None).cast(dict(new.dtypes)["seq"]))
+    return G.upsert(stored, new, "hash", "seq").drop("seq")
 
 
 @query(PLAN + "SELECT op, count(*) AS n FROM mp GROUP BY op")
@@ -183,22 +262,41 @@ def dryrun_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutation_plan(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"))
 
 
-@query(JUDGED + "SELECT in_id, width = 0 OR damaged AS failed FROM jd JOIN inc ON inc.doc_id = in_id WHERE action IN ('save', 'replace', 'transfer')")
+@query(JUDGED + """SELECT in_id, CASE WHEN in_id % 2 = 0 AND in_id % 3 = 0 THEN '' WHEN in_id % 2 = 0 THEN 'd' WHEN in_id % 3 = 0 THEN 'p' ELSE 'pd' END AS computed, CAST(p AS VARCHAR) AS p_hash, CAST(d AS VARCHAR) AS d_hash, p IS NULL OR d IS NULL OR damaged AS failed
+                   FROM jd JOIN inc ON inc.doc_id = in_id LEFT JOIN sim USING (doc_id) WHERE action IN ('save', 'replace', 'transfer')""")
 def fill_required_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows to be inserted need both hashes; those that have none, or are damaged, fail."""
-    asked = _judged(spark, sf_dir).filter(F.col("action").isin("save", "replace", "transfer")).select(F.col("in_id").alias("doc_id"))
-    rows = X.incoming(spark, sf_dir, True).join(asked, "doc_id")
-    return rows.select(F.col("doc_id").alias("in_id"), (F.col("p_hash").isNull() | F.col("d_hash").isNull() | F.col("damaged")).alias("failed"))
-
-
-@query(JUDGED + """SELECT n.hash, count(*) AS inserted, bool_or(e.user_id IS NOT NULL) AS scored FROM jd JOIN inc n ON n.doc_id = in_id LEFT JOIN (SELECT DISTINCT user_id FROM events) e ON e.user_id = n.doc_id
-                   WHERE action IN ('save', 'replace', 'transfer') GROUP BY n.hash""")
+    """Rows to be inserted need both hashes: the missing side alone is computed (here even rows have the first, every third the second); rows that end without one, or are damaged, fail."""
+    asked = cut(_judged(spark, sf_dir).filter(F.col("action").isin("save", "replace", "transfer")).select(F.col("in_id").alias("doc_id")), "asked")
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", "text").join(asked, "doc_id", "left_semi")
+    has_p, has_d = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
+    held = X.similarity_hashes(docs.filter(has_p | has_d))
+    held = held.select("doc_id", F.when(has_p, F.col("p_hash")).alias("p_held"), F.when(has_d, F.col("d_hash")).alias("d_held"))
+    p, d = X.similarity_hashes(docs.filter(~has_p), ("p_hash",)), X.similarity_hashes(docs.filter(~has_d), ("d_hash",))
+    rows = X.incoming(spark, sf_dir).select("doc_id", "damaged").join(asked, "doc_id").join(held, "doc_id", "left").join(p, "doc_id", "left").join(d, "doc_id", "left")
+    text = lambda c: F.conv(F.conv(c.cast("string"), 10, 16), 16, 10)
+    p_hash, d_hash = F.coalesce("p_held", "p_hash"), F.coalesce("d_held", "d_hash")
+    computed = F.concat(F.when(has_p, "").otherwise("p"), F.when(has_d, "").otherwise("d"))
+    return rows.select(F.col("doc_id").alias("in_id"), computed.alias("computed"), text(p_hash).alias("p_hash"), text(d_hash).alias("d_hash"), (p_hash.isNull() | d_hash.isNull() | F.col("damaged")).alias("failed"))
+
+
+@query(JUDGED + """, ins AS (SELECT n.hash, max(n.doc_id) AS doc_id FROM jd JOIN inc n ON n.doc_id = in_id WHERE action IN ('save', 'replace', 'transfer') GROUP BY n.hash),
+       sc AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)
+       SELECT hash, 'process_state' AS side, 'state' AS key, CAST(2 AS BIGINT) AS value FROM ins
+       UNION ALL SELECT hash, 'scores', event_type, n FROM ins JOIN sc ON user_id = doc_id WHERE doc_id % 4 <> 0
+       UNION ALL SELECT hash, 'children', CAST(turn AS VARCHAR), length(any_value(text)) FROM ins JOIN conversations ON conv_id = doc_id WHERE doc_id % 5 <> 0 GROUP BY hash, turn HAVING count(*) = 1""")
 def state_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What accepted inserts do to the side tables: a state row each, and score rows where scores exist."""
-    asked = _judged(spark, sf_dir).filter(F.col("action").isin("save", "replace", "transfer")).select(F.col("in_id").alias("doc_id"))
-    scored = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit(True).alias("scored")).distinct()
-    rows = X.incoming(spark, sf_dir).join(asked, "doc_id").join(scored, "doc_id", "left")
-    return rows.groupBy("hash").agg(F.count("*").alias("inserted"), F.bool_or(F.coalesce("scored", F.lit(False))).alias("scored"))
+    """What accepted inserts do to the side tables, as rows of three merges.
+
+    Each hash (its last row) gets its state; scores and children are inserted where they exist and
+    none is stored yet (here every fourth and fifth row has some).
+    """
+    asked = cut(_judged(spark, sf_dir).filter(F.col("action").isin("save", "replace", "transfer")).select(F.col("in_id").alias("doc_id")), "asked")
+    rows = X.incoming(spark, sf_dir).join(asked, "doc_id").groupBy("hash").agg(F.max("doc_id").alias("doc_id"))
+    row = lambda t, side, key, value: t.select("hash", F.lit(side).alias("side"), key.cast("string").alias("key"), value.cast("long").alias("value"))
+    scores = X.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id"), "event_type").agg(F.count("*").alias("n"))
+    children = X.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id"), "turn").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("size")).filter("n = 1")
+    states = row(rows, "process_state", F.lit("state"), F.lit(2))
+    return states.unionByName(row(rows.filter("doc_id % 4 <> 0").join(scores, "doc_id"), "scores", F.col("event_type"), F.col("n"))).unionByName(row(rows.filter("doc_id % 5 <> 0").join(children, "doc_id"), "children", F.col("turn"), F.col("size")))
 
 
 @query(FX + "SELECT doc_id, state, CASE WHEN state = 300 THEN 'keeping' ELSE 'accepted' END AS name FROM inc")
@@ -206,12 +304,14 @@ def keep_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.incoming(spark, sf_dir).select("doc_id", "state", F.when(F.col("state") == 300, "keeping").otherwise("accepted").alias("name"))
 
 
-@query(FX + f""", {REMOTE} SELECT * FROM (SELECT c.doc_id, CAST(CASE WHEN r.path IS NOT NULL THEN -3 WHEN c.doc_id IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN -2 WHEN c.to_path NOT IN (SELECT to_path FROM listing) THEN 2 ELSE -1 END AS BIGINT) AS missing
+@query(FX + f""", {REMOTE} SELECT * FROM (SELECT c.doc_id, CAST(CASE WHEN r.path IS NOT NULL AND (c.doc_id IN (SELECT p_partkey FROM part WHERE p_size > 25) OR c.to_path NOT IN (SELECT to_path FROM listing)) THEN -3
+         WHEN r.path IS NOT NULL THEN -2 WHEN c.to_path NOT IN (SELECT to_path FROM listing) THEN 2 ELSE -1 END AS BIGINT) AS missing
        FROM cat c LEFT JOIN rem r ON r.path = lower(c.to_path) AND r.rn = 1) WHERE missing <> -1""")
 def backup_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploaded rows -3, needless ones -2, lost ones 2, others -1; only changes of the stored value (here -1) are written."""
+    """Uploaded rows that are needless or lost -3, other uploaded ones -2, lost ones 2, the rest -1; only changes of the stored value (here -1) are written."""
     rows = M.exists(backup_decisions(spark, sf_dir), X.listing(spark, sf_dir)).join(_needless(spark, sf_dir).withColumn("needless", F.lit(True)), "doc_id", "left")
-    value = F.when(F.col("r").isNotNull(), -3).when(F.col("needless"), -2).when(~F.col("present"), 2).otherwise(-1)
+    uploaded, present = F.col("r").isNotNull(), F.col("present")
+    value = F.when(uploaded & (F.coalesce("needless", F.lit(False)) | ~present), -3).when(uploaded, -2).when(~present, 2).otherwise(-1)
     return rows.select("doc_id", value.cast("long").alias("missing")).filter(~F.col("missing").eqNullSafe(F.lit(-1)))
 
 
@@ -223,15 +323,21 @@ def fill_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.when(there, -1).otherwise(2).cast("long").alias("missing"), F.when(~there, 0).when(F.col("type") == "es", 3).otherwise(2).cast("long").alias("scorer"))
 
 
-@query(FX + "SELECT doc_id, hash, CASE WHEN doc_id % 13 = 0 AND doc_id % 2 = 0 THEN 'log' WHEN doc_id % 13 = 0 THEN 'computed' ELSE 'kept' END AS source, CAST(p AS VARCHAR) AS p_hash FROM cat JOIN sim USING (doc_id)")
+@query(FX + """SELECT doc_id, hash, CASE WHEN doc_id % 13 <> 0 THEN 'kept' WHEN doc_id % 2 = 0 THEN 'log' ELSE 'computed' END AS p_source,
+               CAST(CASE WHEN doc_id % 26 = 0 THEN xor(p, 1::UBIGINT) ELSE p END AS VARCHAR) AS p_hash,
+               CASE WHEN doc_id % 7 <> 0 THEN 'kept' WHEN doc_id % 3 = 0 THEN 'log' ELSE 'computed' END AS d_source,
+               CAST(CASE WHEN doc_id % 21 = 0 THEN xor(d, 1::UBIGINT) ELSE d END AS VARCHAR) AS d_hash FROM cat JOIN sim USING (doc_id) WHERE doc_id % 13 = 0 OR doc_id % 7 = 0""")
 def repair_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored hashes that aren't numbers (every 13th) get the logged value (even rows have one), else the recomputed one."""
-    rows = X.catalog(spark, sf_dir, True).filter(F.col("p_hash").isNotNull())
-    text = F.conv(F.conv(F.col("p_hash").cast("string"), 10, 16), 16, 10)
-    bad = F.col("doc_id") % 13 == 0
-    stored = rows.withColumn("stored", F.when(bad, "undefined").otherwise(text)).withColumn("computed", text)
-    log = rows.filter(F.col("doc_id") % 2 == 0).select("hash", text.alias("logged"))
-    digits = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c))
-    out = stored.join(log, "hash", "left")
-    source = F.when(digits("stored").isNotNull(), "kept").when(digits("logged").isNotNull(), "log").otherwise("computed")
-    return out.select("doc_id", "hash", source.alias("source"), F.coalesce(digits("stored"), digits("logged"), "computed").alias("p_hash"))
+    """Rows with a stored hash that is no number (every 13th and 7th) get the logged value, which differs here by a bit, else the recomputed one; both hashes in one upsert."""
+    rows = X.catalog(spark, sf_dir, ("p_hash", "d_hash")).filter(F.col("p_hash").isNotNull())
+    text = lambda c: F.conv(F.conv(c.cast("string"), 10, 16), 16, 10)
+    bad = {"p": F.col("doc_id") % 13 == 0, "d": F.col("doc_id") % 7 == 0}
+    logged = {"p": F.col("doc_id") % 2 == 0, "d": F.col("doc_id") % 3 == 0}
+    digits = lambda c: F.when(c.rlike("^[0-9]+$"), c)
+    log = rows.select("hash", *[F.when(logged[k], text(F.col(f"{k}_hash").bitwiseXOR(F.lit(1).cast("long")))).alias(f"{k}_log") for k in "pd"])
+    rows = rows.filter(bad["p"] | bad["d"]).join(log, "hash", "left")
+    out = []
+    for k in "pd":
+        stored, own, computed = digits(F.when(bad[k], "undefined").otherwise(text(F.col(f"{k}_hash")))), digits(F.col(f"{k}_log")), text(F.col(f"{k}_hash"))
+        out += [F.when(stored.isNotNull(), "kept").when(own.isNotNull(), "log").otherwise("computed").alias(f"{k}_source"), F.coalesce(stored, own, computed).alias(f"{k}_hash")]
+    return rows.select("doc_id", "hash", *out)

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlake.functions.hashes import content_digest, simhash, tokens
+from siftlake.functions.hashes import bit_counts, content_digest, majority, tokens, word_hash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def features(spark: SparkSession, sf_dir: str, hashes: bool = False) -> DataFrame:
-    """One feature row a document; similarity hashes only where asked for."""
-    docs = table(spark, sf_dir, "documents").withColumn("w", tokens(F.col("text")))
+SALTS = {"p_hash": "", "d_hash": "d|"}
+
+
+def similarity_hashes(docs: DataFrame, names: tuple[str, ...] = ("p_hash", "d_hash")) -> DataFrame:
+    """doc_id and similarity hashes of docs(doc_id, text) with words: every distinct word is hashed once and its bits are counted on the map side."""
+    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("x"))
+    words = words.select("doc_id", *[word_hash(F.col("x"), SALTS[n]).alias(n) for n in names])
+    counts = words.groupBy("doc_id").agg(F.count("*").alias("n"), *[c.alias(f"{n}{j}") for n in names for j, c in enumerate(bit_counts(F.col(n)))])
+    return counts.select("doc_id", *[majority([F.col(f"{n}{j}") for j in range(32)], F.col("n")).alias(n) for n in names])
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    """One feature row a document."""
+    docs = docs.withColumn("w", tokens(F.col("text")))
     name = F.concat_ws(" ", F.slice("w", 1, 3))
     width = F.size("w").cast("long")
-    columns = [
+    return docs.select(
         "doc_id",
         content_digest(F.col("text")).alias("hash"),
         F.col("n_chars").cast("long").alias("size"),
@@ -30,27 +41,61 @@ def features(spark: SparkSession, sf_dir: str, hashes: bool = False) -> DataFram
         "source",
         F.concat(F.lit("/in/"), "source", F.lit("/"), "lang", F.lit("/"), name, F.lit(".txt")).alias("from_path"),
         (F.col("n_chars") < 20).alias("damaged"),
-    ]
-    if hashes:
-        columns += [simhash(F.col("w")).alias("p_hash"), simhash(F.col("w"), "d|").alias("d_hash")]
-    return docs.select(*columns)
+    )
+
+
+def with_hashes(rows: DataFrame, spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """rows(doc_id, ...) with similarity hashes of their documents; null without words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(rows.select("doc_id"), "doc_id", "left_semi")
+    return rows.join(similarity_hashes(docs, names), "doc_id", "left")
+
+
+def features(spark: SparkSession, sf_dir: str, hashes: tuple[str, ...] = ()) -> DataFrame:
+    """One feature row a document; similarity hashes only where asked for."""
+    rows = features_of(table(spark, sf_dir, "documents"))
+    return with_hashes(rows, spark, sf_dir, hashes) if hashes else rows
 
 
-def catalog(spark: SparkSession, sf_dir: str, hashes: bool = False) -> DataFrame:
+def catalog(spark: SparkSession, sf_dir: str, hashes: tuple[str, ...] = ()) -> DataFrame:
     """Stored rows: labelled documents, the last one of each hash, with state and library path."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    rows = features(spark, sf_dir, hashes).join(labels, "doc_id")
+    rows = features_of(table(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")).join(labels, "doc_id")
     state = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 100).when(F.col("doc_id") % 10 == 0, 300).otherwise(200)
     rows = rows.withColumn("state", state.cast("long")).withColumn("to_path", F.concat(F.lit("/lib/"), "type", F.lit("/"), "name", F.lit(".txt")))
     last = Window.partitionBy("hash").orderBy(F.desc("timestamp"))
-    return rows.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn", "quality", "toxic")
+    rows = rows.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn", "quality", "toxic")
+    return with_hashes(rows, spark, sf_dir, hashes) if hashes else rows
 
 
-def incoming(spark: SparkSession, sf_dir: str, hashes: bool = False) -> DataFrame:
+#: Name marks and kinds of incoming rows, by the remainder of their id.
+PATH_MARKS = {7: ".!h", 8: ".!b", 9: ".!d", 10: ".!e", 11: ".!r", 12: ".!r2", 13: ".!t", 14: ".!s", 15: ".!hs"}
+ODD_KINDS = {20: "UNKNOWN", 21: "SCRAP", 22: "CACHE", 23: "LOCK"}
+
+
+def _by_remainder(n: int, values: dict[int, str], other: str):
+    out = F.lit(other)
+    for k, v in values.items():
+        out = F.when(F.col("doc_id") % n == k, v).otherwise(out)
+    return out
+
+
+def waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label."""
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+def incoming_of(docs: DataFrame) -> DataFrame:
+    """Rows to be judged, of documents: some have marks in their names, some are no texts, some lie in the library."""
+    rows = features_of(docs)
+    path = F.when(F.col("doc_id") % 120 == 8, F.concat(F.lit("/lib/"), F.substr("from_path", F.lit(5)))).otherwise(F.col("from_path"))
+    path = F.concat(F.substr(path, F.lit(1), F.length(path) - 4), _by_remainder(60, PATH_MARKS, ""), F.lit(".txt"))
+    return rows.withColumn("state", F.when(F.col("doc_id") % 11 == 0, 300).otherwise(200).cast("long")).withColumn("from_path", path).withColumn("kind", _by_remainder(50, ODD_KINDS, "TEXT"))
+
+
+def incoming(spark: SparkSession, sf_dir: str, hashes: tuple[str, ...] = ()) -> DataFrame:
     """Documents without a label, waiting to be judged."""
-    labels = table(spark, sf_dir, "labels").select("doc_id")
-    rows = features(spark, sf_dir, hashes).join(labels, "doc_id", "left_anti")
-    return rows.withColumn("state", F.when(F.col("doc_id") % 11 == 0, 300).otherwise(200).cast("long"))
+    rows = incoming_of(waiting(spark, sf_dir))
+    return with_hashes(rows, spark, sf_dir, hashes) if hashes else rows
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +103,10 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).filter(F.col("timestamp") % 7 != 0).select("to_path").distinct()
 
 
-def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mean code point, entropy of characters and type-token ratio (percent) of each document, computed in the row."""
+def statistics(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """mean code point, entropy of characters and type-token ratio (percent) of each document, or of those of ids(doc_id); characters are counted on the map side."""
     docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
+    docs = docs if ids is None else docs.join(ids, "doc_id", "left_semi")
     chars = F.filter(F.split("text", ""), lambda c: c != "")
     docs = docs.select("doc_id", "text", chars.alias("c"), tokens(F.col("text")).alias("w"))
     counts = docs.select("doc_id", F.explode("c").alias("ch")).groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
@@ -91,8 +137,6 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
-
 def _bits(hashes: str) -> str:
     """SQL of a similarity hash: a bit for every column of word hashes that more than half of the words have set."""
     return " + ".join(f"(CASE WHEN sum(({hashes} >> {i}) & 1) * 2 > any_value(n) THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(64))
@@ -114,7 +158,10 @@ cat AS (
            '/lib/' || type || '/' || name || '.txt' AS to_path, row_number() OVER (PARTITION BY hash ORDER BY "timestamp" DESC) AS rn
     FROM feat f JOIN labels USING (doc_id)) WHERE rn = 1),
 inc AS (
-  SELECT f.*, CAST(CASE WHEN doc_id % 11 = 0 THEN 300 ELSE 200 END AS BIGINT) AS state
+  SELECT f.* EXCLUDE (from_path), CAST(CASE WHEN doc_id % 11 = 0 THEN 300 ELSE 200 END AS BIGINT) AS state,
+         CASE WHEN doc_id % 120 = 8 THEN '/lib/' || substr(from_path, 5, length(from_path) - 8) ELSE substr(from_path, 1, length(from_path) - 4) END ||
+         CASE doc_id % 60 WHEN 7 THEN '.!h' WHEN 8 THEN '.!b' WHEN 9 THEN '.!d' WHEN 10 THEN '.!e' WHEN 11 THEN '.!r' WHEN 12 THEN '.!r2' WHEN 13 THEN '.!t' WHEN 14 THEN '.!s' WHEN 15 THEN '.!hs' ELSE '' END || '.txt' AS from_path,
+         CASE doc_id % 50 WHEN 20 THEN 'UNKNOWN' WHEN 21 THEN 'SCRAP' WHEN 22 THEN 'CACHE' WHEN 23 THEN 'LOCK' ELSE 'TEXT' END AS kind
   FROM feat f WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
 listing AS (SELECT DISTINCT to_path FROM cat WHERE "timestamp" % 7 <> 0),
 wh AS (
