@@ -192,8 +192,23 @@ def steps(ng: Column, quality: Column, source_there: Column, rejected: Column, f
     )
 
 
-def cascade(rows: DataFrame, verdict_of_row: Column, relocate: bool = False) -> DataFrame:
-    """in_id, action, hit_id, reason, n_candidates of rows of ``evidence``.
+def stored_by(action: Column, reason: Column, state: Column) -> Column:
+    """State under which a verdict leaves the row's hash in the catalogue; null if it doesn't."""
+    return F.when(action.isin("save", "replace", "transfer"), state).when(action == "delete", remembered_state(reason))
+
+
+PLACE = ("timestamp", "from_path", "in_id")
+
+
+def left_by(verdicts: DataFrame, rows: DataFrame) -> DataFrame:
+    """hash, place, stored: what verdicts of rows leave for later rows of the same hash."""
+    rows = rows.select(F.col("doc_id").alias("in_id"), "hash", "state", "timestamp", "from_path")
+    found = verdicts.join(rows, "in_id").withColumn("stored", stored_by(F.col("action"), F.col("reason"), F.col("state")))
+    return found.filter(F.col("stored").isNotNull()).select("hash", F.struct(*PLACE).alias("place"), F.col("stored").cast("long").alias("stored"))
+
+
+def cascade(rows: DataFrame, verdict_of_row: Column, relocate: bool = False, earlier: DataFrame | None = None) -> DataFrame:
+    """in_id, action, hit_id, reason, n_candidates of rows of ``evidence``; earlier: what former batches left.
 
     Rows of one hash come one after another, by time and path. The first one that the catalogue
     remembers is what those after it find stored: they are deleted as copies, or take its place
@@ -202,10 +217,11 @@ def cascade(rows: DataFrame, verdict_of_row: Column, relocate: bool = False) ->
     """
     if relocate:
         return rows.select("in_id", relocation(F.col("exact_id")).alias("v")).select("in_id", "v.*")
-    v = cut(rows.select("in_id", "hash", "state", "exact_id", F.struct("timestamp", "from_path", "in_id").alias("place"), verdict_of_row.alias("v")), "verdicts")
-    stored = F.when(F.col("v.action").isin("save", "replace", "transfer"), F.col("state")).when(F.col("v.action") == "delete", remembered_state(F.col("v.reason")))
+    v = cut(rows.select("in_id", "hash", "state", "exact_id", F.struct(*PLACE).alias("place"), verdict_of_row.alias("v")), "verdicts")
+    stored = stored_by(F.col("v.action"), F.col("v.reason"), F.col("state")).cast("long")
     # rows whose hash is in the catalogue have met their copy there
-    fresh = v.filter(F.col("exact_id").isNull()).withColumn("stored", stored).filter(F.col("stored").isNotNull())
+    fresh = v.filter(F.col("exact_id").isNull()).select("hash", "place", stored.alias("stored")).filter(F.col("stored").isNotNull())
+    fresh = fresh if earlier is None else fresh.unionByName(earlier.select("hash", "place", "stored"))
     first = fresh.groupBy("hash").agg(F.min(F.struct("place", "stored")).alias("first"))
     later = (F.col("place") > F.col("first.place")) & F.col("exact_id").isNull() & F.col("v.reason").isin(AFTER_EXACT)
     again = exact_verdict(F.col("state"), F.col("first.place.in_id"), F.col("first.stored"), F.lit(True), F.lit(False))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """stored with new rows in place of those of the same key; of several new rows the last by ``order`` wins.
+def upsert(stored: DataFrame, new: DataFrame, key: str | list[str], order: str) -> DataFrame:
+    """stored with new rows in place of those of the same key, of one column or several; of several new rows the last by ``order`` wins.
 
     max_by folds rows of a key map-side, so a key with many updates isn't gathered.
     """
     columns = stored.columns
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.select(*columns).withColumn("_new", F.lit(1)))
-    last = both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_new", order)).alias("row"))
+    last = both.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max_by(F.struct(*columns), F.struct("_new", order)).alias("row"))
     return last.select(*[F.col(f"row.{c}").alias(c) for c in columns])
 
 

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.hashes import clean_hash_text
+from siftlake.functions.reasons import MARK_OF
+from siftlake.operators import judging as J
 from siftlake.operators import matching as M
 from siftlake.operators import merging as G
 from siftlake.sources import fixtures as X
 from siftlake.streaming import ingest as T
 
 from .registry import query
-from .verdicts import JUDGED, _judged
+from .verdicts import JUDGED, judge
 
 FX = X.BASE
 
@@ -92,11 +94,21 @@ def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.delete(X.catalog(spark, sf_dir), X.incoming(spark, sf_dir), "hash").select("doc_id", "hash")
 
 
-@query("SELECT conv_id, turn, max(role) AS role, max(length(text)) AS size FROM conversations GROUP BY conv_id, turn")
+@query("""WITH c AS (SELECT conv_id, turn, role, length(text) AS size FROM conversations),
+          n AS (SELECT conv_id, turn, max(struct_pack(s := size, r := role)) AS x FROM c GROUP BY conv_id, turn)
+          SELECT conv_id, turn, x.r AS role, CAST(x.s AS BIGINT) AS size FROM n UNION ALL SELECT DISTINCT conv_id, -1, 'stored', CAST(0 AS BIGINT) FROM c""")
 def child_insert_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Child rows merged under a key of two columns."""
-    rows = X.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("size"))
-    return rows.groupBy("conv_id", "turn").agg(F.max("role").alias("role"), F.max("size").alias("size"))
+    """Nested children, one row each, merged into a child table under a key of two columns.
+
+    The table holds a first child of every conversation, and a row -1 that no new child touches; of
+    several new children of a key the largest is written last.
+    """
+    rows = X.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.length("text").cast("long").alias("size"))
+    nested = rows.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "size")).alias("children"))
+    new = nested.select("conv_id", F.inline("children")).withColumn("seq", F.struct("size", "role"))
+    held = nested.select("conv_id", F.explode(F.array(F.lit(-1).cast("long"), F.get("children", F.lit(0))["turn"])).alias("turn"))
+    stored = held.select("conv_id", "turn", F.lit("stored").alias("role"), F.lit(0).cast("long").alias("size"), F.lit(None).cast(dict(new.dtypes)["seq"]).alias("seq"))
+    return G.upsert(stored, new, ["conv_id", "turn"], "seq").drop("seq")
 
 
 @query("SELECT doc_id, CASE WHEN quality > 0 THEN true ELSE false END AS accept_allow, NOT (quality > 0) AS accept_disallow FROM labels")
@@ -128,7 +140,7 @@ def scored_batches(rows: DataFrame, load, version: int) -> DataFrame:
             for i, text in zip(pdf["doc_id"], pdf["text"]):
                 try:
                     out.append((i, float(score(text)), 2, version))
-                except (TypeError, ValueError, ZeroDivisionError):
+                except (AttributeError, TypeError, ValueError, ZeroDivisionError):
                     out.append((i, None, 1, version))
             yield pd.DataFrame(out, columns=["doc_id", "score", "state", "version"])
 
@@ -140,21 +152,32 @@ def vowel_share():
     return lambda text: sum(map(text.lower().count, "aeiou")) / len(text)
 
 
-@query()
+SHARE = "CASE WHEN length(text) > 0 THEN (length(text) - length(regexp_replace(lower(text), '[aeiou]', '', 'g'))) / length(text) END"
+
+
+def scored(rows: DataFrame, stored: DataFrame, load, version: int) -> DataFrame:
+    """Scores of rows(doc_id, text): those stored with this version or a newer one are used again, all others go to the model."""
+    valid = stored.join(rows.select("doc_id"), "doc_id", "left_semi").filter((F.col("version") >= version) & (F.col("state") == 2))
+    return valid.unionByName(scored_batches(rows.join(valid, "doc_id", "left_anti"), load, version))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN 0.25 ELSE {SHARE} END AS score, CAST(CASE WHEN doc_id % 12 = 0 OR length(text) > 0 THEN 2 ELSE 1 END AS INTEGER) AS state,
+           CAST(CASE WHEN doc_id % 12 = 0 THEN 3 ELSE 2 END AS INTEGER) AS version FROM documents""")
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of this version are reused (every fourth row has one); only the others go to the model."""
-    docs = X.table(spark, sf_dir, "documents")
-    held = docs.filter("doc_id % 4 = 0").select("doc_id", F.lit(0.5).alias("score"), F.lit(2).alias("state"), F.lit(1).alias("version"))
-    return held.unionByName(scored_batches(docs.join(held, "doc_id", "left_anti"), vowel_share, 1))
+    """Every fourth row has a stored score: of version 3 (every twelfth), of the older version 1, or failed; only the first are used again."""
+    docs, k = X.table(spark, sf_dir, "documents"), F.col("doc_id")
+    stored = docs.filter(k % 4 == 0).select("doc_id", F.lit(0.25).alias("score"), F.when(k % 12 == 4, 1).otherwise(2).alias("state"), F.when(k % 12 == 8, 1).otherwise(3).alias("version"))
+    return scored(docs, stored, vowel_share, 2)
 
 
-@query()
+@query(FX + f"""SELECT doc_id, {SHARE} AS score, CAST(CASE WHEN length(text) > 0 THEN 2 ELSE 1 END AS INTEGER) AS state, CAST(1 AS INTEGER) AS version, CASE WHEN {SHARE} < 0.3 THEN 'block' END AS mark
+                FROM documents WHERE doc_id IN (SELECT doc_id FROM cat WHERE state >= 200) AND doc_id NOT IN (SELECT user_id FROM events)""")
 def backfill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted rows without a score are scored and judged; rejected ones get a mark."""
+    """Accepted rows without a score are scored and judged; rejected ones get the mark of the classifier's reason."""
     wanted = M.accepted(X.catalog(spark, sf_dir)).select("doc_id")
-    scored = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct()
-    rows = X.table(spark, sf_dir, "documents").join(wanted, "doc_id", "left_semi").join(scored, "doc_id", "left_anti")
-    return scored_batches(rows, vowel_share, 1).withColumn("mark", F.when(F.col("score") < 0.3, "block"))
+    known = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct()
+    rows = X.table(spark, sf_dir, "documents").join(wanted, "doc_id", "left_semi").join(known, "doc_id", "left_anti")
+    return scored_batches(rows, vowel_share, 1).withColumn("mark", F.when(F.col("score") < 0.3, MARK_OF["TYPE_DEEP_LEARNING"]))
 
 
 #: A user's functions: from columns to a column.
@@ -186,12 +209,16 @@ def saved_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_saved(spark, G.upsert(stored.withColumn("seq", F.lit(0)), put, "id", "seq"), "sizes", catalog=X.catalog(spark, sf_dir))
 
 
-@query(JUDGED + "SELECT in_id, action, reason FROM jd")
+@query(JUDGED + "SELECT * FROM jd")
 def stream_ingest_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows judged as their files arrive; the same verdicts as of one batch."""
-    ids = X.incoming(spark, sf_dir).select("doc_id")
-    verdicts = _judged(spark, sf_dir)
-    return T.judged_stream(spark, ids, lambda batch: verdicts.join(batch.select(F.col("doc_id").alias("in_id")), "in_id", "left_semi").select("in_id", "action", "reason"))
+    """Documents judged as their files arrive: features, searches and the cascade run over the batch alone; the verdicts are those of one batch."""
+
+    def judged(docs: DataFrame, earlier: DataFrame | None):
+        rows = X.incoming_of(docs)
+        return judge(spark, sf_dir, rows, earlier), lambda verdicts: J.left_by(verdicts, rows)
+
+    mutate = lambda docs, verdicts: J.mutations(verdicts, X.incoming_of(docs), X.catalog(spark, sf_dir))
+    return T.judged_stream(spark, X.waiting(spark, sf_dir), "doc_id", judged, mutate)
 
 
 @query("SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY user_id, event_type")

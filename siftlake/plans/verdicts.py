@@ -111,14 +111,14 @@ def _needless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("doc_id"))
 
 
-def judge(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Verdicts of incoming rows against the catalogue; only these rows are looked up."""
+def judge(spark: SparkSession, sf_dir: str, rows: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Verdicts of incoming rows against the catalogue, and what earlier batches left; only these rows are looked up."""
     stored = X.catalog(spark, sf_dir)
     pairs = cut(near_pairs(spark, sf_dir, rows=rows), "pairs")
     near = J.near_verdicts(J.remapped(J.judged(factors(spark, sf_dir, pairs, rows))))
     found = J.evidence(rows, stored, X.listing(spark, sf_dir), near, pairs, _needless(spark, sf_dir))
     k = F.col("doc_id")
-    return J.cascade(found, J.steps(F.col("name").like("and %"), quality_reason(), k % 4 == 0, rejected=k % 17 == 0, failed=k % 97 == 0, gate_deletes=True))
+    return J.cascade(found, J.steps(F.col("name").like("and %"), quality_reason(), k % 4 == 0, rejected=k % 17 == 0, failed=k % 97 == 0, gate_deletes=True), earlier=earlier)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:

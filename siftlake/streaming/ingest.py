@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftlake.sources.shared import cut, new_dir
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or a local one where that is unset."""
-    import tempfile
+BUCKETS = 16
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="siftlake-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that every node sees."""
+    return new_dir(spark, "stream")
 
 
 def run_batches(spark: SparkSession, source: DataFrame, folder: str, step, per_trigger: int | None = None) -> None:
@@ -28,11 +24,34 @@ def run_batches(spark: SparkSession, source: DataFrame, folder: str, step, per_t
     query.awaitTermination()
 
 
-def judged_stream(spark: SparkSession, arriving: DataFrame, judge, files: int = 3) -> DataFrame:
-    """Verdicts of rows judged as their files arrive; each batch writes under its id, so a replay overwrites its own part."""
+def in_order(arriving: DataFrame, key: str, files: int, folder: str) -> None:
+    """Write rows as files that arrive one after another, by ranges of a key."""
+    at = arriving.approxQuantile(key, [i / files for i in range(1, files)], 0.01)
+    for low, high in zip([None, *at], [*at, None]):
+        part = arriving.filter((F.lit(True) if low is None else F.col(key) > low) & (F.lit(True) if high is None else F.col(key) <= high))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def judged_stream(spark: SparkSession, arriving: DataFrame, key: str, judge, mutate, files: int = 3) -> DataFrame:
+    """Verdicts of rows judged as their files arrive, each batch alone.
+
+    judge(batch, earlier) gives the verdicts and, as (hash, place, stored), what they leave for
+    later batches to find; mutate(batch, verdicts) the changes of the catalogue. Each batch
+    writes all three under its id, so a replay overwrites its own part and sees that of earlier
+    batches only.
+    """
     folder = work_dir(spark)
-    arriving.repartition(files).write.parquet(f"{folder}/in")
-    run_batches(spark, arriving, folder, lambda batch, i: judge(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={i}"), per_trigger=1)
+    in_order(arriving, key, files, folder)
+
+    def step(batch: DataFrame, i: int) -> None:
+        rows = cut(batch, "batch")
+        earlier = spark.read.parquet(*[f"{folder}/stored/batch={k}" for k in range(i)]) if i else None
+        verdicts, stored = judge(rows, earlier)
+        verdicts = cut(verdicts, "verdicts")
+        for name, table in (("out", verdicts), ("stored", stored(verdicts)), ("changes", mutate(rows, verdicts))):
+            table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={i}")
+
+    run_batches(spark, arriving, folder, step, per_trigger=1)
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -46,29 +65,43 @@ def first_seen(spark: SparkSession, rows: DataFrame, keys: list[str], time: str,
 
 
 def patched_table(spark: SparkSession, patches: DataFrame, key: str, order: str, fields: list[str], files: int = 3) -> DataFrame:
-    """The table that patches leave: each batch folds to the latest value of a field a key, then merges into a new snapshot."""
+    """The table that patches leave: each batch folds to the latest value of a field a key and is merged into the buckets that it touches.
+
+    A value carries its order, and the latest wins, so replaying a batch changes nothing.
+    """
     folder = work_dir(spark)
     patches.repartition(files).write.parquet(f"{folder}/in")
-    empty = patches.select(key, *[F.lit(None).cast(f"struct<o:bigint,v:{dict(patches.dtypes)[f]}>").alias(f) for f in fields]).limit(0)
-    empty.write.parquet(f"{folder}/table/0")
-    last = [0]
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+    stored = [F.when(F.col(f).isNotNull(), F.struct(F.col(order).alias("o"), F.col(f).alias("v"))).alias(f) for f in fields]
+    empty = patches.select(key, *stored, bucket).limit(0)
+    empty.write.partitionBy("bucket").parquet(f"{folder}/table")
 
     def merge(batch: DataFrame, i: int) -> None:
-        new = batch.select(key, *[F.when(F.col(f).isNotNull(), F.struct(F.col(order).alias("o"), F.col(f).alias("v"))).alias(f) for f in fields])
-        # a snapshot per batch: a replay of batch i starts from the same one
-        spark.read.schema(empty.schema).parquet(f"{folder}/table/{i}").unionByName(new).groupBy(key).agg(*[F.max(f).alias(f) for f in fields]).write.mode("overwrite").parquet(f"{folder}/table/{i + 1}")
-        last[0] = i + 1
+        new = cut(batch.select(key, *stored, bucket), "patches")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        old = spark.read.schema(empty.schema).parquet(f"{folder}/table").filter(F.col("bucket").isin(touched))
+        merged = cut(old.unionByName(new).groupBy("bucket", key).agg(*[F.max(f).alias(f) for f in fields]), "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/table")
 
     run_batches(spark, patches, folder, merge, per_trigger=1)
-    return spark.read.schema(empty.schema).parquet(f"{folder}/table/{last[0]}").select(key, *[F.col(f"{f}.v").alias(f) for f in fields])
+    return spark.read.schema(empty.schema).parquet(f"{folder}/table").select(key, *[F.col(f"{f}.v").alias(f) for f in fields])
 
 
-def drained(spark: SparkSession, backlog: DataFrame, batch: int, key: str) -> DataFrame:
-    """A backlog worked off in numbered batches of a given size, in the order of the key.
+def drained(spark: SparkSession, backlog: DataFrame, batch: int, key: str, most: int | None = None) -> DataFrame:
+    """A backlog worked off by a stream in batches of a given size, in the order of the key, until it or ``most`` batches are done.
 
-    Numbers come from counts of key ranges and ranks within them, so no task sorts it all.
+    Numbers come from counts of key ranges and ranks within them, so no task sorts it all; a
+    trigger takes one batch, and the run ends when none is left.
     """
-    ranged = backlog.repartitionByRange(8, key).withColumn("part", F.spark_partition_id())
+    folder = work_dir(spark)
+    ranged = cut(backlog.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "backlog")
     sizes = ranged.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("base"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1 + F.col("base")
-    return ranged.join(sizes, "part").withColumn("batch", F.floor(rank / batch).cast("long")).drop("part", "base")
+    numbered = ranged.join(sizes, "part").withColumn("batch", F.floor(rank / batch).cast("long")).drop("part", "base")
+    numbered = numbered if most is None else numbered.filter(F.col("batch") < most)
+    numbered.repartition("batch").write.option("maxRecordsPerFile", batch).partitionBy("batch").parquet(f"{folder}/in")
+    schema = numbered.schema
+    query = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").writeStream
+    done = query.foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(f"{folder}/out/trigger={i}"))
+    done.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out").select(*schema.names)
