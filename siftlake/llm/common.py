@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,9 +36,39 @@ def cut(df: DataFrame, name: str = "step", parts: tuple[str, ...] = ()) -> DataF
     path = scratch(df.sparkSession, name)
     schema = df.schema
     df.write.partitionBy(*parts).parquet(path)
-    if parts:
-        return df.sparkSession.read.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    reader = df.sparkSession.read if parts else df.sparkSession.read.schema(schema)
+    return _written(reader.parquet(path), path)
+
+
+def _written(found: DataFrame, path: str) -> DataFrame:
+    """Notes where a table lies, and has the driver drop what led to it: shuffle files stay until its garbage is collected."""
+    found._scratch = path
+    gc.collect()
+    found.sparkSession.sparkContext._jvm.System.gc()
+    return found
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for t in tables:
+        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def cut_by(df: DataFrame, key: str, name: str = "step") -> DataFrame:
+    """As ``cut``, in buckets sorted by a key, so that joins on the key don't shuffle these rows again.
+
+    Rows that a grouping by the key has dealt already lie in the buckets of their task alone. Buckets
+    come with a table only; its entry in the session's catalog goes at once, the files stay.
+    """
+    spark, label = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    parts, path = shuffle_parts(spark), scratch(spark, name)
+    df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(label)
+    found = spark.table(label)
+    found.schema  # resolved: the entry isn't needed any more
+    spark.sql(f"DROP TABLE {label}")
+    return _written(found, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,8 +26,12 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+
+from . import segments
 
 BITS = 16
 AMBIGUOUS = 0.6
@@ -116,38 +120,40 @@ def decode(model: dict, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return best, 1 / (1 + np.exp(two[:, 0] - two[:, 1]))
 
 
-def _predictor(shared, fit: bool):
+def _predictor(shared, names: list[str], fit: bool):
     def run(batches):
         model = shared.value
-        for pdf in batches:
-            margins, n, lettered, fits = [], [], [], []
-            for text in pdf["text"]:
-                letters = bool(model["langs"]) and isinstance(text, str) and any(map(str.isalpha, text))
-                got = _grams(text) if letters else np.empty(0, np.int64)
-                lettered.append(letters)
-                n.append(len(got))
-                if letters:
-                    margins.append(model["w"][got].mean(0) if len(got) else np.zeros(model["code"].shape[1]))
+        for batch in batches:
+            for first, last in segments.slices(batch.column("text")):
+                part = batch.slice(first, last - first)
+                margins, n, lettered, fits = [], [], [], []
+                for text in part.column("text"):
+                    text = text.as_py()
+                    letters = bool(model["langs"]) and isinstance(text, str) and any(map(str.isalpha, text))
+                    got = _grams(text) if letters else np.empty(0, np.int64)
+                    lettered.append(letters)
+                    n.append(len(got))
+                    if letters:
+                        margins.append(model["w"][got].mean(0) if len(got) else np.zeros(model["code"].shape[1]))
+                    if fit:
+                        fits.append(float(model["fit"][got].mean(0).max()) if len(got) else None)
+                found, scores = np.full(len(n), "und", object), np.zeros(len(n))
+                at = np.flatnonzero(lettered)
+                if len(at):
+                    best, scores[at] = decode(model, np.stack(margins).astype(float), np.array(n)[at])
+                    found[at] = [model["langs"][k] for k in best]
+                columns = {c: part.column(c) for c in names} | {"lang_pred": pa.array(found, pa.string()), "score": pa.array(scores), "ambiguous": pa.array((found != "und") & (scores < AMBIGUOUS), pa.bool_())}
                 if fit:
-                    fits.append(float(model["fit"][got].mean(0).max()) if len(got) else None)
-            out = pdf.drop(columns="text")
-            out["lang_pred"], out["score"] = "und", 0.0
-            at = np.flatnonzero(lettered)
-            if len(at):
-                best, score = decode(model, np.stack(margins).astype(float), np.array(n)[at])
-                out.loc[out.index[at], "lang_pred"] = [model["langs"][k] for k in best]
-                out.loc[out.index[at], "score"] = score
-            out["ambiguous"] = (out["lang_pred"] != "und") & (out["score"] < AMBIGUOUS)
-            if fit:
-                out["fit"] = pd.Series(fits, out.index, dtype=float)
-            yield out
+                    columns["fit"] = pa.array(fits, pa.float64())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
 def predict(docs: DataFrame, model: dict, keep: list[Column], fit: bool = False) -> DataFrame:
-    """The kept columns of docs(text) with lang_pred, score and ambiguous, and fit (null without n-grams) where asked for."""
+    """The kept columns of docs(text) (text itself only if it is one) with lang_pred, score and ambiguous, and fit (null without n-grams) where asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, "text")
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInPandas(_predictor(shared, fit), f"{schema}, lang_pred string, score double, ambiguous boolean" + ", fit double" * fit)
+    kept = docs.select(*keep)
+    rows = kept if "text" in kept.columns else docs.select(*keep, "text")
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType()), *([StructField("fit", DoubleType())] if fit else [])])
+    return rows.mapInArrow(_predictor(shared, kept.columns, fit), schema)

@@ -13,11 +13,14 @@ k-mers, as changes spread over a text may leave no run of five words whole. Docu
 Candidates: equal texts are one node. Nodes that share a key meet in a bucket. Each node is
 first aligned with the bucket leader it shares most keys with, then with other leaders of
 its buckets where those are in another component. What is still apart in a bucket is compared
-pair by pair across components. Buckets of over ``bucket`` nodes do so in blocks of about
-``block`` nodes by class of lengths; each pair of blocks is a group of its own, a block of a
-single component never meets another of that component, and a pair is aligned in the first
-bucket it shares only. Pairs whose lengths or bags of words rule 0.8 out are not aligned, nor
-are those that earlier links of their group already hold together.
+across components: in buckets of up to ``bucket`` nodes pair by pair. The nodes of larger ones
+meet by their words: texts of similarity 0.8 hold 0.8 of the longer one's words in common, so
+that, in any fixed order of words, they share one of the first fifth and one more of each
+other's. Words are ordered by how rare they are there; nodes that share such a word and a bucket
+are a pair, unless lengths and the word's place rule it out. This leaves out no pair that a
+comparison of the whole bucket would link, and its work grows with the words, not with the
+square of the bucket. A word that more than ``block`` nodes lead with is dealt in blocks, each
+pair of blocks a group of its own.
 
 The candidate search is probabilistic: a pair is lost if no sketch agrees. With k-mer
 Jaccard J a sketch of m k-mers agrees with about J^m. Where every fifth word differs
@@ -36,7 +39,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 5
+#: Bits of the number of slots that words are counted in; words before its own that a row of ``_leading_words`` carries.
+_SLOTS, _BEFORE = 18, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,19 +73,20 @@ def labelled_kmers(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(words: np.ndarray, sketches: int, k: int, picks: int = 2) -> np.ndarray:
-    """A key for each hash function: the ``picks`` (two or three) least labelled k-mers in text order."""
+    """A key for each hash function: the ``picks`` (two or three) least labelled k-mers in text order; 32 bits order them, 64 name them."""
     h, labelled = labelled_kmers(words, k)
     seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 16 * (picks - 2)))
-    v = (labelled[None] ^ seeds[:, None]) * _M1
-    v ^= v >> np.uint64(32)
-    at = np.arange(sketches)
+    v = ((labelled >> np.uint64(32)).astype(np.uint32)[None] ^ (seeds >> np.uint64(32)).astype(np.uint32)[:, None]) * np.uint32(0x85EBCA6B)
+    v ^= v >> np.uint32(15)
+    v *= np.uint32(0x9E3779B1)
+    at, top = np.arange(sketches), np.uint32(0xFFFFFFFF)
     one = v.argmin(1)
-    v[at, one] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    v[at, one] = top
     two = v.argmin(1) if len(h) > 1 else one
     if picks == 2:
         first, second = labelled[np.minimum(one, two)], labelled[np.maximum(one, two)]
         return mix(mix(first * np.uint64(3) + seeds) + second).astype(np.int64)
-    v[at, two] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    v[at, two] = top
     three = v.argmin(1) if len(h) > 2 else two
     first, second, third = labelled[np.sort(np.stack([one, two, three]), 0)]
     return mix(mix(mix(first * np.uint64(3) + seeds) + second) + third).astype(np.int64)
@@ -143,7 +148,7 @@ def _word_hashes():
 
     class Known(dict):
         def __missing__(self, w):
-            if len(self) > 500_000:
+            if len(self) > 200_000:
                 self.clear()
             self[w] = got = xxhash.xxh64_intdigest(w)
             return got
@@ -178,87 +183,158 @@ def _aligner(least: float):
     return run
 
 
-def _crosser(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links across components between two blocks of a bucket, or within one."""
-        pdf = pdf.sort_values("n", kind="stable").reset_index(drop=True)
-        words = [np.frombuffer(w, np.uint32) for w in pdf["words"]]
-        n, node = pdf["n"].to_numpy(), pdf["node"].tolist()
-        key, keys = pdf["key"].iloc[0], np.zeros((len(pdf), max(map(len, pdf["keys"]))), np.int64)
-        for at, own in zip(keys, pdf["keys"]):
-            at[: len(own)] = own
-        bags = np.stack([np.bincount(w & 255, minlength=256) for w in words]).astype(np.int32)
-        comp, root = pd.factorize(pdf["comp"])[0], {}
-
-        def top(c: int) -> int:
-            while c in root:
-                c = root[c]
-            return c
-
-        first, second = np.flatnonzero(~pdf["other"]), np.flatnonzero(pdf["other"])
-        links = []
-        for i in first:
-            with_ = second if len(second) else first[first > i]
-            with_ = with_[(comp[with_] != comp[i]) & (np.minimum(n[with_], n[i]) >= np.maximum(n[with_], n[i]) * least - 1e-9)]
-            longer = np.maximum(n[with_], n[i])
-            # words that share a bin are at most as many as the bins hold on both sides
-            with_ = with_[longer - np.minimum(bags[with_], bags[i]).sum(1) <= np.floor((1 - least) * longer + 1e-9)]
-            if not len(with_):
-                continue
-            equal = keys[with_] == keys[i]
-            for j in with_[keys[i][equal.argmax(1)] == key]:
-                a, b = top(comp[i]), top(comp[j])
-                if a != b and similar(words[i], words[j], least):
-                    root[a] = b
-                    links.append((min(node[i], node[j]), max(node[i], node[j])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype=object)
+def _labelled_words(words: bytes) -> np.ndarray:
+    """A 64-bit key for each word of a text; the second occurrence of a word is a word of its own."""
+    found = np.frombuffer(words, np.uint32).astype(np.uint64)
+    return labelled_kmers(found, 1)[1] if len(found) else found
+
+
+def _slots(labelled: np.ndarray) -> np.ndarray:
+    return (labelled >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def _slot_counts(batches):
+    """How many words of a task's nodes fall into each slot of a fixed number of them."""
+    counts = np.zeros(1 << _SLOTS, np.int64)
+    for batch in batches:
+        found = [_slots(_labelled_words(w.as_py())) for w in batch.column("words")]
+        counts += np.bincount(np.concatenate([*found, np.empty(0, np.int64)]), minlength=1 << _SLOTS)
+    at = np.flatnonzero(counts)
+    for k in range(0, len(at), 100_000):
+        yield pa.record_batch({"slot": pa.array(at[k : k + 100_000].astype(np.int32)), "n": pa.array(counts[at[k : k + 100_000]])})
+
+
+def _leading_words(shared, least: float, over: int | None = None):
+    """A row for each of the rarest words of a node, as many as similar texts can lack and one more, with the few before it.
+
+    With ``over``: the words alone, of slots that count more than that.
+    """
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                of, word, n, place, before = [], [], [], [], []
+                for row, words in enumerate(part.column("words")):
+                    labelled = _labelled_words(words.as_py())
+                    count = counts[_slots(labelled)]
+                    lead = math.floor((1 - least) * len(labelled) + 1e-9) + 1
+                    order = np.lexsort((labelled, count))[:lead]
+                    first = labelled[order].view(np.int64)
+                    pos = np.flatnonzero(count[order] > over) if over else np.arange(len(order))
+                    of.append(np.full(len(pos), row))
+                    word.append(first[pos])
+                    n.append(np.full(len(pos), len(labelled), np.int32))
+                    place.append(pos.astype(np.int32))
+                    before += [first[max(0, k - _BEFORE) : k].tobytes() for k in pos.tolist()]
+                of, word = pa.array(np.concatenate(of)), pa.array(np.concatenate(word))
+                if over:
+                    yield pa.RecordBatch.from_arrays([word], ["word"])
+                    continue
+                columns = [word, *(part.column(c).take(of) for c in ("node", "comp", "keys")), pa.array(np.concatenate(n)), pa.array(np.concatenate(place)), pa.array(before, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "node", "comp", "keys", "n", "pos", "before"])
+
+    return run
+
+
+def _meeting(least: float):
+    """Pairs (a, b) of different components that share a bucket, out of rows sorted by group.
+
+    A pair comes at the first word that both lead with, and at a later one only where neither
+    row carries the one before.
+    """
+
+    def pairs(t: pa.Table):
+        group = np.stack([t.column(c).to_numpy() for c in ("word", "low", "high")], 1)
+        new = np.concatenate([[True], (group[1:] != group[:-1]).any(1)])
+        of, nodes = np.cumsum(new), t.column("node").combine_chunks()
+        comp, n, pos, piece = (t.column(c).to_numpy() for c in ("comp", "n", "pos", "piece"))
+        within = group[:, 1] == group[:, 2]
+        earlier = np.zeros((len(t), _BEFORE), np.int64)
+        for row, b in zip(earlier, t.column("before").to_pylist(), strict=True):
+            row[: len(b) // 8] = np.frombuffer(b, np.int64)
+        keys = [frozenset(k) for k in t.column("keys").to_pylist()]
+        for step in range(1, int(np.bincount(of).max())):
+            i = np.flatnonzero(of[step:] == of[:-step])
+            j = i + step
+            longer = np.maximum(n[i], n[j])
+            need = longer - np.floor((1 - least) * longer + 1e-9)
+            ok = (comp[i] != comp[j]) & (within[i] | (piece[i] != piece[j])) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need)
+            i, j = i[ok], j[ok]
+            for k in range(0, len(i), 20_000):
+                x, y = earlier[i[k : k + 20_000]], earlier[j[k : k + 20_000]]
+                met = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != 0)).any((1, 2))
+                x, y = i[k : k + 20_000][~met], j[k : k + 20_000][~met]
+                together = np.array([not keys[p].isdisjoint(keys[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)], bool)
+                a, b = (nodes.take(pa.array(z[together])).to_pylist() for z in (x, y))
+                if a:
+                    yield pa.record_batch({"a": pa.array(list(map(min, a, b)), pa.binary()), "b": pa.array(list(map(max, a, b)), pa.binary())})
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = tuple(t.column(c)[-1].as_py() for c in ("word", "low", "high")) if len(t) else None
+            # the last group may go on in the next batch
+            at = len(t)
+            while at and tuple(t.column(c)[at - 1].as_py() for c in ("word", "low", "high")) == last:
+                at -= 1
+            if at:
+                yield from pairs(t.slice(0, at))
+            held = t.slice(at)
+        if held is not None and len(held):
+            yield from pairs(held)
 
     return run
 
 
-def crossed_in_blocks(large: DataFrame, nodes: DataFrame, least: float, block: int) -> DataFrame:
-    """Links a, b across components within the buckets of large(key, node, n, length, comp), each bucket compared in full."""
-    cells = large.groupBy("key", "length", "comp").agg(F.count("*").alias("of"))
-    # components of a block's size have blocks of their own, the others share some; no component has an empty name
-    cells = cells.withColumn("lone", F.when(F.col("of") >= block, F.col("comp")).otherwise(F.lit(b"")))
-    pools = cells.groupBy("key", "length", "lone").agg(F.ceil(F.sum("of") / F.lit(block)).alias("pieces"))
-    cells = cells.join(pools, ["key", "length", "lone"]).drop("of")
-    placed = large.join(cells, ["key", "length", "comp"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
-    placed = common.cut(placed.withColumn("part", F.xxhash64("key", "length", "lone", "piece")).select("key", "length", "part", "lone", "node", "n", "comp"), "blocks")
-    parts = placed.select("key", "length", "part", "lone").distinct()
-    # similar texts are of the same class of lengths or the next
-    left = parts.withColumn("near", F.explode(F.array("length", F.col("length") + 1)))
-    right = parts.select("key", F.col("length").alias("near"), F.col("part").alias("part_b"), F.col("lone").alias("lone_b"))
-    pairs = left.join(right, ["key", "near"]).filter(((F.col("near") > F.col("length")) | (F.col("part") <= F.col("part_b"))) & ((F.col("lone") != F.col("lone_b")) | (F.length("lone") == 0)))
-    pairs = common.cut(pairs.select("part", "part_b"), "block-pairs")
-    # a side of a pair each; a block against itself comes once
-    sides = pairs.select("part", "part_b", F.col("part").alias("at"), F.lit(False).alias("other")).union(pairs.filter("part <> part_b").select("part", "part_b", F.col("part_b").alias("at"), F.lit(True).alias("other")))
-    rows = placed.select("key", "node", "n", "comp", F.col("part").alias("at")).join(sides, "at").drop("at")
-    held = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "words", "keys")
-    return rows.join(common.cut(held, "block-nodes"), "node").groupBy("part", "part_b").applyInPandas(_crosser(least), "a binary, b binary")
+def met_by_words(members: DataFrame, nodes: DataFrame, least: float, block: int) -> DataFrame:
+    """Pairs a, b across components of members(node, comp, keys) that share a key and one of the rarest words of both, after bounds."""
+    context = members.sparkSession.sparkContext
+    held = common.cut(nodes.select("node", "words").join(members, "node").select("node", F.xxhash64("comp").alias("comp"), "keys", "words"), "met-nodes")
+    # a fixed number of slots, so that the driver's table doesn't grow
+    counted = held.select("words").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << _SLOTS, np.uint32)
+    counts[counted.column("slot").to_numpy()] = np.minimum(counted.column("n").to_numpy(), (1 << 32) - 1)
+    shared = context.broadcast(counts)
+    rows = held.mapInArrow(_leading_words(shared, least), "word long, node binary, comp long, keys array<int>, n int, pos int, before binary")
+    rows = rows.withColumn("pieces", F.lit(1))
+    if counts.max(initial=0) > block:
+        often = held.mapInArrow(_leading_words(shared, least, block), "word long").groupBy("word").agg(F.count("*").alias("of")).filter(F.col("of") > block)
+        often = common.cut(often.select("word", F.ceil(F.col("of") / F.lit(block)).cast("int").alias("pieces")), "met-often")
+        few = often.count() <= 100_000
+        rows = rows.drop("pieces").join(F.broadcast(often) if few else often, "word", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = rows.select("word", F.least("piece", "with").alias("low"), F.greatest("piece", "with").alias("high"), "piece", "node", "comp", "keys", "n", "pos", "before")
+    dealt = dealt.repartition("word", "low", "high").sortWithinPartitions("word", "low", "high")
+    return dealt.mapInArrow(_meeting(least), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) for the nodes of edges(a, b): least labels spread, with pointer jumping."""
     both = common.cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
+    held = labels
     while True:
         spread = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near")).select(F.col("a").alias("node"), "near")
         least = labels.join(spread, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = least.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("further")), "comp", "left")
         new = common.cut(jump.select("node", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "old"), "labels")
-        done = new.filter(F.col("comp") != F.col("old")).isEmpty()
+        common.drop(held)
+        done, held = new.filter(F.col("comp") != F.col("old")).isEmpty(), new
         labels = new.select("node", "comp")
         if done:
+            common.drop(both)
             return labels
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, triples: int = 64, bucket: int = 32, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, triples: int = 64, bucket: int = 4, block: int = 4096) -> DataFrame:
     """doc_id, class_id, class_size of docs(doc_id, text)."""
     rows = docs.select("doc_id", "text", common.text_key().alias("node"))
     # one text a node; the longest tables from here on hold one row a key
     texts = rows.filter(F.col("text").isNotNull()).groupBy("node").agg(F.first("text").alias("text"))
-    nodes = common.cut(texts.select("node", "text").mapInArrow(_sketcher(sketches, triples), "node binary, n int, words binary, keys array<long>"), "sketches")
+    nodes = common.cut_by(texts.select("node", "text").mapInArrow(_sketcher(sketches, triples), "node binary, n int, words binary, keys array<long>"), "node", "sketches")
     length = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(least))).cast("int")
     # a key is of one hash function only, as its seed is part of it
     members = nodes.select("node", F.explode("keys").alias("key"))
@@ -289,17 +365,19 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, tri
     tried = common.cut(tried.union(apart), "tried")
     comp = components(edges)
 
-    # nodes still apart within a bucket: small buckets pair by pair, larger ones in blocks
-    level = with_comp(shared, comp).select("key", "node", "n", "length", "comp")
+    # nodes still apart within a bucket: small ones pair by pair, those of larger ones by their words
+    level = with_comp(shared.select("key", "node", "n"), comp)
     mixed = level.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") != F.col("high")).select("key", "size")
     level = common.cut(level.join(mixed, "key"), "buckets")
+    common.drop(shared, led)
     small = level.filter(F.col("size") <= bucket)
     other = small.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    crossed = small.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= F.greatest("n", "nb") * least - 1e-9))
-    more = linked(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    large = level.filter(F.col("size") > bucket)
-    if not large.isEmpty():
-        more = common.cut(more.union(crossed_in_blocks(large, nodes, least, block)), "links")
+    crossed = small.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= F.greatest("n", "nb") * least - 1e-9)).select("a", "b")
+    # a node has as many keys as sketches at most; two keys of one hash only add a pair
+    large = level.filter(F.col("size") > bucket).groupBy("node", "comp").agg(F.collect_set(F.hash("key")).alias("keys"))
+    crossed = crossed.union(met_by_words(large, nodes.drop("keys"), least, block)).distinct()
+    more = linked(crossed.join(tried, ["a", "b"], "left_anti"))
+    common.drop(nodes, level)
     if not more.isEmpty():
         comp = components(edges.union(more))
 

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from siftlake.llm import langid, mixing, order_minhash, pieces, sharding, surrogates, token_files
+from siftlake.llm import langid, mixing, order_minhash, sharding, token_files
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,27 +76,6 @@ def test_near_duplicates_against_brute_force(spark):
                 assert of[a] == of[b]
 
 
-def test_surrogates(spark, odd):
-    text = 'Mail The.72@mail3.example.com or the.72@MAIL3.example.com, 10.20.30.40, card 4952935900253052 or 4952-9359-0025-3052, +1 (498) 555-6503. Mrs Anna Smith; Herr Müller; г-жа Анна Петрова; token = "9742a250774262d6"'
-    rows = [(1, text), (2, "the.72@mail3.example.com"), (3, "other@mail3.example.com"), (4, None), (5, ""), (6, "version 3.0 of 2020")]
-    got = {r.doc_id: r for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
-    new = got[1].text
-    assert len(new) != 0 and "4952" not in new and "Smith" not in new and "Петрова" not in new and "9742a250774262d6" not in new and "10.20.30.40" not in new
-    assert got[2].text in new.lower() and got[3].text != got[2].text and got[3].text.endswith("example.com")
-    digits = [w.replace("-", "").rstrip(",.") for w in new.split() if w.replace("-", "").rstrip(",.").isdigit()]
-    assert digits[0] == digits[1] and digits[0][0] == "4"
-    assert new.count("+1 (") == 1 and got[4].text is None and got[5].text == "" and got[6].n_replaced == 0
-    again = surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "key").filter("doc_id = 1").first()
-    assert again.text == new
-    assert surrogates.replace_personal_data(odd, "key").count() == odd.count()
-
-
-def test_surrogates_stay_distinct(spark):
-    ips = [(f"{a}.{b}.1.1",) for a in range(10) for b in range(10)]
-    m = surrogates.surrogate_map(spark.createDataFrame([("ip", x, False) for (x,) in ips], "kind string, value string, female boolean"), "k").collect()
-    assert len({r.surrogate for r in m}) == 100 and not {r.surrogate for r in m} & {x for (x,) in ips}
-
-
 def test_mixing(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = mixing.cube_mix(docs).collect()
@@ -119,27 +98,6 @@ def test_flight_keeps_both_sums():
     assert abs(out.sum() - pi.sum()) < 1e-6 and abs(out @ size - pi @ size) < 1e-3 and ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 2
 
 
-def test_pieces_have_the_best_score(spark, odd):
-    import sentencepiece
-
-    model, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.PieceModel(MODEL)
-    score = {model.id_to_piece(i): model.get_score(i) for i in range(259, model.get_piece_size())}
-    lines = [line for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect() for line in r.text.split("\n") if line]
-    for line in lines:
-        text, best = own.normalize(line), [0.0]
-        for end in range(1, len(text) + 1):
-            arcs = [best[b] + score[text[b:end]] for b in range(max(0, end - 20), end) if text[b:end] in score]
-            best.append(max(arcs + ([best[end - 1] + own.missing] if text[end - 1] not in score else [])))
-        ids = own.encode(line)
-        if all(i > 258 for i in ids):
-            assert sum(map(model.get_score, ids)) == pytest.approx(best[-1])
-        assert own.decode(ids) == line == model.decode(ids)
-    for text in ["a  b", " a", "日本 ☃ \t x", "a   \n b"]:
-        assert own.decode(own.encode(text)) == text and own.encode(text) == own.segment(own.normalize(text))
-    got = pieces.round_trip(odd, MODEL).collect()
-    assert len(got) == odd.count() and all(r.exact in (True, None) for r in got)
-
-
 def test_language_id(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.filter("doc_id % 3 <> 1"))
@@ -178,36 +136,6 @@ def test_sharding(spark, odd):
     assert sharding.shard_by_bytes(odd).count() == odd.count() and sharding.shard_by_bytes(odd.limit(0)).count() == 0
 
 
-def test_large_buckets_are_compared_in_full(spark):
-    """200 pairs share a passage: pairs meet in large mixed buckets only, and the changed words are in every own k-mer of five."""
-    rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
-    shared, rows = [word() for _ in range(100)], []
-    for g in range(200):
-        own = [word() for _ in range(60)]
-        near = [word() if i % 5 == 0 else w for i, w in enumerate(own)]
-        rows += [(2 * g, " ".join(shared + own)), (2 * g + 1, " ".join(shared + near))]
-    of = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=64).collect()}
-    assert all(of[2 * g] == of[2 * g + 1] for g in range(200)) and len(set(of.values())) == 200
-
-
-def test_near_duplicates_at_the_border(spark):
-    """Pairs of similarity 0.80 to 0.87 that share no or few k-mers of five, short and long."""
-    rng = random.Random(12)
-    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
-    rows, number = [], 0
-    for n, pairs in ((50, 30), (120, 30), (1000, 10)):
-        for step in (5, 6, 7, 0):
-            for _ in range(pairs):
-                own = [word() for _ in range(n)]
-                changed = set(rng.sample(range(n), n // 5)) if not step else set(range(step - 1, n, step))
-                rows += [(number, " ".join(own)), (number + 1, " ".join(word() if i in changed else w for i, w in enumerate(own)))]
-                number += 2
-    of = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    lost = sum(of[a] != of[a + 1] for a in range(0, number, 2))
-    assert lost <= 0.02 * number / 2 and len(set(of.values())) == number // 2 + lost
-
-
 def test_mixing_lands_small_sources_beside_a_large_one(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randrange(50, 150)), "hot") for i in range(500)]
@@ -218,13 +146,3 @@ def test_mixing_lands_small_sources_beside_a_large_one(spark):
         t = sums.setdefault(r.source, [r.target, 0])
         t[1] += r.taken
     assert all(abs(taken - target) <= 2 for target, taken in sums.values()), sums
-
-
-def test_surrogates_stay_distinct_when_forms_run_out(spark):
-    import itertools
-
-    names = ["".join(x).capitalize() for x in itertools.islice(itertools.product("abcdefghijkl", repeat=4), 20_500)]
-    mails = ["".join(x) + "@mail.example.com" for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2)]
-    rows = [("name", x, False) for x in names] + [("email", x, False) for x in mails] + [("secret", "________", False)]
-    m = surrogates.surrogate_map(spark.createDataFrame(rows, "kind string, value string, female boolean"), "k").collect()
-    assert len(m) == len(rows) == len({(r.kind, r.surrogate) for r in m}) and not {r.surrogate for r in m} & {x for _, x, _ in rows}
