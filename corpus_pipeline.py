@@ -12,28 +12,28 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import common, langid, mixing, order_minhash, pieces, surrogates
 from siftlake.llm.queries import SURROGATE_KEY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Under this score a language is a guess.
-LEAST_SCORE = 0.5
+
+
+def numbered(docs: DataFrame, *first: Column) -> DataFrame:
+    """docs with ``row``, which tells rows of equal ids and texts apart; written, so that all that is made of it sees the same numbers."""
+    return common.cut(docs.select(*COLUMNS).withColumn("row", F.struct(*first, F.monotonically_increasing_id().alias("n"))), "numbered")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(F.coalesce(common.doc_crc() % 3 != 1, F.lit(True))))
-    columns = [F.col(c) for c in COLUMNS if c != "text"]
-    kept = langid.predict(docs, model, [*columns, F.col("text").alias("kept_text")], fit=True)
-    kept = kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & ~F.col("ambiguous") & (F.col("fit") > 0))
-    return kept.withColumnRenamed("kept_text", "text").select(*COLUMNS)
+    kept = langid.predict(docs, model, [F.col(c) for c in COLUMNS], fit=True)
+    return kept.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous") & (F.col("fit") > 0)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows are told apart by a number of their own, as ids and texts may repeat
-    docs = common.cut(docs.select(*COLUMNS), "dedup-in").withColumn("row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.monotonically_increasing_id().alias("n")))
+    docs = numbered(docs, F.col("doc_id").isNull().alias("last"), F.col("doc_id"))
     classes = order_minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"))
     stay = classes.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("row"))
     return docs.join(stay, "row", "left_semi").select(*COLUMNS)
@@ -44,7 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS).withColumn("row", F.struct("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.monotonically_increasing_id().alias("n")))
+    docs = numbered(docs, F.col("doc_id"), F.crc32(F.col("text").cast("binary")).alias("crc"))
     taken = mixing.cube_mix(docs.select(F.col("row").alias("doc_id"), "source", "text")).select(F.col("doc_id").alias("row"), "copies").filter("copies > 0")
     return docs.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
