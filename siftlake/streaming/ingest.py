@@ -101,6 +101,7 @@ def drained(spark: SparkSession, backlog: DataFrame, batch: int, key: str, most:
     numbered = numbered if most is None else numbered.filter(F.col("batch") < most)
     numbered.repartition("batch").write.option("maxRecordsPerFile", batch).partitionBy("batch").parquet(f"{folder}/in")
     schema = numbered.schema
+    numbered.limit(0).write.parquet(f"{folder}/out/trigger=-1")  # an empty backlog triggers nothing
     query = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").writeStream
     done = query.foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(f"{folder}/out/trigger={i}"))
     done.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
