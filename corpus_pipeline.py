@@ -33,10 +33,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = numbered(docs, F.col("doc_id").isNull().alias("last"), F.col("doc_id"))
+    # rows of equal ids and texts are one document
+    docs = docs.select(*COLUMNS).withColumn("row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", common.text_key().alias("key")))
     classes = order_minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"))
-    stay = classes.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("row"))
-    return docs.join(stay, "row", "left_semi").select(*COLUMNS)
+    stay = classes.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("row")).distinct()
+    return docs.join(stay, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
