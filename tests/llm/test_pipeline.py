@@ -48,3 +48,12 @@ def test_piece_ids_are_decoded(spark, monkeypatch):
     monkeypatch.setattr(pieces, "_coder", lambda path, decode: seen.append(decode) or coder(path, decode))
     C.piece_ids(spark, docs, SF)
     assert seen == [True]
+
+
+def test_near_dedup_of_repeated_rows_and_null_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text + " twelve", "en", "s", 1), (None, text, "en", "s", 1), (None, "other words stand here alone", "en", None, 2), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, text), (None, rows[4][1]), (3, None), (4, "")], key=str)
+    assert C.near_dedup(spark, docs.limit(0), SF).count() == 0
