@@ -113,3 +113,33 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hamming_search import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query(
+    """
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, piece
+                    FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+    words AS (SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM (SELECT lang, p, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces)),
+    leads AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY p ORDER BY i)),
+    grams AS (
+      SELECT lang, 1 AS m, w1 AS phrase, count(*) AS f FROM leads GROUP BY lang, w1
+      UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM leads WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM leads WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3),
+    total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE m = 1 GROUP BY lang),
+    cand AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE m > 1 AND f >= 10),
+    cuts AS (SELECT c.lang, c.phrase, k, a, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+             FROM cand c JOIN (VALUES (1), (2)) AS t (k) ON k < m
+             JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+             JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM cuts) WHERE i = 1),
+    inner2 AS (SELECT lang, phrase, max(a) AS most
+               FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM cand WHERE m = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM cand WHERE m = 3) GROUP BY lang, phrase),
+    kept AS (SELECT b.* FROM best b LEFT JOIN inner2 USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+    SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000
+    """
+)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
