@@ -143,3 +143,45 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import collocations
 
     return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
+
+
+#: The rules of op12: verdict, host, path.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+_SECOND = "('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.za', 'co.in', 'co.jp', 'ne.jp', 'or.jp', 'co.kr', 'com.br', 'com.cn', 'com.mx', 'com.tr')"
+_WEIGHT = "1 / CASE WHEN coalesce(sum(n * (n - 1) * m * (1 - m)), 0) = 0 THEN 0.1::DOUBLE ELSE least(greatest(sum(power(bad - n * m, 2) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)), 1e-4::DOUBLE), 0.999::DOUBLE) END - 1"
+
+
+@query(
+    rf"""
+    WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+    p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+    a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS address FROM p),
+    b AS (SELECT *, regexp_matches(address, '^\[|^[0-9.]+$') AS numeric_, regexp_extract(address, '(?:[^.]+\.)?[^.]+$') AS two FROM a),
+    d AS (SELECT *, CASE WHEN numeric_ THEN address WHEN two IN {_SECOND} THEN two ELSE regexp_extract(address, '[^.]+$') END AS suffix,
+                 CASE WHEN numeric_ THEN address WHEN two IN {_SECOND} THEN regexp_extract(address, '(?:[^.]+\.)?[^.]+\.[^.]+$') ELSE two END AS domain FROM b),
+    o AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
+    h AS (SELECT address, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM d LEFT JOIN o ON doc_id = page_id WHERE address <> '' GROUP BY address, domain, suffix),
+    g AS (SELECT (sum(bad) + 1)::DOUBLE / (sum(n) + 2) AS m FROM h),
+    s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h, g GROUP BY suffix),
+    s1 AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM s0, (SELECT {_WEIGHT} AS k FROM s0)),
+    d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h JOIN s1 USING (suffix) GROUP BY domain, suffix),
+    d1 AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM d0, (SELECT {_WEIGHT} AS k FROM d0)),
+    h0 AS (SELECT address, n, bad, m FROM h JOIN d1 USING (domain)),
+    h1 AS (SELECT address, n, k, (bad + k * m) / (n + k) AS s FROM h0, (SELECT {_WEIGHT} AS k FROM h0)),
+    v AS (SELECT address, round(s - 1.645 * sqrt(s * (1 - s) / (n + k + 1)), 9) > 0.5 AS blocked FROM h1)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+    FROM (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                         WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM d) LEFT JOIN v USING (address)
+    """
+)
+def op12_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is that of the label under its id: bad if toxic or of low quality."""
+    from .reputation import judge_urls
+
+    toxic, quality = F.col("toxic"), F.col("quality")
+    bad = F.coalesce(toxic == 1, F.lit(False)) | F.coalesce(quality == 0, F.lit(False))
+    outcomes = table(spark, sf_dir, "labels").filter(toxic.isNotNull() | quality.isNotNull()).select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, most=0.5, z=1.645)
