@@ -13,7 +13,7 @@ ERASED = ["TYPE_FILE_MARK_ERASE", "TYPE_LOW_FILE_SIZE", "TYPE_LOW_RESOLUTION", "
 SWEPT = [
     "TYPE_DAMAGED",
     "TYPE_FILE_NAME_MATCH",
-    "TYPE_SWEEP_DEDUPPER_FILE",
+    "TYPE_SWEEP_OWN_FILE",
     "TYPE_HASH_MATCH_RECOVERY",
     "TYPE_NG_FILE_NAME",
     "TYPE_NG_DIR_PATH",
@@ -54,7 +54,7 @@ MARK_OF = {
     "TYPE_P_HASH_MATCH_LOST_FILE": "dedupe",
 }
 #: Reasons that get no mark; with those above and the sweeps' every one that a verdict can have.
-UNMARKED = ["TYPE_NO_PROBLEM", "TYPE_PROCESS_ERROR", "TYPE_P_HASH_MAY_BE", "TYPE_HASH_MATCH_RELOCATE", "TYPE_HASH_MISMATCH_RELOCATE", "TYPE_HASH_MATCH_TRANSFER", "TYPE_KEEP_DEDUPPER_FILE", "TYPE_UNKNOWN_FILE_TYPE"]
+UNMARKED = ["TYPE_NO_PROBLEM", "TYPE_PROCESS_ERROR", "TYPE_P_HASH_MAY_BE", "TYPE_HASH_MATCH_RELOCATE", "TYPE_HASH_MISMATCH_RELOCATE", "TYPE_HASH_MATCH_TRANSFER", "TYPE_KEEP_OWN_FILE", "TYPE_UNKNOWN_FILE_TYPE"]
 
 
 def every_reason() -> list[str]:

@@ -130,8 +130,8 @@ def kind_verdict(kind: Column, source_there: Column) -> Column:
     return (
         F.when(kind == "UNKNOWN", hit("hold", "TYPE_UNKNOWN_FILE_TYPE"))
         .when(kind == "SCRAP", hit("delete", "TYPE_SCRAP_FILE_TYPE"))
-        .when((kind == "CACHE") & source_there, hit("hold", "TYPE_KEEP_DEDUPPER_FILE"))
-        .when(kind.isin("CACHE", "LOCK"), hit("delete", "TYPE_SWEEP_DEDUPPER_FILE"))
+        .when((kind == "CACHE") & source_there, hit("hold", "TYPE_KEEP_OWN_FILE"))
+        .when(kind.isin("CACHE", "LOCK"), hit("delete", "TYPE_SWEEP_OWN_FILE"))
     )
 
 

@@ -123,7 +123,7 @@ def filter_forget_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT p_partkey, CASE kind WHEN 'UNKNOWN' THEN 'hold' WHEN 'CACHE' THEN CASE WHEN p_partkey % 3 = 0 THEN 'hold' ELSE 'delete' END WHEN 'LOCK' THEN 'delete' WHEN 'SCRAP' THEN 'delete' ELSE 'none' END AS action,
-           CASE kind WHEN 'UNKNOWN' THEN 'TYPE_UNKNOWN_FILE_TYPE' WHEN 'CACHE' THEN CASE WHEN p_partkey % 3 = 0 THEN 'TYPE_KEEP_DEDUPPER_FILE' ELSE 'TYPE_SWEEP_DEDUPPER_FILE' END WHEN 'LOCK' THEN 'TYPE_SWEEP_DEDUPPER_FILE' WHEN 'SCRAP' THEN 'TYPE_SCRAP_FILE_TYPE' END AS reason
+           CASE kind WHEN 'UNKNOWN' THEN 'TYPE_UNKNOWN_FILE_TYPE' WHEN 'CACHE' THEN CASE WHEN p_partkey % 3 = 0 THEN 'TYPE_KEEP_OWN_FILE' ELSE 'TYPE_SWEEP_OWN_FILE' END WHEN 'LOCK' THEN 'TYPE_SWEEP_OWN_FILE' WHEN 'SCRAP' THEN 'TYPE_SCRAP_FILE_TYPE' END AS reason
            FROM (SELECT p_partkey, {KIND_SQL} AS kind FROM (SELECT p_partkey, {EXT} AS e FROM part))""")
 def file_type_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown files are held, scrap and locks deleted, caches held while their source (here every third) exists."""

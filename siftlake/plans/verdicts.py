@@ -77,7 +77,7 @@ j0 AS (
   SELECT n.doc_id AS in_id, n.hash, n.state, n."timestamp" AS t, n.from_path AS f, ex.exact_id, CASE
     WHEN n.name LIKE 'and %' THEN {_v('delete', 'TYPE_NG_FILE_NAME')}
     WHEN n.kind = 'UNKNOWN' THEN {_v('hold', 'TYPE_UNKNOWN_FILE_TYPE')} WHEN n.kind = 'SCRAP' THEN {_v('delete', 'TYPE_SCRAP_FILE_TYPE')}
-    WHEN n.kind = 'CACHE' AND n.doc_id % 4 = 0 THEN {_v('hold', 'TYPE_KEEP_DEDUPPER_FILE')} WHEN n.kind IN ('CACHE', 'LOCK') THEN {_v('delete', 'TYPE_SWEEP_DEDUPPER_FILE')}
+    WHEN n.kind = 'CACHE' AND n.doc_id % 4 = 0 THEN {_v('hold', 'TYPE_KEEP_OWN_FILE')} WHEN n.kind IN ('CACHE', 'LOCK') THEN {_v('delete', 'TYPE_SWEEP_OWN_FILE')}
     WHEN mv.v IS NOT NULL THEN mv.v
     WHEN n.gate IS NOT NULL THEN struct_pack(action := 'hold', hit_id := NULL::BIGINT, reason := n.gate, n_candidates := CAST(0 AS INTEGER))
     WHEN ex.v IS NOT NULL THEN ex.v

@@ -124,8 +124,8 @@ STEPS = [
     ({"ng": True, "kind": "SCRAP", "exact_id": 5}, ("delete", None, "TYPE_NG_FILE_NAME", 0)),
     ({"kind": "UNKNOWN"}, ("hold", None, "TYPE_UNKNOWN_FILE_TYPE", 0)),
     ({"kind": "SCRAP"}, ("delete", None, "TYPE_SCRAP_FILE_TYPE", 0)),
-    ({"kind": "CACHE"}, ("delete", None, "TYPE_SWEEP_DEDUPPER_FILE", 0)),
-    ({"kind": "CACHE", "source": True}, ("hold", None, "TYPE_KEEP_DEDUPPER_FILE", 0)),
+    ({"kind": "CACHE"}, ("delete", None, "TYPE_SWEEP_OWN_FILE", 0)),
+    ({"kind": "CACHE", "source": True}, ("hold", None, "TYPE_KEEP_OWN_FILE", 0)),
     ({"from_path": "/in/a.!hs.txt", "quality": "TYPE_DAMAGED"}, ("hold", None, "TYPE_FILE_MARK_HOLD", 0)),
     ({"from_path": "/in/a.!b.txt"}, ("delete", None, "TYPE_FILE_MARK_BLOCK", 0)),
     ({"from_path": "/in/a.!b.txt", "exact_id": 5, "exact_state": 200}, ("hold", None, "TYPE_FILE_MARK_HOLD", 0)),
