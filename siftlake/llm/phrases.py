@@ -6,7 +6,9 @@ are padded. The following words come from the piece's own array, as LEAD would g
 nothing is shuffled or sorted to find them. The windows are counted once, folded map-side. What
 begins with a prefix is the sum of its windows, padded ones included, so a ROLLUP over the windows'
 words gives the counts of all shorter n-grams, and of all words of a language, without exploding
-the texts again.
+the texts again; windows that are no candidates count as padded there. All n-grams that begin with
+a word are counted together, so the words are dealt into ``slices`` by hash and counted slice by
+slice: only a slice's shuffles lie on disk at a time.
 
 A candidate is a phrase of two words or more with ``least`` occurrences. Both parts of each cut
 occur at least as often as it does, so the table of n-grams that is kept holds frequent ones only.
@@ -23,6 +25,8 @@ empty table gives no rows; columns other than text and lang are not looked at.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,29 +39,36 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 64
 
 
-def windows(docs: DataFrame, longest: int) -> DataFrame:
-    """lang, window: for every word the words from it on, space-joined, ``longest`` at most."""
+def windows(docs: DataFrame, longest: int, slices: int = 1, part: int = 0) -> DataFrame:
+    """lang, window: for every word (of a slice) the words from it on, space-joined, ``longest`` at most."""
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE_END)).alias("piece"))
     words = pieces.select("lang", F.array_remove(F.split("piece", GAP), "").alias("w"))
     lead = [F.slice("w", k + 1, F.size("w")).alias(f"w{k}") for k in range(longest)]
-    return words.select("lang", F.inline(F.arrays_zip(*lead))).select("lang", F.concat_ws(" ", *[f"w{k}" for k in range(longest)]).alias("window"))
-
-
-def ngram_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
-    """lang, phrase, words, f of the n-grams of up to ``longest`` words with at least that many occurrences; a row of no words holds the language's word count."""
-    top = windows(docs, longest).groupBy("lang", "window").agg(F.count("*").alias("f"))
-    w = [f"w{k}" for k in range(1, longest)]
-    sums = top.select("lang", *[F.split_part("window", F.lit(" "), F.lit(k + 1)).alias(c) for k, c in enumerate(w)], "f").rollup("lang", *w).agg(F.sum("f").alias("f"))
+    rows = words.select("lang", F.inline(F.arrays_zip(*lead)))
+    rows = rows if slices == 1 else rows.filter(F.pmod(F.hash("w0"), F.lit(slices)) == part)
+    return rows.select("lang", F.concat_ws(" ", *[f"w{k}" for k in range(longest)]).alias("window"))
+
+
+def ngram_counts(docs: DataFrame, longest: int = 3, least: int = 10, slices: int = 1, part: int = 0) -> DataFrame:
+    """lang, phrase, words, f of the n-grams (of a slice) of up to ``longest`` words with at least that many occurrences; a row of no words holds the language's word count."""
+    # one column makes narrower rows than two
+    key = windows(docs, longest, slices, part).select(F.concat_ws("\t", "window", "lang").alias("key"))
+    top = key.groupBy("key").agg(F.count("*").alias("f"))
+    window, f = F.split_part("key", F.lit("\t"), F.lit(1)), F.col("f")
+    w = [f"w{k}" for k in range(1, longest + 1)]
+    word = [F.split_part(window, F.lit(" "), F.lit(k + 1)) for k in range(longest)]
+    # a rare window counts for its prefixes only, as a padded one
+    word[-1] = F.when(f >= least, word[-1]).otherwise(F.lit(""))
+    lang = F.substr("key", F.instr("key", "\t") + 1)
+    sums = top.select(lang.alias("lang"), *[x.alias(c) for x, c in zip(word, w)], "f").rollup("lang", *w).agg(F.sum("f").alias("f"))
     # words that the rollup has summed over are null, padded ones empty
     padded = F.lit(False)
     for c in w:
         padded = padded | F.coalesce(F.col(c) == "", F.lit(False))
     size = sum((F.col(c).isNotNull().cast("int") for c in w[1:]), F.col(w[0]).isNotNull().cast("int"))
-    shorter = sums.filter(F.col("lang").isNotNull() & ~padded).select("lang", F.concat_ws(" ", *w).alias("phrase"), size.alias("words"), "f")
-    spaces = F.length("window") - F.length(F.replace("window", F.lit(" "), F.lit("")))
-    longer = top.filter((F.col("f") >= least) & (spaces == longest - 1)).select("lang", F.col("window").alias("phrase"), F.lit(longest).alias("words"), "f")
-    return shorter.filter((F.col("words") == 0) | (F.col("f") >= least)).unionByName(longer)
+    grams = sums.filter(F.col("lang").isNotNull() & ~padded).select("lang", F.concat_ws(" ", *w).alias("phrase"), size.alias("words"), "f")
+    return grams.filter((F.col("words") == 0) | (f >= least))
 
 
 def _joined(words: Column, start: Column, n: Column) -> Column:
@@ -83,12 +94,13 @@ def covered(candidates: DataFrame) -> DataFrame:
     return candidates.filter(n > 2).select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
 
 
-def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int = 50, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int = 50, top: int = 2000, slices: int = 2) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to ``longest`` words.
 
     cover: the percentage of a phrase's occurrences from which a longer candidate replaces it.
     """
-    grams = common.cut(ngram_counts(docs, longest, least), "ngrams")
+    parts = [common.cut(ngram_counts(docs, longest, least, slices, s), "ngrams") for s in range(slices)]
+    grams = functools.reduce(DataFrame.unionByName, parts)
     candidates = grams.filter(F.col("words") >= 2).withColumnRenamed("f", "a")
     scored = weakest_cuts(candidates, grams.filter("words > 0"))
     scored = scored.join(covered(candidates), ["lang", "phrase"], "left").filter(F.col("most").isNull() | (100 * F.col("most") < cover * F.col("a")))
@@ -96,5 +108,5 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     scored = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     first = scored.withColumn("i", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("i") <= top)
     best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
-    totals = grams.filter("words = 0").select("lang", F.col("f").alias("n"))
+    totals = grams.filter("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
