@@ -142,7 +142,7 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import collocations
 
-    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000)
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000, slices=2)
 
 
 #: The rules of op12: verdict, host, path.
@@ -185,3 +185,10 @@ def op12_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.coalesce(toxic == 1, F.lit(False)) | F.coalesce(quality == 0, F.lit(False))
     outcomes = table(spark, sf_dir, "labels").filter(toxic.isNotNull() | quality.isNotNull()).select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, most=0.5, z=1.645)
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), every=199, shortest=6, least=5, times=5)
