@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.numbers import half_up
 from siftlake.functions.paths import lookup
 from siftlake.operators import matching as M
+from siftlake.operators.naming import without_collisions
 from siftlake.sources import fixtures as X
 
 from .near import near_pairs
@@ -132,21 +133,6 @@ def first_delete_else_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of(rows, "user_id", "rank")
 
 
-def without_collisions(rows: DataFrame, taken: DataFrame, path: str, order: str) -> DataFrame:
-    """Each row's path with ``_1``, ``_2``, ... where the plain one or lower numbers are occupied or given to earlier rows.
-
-    A row of place n among those that want a path gets the n-th free suffix; free suffixes
-    are the numbers 0 to (wanting + taken rows) less the taken ones, so no loop is needed.
-    """
-    number = F.regexp_extract("taken", r"_([0-9]+)$", 1)
-    held = taken.select(F.col("to_path").alias("taken")).select(F.regexp_replace("taken", "_[0-9]+$", "").alias(path), F.when(number == "", 0).otherwise(F.expr("try_cast(regexp_extract(taken, '_([0-9]+)$', 1) AS int)")).alias("suffix")).distinct()
-    wanted = rows.groupBy(path).agg(F.count("*").alias("n")).join(held.groupBy(path).agg(F.count("*").alias("m")), path, "left")
-    free = wanted.select(path, F.explode(F.sequence(F.lit(0), (F.col("n") + F.coalesce("m", F.lit(0)) - 1).cast("int"))).alias("suffix")).join(held, [path, "suffix"], "left_anti")
-    free = free.withColumn("place", F.row_number().over(Window.partitionBy(path).orderBy("suffix")))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(path).orderBy(order)))
-    return placed.join(free, [path, "place"]).withColumn("final_path", F.when(F.col("suffix") == 0, F.col(path)).otherwise(F.concat(F.col(path), F.lit("_"), F.col("suffix").cast("string"))))
-
-
 @query("""WITH t AS (SELECT p_partkey, '/lib/' || p_brand AS base FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS i FROM t)
           SELECT p_partkey, CASE WHEN base = '/lib/Brand#1' THEN base || '_' || CAST(CASE WHEN i >= 2 THEN i + 1 ELSE 1 END AS VARCHAR) WHEN i = 1 THEN base ELSE base || '_' || CAST(i - 1 AS VARCHAR) END AS final_path FROM r""")
 def resolve_path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
