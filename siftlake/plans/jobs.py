@@ -11,11 +11,13 @@ from siftlake.functions.reasons import MARK_OF
 from siftlake.operators import judging as J
 from siftlake.operators import matching as M
 from siftlake.operators import merging as G
+from siftlake.operators import sequence as S
 from siftlake.sources import fixtures as X
+from siftlake.sources.shared import cut
 from siftlake.streaming import ingest as T
 
 from .registry import query
-from .verdicts import JUDGED, judge
+from .verdicts import JUDGED, hashed, judge, judge_each
 
 FX = X.BASE
 
@@ -221,6 +223,24 @@ def stream_ingest_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.judged_stream(spark, X.waiting(spark, sf_dir), "doc_id", judged, mutate)
 
 
+def applied(spark: SparkSession, sf_dir: str, files: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Verdicts and last catalogue of a stream of documents that are judged and applied batch by batch."""
+
+    def step(docs: DataFrame, stored: DataFrame):
+        rows = hashed(docs)
+        verdicts = judge_each(spark, sf_dir, rows, stored)
+        return verdicts, S.next_snapshot(verdicts, rows, stored)
+
+    first = cut(X.catalog(spark, sf_dir, ("p_hash", "d_hash")), "catalog")
+    return T.applied_stream(spark, X.waiting(spark, sf_dir), "doc_id", first, step, files)
+
+
+@query()
+def stream_ingest_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue after documents have arrived in files: each batch is judged row after row against the last version, by hash, near hash and name, and written as the next one. The catalogue is hashed once; what comes is hashed as it comes."""
+    return applied(spark, sf_dir)[1].select("hash", "doc_id", "state", "to_path")
+
+
 @query("SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY user_id, event_type")
 def stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))

@@ -10,6 +10,7 @@ from siftlake.functions.reasons import BLOCKED, DEDUPED, ERASED, SWEPT, erased_s
 from siftlake.operators import judging as J
 from siftlake.operators import matching as M
 from siftlake.operators import merging as G
+from siftlake.operators import sequence as S
 from siftlake.sources import fixtures as X
 from siftlake.sources.shared import cut
 
@@ -117,8 +118,13 @@ def judge(spark: SparkSession, sf_dir: str, rows: DataFrame, earlier: DataFrame
     pairs = cut(near_pairs(spark, sf_dir, rows=rows), "pairs")
     near = J.near_verdicts(J.remapped(J.judged(factors(spark, sf_dir, pairs, rows))))
     found = J.evidence(rows, stored, X.listing(spark, sf_dir), near, pairs, _needless(spark, sf_dir))
+    return J.cascade(found, _steps(), earlier=earlier)
+
+
+def _steps():
+    """The cascade with this catalogue's settings."""
     k = F.col("doc_id")
-    return J.cascade(found, J.steps(F.col("name").like("and %"), quality_reason(), k % 4 == 0, rejected=k % 17 == 0, failed=k % 97 == 0, gate_deletes=True), earlier=earlier)
+    return J.steps(F.col("name").like("and %"), quality_reason(), k % 4 == 0, rejected=k % 17 == 0, failed=k % 97 == 0, gate_deletes=True)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +136,27 @@ def judge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir)
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """Rows to be judged, with both similarity hashes, of documents."""
+    hashes = X.similarity_hashes(docs.select("doc_id", "text"))
+    return cut(X.incoming_of(docs).join(hashes, "doc_id", "left"), "hashed")
+
+
+def judge_each(spark: SparkSession, sf_dir: str, rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Verdicts of ``hashed`` rows one after another against stored rows with hashes, and against what earlier rows leave."""
+    near = cut(S.near_entities(rows, stored), "near-entities")
+    of_pairs = stored.select("hash", "doc_id").unionByName(rows.select("hash", "doc_id")).join(near.select("hash").distinct(), "hash", "left_semi")
+    ids = of_pairs.select("doc_id").union(near.select("in_id")).distinct()
+    return S.in_order(rows, stored, near, X.listing(spark, sf_dir), _needless(spark, sf_dir), cut(X.statistics(spark, sf_dir, ids), "statistics"), _steps())
+
+
+@query()
+def judge_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch judged row after row: near copies, copies and names among its own rows count as soon as the earlier row is stored. A recursion over rows, so no SQL; tests hold it against a simulation."""
+    stored = cut(X.catalog(spark, sf_dir, ("p_hash", "d_hash")), "catalog")
+    return judge_each(spark, sf_dir, hashed(X.waiting(spark, sf_dir)), stored).select("in_id", "action", "hit_id", "reason", "n_candidates")
+
+
 FACTOR_NAMES = ["accessible", "same_dir", "small_pixel", "same_pixel", "small_size", "newer", "may_be", "will_keep", "keeping"]
 
 

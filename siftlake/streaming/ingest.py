@@ -55,6 +55,35 @@ def judged_stream(spark: SparkSession, arriving: DataFrame, key: str, judge, mut
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
+def applied_stream(spark: SparkSession, arriving: DataFrame, key: str, first: DataFrame, judge, files: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Rows judged as their files arrive and applied at once: the verdicts, and the catalogue that they leave.
+
+    judge(batch, stored) gives verdicts and the next snapshot. Batch i reads version i of the
+    catalogue and writes version i + 1, and its verdicts under its id. A version counts once its
+    write is committed, which is what moves the pointer on; a batch that is replayed, whatever it had
+    written, reads the same version and writes the same again.
+    """
+    folder = work_dir(spark)
+    in_order(arriving, key, files, folder)
+    version = lambda i: f"{folder}/catalog/version={i}"
+    first.write.parquet(version(0))
+
+    def step(batch: DataFrame, i: int) -> None:
+        verdicts, snapshot = judge(cut(batch, "batch"), spark.read.schema(first.schema).parquet(version(i)))
+        cut(verdicts, "verdicts").write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+        snapshot.write.mode("overwrite").parquet(version(i + 1))
+
+    run_batches(spark, arriving, folder, step, per_trigger=1)
+    return spark.read.parquet(f"{folder}/out").drop("batch"), spark.read.schema(first.schema).parquet(version(last_version(spark, f"{folder}/catalog")))
+
+
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The newest committed version of a catalogue."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return max(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 def first_seen(spark: SparkSession, rows: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Rows whose keys weren't seen within the delay before, by a streaming deduplication with a watermark."""
     folder = work_dir(spark)
