@@ -1,11 +1,14 @@
 """Replacing personal data by keyed surrogates, in DataFrame functions only.
 
-Entities are found by patterns: e-mail and IPv4 addresses, phone numbers, payment cards,
-secrets (assigned to a name such as token or password, in quotes or, where they hold a digit,
-without; and keys of well-known prefixes), and names after a title (Mr, Frau, Señora, Dr, г-н,
-...), with initials, particles and any number of words. In a text where a name was found, all
-other mentions of its words are replaced too, with or without a title. Every entity becomes a
-surrogate of its own type, drawn from a keyed hash:
+Entities are found by patterns: e-mail and IPv4 addresses, phone numbers (with a country code, in
+groups, or ten digits), numbers of three, two and four digits, payment cards, secrets (assigned to a
+name such as token or password, in quotes or, where they hold a digit, without; and keys of
+well-known prefixes), and names after a title (Mr, Frau, Señora, Dr, г-н, ..., also in capitals), with
+initials, particles and any number of words. A number in a card's form is a card if it stands alone;
+next to other digits its check sum decides, for every place where one may begin. In a text where a name
+was found, all other mentions of its words are replaced too, with or without a title. A match has the
+kind of the alternative that matched. Every entity becomes a surrogate of its own type, drawn from
+a keyed hash:
 
 * letters stay letters of their case, digits digits, all other characters stay as they are,
   so the format is the entity's own; a hexadecimal secret stays hexadecimal;
@@ -23,8 +26,9 @@ follows the first titled mention in its text. Distinct entities get distinct sur
 entities of a type that draw the same surrogate one keeps it and the others draw again, as do
 those whose draw is itself an entity of the documents; the rounds end when none is left. So
 that forms never run out, they grow with every ``GROW`` rounds: names get a syllable more a
-word, e-mails a letter before and secrets one after; IPv4 octets get any length. Phones and
-cards have at least some 10^9 forms a shape and stay as they are.
+word, e-mails a letter before and secrets one after, phones and other numbers a digit after; IPv4
+octets get any length. Cards keep their form, of which there are 10^13. With forms so many times
+those that collide, ``MOST_ROUNDS`` rounds suffice; if not, the run fails and leaks nothing.
 
 The documents are written once with the key of those that hold an entity; only entities, and
 texts that hold them, are shuffled, and equal texts are worked on once.
@@ -37,8 +41,6 @@ rows.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ from . import common
 
 #: Rounds after which what still collides draws from more forms.
 GROW = 4
+MOST_ROUNDS = 64
+#: Noncharacters around cards that the check sum has told.
+OPEN, CLOSE = "\uFDD0", "\uFDD1"
 # Titles that a name follows, by gender, and particles of names.
 MALE = ["Mr", "Herr", "Señor", "Sr", "Don", "Monsieur", "Г-н", "г-н", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Doña", "Madame", "Mme", "Г-жа", "г-жа", "госпожа"]
@@ -58,53 +63,67 @@ PREFIXED = r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|eyJ)"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: A word of a name: two letters at least, or one before an apostrophe; a possessive s isn't part of it.
 WORD = r"\p{Lu}(?:[\p{L}\p{M}]+|(?=['’]\p{L}))(?:['’](?!s(?!\p{L}))\p{L}[\p{L}\p{M}]*)*"
+#: White space within a name, and after a title.
+GAP, AFTER = r"[\x20\t\xA0]{1,9}", r"[\s\xA0]{1,9}"
 NAME = rf"(?:(?:{'|'.join(PARTICLES)})\x20)*+(?:\p{{Lu}}\.\x20?)*+{WORD}(?:-{WORD})*"
+TITLES = "|".join(sorted({y for x in MALE + FEMALE + EITHER for y in (x, x.upper())}, key=lambda x: (-len(x), x)))
+#: A number as cards are written; one that stands alone, and all places where one may begin.
+CARD = r"(?:\d{16}|\d{4}\x20\d{4}\x20\d{4}\x20\d{4}|\d{4}-\d{4}-\d{4}-\d{4}|3[47]\d{13}|3[47]\d{2}\x20\d{6}\x20\d{5}|3[47]\d{2}-\d{6}-\d{5})"
+CANDIDATE = rf"(?<!\d)(?=[2-6])(?=({CARD})(?!\d))"
+#: By kind, in order of precedence; without groups of their own.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,}(?![A-Za-z0-9])",
     "secret": rf"(?:{ASSIGNED}(?:[\"'][^\"'\s]{{6,}}(?=[\"'])|(?=[^\s\"']*\d)[A-Za-z0-9_+/=.~-]{{7,}}[A-Za-z0-9_+/=~-])|(?<![A-Za-z0-9]){PREFIXED}[A-Za-z0-9_.-]{{15,}}[A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "card": r"(?<!\d)(?<!\d[ -])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?!\d|[ -]\d)",
-    "phone": r"(?<![\p{L}\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|(?<=[+\d][ .-])\d{2,4}[ .-]|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d|[.-]\d)",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(sorted(MALE + FEMALE + EITHER, key=len, reverse=True))})\.?)\x20{NAME}(?:\x20{NAME})*+",
+    "card": rf"{OPEN}[\d -]+{CLOSE}|(?<!\d)(?<!\d[ -]){CARD}(?!\d|[ -]\d)",
+    "number": r"(?<![\p{L}\d+-])\d{3}-\d{2}-\d{4}(?!-?\d)",
+    "phone": r"(?<![\p{L}\d+(])(?:\+\d(?:[ .()-]{0,2}\d){7,14}|(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}|[2-9]\d{9})(?!\d|[.-]\d)",
+    "name": rf"(?<!\p{{L}})(?:{TITLES})\.?{AFTER}{NAME}(?:{GAP}{NAME})*+",
 }
-#: Any entity, in order of precedence. Only the card's pattern has groups, so its references hold here too.
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Any entity; the group that matched tells the kind.
+ANY = "|".join(f"({p})" for p in PATTERNS.values())
+#: Kinds whose digits are drawn and laid out as they were.
+NUMBERS = ["card", "number", "phone"]
+HINT = rf"[@0-9]|{ASSIGNED}|{PREFIXED}|(?<!\p{{L}})(?:{TITLES})[.\s\xA0]"
 # Syllables of names by script.
 LATIN = ["ba", "ben", "cor", "da", "del", "el", "far", "gan", "hal", "is", "jo", "ka", "lan", "mar", "ne", "or", "per", "ros", "sel", "ta", "ul", "ver", "wen", "ya", "zor"]
 CYRILLIC = ["ба", "вен", "гор", "да", "дел", "ел", "жар", "зан", "кал", "ил", "йо", "ка", "лан", "мар", "не", "ор", "пет", "рос", "сел", "та", "ул", "фер", "хен", "ша", "яр"]
 
 
-def _hint(text: Column) -> Column:
-    """Whether a text holds what every entity needs; plain searches that rule most texts out before the patterns run."""
-    found = text.contains("@") | text.rlike("[0-9]") | text.rlike(rf"{ASSIGNED}|{PREFIXED}")
-    for title in MALE + FEMALE + EITHER:
-        found = found | text.contains(title + " ") | text.contains(title + ".")
-    return found
+def _marked(text: Column) -> Column:
+    """The text with marks around numbers that are cards by their check sum, whatever stands beside them."""
+    valid = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1)), lambda c: _luhn(_digits(c)) == 0))
+    mark = lambda t, c: F.regexp_replace(t, F.concat(F.lit(rf"(?<![\d{OPEN}])"), c, F.lit(r"(?!\d)")), F.lit(f"{OPEN}$0{CLOSE}"))
+    return F.when(text.rlike(CANDIDATE), F.aggregate(valid, text, mark)).otherwise(text)
+
+
+def _kinds(text: Column, match: Column) -> Column:
+    """The kind of each match, by the group that took part in it."""
+    groups = [F.regexp_extract_all(text, F.lit(ANY), F.lit(i + 1)) for i in range(len(PATTERNS))]
 
+    def kind(i):
+        out = F.raise_error(F.lit("a match without a kind")).cast("string")
+        for k, g in reversed(list(zip(PATTERNS, groups))):
+            out = F.when(F.get(g, i) != "", F.lit(k)).otherwise(out)
+        return out
 
-def _kind(entity: Column) -> Column:
-    """Type of a match, by the first pattern that it fits."""
-    out = F.lit(None).cast("string")
-    for kind, pattern in reversed(PATTERNS.items()):
-        whole = pattern.replace(r"(?=[\"'])", "") if kind == "secret" else pattern
-        # look-behinds see the match's start only, where they hold
-        out = F.when(entity.rlike(f"^(?:{whole})$"), F.lit(kind)).otherwise(out)
-    return out
+    return F.transform(match, lambda m, i: kind(i))
 
 
 def _prefix(kind: Column, entity: Column) -> Column:
     """The part of a match that stays: the assignment of a secret or its known prefix, the title of a name."""
-    return F.when(kind == "secret", F.regexp_extract(entity, rf"^({ASSIGNED}[\"']?|{PREFIXED})", 1)).when(kind == "name", F.regexp_extract(entity, r"^(\S+ )", 1)).otherwise(F.lit(""))
+    return F.when(kind == "secret", F.regexp_extract(entity, rf"^({ASSIGNED}[\"']?|{PREFIXED})", 1)).when(kind == "name", F.regexp_extract(entity, r"^([^\s\xA0]+[\s\xA0]+)", 1)).otherwise(F.lit(""))
 
 
 def _gender(kind: Column, prefix: Column) -> Column:
-    title = F.regexp_replace(prefix, r"[. ]+$", "")
-    return F.when((kind == "name") & title.isin(MALE), "m").when((kind == "name") & title.isin(FEMALE), "f").otherwise("n")
+    title = F.upper(F.regexp_replace(prefix, r"[.\s\xA0]+$", ""))
+    of = lambda titles: (kind == "name") & title.isin([x.upper() for x in titles])
+    return F.when(of(MALE), "m").when(of(FEMALE), "f").otherwise("n")
 
 
 def _canonical(kind: Column, value: Column) -> Column:
     """What spellings of an entity have in common."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card"), F.regexp_replace(value, r"[^0-9+]", "")).otherwise(value)
+    return F.when(kind == "email", F.lower(value)).when(kind.isin(NUMBERS), F.regexp_replace(value, r"[^0-9+]", "")).otherwise(value)
 
 
 def _byte(draws: Column, i: Column) -> Column:
@@ -191,9 +210,9 @@ def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     """
     kind, value, draws, grown = F.col("kind"), F.col("value"), F.col("draws"), attempt // GROW
     rows = entities.withColumn("draws", _draws(key, kind, F.col("canon"), F.lit(attempt)))
-    rows = rows.withColumn("digits", F.when(kind.isin("card", "phone"), _digits(value)))
+    rows = rows.withColumn("digits", F.when(kind.isin(NUMBERS), _digits(value)))
     # a card's first digit and a phone's country code stay
-    stay = F.when(kind == "card", F.lit(1)).otherwise(F.length(F.regexp_extract(value, r"^\+(\d{1,3})[ .-]", 1)))
+    stay = F.when(kind == "card", F.lit(1)).otherwise(F.length(F.regexp_extract(value, r"^\+(1|7|\d{2,3}(?=[ .(-]))", 1)))
     rows = rows.withColumn("drawn", F.when(F.col("digits").isNotNull(), _same_shape(F.col("digits"), draws, stay, F.lit(False))))
     # a card's last digit makes its check sum what the original's is
     n = F.length("drawn")
@@ -207,7 +226,8 @@ def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     surrogate = (
         F.when(kind == "email", F.concat(_extra(draws, grown, F.lit(False)), _same_shape(local, draws, F.lit(0), F.lit(False)), F.substr(value, F.length(local) + 1, F.length(value))))
         .when(kind == "ip", _ip(value, draws, grown))
-        .when(F.col("digits").isNotNull(), _laid_out(value, F.col("drawn")))
+        .when(kind == "card", _laid_out(value, F.col("drawn")))
+        .when(F.col("digits").isNotNull(), F.concat(_laid_out(value, F.col("drawn")), *[(_byte(draws, F.lit(95 - g)) % 10).cast("string") for g in range(grown)]))
         .when(kind == "name", _name(value, draws, F.col("gender"), grown))
         .otherwise(F.concat(_same_shape(value, draws, F.lit(0), F.col("hexadecimal")), _extra(draws, grown, F.col("hexadecimal"))))
     )
@@ -226,7 +246,7 @@ def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
     ids = common.cut(ids.withColumn("canon", F.concat_ws(":", "gender", "plain")), "pii-entities")
     taken = ids.select("kind", F.col("plain").alias("drawn")).distinct()
     pending, done = ids.drop("plain"), None
-    for attempt in itertools.count():
+    for attempt in range(MOST_ROUNDS):
         drawn = common.cut(with_surrogate(pending, key, attempt).withColumn("drawn", _canonical(kind, F.col("surrogate"))), "pii-drawn")
         owner = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("owner"))
         fits = owner.join(taken, ["kind", "drawn"], "left_anti")
@@ -240,6 +260,7 @@ def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
         if pending.isEmpty():
             return done
         taken = taken.union(settled.select("kind", "drawn").distinct())
+    raise RuntimeError(f"surrogates still collide after {MOST_ROUNDS} rounds")
 
 
 def _woven(text: Column, pattern: str, new: Column) -> Column:
@@ -264,12 +285,16 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """docs(text, ...) with surrogates in the texts, and n_replaced."""
     text, kept = F.col("text"), [c for c in docs.columns if c != "n_replaced"]
     node_, new_, n_ = (_free(c, kept) for c in ("node", "new", "n"))
-    with_node = common.cut(docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(node_, F.when(_hint(text) & text.rlike(ANY), common.text_key())), "pii-docs")
+    with_node = common.cut(docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(node_, F.when(text.rlike(HINT) & text.rlike(f"{ANY}|{CANDIDATE}"), common.text_key())), "pii-docs")
     held = with_node.filter(F.col(f"`{node_}`").isNotNull())
     texts = held.select(F.col(f"`{node_}`").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
-    found = common.cut(texts.select("node", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("match")), "pii-texts")
-    mention = found.select("node", F.posexplode("match").alias("at", "match"))
-    mention = mention.withColumn("kind", _kind(F.col("match")))
+    # a number in a card's form among other digits may be no entity at all
+    texts = texts.select("node", _marked(F.col("text")).alias("text"))
+    match = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    found = texts.select("node", "text", match.alias("match"), _kinds(F.col("text"), match).alias("kinds")).filter(F.size("match") > 0)
+    found = common.cut(found, "pii-texts")
+    mention = found.select("node", F.posexplode(F.arrays_zip("match", "kinds")).alias("at", "m"))
+    mention = mention.select("node", "at", F.translate("m.match", OPEN + CLOSE, "").alias("match"), F.col("m.kinds").alias("kind"))
     mention = mention.withColumn("prefix", _prefix(F.col("kind"), F.col("match")))
     mention = mention.withColumn("value", F.substr("match", F.length("prefix") + 1, F.length("match"))).withColumn("gender", _gender(F.col("kind"), F.col("prefix")))
     # a name is taken word by word, with what stands before each word and after the last
@@ -293,6 +318,6 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     new = rows.select(F.col("node").alias(node_), woven.alias(new_), F.size("news").alias(n_))
     quoted = lambda c: F.col(f"`{c}`")
     columns = [F.coalesce(quoted(new_), text).alias("text") if c == "text" else quoted(c) for c in kept]
-    changed = held.join(new, node_).select(*columns, quoted(n_).alias("n_replaced"))
+    changed = held.join(new, node_, "left").select(*columns, F.coalesce(quoted(n_), F.lit(0)).alias("n_replaced"))
     clean = with_node.filter(quoted(node_).isNull()).select(*[quoted(c) for c in kept], F.lit(0).alias("n_replaced"))
     return clean.unionByName(changed)

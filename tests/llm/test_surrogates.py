@@ -94,3 +94,56 @@ def test_very_long_texts(spark):
     text = " ".join(f"Mr {rng.choice('ABCDEF')}bel met x{i}@mail.com in Town." for i in range(3000))
     (new,) = replaced(spark, text)
     assert len(set(re.findall(r"\S+@mail\.com", new))) == 3000 and "bel met" not in new
+
+
+CARD = "4465758382889437"
+
+
+LEFT = {
+    "4465 7583 8288 9437 1": r"\d{4} \d{4} \d{4} \d{4} 1",
+    f"{CARD} {CARD}": r"(\d{16}) \1",
+    f"12 {CARD}": r"12 \d{16}",
+    f"2024 4465 7583 8288 9437 2025 {CARD}.": r"2024 \d{4} \d{4} \d{4} \d{4} 2025 \d{16}\.",
+    "5551234567": r"\d{10}",
+    "+15551234567": r"\+1\d{10}",
+    "+49 30 1234567": r"\+49 \d\d \d{7}",
+    "123-45-6789": r"\d{3}-\d{2}-\d{4}",
+    "Mr  Smith": r"Mr  [A-Z][a-z]+",
+    "MR SMITH": r"MR [A-Z]+",
+    "Mrs\xa0Smith": r"Mrs\xa0[A-Z][a-z]+",
+    "DR. SMITH": r"DR\. [A-Z]+",
+}
+CLEAN = ["1990 1991 1992 1993 1994", "Mister Smith 2020", "1.5 million of 12345678", "on 2020-12-24 at 10:30", "4465 7583 8288 9438 1"]
+
+
+def test_nothing_of_an_entity_stays_and_other_numbers_do(spark):
+    got = replaced(spark, *LEFT, *CLEAN)
+    for new, shape in zip(got, LEFT.values()):
+        assert re.fullmatch(shape, new)
+        for part in ("4465", "7583", "8288", "9437", "5551234567", "1234567", "6789", "Smith", "SMITH"):
+            assert part not in new
+    assert got[len(LEFT) :] == CLEAN
+    cards = {re.sub(" ", "", m) for x in got[:4] for m in re.findall(r"(?<!\d)\d{16}|4\d{3}(?: \d{4}){3}", x)}
+    assert len(cards) == 1
+
+
+def test_no_entity_of_the_documents_stays(spark):
+    """All e-mails, cards with a right check sum, and titled names of the given documents are gone from the output."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in surrogates.replace_personal_data(docs, "key").collect()}
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    found = 0
+    for i, text in before.items():
+        cards = {m for m in re.findall(r"(?<!\d)\d{16}(?!\d)|(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)", text or "") if luhn(re.sub(r"\D", "", m))}
+        mails = set(re.findall(r"[\w.+-]+@[\w-]+\.[\w.-]*\w", text or ""))
+        names = {m.split()[-1] for m in re.findall(r"(?:Mr|Mrs|Ms|Dr)\.? [A-Z]\w+", text or "")}
+        for x in cards | mails:
+            assert x not in after[i]
+        for x in names:
+            assert not re.search(rf"\b{x}\b", after[i])
+        found += len(cards) + len(mails) + len(names)
+    assert found > 20 and after.keys() == before.keys()
