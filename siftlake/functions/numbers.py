@@ -42,3 +42,19 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def extended(x1: Column, y1: Column, x2: Column, y2: Column, percent: Column) -> tuple[Column, Column]:
     """The second point moved away from the first by a percentage of their distance."""
     return x2 + (x2 - x1) * percent / 100, y2 + (y2 - y1) * percent / 100
+
+
+def expanded_quad(corners: list[tuple[Column, Column]], top: float = 0, right: float = 0, left: float = 0, bottom: float = 0) -> list[tuple[Column, Column]]:
+    """Four corners (top left, bottom left, bottom right, top right) moved out by percentages.
+
+    Each side moves both its corners away from their opposites along the edges, always from the
+    original corners; sides go in the order top, right, left, bottom, and of two that move a corner the
+    later one counts. A rate of 0 moves nothing.
+    """
+    away = lambda a, b, rate: extended(*corners[a], *corners[b], F.lit(rate))
+    out = list(corners)
+    for rate, moves in ((top, ((1, 0), (2, 3))), (right, ((0, 3), (1, 2))), (left, ((3, 0), (2, 1))), (bottom, ((0, 1), (3, 2)))):
+        if rate:
+            for a, b in moves:
+                out[b] = away(a, b, rate)
+    return out

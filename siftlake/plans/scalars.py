@@ -9,6 +9,7 @@ from siftlake.functions import hashes as H
 from siftlake.functions import numbers as N
 from siftlake.functions import paths as P
 from siftlake.functions import reasons as R
+from siftlake.operators.images import pixel_features
 from siftlake.sources import fixtures as X
 
 from .registry import query
@@ -204,16 +205,17 @@ def extend_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(q - 0.2 * q, 4) AS left, round(q * 2 + 0.2 * q, 4) AS right, round(p - 0.1 * p, 4) AS top, round(p * 3 + 0.3 * p * 2, 4) AS bottom
-          FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_tax * 100 + 1 AS p FROM lineitem)""")
+@query("""SELECT l_orderkey, l_linenumber, round(x0 + (x0 - x3) * 0.2, 4) AS x0, round(y0 + (y0 - y3) * 0.2, 4) AS y0, round(x1 + (x1 - x0) * 0.3, 4) AS x1, round(y1 + (y1 - y0) * 0.3, 4) AS y1,
+                 round(x2 + (x2 - x3) * 0.3, 4) AS x2, round(y2 + (y2 - y3) * 0.3, 4) AS y2, round(x3 + (x3 - x0) * 0.2, 4) AS x3, round(y3 + (y3 - y0) * 0.2, 4) AS y3,
+                 round(x0 + (x0 - x1) * 0.05, 4) AS top_x0, round(y3 + (y3 - y2) * 0.05, 4) AS top_y3
+          FROM (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_tax * 100 + 1 AS y0, l_quantity + 1 AS x1, (l_tax * 100 + 1) * 3 AS y1, l_quantity * 2 AS x2, (l_tax * 100 + 1) * 3 + 2 AS y2, l_quantity * 2 + 1 AS x3, l_tax * 100 + 2 AS y3 FROM lineitem)""")
 def expand_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box (q, p, 2q, 3p) pushed out on its four sides, each from the original corners: left and right by 20 % of the width, top by 5 % and bottom by 30 % of the height."""
+    """Tilted boxes pushed out on their four sides (top by 5 %, left and right by 20 %, bottom by 30 %), and two coordinates of a push of the top alone."""
     q, p = F.col("l_quantity"), F.col("l_tax") * 100 + 1
-    left, _ = N.extended(q * 2, p, q, p, F.lit(20))
-    right, _ = N.extended(q, p, q * 2, p, F.lit(20))
-    _, top = N.extended(q, p * 3, q, p, F.lit(5))
-    _, bottom = N.extended(q, p, q, p * 3, F.lit(30))
-    return X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(c, 4).alias(n) for c, n in ((left, "left"), (right, "right"), (top, "top"), (bottom, "bottom"))])
+    corners = [(q, p), (q + 1, p * 3), (q * 2, p * 3 + 2), (q * 2 + 1, p + 1)]
+    full, top = N.expanded_quad(corners, top=5, right=20, left=20, bottom=30), N.expanded_quad(corners, top=5)
+    points = [F.round(c, 4).alias(f"{n}{i}") for i, xy in enumerate(full) for n, c in zip("xy", xy)]
+    return X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *points, F.round(top[0][0], 4).alias("top_x0"), F.round(top[3][1], 4).alias("top_y3"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity / 0.4 + 0.5) AS BIGINT) AS width, CAST(floor(l_extendedprice / 0.4 + 0.5) AS BIGINT) AS top FROM lineitem""")
@@ -268,3 +270,25 @@ def top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes over a probability, most likely first, as text."""
     kept = X.scores(spark, sf_dir).filter("probability > 0.2").groupBy("hash").agg(F.array_sort(F.collect_list(F.struct((-F.col("probability")).alias("p"), "class_name"))).alias("s"))
     return kept.select("hash", F.array_join(F.transform("s", lambda x: F.concat(x["class_name"], F.lit(" "), F.format_number(N.half_up(-x["p"], 2), 2))), ",").alias("labels"))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids of ``embeddings`` as 8 x 8 grey images, in the form that the image source gives."""
+    level = lambda v: F.least(F.greatest(F.floor(F.lit(128) + F.lit(127) * v.cast("double")), F.lit(0)), F.lit(255))
+    data = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(level(v)), 2, "0")), ""))
+    field = {"origin": F.col("vec_id").cast("string"), "height": F.lit(8), "width": F.lit(8), "nChannels": F.lit(1), "mode": F.lit(0), "data": data}
+    return X.table(spark, sf_dir, "embeddings").select(F.struct(*[c.alias(n) for n, c in field.items()]).alias("image"))
+
+
+@query()
+def image_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perceptual hashes by cosine transform of the pixels; tests hold them against a brute-force transform."""
+    return pixel_features(_images(spark, sf_dir)).select(F.col("origin").cast("long").alias("vec_id"), "p_hash", F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: least(greatest(floor(128 + 127 * CAST(x AS DOUBLE)), 0), 255))) AS level FROM embeddings),
+          c AS (SELECT vec_id, level, count(*) AS n FROM v GROUP BY vec_id, level)
+          SELECT vec_id, round(sum(level * n) / sum(n), 6) AS mean, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY vec_id""")
+def image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and entropy of the pixels of each image."""
+    return pixel_features(_images(spark, sf_dir)).select(F.col("origin").cast("long").alias("vec_id"), F.round("mean", 6).alias("mean"), F.round("entropy", 6).alias("entropy"))
