@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions.paths import directory
+from siftlake.operators import hash_index as I
 from siftlake.operators import matching as M
 from siftlake.sources import fixtures as X
-from siftlake.sources.shared import cut
+from siftlake.sources.shared import cut, new_dir
 
 from .registry import query
 
@@ -38,6 +39,18 @@ def near_dup_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(spark, sf_dir, lambda a, b: M.near_dup_multi_index(a, b, slots=False))
 
 
+@query(FX + "SELECT in_id, cat_id, p_distance FROM near")
+def near_dup_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index, made of a catalogue before a run, in which a fifth of the rows was of other states, and kept up to date."""
+    now = cut(X.catalog(spark, sf_dir, ("p_hash",)).select("doc_id", "hash", "p_hash", "ratio", "state"), "catalog")
+    changed = F.col("doc_id") % 5 == 0
+    before = now.withColumn("state", F.when(changed & (F.col("state") >= M.ACCEPTED), 0).when(changed, M.ACCEPTED).otherwise(F.col("state")))
+    path = new_dir(spark, "hash-index")
+    I.create(before, path)
+    I.add(now.filter(changed), path)
+    return I.search(cut(X.incoming(spark, sf_dir, ("p_hash",)).select("doc_id", "p_hash", "ratio"), "asked"), path, now)
+
+
 @query(FX + "SELECT in_id, cat_id, p_distance, d_distance FROM near WHERE p_distance < 3 AND d_distance < 8")
 def near_dup_exact_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sure(near_pairs(spark, sf_dir, M.near_dup_sure))

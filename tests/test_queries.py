@@ -8,7 +8,7 @@ from siftlake.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Those whose SQL needs similarity hashes take DuckDB ten seconds each; of them these, which hold all the others' steps, are tested here.
-SLOW = ["near_dup_search", "near_dup_exact_tier", "near_dup_verdict", "candidate_statistics", "judge_batch", "apply_mutations", "state_cascade", "fill_required_hashes", "repair_hashes"]
+SLOW = ["near_dup_search", "near_dup_index", "near_dup_exact_tier", "near_dup_verdict", "candidate_statistics", "judge_batch", "apply_mutations", "state_cascade", "fill_required_hashes", "repair_hashes"]
 NEAR = ("FROM near", "FROM sim", "JOIN sim", "FROM jd", "FROM fac", "FROM ver", "FROM rem2", "FROM nv", "FROM mp", "FROM mv", "FROM al", "FROM ins")
 QUICK = sorted(n for n, sql in ORACLES.items() if not any(x in sql.split("bit_count(xor(n.p, c.p)) < 11)")[-1] for x in NEAR))
 
