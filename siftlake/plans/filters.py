@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import numbers as N
 from siftlake.functions.paths import lookup
+from siftlake.functions.settings import layered
 from siftlake.operators import judging as J
 from siftlake.operators import matching as M
 from siftlake.sources import fixtures as X
@@ -216,22 +217,17 @@ def null_bind_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("cells"))
 
 
-#: (path part, setting, value) in order; later matches win.
-RULES = [("src1", "least", 10), ("/en/", "least", 20), ("src12", "least", 30), ("src5", "most", 7), ("/de/", "most", 8)]
+#: place, kind, match, setting, value, forced: a configuration, as a table of a store would hold it.
+RULES = [
+    (1, "path", "src1", "least", "10", False), (2, "path", "/en/", "least", "20", False), (3, "path", "src12", "least", "30", False), (4, "path", "src5", "most", "7", False), (5, "path", "/de/", "most", "8", False),
+    (6, "type", "es", "least", "99", False), (7, "path", "src13", "least", "40", True), (8, "path", "src1", "most", "9", True), (9, "type", "fr", "most", "11", True),
+]
 
 
-@query(FX + """SELECT doc_id, CAST(CASE WHEN type = 'es' THEN 99 WHEN contains(from_path, 'src12') THEN 30 WHEN contains(from_path, '/en/') THEN 20 WHEN contains(from_path, 'src1') THEN 10 ELSE 5 END AS BIGINT) AS least,
-               CAST(CASE WHEN contains(from_path, '/de/') THEN 8 WHEN contains(from_path, 'src5') THEN 7 ELSE 6 END AS BIGINT) AS most FROM feat""")
+@query(FX + """SELECT doc_id, CAST(CASE WHEN contains(from_path, 'src13') THEN 40 WHEN type = 'es' THEN 99 WHEN contains(from_path, 'src12') THEN 30 WHEN contains(from_path, '/en/') THEN 20 WHEN contains(from_path, 'src1') THEN 10 ELSE 5 END AS BIGINT) AS least,
+               CAST(CASE WHEN type = 'fr' THEN 11 WHEN contains(from_path, 'src1') THEN 9 WHEN contains(from_path, '/de/') THEN 8 WHEN contains(from_path, 'src5') THEN 7 ELSE 6 END AS BIGINT) AS most FROM feat""")
 def resolve_layered_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings of each row: forced, else by type, else the last rule whose text is in the path, else the base.
-
-    Rules are a configured handful, so they fold into the row; no join is needed.
-    """
-    base, by_type = {"least": 5, "most": 6}, {"least": {"es": 99}, "most": {}}
-
-    def setting(name: str) -> Column:
-        layers = [lookup(by_type[name], F.col("type"))] if by_type[name] else []
-        layers += [F.when(F.contains("from_path", F.lit(part)), F.lit(v)) for part, what, v in reversed(RULES) if what == name]
-        return F.coalesce(*layers, F.lit(base[name])).cast("long").alias(name)
-
-    return X.features(spark, sf_dir).select("doc_id", setting("least"), setting("most"))
+    """Settings of each row by rules that are data: base, path rules in order, type rules, then the forced ones of both."""
+    rules = spark.createDataFrame(RULES, "place int, kind string, match string, setting string, value string, forced boolean")
+    found = layered(rules, F.col("from_path"), F.col("type"), {"least": 5, "most": 6})
+    return X.features(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in found.items()])

@@ -11,7 +11,9 @@ from siftlake.functions.reasons import MARK_OF
 from siftlake.operators import judging as J
 from siftlake.operators import matching as M
 from siftlake.operators import merging as G
+from siftlake.operators import saved as Q
 from siftlake.operators import sequence as S
+from siftlake.sources import feature_cache as C
 from siftlake.sources import fixtures as X
 from siftlake.sources.shared import cut
 from siftlake.streaming import ingest as T
@@ -68,14 +70,30 @@ def scan_insert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(row.alias("r")).select("r.hash", "r.doc_id", clean_hash_text(F.col("r.p_hash")).alias("p_hash"))
 
 
-@query(FX + "SELECT doc_id, hash, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'cache' ELSE 'computed' END AS origin FROM feat")
+@query(FX + """SELECT doc_id, CASE WHEN kind = 'LOCK' THEN 'own' WHEN doc_id % 3 <> 0 OR doc_id % 5 = 0 OR doc_id % 7 > 3 THEN 'computed' WHEN doc_id % 2 = 0 THEN 'filled' ELSE 'cache' END AS origin,
+               CASE WHEN kind <> 'LOCK' THEN f.hash END AS hash, CASE WHEN kind <> 'LOCK' THEN md5(text) END AS d_hash, from_path
+               FROM (SELECT *, CASE WHEN doc_id % 50 = 23 THEN 'LOCK' ELSE 'IMAGE' END AS kind FROM feat) f JOIN documents USING (doc_id)""")
 def feature_cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached features (every third row) of the current version and no older than the file are reused; only the rest is computed."""
-    cache = X.features(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id", F.col("hash").alias("cached"), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(2).alias("version"))
-    fresh = cache.filter("version = 2").select("doc_id", "cached")
-    docs = X.table(spark, sf_dir, "documents").select("doc_id", "text")
-    hit = docs.join(fresh, "doc_id").select("doc_id", F.col("cached").alias("hash"), F.lit("cache").alias("origin"))
-    return hit.unionByName(docs.join(fresh, "doc_id", "left_anti").select("doc_id", F.sha1("text").alias("hash"), F.lit("computed").alias("origin")))
+    """Features read back from JSON, where they are of this version and no older than the file.
+
+    Every third document has a cached row, every fifth of these of another version, and documents of
+    remainders 4 to 6 by 7 have changed since; even ones were cached without their second hash, and
+    all under another path than they lie at now.
+    """
+    docs, k = X.table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id")
+    later = F.when(k % 7 > 3, F.lit("9999-01-01")).otherwise(F.lit("2000-01-01")).cast("timestamp")
+    files = X.features(spark, sf_dir).select(k.cast("string").alias("path"), later.alias("modified"), F.when(k % 50 == 23, "LOCK").otherwise("IMAGE").alias("type"), "from_path")
+    of = lambda rows: docs.withColumn("path", k.cast("string")).join(rows.select("path"), "path", "left_semi")
+    first = lambda rows: of(rows).select("path", F.sha1("text").alias("hash"), F.md5("text").alias("d_hash"))
+    second = lambda rows: of(rows).select("path", F.md5("text").alias("d_hash"))
+    folder = f"{T.work_dir(spark)}/cache"
+    held = first(files).join(docs.select(k.cast("string").alias("path"), "doc_id"), "path").filter(k % 3 == 0)
+    held = held.withColumn("d_hash", F.when(k % 2 == 1, F.col("d_hash"))).withColumn("from_path", F.lit("/elsewhere")).withColumn("type", F.lit("TEXT"))
+    for version, rows in (("2", held.filter(k % 5 != 0)), ("1", held.filter(k % 5 == 0))):
+        C.write(rows.drop("doc_id"), folder, version)
+    cached = C.read(spark, folder, "type string, from_path string, hash string, d_hash string")
+    out = C.reuse(files, cached, "2", first, second, F.col("type") == "IMAGE", ["from_path"])
+    return out.select(F.col("path").cast("long").alias("doc_id"), "origin", "hash", "d_hash", "from_path")
 
 
 @query(FX + """SELECT hash, doc_id, state FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY fresh DESC, "timestamp" DESC) AS rn FROM
@@ -133,25 +151,36 @@ def combine_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_batches(rows: DataFrame, load, version: int) -> DataFrame:
-    """doc_id, score, state (2 scored, 1 failed), version of rows(doc_id, text); load() gives a scorer once a task."""
+    """doc_id, score, state (2 scored, 1 failed), version of rows(doc_id, text).
+
+    load() gives a scorer once a task: a function from a series of texts to their scores. A batch that
+    it can't score is halved until the rows that fail are alone; a score that is no number fails too.
+    """
 
     def run(batches):
         score = load()
+
+        def scores(texts: pd.Series) -> list:
+            try:
+                found = list(score(texts))
+                if len(found) != len(texts):
+                    raise ValueError("a score for each text")
+                return found
+            except Exception:  # a model may fail in any way; its row is marked as failed
+                half = len(texts) // 2
+                return scores(texts[:half]) + scores(texts[half:]) if half else [None] * len(texts)
+
         for pdf in batches:
-            out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                try:
-                    out.append((i, float(score(text)), 2, version))
-                except (AttributeError, TypeError, ValueError, ZeroDivisionError):
-                    out.append((i, None, 1, version))
-            yield pd.DataFrame(out, columns=["doc_id", "score", "state", "version"])
+            found = pd.to_numeric(pd.Series(scores(pdf["text"].reset_index(drop=True)), dtype="object"), errors="coerce").astype("float64")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": found.to_numpy(), "state": found.notna().map({True: 2, False: 1}).to_numpy(), "version": version})
 
-    return rows.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, state int, version int")
+    out = rows.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, state int, version int")
+    return out.withColumn("score", F.when(F.col("state") == 2, F.col("score")))
 
 
 def vowel_share():
-    """A stand-in model: the share of vowels."""
-    return lambda text: sum(map(text.lower().count, "aeiou")) / len(text)
+    """A stand-in model: the share of vowels; no text and empty ones have none."""
+    return lambda texts: texts.str.lower().str.count("[aeiou]") / texts.str.len().replace(0, float("nan"))
 
 
 SHARE = "CASE WHEN length(text) > 0 THEN (length(text) - length(regexp_replace(lower(text), '[aeiou]', '', 'g'))) / length(text) END"
@@ -195,20 +224,13 @@ def user_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAVED = "SELECT type, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM {catalog} WHERE state >= 200 GROUP BY type"
 
 
-def run_saved(spark: SparkSession, saved: DataFrame, name: str, **tables: DataFrame) -> DataFrame:
-    """The rows of a saved query, found by its name; only a single SELECT is run."""
-    text = saved.filter(F.col("name") == name).agg(F.max("sql")).first()[0]
-    if text is None or not text.lstrip().lower().startswith(("select", "with")) or ";" in text:
-        raise ValueError(f"{name} is no saved SELECT")
-    return spark.sql(text, **tables)
-
-
 @query(FX + SAVED.format(catalog="cat"))
 def saved_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A saved query is put, put again under the same id, and run."""
-    stored = spark.createDataFrame([("1", "sizes", "SELECT 1")], "id string, name string, sql string")
-    put = spark.createDataFrame([("1", "sizes", SAVED, 1)], "id string, name string, sql string, seq int")
-    return run_saved(spark, G.upsert(stored.withColumn("seq", F.lit(0)), put, "id", "seq"), "sizes", catalog=X.catalog(spark, sf_dir))
+    """Queries are put, posted, put again under the same id and deleted; the one that is left of its name is run."""
+    saved = Q.put(spark.createDataFrame([("1", "other", "SELECT 1")], Q.SCHEMA), "2", "sizes", "SELECT 1 AS n")
+    saved, posted = Q.post(saved, "sizes", "SELECT 2 AS n")
+    saved, _ = Q.delete(Q.put(saved, "2", "sizes", SAVED), posted)
+    return Q.run(saved, "sizes", catalog=X.catalog(spark, sf_dir))
 
 
 @query(JUDGED + "SELECT * FROM jd")

@@ -290,10 +290,10 @@ def dryrun_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(JUDGED + """SELECT in_id, CASE WHEN in_id % 2 = 0 AND in_id % 3 = 0 THEN '' WHEN in_id % 2 = 0 THEN 'd' WHEN in_id % 3 = 0 THEN 'p' ELSE 'pd' END AS computed, CAST(p AS VARCHAR) AS p_hash, CAST(d AS VARCHAR) AS d_hash, p IS NULL OR d IS NULL OR damaged AS failed
-                   FROM jd JOIN inc ON inc.doc_id = in_id LEFT JOIN sim USING (doc_id) WHERE action IN ('save', 'replace', 'transfer')""")
+                   FROM jd JOIN inc ON inc.doc_id = in_id LEFT JOIN sim USING (doc_id) WHERE action IN ('save', 'replace', 'transfer') OR (action = 'delete' AND """ + REMEMBERED + """ IS NOT NULL)""")
 def fill_required_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows to be inserted need both hashes: the missing side alone is computed (here even rows have the first, every third the second); rows that end without one, or are damaged, fail."""
-    asked = cut(_judged(spark, sf_dir).filter(F.col("action").isin("save", "replace", "transfer")).select(F.col("in_id").alias("doc_id")), "asked")
+    """Rows to be inserted, remembered deletions among them, need both hashes: the missing side alone is computed (here even rows have the first, every third the second); rows that end without one, or are damaged, fail."""
+    asked = cut(_judged(spark, sf_dir).filter(F.col("action").isin("save", "replace", "transfer") | ((F.col("action") == "delete") & remembered_state(F.col("reason")).isNotNull())).select(F.col("in_id").alias("doc_id")), "asked")
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "text").join(asked, "doc_id", "left_semi")
     has_p, has_d = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
     held = X.similarity_hashes(docs.filter(has_p | has_d))
