@@ -236,20 +236,26 @@ AFTER_EXACT = [
 
 
 def mutations(verdicts: DataFrame, rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """hash, op, state, from_path, to_path: what verdicts change in the catalogue. Holds change nothing.
+    """hash, op, state, from_path, to_path, row_of, hashes_of: what verdicts change in the catalogue. Holds change nothing.
 
-    Hits may be stored rows or earlier rows of the batch. A relocated row keeps the stored
-    one's origin.
+    Hits may be stored rows or earlier rows of the batch. ``row_of`` is the document whose features
+    are written, ``hashes_of`` the one whose similarity hashes are: a relocated row keeps the stored
+    one's origin and hashes.
     """
     own_path = F.concat(F.lit("/lib/"), "type", F.lit("/"), "name", F.lit(".txt"))
     own = rows.select(F.col("doc_id").alias("in_id"), "hash", F.col("state").alias("in_state"), F.col("from_path").alias("own_from"), own_path.alias("own_path"))
     hits = stored.select(F.col("doc_id").alias("hit_id"), F.col("hash").alias("hit_hash"), F.col("from_path").alias("hit_from"), F.col("to_path").alias("hit_path"))
     hits = hits.unionByName(rows.select(F.col("doc_id").alias("hit_id"), F.col("hash").alias("hit_hash"), F.col("from_path").alias("hit_from"), own_path.alias("hit_path")))
     joined = verdicts.join(own, "in_id").join(hits, "hit_id", "left")
-    row = lambda h, op, state, origin, path: F.struct(F.col(h).alias("hash"), F.lit(op).alias("op"), state.cast("long").alias("state"), F.col(origin).alias("from_path"), (F.col(path) if path else F.lit(None).cast("string")).alias("to_path"))
+
+    def row(h, op, state, origin, path, of="in_id", hashes=None):
+        to = F.col(path) if path else F.lit(None).cast("string")
+        ids = [F.col(of).cast("long").alias("row_of"), F.col(hashes or of).cast("long").alias("hashes_of")]
+        return F.struct(F.col(h).alias("hash"), F.lit(op).alias("op"), state.cast("long").alias("state"), F.col(origin).alias("from_path"), to.alias("to_path"), *ids)
+
     a, reason, state = F.col("action"), F.col("reason"), F.col("in_state")
-    gone = row("hit_hash", "update", F.lit(100), "hit_from", "hit_path")
-    nothing = F.array().cast("array<struct<hash:string,op:string,state:bigint,from_path:string,to_path:string>>")
+    gone = row("hit_hash", "update", F.lit(100), "hit_from", "hit_path", "hit_id")
+    nothing = F.array().cast("array<struct<hash:string,op:string,state:bigint,from_path:string,to_path:string,row_of:bigint,hashes_of:bigint>>")
     remembered = remembered_state(reason)
     plan = (
         F.when((a == "delete") & remembered.isNotNull(), F.array(row("hash", "insert", remembered, "own_from", None)))
@@ -257,7 +263,7 @@ def mutations(verdicts: DataFrame, rows: DataFrame, stored: DataFrame) -> DataFr
         .when(a == "transfer", F.array(gone, row("hash", "insert", state, "own_from", "own_path")))
         .when((a == "save") & (reason == "TYPE_HASH_MATCH_RECOVERY"), F.array(row("hash", "state", state, "own_from", "hit_path")))
         .when(a == "save", F.array(row("hash", "insert", state, "own_from", "own_path")))
-        .when(a == "relocate", F.array(row("hash", "insert", state, "hit_from", "own_path")))
+        .when(a == "relocate", F.array(row("hash", "insert", state, "hit_from", "own_path", hashes="hit_id")))
         .otherwise(nothing)
     )
     return joined.select("in_id", F.explode(plan).alias("m")).select("in_id", "m.*")
@@ -278,16 +284,16 @@ def within_batch(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     links = pairs.select("a", "b", "distance").join(side("a"), "a").join(side("b"), "b")
     forth = F.col("a_place") < F.col("b_place")
     links = links.select(F.when(forth, F.col("b")).otherwise(F.col("a")).alias("late"), F.when(forth, F.col("a")).otherwise(F.col("b")).alias("early"), F.struct("distance", F.least("a_place", "b_place").alias("place")).alias("near")).distinct()
-    kept = lead.join(links.select(F.col("late").alias("doc_id")), "doc_id", "left_anti").select("doc_id").checkpoint()
+    kept = cut(lead.join(links.select(F.col("late").alias("doc_id")), "doc_id", "left_anti").select("doc_id"), "kept")
     dropped = links.limit(0).select(F.col("late").alias("doc_id"), F.col("early").alias("by"))
-    open_ = links.checkpoint()
+    open_ = cut(links, "open")
     while not open_.isEmpty():
         gone = dropped.select("doc_id")
         # a row is settled once all its earlier partners are: it follows the nearest kept one, else stays
         known = kept.select("doc_id", F.lit(True).alias("stays")).union(gone.select("doc_id", F.lit(False).alias("stays")))
         state = open_.join(known.select(F.col("doc_id").alias("early"), "stays"), "early", "left")
-        settled = state.groupBy("late").agg(F.bool_and(F.col("stays").isNotNull()).alias("known"), F.min_by("early", F.when(F.col("stays"), F.col("near"))).alias("by")).filter("known").checkpoint()
-        dropped = dropped.union(settled.filter(F.col("by").isNotNull()).select(F.col("late").alias("doc_id"), "by")).checkpoint()
-        kept = kept.union(settled.filter(F.col("by").isNull()).select(F.col("late").alias("doc_id"))).checkpoint()
-        open_ = open_.join(settled.select("late"), "late", "left_anti").checkpoint()
+        settled = cut(state.groupBy("late").agg(F.bool_and(F.col("stays").isNotNull()).alias("known"), F.min_by("early", F.when(F.col("stays"), F.col("near"))).alias("by")).filter("known"), "settled")
+        dropped = cut(dropped.union(settled.filter(F.col("by").isNotNull()).select(F.col("late").alias("doc_id"), "by")), "dropped")
+        kept = cut(kept.union(settled.filter(F.col("by").isNull()).select(F.col("late").alias("doc_id"))), "kept")
+        open_ = cut(open_.join(settled.select("late"), "late", "left_anti"), "open")
     return first.join(dropped.withColumnRenamed("doc_id", "first_id"), "first_id", "left").select("doc_id", F.coalesce("by", "first_id").alias("first_id"))

@@ -256,10 +256,10 @@ def force_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 OWN = "'/lib/' || type || '/' || name || '.txt'"
 PLAN = JUDGED + f""", hh AS (SELECT doc_id, hash AS h, from_path AS hf, to_path AS hp FROM cat UNION ALL SELECT doc_id, hash, from_path, {OWN} FROM inc),
 pl AS (SELECT jd.*, n.hash, n.state AS ins, n.from_path AS fp, {OWN} AS own, h, hf, hp, {REMEMBERED} AS ds FROM jd JOIN inc n ON n.doc_id = in_id LEFT JOIN hh ON hh.doc_id = hit_id),
-mp AS (SELECT in_id, hash, 'insert' AS op, CAST(ds AS BIGINT) AS state, fp AS from_path, NULL::VARCHAR AS to_path FROM pl WHERE action = 'delete' AND ds IS NOT NULL
-  UNION ALL SELECT in_id, h, 'update', 100, hf, hp FROM pl WHERE action IN ('replace', 'transfer')
-  UNION ALL SELECT in_id, hash, 'insert', ins, fp, CASE WHEN action = 'replace' THEN hp ELSE own END FROM pl WHERE action IN ('replace', 'transfer')
-  UNION ALL SELECT in_id, hash, CASE WHEN reason = 'TYPE_HASH_MATCH_RECOVERY' THEN 'state' ELSE 'insert' END, ins, fp, CASE WHEN reason = 'TYPE_HASH_MATCH_RECOVERY' THEN hp ELSE own END FROM pl WHERE action = 'save')
+mp AS (SELECT in_id, hash, 'insert' AS op, CAST(ds AS BIGINT) AS state, fp AS from_path, NULL::VARCHAR AS to_path, in_id AS row_of, in_id AS hashes_of FROM pl WHERE action = 'delete' AND ds IS NOT NULL
+  UNION ALL SELECT in_id, h, 'update', 100, hf, hp, hit_id, hit_id FROM pl WHERE action IN ('replace', 'transfer')
+  UNION ALL SELECT in_id, hash, 'insert', ins, fp, CASE WHEN action = 'replace' THEN hp ELSE own END, in_id, in_id FROM pl WHERE action IN ('replace', 'transfer')
+  UNION ALL SELECT in_id, hash, CASE WHEN reason = 'TYPE_HASH_MATCH_RECOVERY' THEN 'state' ELSE 'insert' END, ins, fp, CASE WHEN reason = 'TYPE_HASH_MATCH_RECOVERY' THEN hp ELSE own END, in_id, in_id FROM pl WHERE action = 'save')
 """
 
 
@@ -268,9 +268,9 @@ def mutation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.mutations(cut(_judged(spark, sf_dir), "judged"), X.incoming(spark, sf_dir), X.catalog(spark, sf_dir))
 
 
-@query(FX + f"SELECT n.doc_id AS in_id, hash, 'insert' AS op, n.state, c.from_path, '/lib/' || n.type || '/' || n.name || '.txt' AS to_path FROM inc n JOIN cat c USING (hash)")
+@query(FX + f"SELECT n.doc_id AS in_id, hash, 'insert' AS op, n.state, c.from_path, '/lib/' || n.type || '/' || n.name || '.txt' AS to_path, n.doc_id AS row_of, c.doc_id AS hashes_of FROM inc n JOIN cat c USING (hash)")
 def relocation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a run in relocate mode changes: each found row gets its new place and keeps the stored origin."""
+    """What a run in relocate mode changes: each found row gets its new place and keeps the stored origin and hashes."""
     return J.mutations(relocate_verdict(spark, sf_dir), X.incoming(spark, sf_dir), X.catalog(spark, sf_dir))
 
 

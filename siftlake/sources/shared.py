@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where that is unset (tests), a folder of its own."""
+    """spark.checkpoint.dir, or, where that is unset on one machine (tests), a folder of its own; on a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that every node sees")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftlake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

@@ -87,10 +87,22 @@ def last_version(spark: SparkSession, folder: str) -> int:
 def first_seen(spark: SparkSession, rows: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Rows whose keys weren't seen within the delay before, by a streaming deduplication with a watermark."""
     folder = work_dir(spark)
-    rows.repartition(4).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in").withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    rows.write.parquet(f"{folder}/in")
+    return first_seen_in(spark, folder, rows.schema, keys, time, delay)
+
+
+def first_seen_in(spark: SparkSession, folder: str, schema, keys: list[str], time: str, delay: str, per_trigger: int | None = None) -> DataFrame:
+    """The same of what has arrived under folder/in; further calls go on where the last one ended.
+
+    A key is held until the watermark, the greatest time of former triggers less the delay, passes its
+    time by the delay; then its state goes and the key counts as new. Rows older than the watermark are
+    late and are left out.
+    """
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
+    stream = reader.parquet(f"{folder}/in").withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
 def patched_table(spark: SparkSession, patches: DataFrame, key: str, order: str, fields: list[str], files: int = 3) -> DataFrame:
@@ -99,7 +111,7 @@ def patched_table(spark: SparkSession, patches: DataFrame, key: str, order: str,
     A value carries its order, and the latest wins, so replaying a batch changes nothing.
     """
     folder = work_dir(spark)
-    patches.repartition(files).write.parquet(f"{folder}/in")
+    patches.coalesce(files).write.parquet(f"{folder}/in")
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
     stored = [F.when(F.col(f).isNotNull(), F.struct(F.col(order).alias("o"), F.col(f).alias("v"))).alias(f) for f in fields]
     empty = patches.select(key, *stored, bucket).limit(0)
