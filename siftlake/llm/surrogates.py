@@ -97,17 +97,19 @@ def _marked(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), F.aggregate(valid, text, mark)).otherwise(text)
 
 
-def _kinds(text: Column, match: Column) -> Column:
-    """The kind of each match, by the group that took part in it."""
-    groups = [F.regexp_extract_all(text, F.lit(ANY), F.lit(i + 1)) for i in range(len(PATTERNS))]
+def _mentions(texts: DataFrame) -> DataFrame:
+    """texts(node, text) that hold entities, with mentions: each match and its kind, by the group that took part in it."""
+    groups = [F.regexp_extract_all("text", F.lit(ANY), F.lit(i)).alias(f"g{i}") for i in range(len(PATTERNS) + 1)]
 
-    def kind(i):
-        out = F.raise_error(F.lit("a match without a kind")).cast("string")
-        for k, g in reversed(list(zip(PATTERNS, groups))):
-            out = F.when(F.get(g, i) != "", F.lit(k)).otherwise(out)
-        return out
+    def mention(z):
+        kind = F.raise_error(F.lit("a match without a kind")).cast("string")
+        for i, k in reversed(list(enumerate(PATTERNS, 1))):
+            kind = F.when(z[f"g{i}"] != "", F.lit(k)).otherwise(kind)
+        return F.struct(F.translate(z["g0"], OPEN + CLOSE, "").alias("match"), kind.alias("kind"))
 
-    return F.transform(match, lambda m, i: kind(i))
+    # zipped, as what stands within a lambda is computed for every element
+    zipped = F.arrays_zip(*[f"g{i}" for i in range(len(groups))])
+    return texts.select("node", "text", *groups).select("node", "text", F.transform(zipped, mention).alias("mentions")).filter(F.size("mentions") > 0)
 
 
 def _prefix(kind: Column, entity: Column) -> Column:
@@ -290,11 +292,8 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     texts = held.select(F.col(f"`{node_}`").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
     # a number in a card's form among other digits may be no entity at all
     texts = texts.select("node", _marked(F.col("text")).alias("text"))
-    match = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    found = texts.select("node", "text", match.alias("match"), _kinds(F.col("text"), match).alias("kinds")).filter(F.size("match") > 0)
-    found = common.cut(found, "pii-texts")
-    mention = found.select("node", F.posexplode(F.arrays_zip("match", "kinds")).alias("at", "m"))
-    mention = mention.select("node", "at", F.translate("m.match", OPEN + CLOSE, "").alias("match"), F.col("m.kinds").alias("kind"))
+    found = common.cut(_mentions(texts), "pii-texts")
+    mention = found.select("node", F.posexplode("mentions").alias("at", "m")).select("node", "at", "m.match", "m.kind")
     mention = mention.withColumn("prefix", _prefix(F.col("kind"), F.col("match")))
     mention = mention.withColumn("value", F.substr("match", F.length("prefix") + 1, F.length("match"))).withColumn("gender", _gender(F.col("kind"), F.col("prefix")))
     # a name is taken word by word, with what stands before each word and after the last
