@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -48,6 +49,18 @@ def _written(found: DataFrame, path: str) -> DataFrame:
     return found
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession):
+    """Queries that end within leave no shuffle files behind: each table that a loop writes needs the disk of its own shuffles only."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing reads any more."""
     for t in tables:

@@ -99,7 +99,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
 
     cover: the percentage of a phrase's occurrences from which a longer candidate replaces it.
     """
-    parts = [common.cut(ngram_counts(docs, longest, least, slices, s), "ngrams") for s in range(slices)]
+    with common.tidied(docs.sparkSession):
+        parts = [common.cut(ngram_counts(docs, longest, least, slices, s), "ngrams") for s in range(slices)]
     grams = functools.reduce(DataFrame.unionByName, parts)
     candidates = grams.filter(F.col("words") >= 2).withColumnRenamed("f", "a")
     scored = weakest_cuts(candidates, grams.filter("words > 0"))
