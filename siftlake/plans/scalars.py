@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import hashes as H
+from siftlake.functions import landmarks as L
 from siftlake.functions import numbers as N
 from siftlake.functions import paths as P
 from siftlake.functions import reasons as R
@@ -225,27 +226,23 @@ def rescale_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", F.col("b")["width"].alias("width"), F.col("b")["top"].alias("top"))
 
 
-POINTS = ["chin", "brow", "nose", "lip"]
-
-
 def _landmarks(spark, sf_dir):
-    p = lambda i: F.struct(((F.col("p_size") + i).cast("long")).alias("x"), (F.col("p_size") * (i + 1)).cast("long").alias("y"))
-    return X.table(spark, sf_dir, "part").select("p_partkey", F.create_map(*[x for i, n in enumerate(reversed(POINTS)) for x in (F.lit(n), p(len(POINTS) - 1 - i))]).alias("landmark"))
+    """A landmark for each part: its points differ by their place in the order, but are held in another one."""
+    p = lambda i: F.struct((F.col("p_size") + i).cast("long").alias("x"), (F.col("p_size") * (i + 1)).cast("long").alias("y"))
+    cells = [x for i, n in reversed(list(enumerate(L.POINTS))) for x in (F.lit(n), p(i))]
+    return X.table(spark, sf_dir, "part").select("p_partkey", F.create_map(*cells).alias("landmark"))
 
 
-@query("SELECT p_partkey, " + " || ';' || ".join(f"CAST(p_size + {i} AS VARCHAR) || ',' || CAST(p_size * {i + 1} AS VARCHAR)" for i in range(4)) + " AS landmarks FROM part")
+@query("SELECT p_partkey, array_to_string(list_transform(range(83), lambda i: CAST(p_size + i AS VARCHAR) || ',' || CAST(p_size * (i + 1) AS VARCHAR)), ';') AS landmarks FROM part")
 def encode_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named points in a fixed order as text; another number of points is an error."""
-    rows = _landmarks(spark, sf_dir).filter(F.assert_true(F.size("landmark") == len(POINTS)).isNull())
-    order = F.array(*[F.lit(n) for n in POINTS])
-    return rows.select("p_partkey", F.array_join(F.transform(order, lambda n: F.concat_ws(",", F.element_at("landmark", n)["x"].cast("string"), F.element_at("landmark", n)["y"].cast("string"))), ";").alias("landmarks"))
+    """83 named points in a fixed order as text; another number of points is an error."""
+    return _landmarks(spark, sf_dir).select("p_partkey", L.encode(F.col("landmark")).alias("landmarks"))
 
 
-@query("SELECT p_partkey, " + ", ".join(f"CAST(p_size + {i} AS BIGINT) AS {n}_x, CAST(p_size * {i + 1} AS BIGINT) AS {n}_y" for i, n in enumerate(POINTS)) + " FROM part")
+@query("SELECT p_partkey, " + ", ".join(f"CAST(p_size + {i} AS BIGINT) AS {n}_x, CAST(p_size * {i + 1} AS BIGINT) AS {n}_y" for i, n in enumerate(L.POINTS)) + " FROM part")
 def decode_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.transform(F.split("landmarks", ";"), lambda t: F.split(t, ","))
-    rows = encode_landmarks(spark, sf_dir).select("p_partkey", F.map_from_arrays(F.array(*[F.lit(n) for n in POINTS]), pairs).alias("m"))
-    return rows.select("p_partkey", *[F.element_at("m", n)[i].cast("long").alias(f"{n}_{a}") for n in POINTS for i, a in enumerate("xy")])
+    rows = encode_landmarks(spark, sf_dir).select("p_partkey", L.decode(F.col("landmarks")).alias("m"))
+    return rows.select("p_partkey", *[F.element_at("m", F.lit(n))[a].alias(f"{n}_{a}") for n in L.POINTS for a in "xy"])
 
 
 @query("""SELECT c_custkey, coalesce(CAST(n AS BIGINT), 0) AS view_count, coalesce(last, -1) AS view_date FROM customer
@@ -256,11 +253,11 @@ def default_state_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "customer").join(state, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("view_count"), F.coalesce("last", F.lit(-1)).cast("long").alias("view_date"))
 
 
-@query("SELECT p_brand, 't' || CAST(p_size % 4 + 1 AS VARCHAR) AS tag, CAST(count(*) AS BIGINT) AS value FROM part GROUP BY 1, 2")
+@query("SELECT p_brand, 't' || CAST((p_partkey * 7 + p_size) % 128 + 1 AS VARCHAR) AS tag, CAST(count(*) AS BIGINT) AS value FROM part GROUP BY 1, 2")
 def tag_wide_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags to a wide row a key (explicit columns, so no pass to find them) and back to long form."""
-    tags = [f"t{i}" for i in range(1, 5)]
-    long = X.table(spark, sf_dir, "part").withColumn("tag", F.concat(F.lit("t"), F.col("p_size") % 4 + 1))
+    """Tags to a wide row a key (128 explicit columns, so no pass to find them) and back to long form."""
+    tags = [f"t{i}" for i in range(1, 129)]
+    long = X.table(spark, sf_dir, "part").withColumn("tag", F.concat(F.lit("t"), (F.col("p_partkey") * 7 + F.col("p_size")) % 128 + 1))
     wide = long.groupBy("p_brand").pivot("tag", tags).count()
     return wide.unpivot("p_brand", tags, "tag", "value").filter("value is not null")
 
