@@ -24,12 +24,13 @@ def run_batches(spark: SparkSession, source: DataFrame, folder: str, step, per_t
     query.awaitTermination()
 
 
-def in_order(arriving: DataFrame, key: str, files: int, folder: str) -> None:
-    """Write rows as files that arrive one after another, by ranges of a key."""
-    at = arriving.approxQuantile(key, [i / files for i in range(1, files)], 0.01)
+def run_arrivals(spark: SparkSession, arriving: DataFrame, key: str, parts: int, folder: str, step) -> None:
+    """Rows that arrive in parts, by ranges of a key: each part's files are written, and then taken as one batch by a run that goes on where the last one ended."""
+    at = arriving.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01)
     for low, high in zip([None, *at], [*at, None]):
         part = arriving.filter((F.lit(True) if low is None else F.col(key) > low) & (F.lit(True) if high is None else F.col(key) <= high))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        part.write.mode("append").parquet(f"{folder}/in")
+        run_batches(spark, arriving, folder, step)
 
 
 def judged_stream(spark: SparkSession, arriving: DataFrame, key: str, judge, mutate, files: int = 3) -> DataFrame:
@@ -41,7 +42,6 @@ def judged_stream(spark: SparkSession, arriving: DataFrame, key: str, judge, mut
     batches only.
     """
     folder = work_dir(spark)
-    in_order(arriving, key, files, folder)
 
     def step(batch: DataFrame, i: int) -> None:
         rows = cut(batch, "batch")
@@ -51,7 +51,7 @@ def judged_stream(spark: SparkSession, arriving: DataFrame, key: str, judge, mut
         for name, table in (("out", verdicts), ("stored", stored(verdicts)), ("changes", mutate(rows, verdicts))):
             table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={i}")
 
-    run_batches(spark, arriving, folder, step, per_trigger=1)
+    run_arrivals(spark, arriving, key, files, folder, step)
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -64,7 +64,6 @@ def applied_stream(spark: SparkSession, arriving: DataFrame, key: str, first: Da
     written, reads the same version and writes the same again.
     """
     folder = work_dir(spark)
-    in_order(arriving, key, files, folder)
     version = lambda i: f"{folder}/catalog/version={i}"
     first.write.parquet(version(0))
 
@@ -73,7 +72,7 @@ def applied_stream(spark: SparkSession, arriving: DataFrame, key: str, first: Da
         cut(verdicts, "verdicts").write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
         snapshot.write.mode("overwrite").parquet(version(i + 1))
 
-    run_batches(spark, arriving, folder, step, per_trigger=1)
+    run_arrivals(spark, arriving, key, files, folder, step)
     return spark.read.parquet(f"{folder}/out").drop("batch"), spark.read.schema(first.schema).parquet(version(last_version(spark, f"{folder}/catalog")))
 
 
