@@ -34,7 +34,7 @@ The documents are written once with the key of those that hold an entity; only e
 texts that hold them, are shuffled, and equal texts are worked on once.
 
 Defined results: a null text stays null, an empty one empty; entities are found in the whole
-text; repeated rows change alike; columns other than text pass through unchanged, but for one
+text; repeated rows change alike; noncharacters U+FDD0 to U+FDD3 go from texts that hold entities; columns other than text pass through unchanged, but for one
 named n_replaced, which is replaced by the number of entities found; an empty table gives no
 rows.
 """
@@ -49,16 +49,16 @@ from . import common
 #: Rounds after which what still collides draws from more forms.
 GROW = 4
 MOST_ROUNDS = 64
-#: Noncharacters around cards that the check sum has told.
-OPEN, CLOSE = "\uFDD0", "\uFDD1"
+#: Noncharacters around cards that the check sum has told, around matches, and between their groups.
+OPEN, CLOSE, EDGE, NEXT = "\uFDD0", "\uFDD1", "\uFDD2", "\uFDD3"
 # Titles that a name follows, by gender, and particles of names.
 MALE = ["Mr", "Herr", "Señor", "Sr", "Don", "Monsieur", "Г-н", "г-н", "господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Doña", "Madame", "Mme", "Г-жа", "г-жа", "госпожа"]
 EITHER = ["Dr", "Prof", "Professor", "Doctor", "доктор", "профессор"]
 PARTICLES = ["von", "van", "der", "den", "de", "del", "della", "la", "le", "du", "di", "da", "zu", "zum"]
 #: Names that a secret is assigned to, and prefixes of well-known keys.
-ASSIGNED = r"(?i:(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,9}[=:]\s{0,9})"
-PREFIXED = r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|eyJ)"
+ASSIGNED = r"(?i:(?=[tspa])(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,9}[=:]\s{0,9})"
+PREFIXED = r"(?=[Agsxe])(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|eyJ)"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: A word of a name: two letters at least, or one before an apostrophe; a possessive s isn't part of it.
@@ -66,7 +66,9 @@ WORD = r"\p{Lu}(?:[\p{L}\p{M}]+|(?=['’]\p{L}))(?:['’](?!s(?!\p{L}))\p{L}[\p{
 #: White space within a name, and after a title.
 GAP, AFTER = r"[\x20\t\xA0]{1,9}", r"[\s\xA0]{1,9}"
 NAME = rf"(?:(?:{'|'.join(PARTICLES)})\x20)*+(?:\p{{Lu}}\.\x20?)*+{WORD}(?:-{WORD})*"
-TITLES = "|".join(sorted({y for x in MALE + FEMALE + EITHER for y in (x, x.upper())}, key=lambda x: (-len(x), x)))
+TITLE = sorted({y for x in MALE + FEMALE + EITHER for y in (x, x.upper())}, key=lambda x: (-len(x), x))
+#: A title; most places are ruled out by their first letter.
+TITLES = rf"(?=[{''.join(sorted({x[0] for x in TITLE}))}])(?<!\p{{L}})(?:{'|'.join(TITLE)})"
 #: A number as cards are written; one that stands alone, and all places where one may begin.
 CARD = r"(?:\d{16}|\d{4}\x20\d{4}\x20\d{4}\x20\d{4}|\d{4}-\d{4}-\d{4}-\d{4}|3[47]\d{13}|3[47]\d{2}\x20\d{6}\x20\d{5}|3[47]\d{2}-\d{6}-\d{5})"
 CANDIDATE = rf"(?<!\d)(?=[2-6])(?=({CARD})(?!\d))"
@@ -78,13 +80,13 @@ PATTERNS = {
     "card": rf"{OPEN}[\d -]+{CLOSE}|(?<!\d)(?<!\d[ -]){CARD}(?!\d|[ -]\d)",
     "number": r"(?<![\p{L}\d+-])\d{3}-\d{2}-\d{4}(?!-?\d)",
     "phone": r"(?<![\p{L}\d+(])(?:\+\d(?:[ .()-]{0,2}\d){7,14}|(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}|[2-9]\d{9})(?!\d|[.-]\d)",
-    "name": rf"(?<!\p{{L}})(?:{TITLES})\.?{AFTER}{NAME}(?:{GAP}{NAME})*+",
+    "name": rf"{TITLES}\.?{AFTER}{NAME}(?:{GAP}{NAME})*+",
 }
 #: Any entity; the group that matched tells the kind.
 ANY = "|".join(f"({p})" for p in PATTERNS.values())
 #: Kinds whose digits are drawn and laid out as they were.
 NUMBERS = ["card", "number", "phone"]
-HINT = rf"[@0-9]|{ASSIGNED}|{PREFIXED}|(?<!\p{{L}})(?:{TITLES})[.\s\xA0]"
+HINT = rf"[@0-9]|{ASSIGNED}|{PREFIXED}|{TITLES}[.\s\xA0]"
 # Syllables of names by script.
 LATIN = ["ba", "ben", "cor", "da", "del", "el", "far", "gan", "hal", "is", "jo", "ka", "lan", "mar", "ne", "or", "per", "ros", "sel", "ta", "ul", "ver", "wen", "ya", "zor"]
 CYRILLIC = ["ба", "вен", "гор", "да", "дел", "ел", "жар", "зан", "кал", "ил", "йо", "ка", "лан", "мар", "не", "ор", "пет", "рос", "сел", "та", "ул", "фер", "хен", "ша", "яр"]
@@ -98,18 +100,21 @@ def _marked(text: Column) -> Column:
 
 
 def _mentions(texts: DataFrame) -> DataFrame:
-    """texts(node, text) that hold entities, with mentions: each match and its kind, by the group that took part in it."""
-    groups = [F.regexp_extract_all("text", F.lit(ANY), F.lit(i)).alias(f"g{i}") for i in range(len(PATTERNS) + 1)]
+    """texts(node, text) that hold entities, with mentions: each match and its kind, by the group that took part in it; and parts: what lies between.
 
-    def mention(z):
+    One pass writes every match as its groups, of which all but one are empty; plain splits do the rest.
+    """
+    coded = F.regexp_replace("text", ANY, EDGE + NEXT.join(f"${i}" for i in range(1, len(PATTERNS) + 1)) + EDGE)
+    rows = texts.select("node", F.split(coded, EDGE).alias("pieces"))
+    of = lambda odd: F.filter("pieces", lambda p, i: i % 2 == odd)
+
+    def mention(code):
         kind = F.raise_error(F.lit("a match without a kind")).cast("string")
-        for i, k in reversed(list(enumerate(PATTERNS, 1))):
-            kind = F.when(z[f"g{i}"] != "", F.lit(k)).otherwise(kind)
-        return F.struct(F.translate(z["g0"], OPEN + CLOSE, "").alias("match"), kind.alias("kind"))
+        for i, k in reversed(list(enumerate(PATTERNS))):
+            kind = F.when(F.get(F.split(code, NEXT), F.lit(i)) != "", F.lit(k)).otherwise(kind)
+        return F.struct(F.translate(code, OPEN + CLOSE + NEXT, "").alias("match"), kind.alias("kind"))
 
-    # zipped, as what stands within a lambda is computed for every element
-    zipped = F.arrays_zip(*[f"g{i}" for i in range(len(groups))])
-    return texts.select("node", "text", *groups).select("node", "text", F.transform(zipped, mention).alias("mentions")).filter(F.size("mentions") > 0)
+    return rows.select("node", of(0).alias("parts"), F.transform(of(1), mention).alias("mentions")).filter(F.size("mentions") > 0)
 
 
 def _prefix(kind: Column, entity: Column) -> Column:
@@ -291,7 +296,7 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     held = with_node.filter(F.col(f"`{node_}`").isNotNull())
     texts = held.select(F.col(f"`{node_}`").alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
     # a number in a card's form among other digits may be no entity at all
-    texts = texts.select("node", _marked(F.col("text")).alias("text"))
+    texts = texts.select("node", _marked(F.translate("text", OPEN + CLOSE + EDGE + NEXT, "")).alias("text"))
     found = common.cut(_mentions(texts), "pii-texts")
     mention = found.select("node", F.posexplode("mentions").alias("at", "m")).select("node", "at", "m.match", "m.kind")
     mention = mention.withColumn("prefix", _prefix(F.col("kind"), F.col("match")))
@@ -311,8 +316,7 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     named = mapped.filter(F.col("kind") == "name").groupBy("node", "value").agg(F.min_by("surrogate", F.struct("at", "k")).alias("surrogate"))
     named = named.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("names"))
     rows = found.join(news, "node").join(named, "node", "left")
-    parts = F.split("text", ANY, -1)
-    parts = F.when(F.col("names").isNull(), parts).otherwise(F.transform(parts, lambda p: _bare_names(p, F.col("names"))))
+    parts = F.when(F.col("names").isNull(), F.col("parts")).otherwise(F.transform("parts", lambda p: _bare_names(p, F.col("names"))))
     woven = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("news", i), F.lit("")))), "")
     new = rows.select(F.col("node").alias(node_), woven.alias(new_), F.size("news").alias(n_))
     quoted = lambda c: F.col(f"`{c}`")
