@@ -36,13 +36,14 @@ def cut(df: DataFrame, name: str = "step", parts: tuple[str, ...] = ()) -> DataF
     """Write to the shared folder and read again: later jobs start here, whatever executors are lost."""
     path = scratch(df.sparkSession, name)
     schema = df.schema
-    df.write.partitionBy(*parts).parquet(path)
+    with tidied(df.sparkSession):
+        df.write.partitionBy(*parts).parquet(path)
     reader = df.sparkSession.read if parts else df.sparkSession.read.schema(schema)
     return _written(reader.parquet(path), path)
 
 
 def _written(found: DataFrame, path: str) -> DataFrame:
-    """Notes where a table lies, and has the driver drop what led to it: shuffle files stay until its garbage is collected."""
+    """Notes where a table lies, and has the driver drop what else led to it: broadcasts and shuffles of earlier actions stay until its garbage is collected."""
     found._scratch = path
     gc.collect()
     found.sparkSession.sparkContext._jvm.System.gc()
@@ -51,7 +52,7 @@ def _written(found: DataFrame, path: str) -> DataFrame:
 
 @contextlib.contextmanager
 def tidied(spark: SparkSession):
-    """Queries that end within leave no shuffle files behind: each table that a loop writes needs the disk of its own shuffles only."""
+    """Queries that end within leave no shuffle files behind: each table that is written needs the disk of its own shuffles only."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(name, "false")
     spark.conf.set(name, "true")
@@ -77,7 +78,8 @@ def cut_by(df: DataFrame, key: str, name: str = "step") -> DataFrame:
     """
     spark, label = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     parts, path = shuffle_parts(spark), scratch(spark, name)
-    df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(label)
+    with tidied(spark):
+        df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(label)
     found = spark.table(label)
     found.schema  # resolved: the entry isn't needed any more
     spark.sql(f"DROP TABLE {label}")
