@@ -102,7 +102,8 @@ def met(incoming: DataFrame, path: str) -> DataFrame:
         x = F.when(F.col("block") == i, M._listed(F.col("v").bitwiseXOR(F.col("mask")), i, slot)).otherwise(x)
     name = _table(spark, path)
     entries = spark.table(name)
-    found = keys.select("ip", "ir", x.alias("x")).join(entries, "x")
+    # the planner takes the probes for as few bytes as the rows they are made of, and would send them all through the driver
+    found = M.shuffled(keys.select("ip", "ir", x.alias("x"))).join(entries, "x")
     found.schema  # resolved: the name isn't needed any more
     spark.sql(f"DROP TABLE {name}")
     return found
@@ -118,4 +119,4 @@ def search(incoming: DataFrame, path: str, stored: DataFrame) -> DataFrame:
     pairs = cut(pairs.select("ip", "ir", "cp", "cr", "p_distance").distinct(), "hash-pairs")
     a = incoming.select(F.col("doc_id").alias("in_id"), F.col("p_hash").alias("ip"), F.col("ratio").cast("double").alias("ir"))
     b = M.accepted(stored).select(F.col("doc_id").alias("cat_id"), F.col("p_hash").alias("cp"), F.col("ratio").cast("double").alias("cr"))
-    return pairs.join(a, ["ip", "ir"]).join(b, ["cp", "cr"]).select("in_id", "cat_id", "p_distance")
+    return pairs.join(M.shuffled(a), ["ip", "ir"]).join(M.shuffled(b), ["cp", "cr"]).select("in_id", "cat_id", "p_distance")

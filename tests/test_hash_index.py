@@ -5,7 +5,7 @@ import random
 import pytest
 
 from siftlake.operators import hash_index as I
-from siftlake.sources.shared import new_dir
+from siftlake.sources.shared import cut, new_dir
 
 ROWS = "doc_id long, p_hash long, ratio double, state long"
 
@@ -46,3 +46,11 @@ def test_blocks_widen_with_the_number_of_rows():
     assert found[0] == 6 and found[-1] == 3 and found == sorted(found, reverse=True)
     assert all(sum(w) == 64 and len(w) == m for m, w in I.WIDTHS.items())
     assert len(I.probes(11, 1)) == 12 and len(I.probes(16, 2)) == 137
+
+
+def test_probes_are_shuffled_and_not_sent_through_the_driver(spark):
+    make = lambda rows: cut(spark.createDataFrame(rows, ROWS), "rows")
+    incoming, stored, path = make(hashes(1, 60, 0)), make(hashes(2, 80, 1000)), new_dir(spark, "index")
+    I.create(stored, path, 4)
+    for found in (I.met(incoming, path), I.search(incoming, path, stored)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
