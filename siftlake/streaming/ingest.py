@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siftlake.sources.shared import cut, new_dir
 
 BUCKETS = 16
+#: A backlog of more batches is worked off by so many triggers, each of which takes several batches.
+TRIGGERS = 64
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -130,17 +132,22 @@ def patched_table(spark: SparkSession, patches: DataFrame, key: str, order: str,
 def drained(spark: SparkSession, backlog: DataFrame, batch: int, key: str, most: int | None = None) -> DataFrame:
     """A backlog worked off by a stream in batches of a given size, in the order of the key, until it or ``most`` batches are done.
 
-    Numbers come from counts of key ranges and ranks within them, so no task sorts it all; a
-    trigger takes one batch, and the run ends when none is left.
+    Numbers come from counts of key ranges and ranks within them, so no task sorts it all. A
+    trigger takes one file: a batch, or a run of as many successive ones as ``TRIGGERS`` triggers
+    ask for, since each costs the same whatever it holds. The run ends when none is left.
     """
     folder = work_dir(spark)
     ranged = cut(backlog.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "backlog")
-    sizes = ranged.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("base"))
+    counts = cut(ranged.groupBy("part").count(), "counts")
+    batches = -(-(counts.agg(F.sum("count")).first()[0] or 0) // batch)
+    run = max(1, -(-(batches if most is None else min(batches, most)) // TRIGGERS))
+    sizes = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("base"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1 + F.col("base")
     numbered = ranged.join(sizes, "part").withColumn("batch", F.floor(rank / batch).cast("long")).drop("part", "base")
     numbered = numbered if most is None else numbered.filter(F.col("batch") < most)
-    numbered.repartition("batch").write.option("maxRecordsPerFile", batch).partitionBy("batch").parquet(f"{folder}/in")
     schema = numbered.schema
+    runs = numbered.withColumn("run", F.floor(F.col("batch") / run).cast("long"))
+    runs.repartition("run").write.partitionBy("run").parquet(f"{folder}/in")
     numbered.limit(0).write.parquet(f"{folder}/out/trigger=-1")  # an empty backlog triggers nothing
     query = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").writeStream
     done = query.foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(f"{folder}/out/trigger={i}"))

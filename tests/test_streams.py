@@ -5,6 +5,7 @@ import os
 
 from siftlake.plans.registry import QUERIES
 from siftlake.sources.shared import new_dir
+from siftlake.streaming import ingest
 from siftlake.streaming.ingest import first_seen_in
 
 
@@ -24,6 +25,15 @@ def test_keys_expire_with_the_delay_and_late_rows_are_left_out(spark):
     assert sorted(r.n for r in got.collect()) == [1, 2, 4, 5, 7]
 
 
+def test_many_batches_share_the_triggers(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "TRIGGERS", 4, raising=False)
+    folder = new_dir(spark, "drained")
+    monkeypatch.setattr(ingest, "work_dir", lambda spark: folder)
+    got = ingest.drained(spark, spark.range(95).withColumnRenamed("id", "k"), 10, "k").collect()
+    assert sorted((r.k, r.batch) for r in got) == [(k, k // 10) for k in range(95)]
+    assert spark.read.text(f"{folder}/state/commits", recursiveFileLookup=True).selectExpr("_metadata.file_path").distinct().count() == 4
+
+
 def test_the_listing_holds_every_file_once(spark):
     sf = "/root/testdata/sf0.001"
     want = {(os.path.join(d, f), os.path.getsize(os.path.join(d, f)), int(os.path.getmtime(os.path.join(d, f)))) for d, _, fs in os.walk(sf) for f in fs}
