@@ -25,15 +25,16 @@ right_eyebrow_lower_right_quarter right_eyebrow_right_corner right_eyebrow_upper
 def encode(landmark: Column) -> Column:
     """A map of names to points(x, y) as ``x,y;x,y;...`` in the fixed order; null stays null, another number of points is an error, a name that lacks gives an empty point."""
     names = F.array(*[F.lit(n) for n in POINTS])
-    point = lambda n: F.try_element_at(landmark, n)
-    text = F.array_join(F.transform(names, lambda n: F.concat(F.coalesce(point(n)["x"].cast("string"), F.lit("")), F.lit(","), F.coalesce(point(n)["y"].cast("string"), F.lit("")))), ";")
+    # each name is looked up once
+    points = F.transform(names, lambda n: F.try_element_at(landmark, n))
+    text = F.array_join(F.transform(points, lambda p: F.concat(F.coalesce(p["x"].cast("string"), F.lit("")), F.lit(","), F.coalesce(p["y"].cast("string"), F.lit("")))), ";")
     wrong = F.raise_error(F.lit(f"a landmark has {len(POINTS)} points")).cast("string")
     return F.when(landmark.isNull(), F.lit(None).cast("string")).when(F.size(landmark) == len(POINTS), text).otherwise(wrong)
 
 
 def decode(text: Column) -> Column:
     """The map of such a text; coordinates are read up to the first character that is no digit, and are null without any."""
-    number = lambda s: F.nullif(F.regexp_extract(s, r"^\s*([+-]?\d+)", 1), F.lit("")).cast("long")
-    points = F.transform(F.split(text, ";"), lambda p: F.struct(number(F.get(F.split(p, ","), F.lit(0))).alias("x"), number(F.coalesce(F.get(F.split(p, ","), F.lit(1)), F.lit(""))).alias("y")))
+    number = lambda p, before: F.nullif(F.regexp_extract(p, before + r"\s*([+-]?\d+)", 1), F.lit("")).cast("long")
+    points = F.transform(F.split(text, ";"), lambda p: F.struct(number(p, "^").alias("x"), number(p, "^[^,]*,").alias("y")))
     names = F.array(*[F.lit(n) for n in POINTS])
     return F.when(F.size(F.split(text, ";")) == len(POINTS), F.map_from_arrays(names, points))

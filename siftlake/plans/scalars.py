@@ -230,7 +230,9 @@ def _landmarks(spark, sf_dir):
     """A landmark for each part: its points differ by their place in the order, but are held in another one."""
     p = lambda i: F.struct((F.col("p_size") + i).cast("long").alias("x"), (F.col("p_size") * (i + 1)).cast("long").alias("y"))
     cells = [x for i, n in reversed(list(enumerate(L.POINTS))) for x in (F.lit(n), p(i))]
-    return X.table(spark, sf_dir, "part").select("p_partkey", F.create_map(*cells).alias("landmark"))
+    # a row costs far more here than in its file, which may be read by one task
+    rows = X.table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return rows.select("p_partkey", F.create_map(*cells).alias("landmark"))
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(range(83), lambda i: CAST(p_size + i AS VARCHAR) || ',' || CAST(p_size * (i + 1) AS VARCHAR)), ';') AS landmarks FROM part")
@@ -241,8 +243,9 @@ def encode_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, " + ", ".join(f"CAST(p_size + {i} AS BIGINT) AS {n}_x, CAST(p_size * {i + 1} AS BIGINT) AS {n}_y" for i, n in enumerate(L.POINTS)) + " FROM part")
 def decode_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode_landmarks(spark, sf_dir).select("p_partkey", L.decode(F.col("landmarks")).alias("m"))
-    return rows.select("p_partkey", *[F.element_at("m", F.lit(n))[a].alias(f"{n}_{a}") for n in L.POINTS for a in "xy"])
+    # the map is in the points' order: columns are taken by place, without looking for 83 names twice
+    rows = encode_landmarks(spark, sf_dir).select("p_partkey", F.map_values(L.decode(F.col("landmarks"))).alias("points"))
+    return rows.select("p_partkey", *[F.get("points", F.lit(i))[a].alias(f"{n}_{a}") for i, n in enumerate(L.POINTS) for a in "xy"])
 
 
 @query("""SELECT c_custkey, coalesce(CAST(n AS BIGINT), 0) AS view_count, coalesce(last, -1) AS view_date FROM customer

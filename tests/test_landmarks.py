@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import landmarks as L
 from siftlake.functions.numbers import expanded_quad
+from siftlake.plans.registry import QUERIES
 
 
 def test_landmarks_go_there_and_back(spark):
@@ -34,3 +35,9 @@ def test_corners_move_in_the_order_of_the_sides(spark):
     assert at() == square
     assert at(top=10) == [(0.0, -1.0), (0.0, 10.0), (10.0, 10.0), (10.0, -1.0)]
     assert at(top=10, right=20, left=30, bottom=40) == [(-3.0, 0.0), (0.0, 14.0), (10.0, 14.0), (12.0, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["encode_landmarks", "decode_landmarks"])
+def test_rows_of_one_file_are_dealt_to_many_tasks(spark, name):
+    assert spark.read.parquet("/root/testdata/sf0.01/part.parquet").rdd.getNumPartitions() == 1
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 8
