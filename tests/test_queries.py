@@ -47,3 +47,8 @@ def test_backlog_is_drained_up_to_a_limit(spark):
     got = drained(spark, spark.range(95).withColumnRenamed("id", "k"), 10, "k", most=7).collect()
     assert sorted((r.k, r.batch) for r in got) == [(k, k // 10) for k in range(70)]
     assert drained(spark, spark.range(0).withColumnRenamed("id", "k"), 10, "k").count() == 0
+
+
+@pytest.mark.parametrize("name", ["mark_verdict", "judge_batch", "candidate_factors", "mutation_plan"])
+def test_texts_are_split_before_the_last_plan(spark, name):
+    assert "text" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
