@@ -52,3 +52,12 @@ def test_backlog_is_drained_up_to_a_limit(spark):
 @pytest.mark.parametrize("name", ["mark_verdict", "judge_batch", "candidate_factors", "mutation_plan"])
 def test_texts_are_split_before_the_last_plan(spark, name):
     assert "text" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_split_in_one_scan(spark, monkeypatch):
+    from siftlake.sources import fixtures as X
+
+    read, table = [], X.table
+    monkeypatch.setattr(X, "table", lambda spark, sf_dir, name: read.append(name) or table(spark, sf_dir, name))
+    QUERIES["judge_batch"](spark, SF)
+    assert read.count("documents") == 1
