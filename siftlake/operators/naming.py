@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siftlake.sources.shared import cut
 
+from .matching import shuffled
+
 #: What numbering makes of a path: an underscore and a number from 1, without leading zeros.
 NUMBERED = r"^((?s:.*))_([1-9][0-9]{0,8})$"
 
@@ -21,7 +23,7 @@ def running_total(rows: DataFrame, key: str, order: str, value: Column, name: st
     sums = ranged.groupBy(key, "_part").agg(F.sum("_v").alias("_s"))
     before = sums.select(key, "_part", (F.sum("_s").over(Window.partitionBy(key).orderBy("_part")) - F.col("_s")).alias("_base"))
     inner = F.sum("_v").over(Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return ranged.withColumn(name, F.coalesce(inner, F.lit(0))).join(before, [key, "_part"]).withColumn(name, F.col(name) + F.col("_base")).drop("_v", "_part", "_base")
+    return ranged.withColumn(name, F.coalesce(inner, F.lit(0))).join(shuffled(before), [key, "_part"]).withColumn(name, F.col(name) + F.col("_base")).drop("_v", "_part", "_base")
 
 
 def _parent(path: Column) -> tuple[Column, Column]:
