@@ -61,3 +61,23 @@ def test_texts_are_split_in_one_scan(spark, monkeypatch):
     monkeypatch.setattr(X, "table", lambda spark, sf_dir, name: read.append(name) or table(spark, sf_dir, name))
     QUERIES["judge_batch"](spark, SF)
     assert read.count("documents") == 1
+
+
+def test_hashes_are_filled_from_the_one_pass_over_the_texts(spark, monkeypatch):
+    from siftlake.sources import fixtures as X
+
+    read, table = [], X.table
+    monkeypatch.setattr(X, "table", lambda spark, sf_dir, name: read.append(name) or table(spark, sf_dir, name))
+    QUERIES["fill_required_hashes"](spark, SF)
+    assert read.count("documents") == 1
+
+
+def test_pairs_meet_each_side_once(spark):
+    """Pairs grow faster than rows: two joins a pair, and no path is cut for a pair."""
+    plan = QUERIES["candidate_factors"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    assert "regexp_extract" not in plan.toString().split("\n")[0]
+    joins = 0
+    while plan.children().size():
+        joins += plan.nodeName() == "Join"
+        plan = plan.children().apply(0)
+    assert joins == 2
