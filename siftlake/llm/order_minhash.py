@@ -35,6 +35,7 @@ null); an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 
@@ -48,6 +49,8 @@ from . import common
 K = 5
 #: Bits of the number of slots that words are counted in; words before its own that a row of ``_leading_words`` carries.
 _SLOTS, _BEFORE = 18, 4
+#: Parts by key that shared keys are looked for in, one after another: only one part's shuffles lie on disk.
+_SLICES = 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -338,9 +341,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, tri
     length = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(least))).cast("int")
     # a key is of one hash function only, as its seed is part of it
     members = nodes.select("node", F.explode("keys").alias("key"))
-    shared_keys = members.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1).select("key")
-    shared = common.cut(members.join(shared_keys, "key").join(nodes.select("node", "n", length.alias("length")), "node"), "shared-keys")
-    words = nodes.select("node", "words")
+
+    def shared_in(part: int) -> DataFrame:
+        own = members.filter(F.pmod("key", F.lit(_SLICES)) == part)
+        shared_keys = own.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1).select("key")
+        return common.cut(own.join(shared_keys, "key").join(nodes.select("node", "n", length.alias("length")), "node"), "shared-keys")
+
+    parts = [shared_in(k) for k in range(_SLICES)]
+    shared = functools.reduce(DataFrame.unionByName, parts)
+    # keys take more room than words, and nothing looks at those of one node only any more
+    words = common.cut_by(nodes.select("node", "words"), "node", "words")
+    common.drop(nodes)
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = words.select(F.col("node").alias("a"), F.col("words").alias("wa")), words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
@@ -369,15 +380,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, tri
     level = with_comp(shared.select("key", "node", "n"), comp)
     mixed = level.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") != F.col("high")).select("key", "size")
     level = common.cut(level.join(mixed, "key"), "buckets")
-    common.drop(shared, led)
+    common.drop(*parts, led)
     small = level.filter(F.col("size") <= bucket)
     other = small.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     crossed = small.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("n", "nb") >= F.greatest("n", "nb") * least - 1e-9)).select("a", "b")
     # a node has as many keys as sketches at most; two keys of one hash only add a pair
     large = level.filter(F.col("size") > bucket).groupBy("node", "comp").agg(F.collect_set(F.hash("key")).alias("keys"))
-    crossed = crossed.union(met_by_words(large, nodes.drop("keys"), least, block)).distinct()
+    crossed = crossed.union(met_by_words(large, words, least, block)).distinct()
     more = linked(crossed.join(tried, ["a", "b"], "left_anti"))
-    common.drop(nodes, level)
+    common.drop(words, level)
     if not more.isEmpty():
         comp = components(edges.union(more))
 

@@ -124,3 +124,25 @@ def test_classes_are_those_of_all_pairs(spark):
 def test_few_rows_and_clashing_columns(spark, n):
     docs = spark.createDataFrame([(1, "a b c", "x", 1, "k")][:n], "doc_id long, text string, node string, n int, key string")
     assert [(r.doc_id, r.class_id, r.class_size) for r in order_minhash.near_duplicates(docs).collect()] == [(1, 1, 1)][:n]
+
+
+def test_keys_are_shared_in_slices_and_leave_the_disk_before_texts_are_aligned(spark, monkeypatch):
+    """Disk holds one slice's shuffles, and no keys beside the words."""
+    import os
+
+    from siftlake.llm import common
+
+    cut, cut_by, names, sketches = common.cut, common.cut_by, [], []
+
+    def spied(df, name="step", parts=()):
+        names.append(name)
+        if name == "leaders":
+            assert not os.path.exists(sketches[0]._scratch)
+        return cut(df, name, parts)
+
+    monkeypatch.setattr(common, "cut", spied)
+    monkeypatch.setattr(common, "cut_by", lambda df, key, name="step": sketches.append(cut_by(df, key, name)) or sketches[-1])
+    text = " ".join(f"w{i}" for i in range(60))
+    got = order_minhash.near_duplicates(spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 3}
+    assert names.count("shared-keys") > 1
