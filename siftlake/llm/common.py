@@ -6,6 +6,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,16 +71,17 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def cut_by(df: DataFrame, key: str, name: str = "step") -> DataFrame:
+def cut_by(df: DataFrame | Iterator[DataFrame], key: str, name: str = "step") -> DataFrame:
     """As ``cut``, in buckets sorted by a key, so that joins on the key don't shuffle these rows again.
 
-    Rows that a grouping by the key has dealt already lie in the buckets of their task alone. Buckets
+    Of several tables one is written after another. Rows that a grouping by the key has dealt already lie in the buckets of their task alone. Buckets
     come with a table only; its entry in the session's catalog goes at once, the files stay.
     """
-    spark, label = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    spark, label = SparkSession.active(), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     parts, path = shuffle_parts(spark), scratch(spark, name)
-    with tidied(spark):
-        df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(label)
+    for t in [df] if isinstance(df, DataFrame) else df:
+        with tidied(spark):
+            t.write.mode("append").bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(label)
     found = spark.table(label)
     found.schema  # resolved: the entry isn't needed any more
     spark.sql(f"DROP TABLE {label}")

@@ -51,6 +51,8 @@ K = 5
 _SLOTS, _BEFORE = 18, 4
 #: Parts by key that shared keys are looked for in, one after another: only one part's shuffles lie on disk.
 _SLICES = 4
+#: The same for texts that are dealt to be sketched, and for leading words that nodes of large buckets meet by.
+_TEXT_SLICES, _WORD_SLICES = 2, 2
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -302,16 +304,23 @@ def met_by_words(members: DataFrame, nodes: DataFrame, least: float, block: int)
     counts[counted.column("slot").to_numpy()] = np.minimum(counted.column("n").to_numpy(), (1 << 32) - 1)
     shared = context.broadcast(counts)
     rows = held.mapInArrow(_leading_words(shared, least), "word long, node binary, comp long, keys array<int>, n int, pos int, before binary")
-    rows = rows.withColumn("pieces", F.lit(1))
+    rows, often, few = rows.withColumn("pieces", F.lit(1)), None, True
     if counts.max(initial=0) > block:
         often = held.mapInArrow(_leading_words(shared, least, block), "word long").groupBy("word").agg(F.count("*").alias("of")).filter(F.col("of") > block)
         often = common.cut(often.select("word", F.ceil(F.col("of") / F.lit(block)).cast("int").alias("pieces")), "met-often")
         few = often.count() <= 100_000
-        rows = rows.drop("pieces").join(F.broadcast(often) if few else often, "word", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    rows = rows.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = rows.select("word", F.least("piece", "with").alias("low"), F.greatest("piece", "with").alias("high"), "piece", "node", "comp", "keys", "n", "pos", "before")
-    dealt = dealt.repartition("word", "low", "high").sortWithinPartitions("word", "low", "high")
-    return dealt.mapInArrow(_meeting(least), "a binary, b binary")
+
+    def met_in(part: int) -> DataFrame:
+        # a group is one word's, so groups of one part are whole
+        own = rows.filter(F.pmod(F.xxhash64("word"), F.lit(_WORD_SLICES)) == part)
+        if often is not None:
+            own = own.drop("pieces").join(F.broadcast(often) if few else often, "word", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        own = own.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        dealt = own.select("word", F.least("piece", "with").alias("low"), F.greatest("piece", "with").alias("high"), "piece", "node", "comp", "keys", "n", "pos", "before")
+        dealt = dealt.repartition("word", "low", "high").sortWithinPartitions("word", "low", "high")
+        return common.cut(dealt.mapInArrow(_meeting(least), "a binary, b binary"), "met")
+
+    return functools.reduce(DataFrame.unionByName, [met_in(k) for k in range(_WORD_SLICES)])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -336,22 +345,34 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, tri
     """doc_id, class_id, class_size of docs(doc_id, text)."""
     rows = docs.select("doc_id", "text", common.text_key().alias("node"))
     # one text a node; the longest tables from here on hold one row a key
-    texts = rows.filter(F.col("text").isNotNull()).groupBy("node").agg(F.first("text").alias("text"))
-    nodes = common.cut_by(texts.select("node", "text").mapInArrow(_sketcher(sketches, triples), "node binary, n int, words binary, keys array<long>"), "node", "sketches")
+
+    def sketched(part: int) -> DataFrame:
+        own = rows.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("node"), F.lit(_TEXT_SLICES)) == part))
+        texts = own.groupBy("node").agg(F.first("text").alias("text"))
+        return texts.select("node", "text").mapInArrow(_sketcher(sketches, triples), "node binary, n int, words binary, keys array<long>")
+
+    slices = [common.cut_by(sketched(k), "node", "sketches") for k in range(_TEXT_SLICES)]
+    nodes = functools.reduce(DataFrame.unionByName, slices)
     length = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(least))).cast("int")
     # a key is of one hash function only, as its seed is part of it
     members = nodes.select("node", F.explode("keys").alias("key"))
 
     def shared_in(part: int) -> DataFrame:
-        own = members.filter(F.pmod("key", F.lit(_SLICES)) == part)
-        shared_keys = own.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1).select("key")
-        return common.cut(own.join(shared_keys, "key").join(nodes.select("node", "n", length.alias("length")), "node"), "shared-keys")
+        # dealt by key once, for the count and for the join: both look at all columns of the same rows, else the planner would deal them twice
+        own = members.filter((F.pmod("key", F.lit(_SLICES)) == part) & F.col("node").isNotNull()).repartition("key")
+        shared_keys = own.groupBy("key").agg(F.count_if(F.length("node") > 0).alias("size")).filter(F.col("size") > 1).select("key")
+        return common.cut(own.join(shared_keys.hint("merge"), "key").join(nodes.select("node", "n", length.alias("length")), "node"), "shared-keys")
 
     parts = [shared_in(k) for k in range(_SLICES)]
     shared = functools.reduce(DataFrame.unionByName, parts)
-    # keys take more room than words, and nothing looks at those of one node only any more
-    words = common.cut_by(nodes.select("node", "words"), "node", "words")
-    common.drop(nodes)
+
+    def words_alone():
+        # keys take more room than words, and nothing looks at those of one node only any more; each slice goes once its words are copied
+        for t in slices:
+            yield t.select("node", "words")
+            common.drop(t)
+
+    words = common.cut_by(words_alone(), "node", "words")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = words.select(F.col("node").alias("a"), F.col("words").alias("wa")), words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
@@ -377,9 +398,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, sketches: int = 40, tri
     comp = components(edges)
 
     # nodes still apart within a bucket: small ones pair by pair, those of larger ones by their words
-    level = with_comp(shared.select("key", "node", "n"), comp)
-    mixed = level.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") != F.col("high")).select("key", "size")
-    level = common.cut(level.join(mixed, "key"), "buckets")
+    level = with_comp(shared.select("key", "node", "n"), comp).repartition("key")
+    # dealt once, as above
+    mixed = level.groupBy("key").agg(F.count_if((F.length("node") > 0) & (F.col("n") >= 0)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") != F.col("high")).select("key", "size")
+    level = common.cut(level.join(mixed.hint("merge"), "key"), "buckets")
     common.drop(*parts, led)
     small = level.filter(F.col("size") <= bucket)
     other = small.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
